@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 CHUNK_BYTES = 4 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -115,7 +115,7 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
-KINDS = {"double": DoubleType(), "int": IntegerType(), "long": LongType(), "string": StringType()}
+KINDS = {"double": DoubleType(), "int": IntegerType(), "long": LongType(), "string": StringType(), "longs": ArrayType(LongType()), "strings": ArrayType(StringType())}
 
 
 def with_fields(df: DataFrame, **kinds: str) -> StructType:

@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tactuslab.llm import toxicity, url_filter, warc
+from tactuslab.llm import decontaminate, toxicity, url_filter, warc
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.digest(found.drop("text")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filters": url_filter.oracle_sql("pages", "page_id")}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op5_url_filters": url_filter.oracle_sql("pages", "page_id")}
