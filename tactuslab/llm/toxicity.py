@@ -9,6 +9,7 @@ Misspellings that were never seen share most n-grams with words that were.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ THRESHOLD = 0.3
 #: Rows of each label to train on; enough for the vocabulary of insults to recur.
 MAX_ROWS = 2000
 #: Characters of these rows' texts that the driver holds.
-MAX_CHARS = 10_000_000
+MAX_CHARS = 8_000_000
 
 _WORD = word_class(bytes(b for b in range(128) if not chr(b).isalnum()))
 
@@ -148,11 +149,11 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 10, rate: float = 1.
 def _prepared(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Members of all words one word after the other, where each word's begin, how many, and the words of each text."""
     buf, first, end, at = _spaced(buf, starts)
-    members, word = [_word_places(buf, first, end)], [np.arange(len(first))]
+    members, word = [_word_places(buf, first, end).astype(np.int32)], [np.arange(len(first))]
     for n, place in _gram_places(buf):
         many = np.maximum(end - first + 3 - n, 0)
         word.append(np.repeat(np.arange(len(first)), many))
-        members.append(place[np.arange(len(word[-1])) + np.repeat(first - 1 - np.cumsum(many) + many, many)].astype(np.int64))
+        members.append(place[np.arange(len(word[-1])) + np.repeat(first - 1 - np.cumsum(many) + many, many)].astype(np.int32))
     members, word = np.concatenate(members), np.concatenate(word)
     per = np.bincount(word, minlength=len(first))
     return members[np.argsort(word, kind="stable")], np.cumsum(per) - per, per, at
@@ -176,23 +177,20 @@ def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_c
     rows with a null id, text or label are passed over.
     """
     known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    rows = docs.select("doc_id", "text").join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
-    texts: list[str] = []
-    toxic: list[int] = []
-    for label in (1, 0):
+    docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text")
+    # Only ids and lengths are joined with the labels; texts are then looked up for the rows chosen.
+    sizes = docs.select("doc_id", F.length("text").alias("n")).join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    label: dict[int, int] = {}
+    for value in (1, 0):
         room = max_chars // 2
-        sizes = rows.where(F.col("toxic") == label).select("doc_id", "_h", F.length("text").alias("n"))
-        keep = []
-        for r in sizes.orderBy("_h", "doc_id").limit(max_rows).collect():
+        for r in sizes.where(F.col("toxic") == value).select("doc_id", "_h", "n").orderBy("_h", "doc_id").limit(max_rows).collect():
             if r["n"] <= room:
                 room -= r["n"]
-                keep.append(r["doc_id"])
-        got = rows.where((F.col("toxic") == label) & F.col("doc_id").isin(keep)).orderBy("_h", "doc_id", "text").limit(max_rows)
-        texts += [r["text"] for r in got.select("text").collect()]
-        toxic += [label] * (len(texts) - len(toxic))
-    order = np.random.default_rng(1).permutation(len(texts))
-    return train(pa.array([texts[k] for k in order], pa.string()), np.array(toxic)[order] if len(texts) else np.zeros(0))
+                label[r["doc_id"]] = value
+    rows = docs.where(F.col("doc_id").isin([*label])).limit(2 * max_rows).collect() if label else []
+    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
+    texts, toxic = [r["text"] for r in rows], [label[r["doc_id"]] for r in rows]
+    return train(pa.array(texts, pa.string()), np.array(toxic))
 
 
 def score_toxicity(documents: DataFrame, model: Toxicity, threshold: float = THRESHOLD) -> DataFrame:
