@@ -123,10 +123,11 @@ class WordTokenizer:
             counts.append(len(own))
         if len(self._index) > self._limit:
             self._forget()
-        new = [w for w in dict.fromkeys(words) if w not in self._index]
-        if new:
-            self._learn(new)
-        at = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
+        known = list(map(self._index.get, words))
+        if None in known:
+            self._learn(list(dict.fromkeys(w for w, k in zip(words, known, strict=True) if k is None)))
+            known = list(map(self._index.__getitem__, words))
+        at = np.array(known, np.int64)
         size = self._start[at + 1] - self._start[at]
         end = np.cumsum(size)
         total = int(end[-1]) if len(end) else 0
@@ -137,7 +138,9 @@ class WordTokenizer:
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a stream may be cut, and the penalty of each cut. No two neighbours lie more than size apart."""
-    ends = np.flatnonzero(np.isin(ids, sentence_ends)) + 1
+    final = np.zeros(1 << 16, bool)
+    final[sentence_ends] = True
+    ends = np.flatnonzero(final[np.minimum(ids, len(final) - 1)]) + 1
     at = np.union1d(ends, doc_ends)
     before = np.concatenate([[0], at[:-1]]) if len(at) else at
     long = np.flatnonzero(at - before > size)
