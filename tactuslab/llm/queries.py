@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactuslab.llm import decontaminate, fingerprint, langid, line_dedup, near_dedup, packing, toxicity, url_filter, warc
+from tactuslab.llm import chat, decontaminate, fingerprint, langid, line_dedup, near_dedup, packing, toxicity, url_filter, warc
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link_replies(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
@@ -61,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filters": url_filter.oracle_sql("pages", "page_id")}
+    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filters": url_filter.oracle_sql("pages", "page_id")}
