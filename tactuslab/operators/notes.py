@@ -27,6 +27,12 @@ def by_id(notes: DataFrame, note_ids: list) -> DataFrame:
     return notes.where(F.col("note_id").isin(note_ids)).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
+def by_id_all(notes: DataFrame) -> DataFrame:
+    """The first row of each id."""
+    w = Window.partitionBy("perf_id", "note_id").orderBy("seq")
+    return notes.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
 def with_attributes(notes: DataFrame, note_id, attributes: dict[str, str]) -> DataFrame:
     """Note attributes laid into attrs of the first row with an id."""
     more = F.create_map(*[F.lit(x) for pair in attributes.items() for x in pair])

@@ -297,3 +297,16 @@ def mean_tempo(notes: DataFrame, beat_length: float = 0.25) -> DataFrame:
     """One tempo from first onset to last, of performances with two dates or more."""
     p = onset_pairs(notes).groupBy("perf_id").agg(F.max("rel_date").alias("d"), F.max_by("rel_onset", "date").alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return p.select("perf_id", (60000.0 * F.col("d") / F.nullif(F.col("s") * 1000 * beat_length * WHOLE, F.lit(0.0))).alias("bpm"))
+
+
+def fit_chains(onsets: DataFrame, beat_length: float = 0.25) -> DataFrame:
+    """fit_chain for each performance of onsets (perf_id, date, onset in seconds, marks), over its own marks."""
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        found = fit_chain(group["date"].to_numpy(), group["onset"].to_numpy() * 1000, list(group["marks"].iloc[0]), beat_length)
+        out = pd.DataFrame(found, columns=["date", "end_date", "bpm", "transition_to", "mean_tempo_at"])
+        out.insert(0, "perf_id", group["perf_id"].iloc[0])
+        out.insert(4, "beat_length", beat_length)
+        return out
+
+    return onsets.select("perf_id", "date", "onset", "marks").groupBy("perf_id").applyInPandas(fit, FITTED)

@@ -1 +1,64 @@
 """Registry, ids, provenance, project files and metadata: what surrounds the stages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tactuslab.plans import pipeline, stages
+from tactuslab.plans.registry import validate
+from tactuslab.queries.base import query
+from tactuslab.sources import derived, msm
+
+
+@query("SELECT * FROM (VALUES (0, 'InsertRubato requires TranslatePhysicalTimeToTicks before it in the chain'), (2, 'StylizeOrnamentation requires InsertDynamicsGradient before it in the chain')) AS t(index, message)")
+def chain_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = [stages.InsertRubato(), stages.InsertTemporalSpread(), stages.StylizeOrnamentation()]
+    return spark.createDataFrame([(m.index, m.message) for m in validate(chain)], "index int, message string")
+
+
+@query("SELECT perf_id, date, 'note_' || date || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS id FROM (SELECT perf_id, date, row_number() OVER (PARTITION BY perf_id, date ORDER BY seq) - 1 AS k FROM notes)")
+def generate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.with_ids(derived.notes(spark, sf_dir).select("perf_id", "date"), "note").select("perf_id", "date", "id")
+
+
+@query("SELECT perf_id, 'ornament_' || date AS instruction_id, 'a1' AS corresp FROM (SELECT perf_id, date FROM notes GROUP BY ALL HAVING count(*) > 1 AND (max(onset) - min(onset)) * 1000 > 35)")
+def provenance_corresp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = stages.InsertTemporalSpread(argumentation={"id": "a1"})
+    out = stage.run(derived.state(spark, sf_dir))
+    return out.table("provenance").select("perf_id", "instruction_id", F.array_join("corresp", " ").alias("corresp"))
+
+
+@query("SELECT * FROM (VALUES (0, 'Modify', 'a2', 'velocity'), (1, 'InsertTemporalSpread', 'a1', NULL)) AS t(pos, name, argumentation, aspect)")
+def work_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = [stages.InsertTemporalSpread(argumentation={"id": "a1"}), stages.Modify(argumentation={"id": "a2"}, change=3.0)]
+    _, back = pipeline.import_work(pipeline.export_work({"name": "piece"}, chain))
+    rows = [(k, s.name, s.argumentation["id"], s.options.get("aspect")) for k, s in enumerate(back)]
+    return spark.createDataFrame(rows, "pos int, name string, argumentation string, aspect string")
+
+
+@query("SELECT DISTINCT perf_id, pos, kind FROM notes, (VALUES (0, 'author'), (1, 'comment')) AS t(pos, kind)")
+def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stage = stages.InsertMetadata(authors=[{"name": "A"}], comments=["c"])
+    return stage.run(derived.state(spark, sf_dir)).table("metadata").select("perf_id", "pos", "kind")
+
+
+@query("SELECT perf_id, count(*) AS n_notes, max(date) AS section_end FROM notes GROUP BY perf_id")
+def score_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = derived.notes(spark, sf_dir)
+    x = msm.to_xml(n, derived.meta(spark, sf_dir))
+    notes = F.size(F.split("xml", "<note ")) - 1
+    return x.select("perf_id", notes.cast("long").alias("n_notes"), F.regexp_extract("xml", r'date\.end="(\d+)"', 1).cast("long").alias("section_end"))
+
+
+@query()
+def full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain over all performances: what is left of each note."""
+    chain = pipeline.Pipeline([
+        stages.Modify(aspect="velocity", change=1.0, start=0, end=720), stages.InsertTemporalSpread(), stages.InsertDynamicsGradient(), stages.ApproximateLogarithmicTempo(start=0, end=21600),
+        stages.TranslatePhysicalTimeToTicks(), stages.InsertRubato(start=7200, length=1440), stages.InsertDynamicsInstructions(start=0, end=21600), stages.InsertPedal(duration=60.0), stages.InsertMetadata(authors=["A"]),
+    ])
+    out = chain.run(derived.state(spark, sf_dir))
+    return out.notes.select("perf_id", "note_id", "date", "tick_date", "tick_duration", "abs_vel_change")
+
+
