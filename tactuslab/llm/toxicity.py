@@ -25,6 +25,11 @@ BITS = 17
 DIM = 8
 WINDOW = 12  # words
 STEP = 6
+#: Passes over the training rows: as many as make up so many characters, within these limits.
+PASS_CHARS = 80_000_000
+PASSES = (12, 40)
+#: The last passes, in which the highest window of a text stands for it.
+HIGHEST_PASSES = 9
 THRESHOLD = 0.3
 #: Rows of each label to train on; enough for the vocabulary of insults to recur.
 MAX_ROWS = 2000
@@ -105,10 +110,10 @@ def _window_logits(pulls: np.ndarray, at: np.ndarray, bias: float) -> np.ndarray
     return np.maximum.reduceat(mean, begin[:-1]) + bias
 
 
-def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 10, rate: float = 1.0, seed: int = 7) -> Toxicity:
-    """Fit on labelled texts. Each step takes the highest window of each text of a batch and moves
-    table and softmax by AdaGrad along the gradient of its cross entropy. Without both labels, every
-    text gets the score 0.
+def train(texts: pa.Array, toxic: np.ndarray, rate: float = 1.0, seed: int = 7) -> Toxicity:
+    """Fit on labelled texts. Each step takes one window of each text of a batch, any in the first
+    passes and the highest in the last, and moves table and softmax by AdaGrad along the
+    gradient of its cross entropy. Without both labels, every text gets the score 0.
     """
     rng = np.random.default_rng(seed)
     table = (rng.random((1 << BITS, DIM), np.float32) - 0.5) / 100
@@ -119,14 +124,18 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 10, rate: float = 1.
         return Toxicity(np.zeros(1 << BITS), -30.0)
     parsed = [(row + np.arange(len(starts) - 1), *_prepared(buf, starts)) for row, buf, starts in text_chunks(texts, 1 << 16)]
     bias_seen = 1e-3
-    for _ in range(epochs):
+    epochs = int(np.clip(PASS_CHARS // max(1, sum(map(len, texts.to_pylist()))), *PASSES))
+    for epoch in range(epochs):
         for k in rng.permutation(len(parsed)):
             rows, flat, start, per, at = parsed[k]
             pull = np.add.reduceat((table @ out)[flat], start) / per if len(start) else np.zeros(0)
             first, end, begin = _windows(at)
             total = np.concatenate([[0.0], np.cumsum(pull)])
             mean = (total[end] - total[first]) / np.maximum(end - first, 1)
-            best = np.array([b + int(np.argmax(mean[b:e])) for b, e in zip(begin[:-1], begin[1:], strict=True)])
+            if epoch < epochs - HIGHEST_PASSES:
+                best = rng.integers(begin[:-1], begin[1:])
+            else:
+                best = np.array([b + int(np.argmax(mean[b:e])) for b, e in zip(begin[:-1], begin[1:], strict=True)])
             error = 1 / (1 + np.exp(-np.clip(mean[best] + bias, -30, 30))) - toxic[rows]
             lo, hi = first[best], end[best]
             word = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]) if len(lo) else lo
