@@ -7,10 +7,13 @@ one of the K - NEED + 1 rarest retained values of either; inverted lists of thes
 generate the pairs, and values that many unrelated documents share are not among them. A pair has to
 pass the estimate from the sketch of its union, and then exact Jaccard on the full sets.
 
-A list of many documents isn't turned into all its pairs. First each document is compared with the
-first of one of its lists; what links becomes one component. Then each is compared with the first of
-all its lists, and the members of short lists with each other; last, what still lies apart in a long
-list. Pairs within a component are never compared, as they can't change it.
+A short list gives all its pairs. The members of longer ones are joined exactly instead: their full
+sets, ordered by rarity among these members, are prefix-filtered with bounds on position and size. Of
+two linked sets the smaller has one of its n - 6n/7 + 1 rarest shingles among the n - 3n/4 + 1 rarest
+of the larger, and a shingle's place bounds what the two can still share, and so the sizes that can
+be met from there: those are part of the key. An edited copy whose own shingles are too many to link
+with anything finds no partner. What does link is first gathered around the most typical member of
+each list, and pairs within one component are never compared, as they can't change it.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ SHINGLE = 5
 K = 64
 NEED = 30
 #: Documents in a list that are compared each with each.
-SHORT = 8
+SHORT = 16
+#: Growth of set size from one size class to the next.
+SIZE_STEP = 1.03
 _WORD = word_class(SPACES)
 
 
@@ -121,30 +126,64 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP))).cast("int")
+
+
+def _exact_lists(sets: DataFrame) -> DataFrame:
+    """value, size_class, rep, n, place, typical, and whether the row is one for the smaller or the larger of a pair.
+
+    place counts a set's shingles from the rarest; those that no other set has come first. typical is
+    the share of shingles that another set has too.
+    """
+    postings = sets.select("rep", "n", F.explode("set").alias("value"))
+    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    far = F.col("n") - F.ceil(F.col("n") * 0.75) + 1
+    own = postings.join(shared, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))  # one set
+    own = own.select("rep", "n", (F.size("v") / F.col("n")).alias("typical"), (F.col("n") - F.size("v")).alias("alone"), F.slice("v", 1, F.greatest(F.lit(0), far - F.col("n") + F.size("v")).cast("int")).alias("v"))
+    rows = own.select("rep", "n", "typical", "alone", F.posexplode("v").alias("k", "x")).select("rep", "n", "typical", (F.col("alone") + F.col("k") + 1).alias("place"), "x.value")
+    rest = F.col("n") - F.col("place") + 1  # what can still be shared from here on
+    # 7 * common >= 3 * (n + m) bounds the size m of the other set.
+    low, high = F.ceil(F.col("n") * 0.75), F.least(F.col("n"), F.floor(rest * 7 / 3.0).cast("long") - F.col("n"))
+    large = rows.where(low <= high).withColumn("size_class", F.explode(F.sequence(_size_class(low), _size_class(high)))).withColumn("large", F.lit(True))
+    small = rows.where(7 * rest >= 6 * F.col("n")).withColumn("size_class", _size_class(F.col("n"))).withColumn("large", F.lit(False))
+    return large.unionByName(small)
+
+
+def _apart(lists: DataFrame, label: DataFrame, *key: str) -> DataFrame:
+    """Rows of those lists that hold more than one component, with it as c."""
+    own = lists.join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("c", F.coalesce("label", "rep")).drop("label")
+    apart = own.groupBy(*key).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(*key)
+    return own.join(apart, list(key), "left_semi")
+
+
 def class_components(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """node and label of the classes that are linked with others."""
     lists = _prefix_lists(classes.where("rep IS NOT NULL"))
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("rep", "n")).alias("head")).where("m > 1")
-    lists = saved(lists.join(sizes, "value").select("value", "rep", "n", "m", F.col("head.rep").alias("head"), F.col("head.n").alias("head_n")), "lists")
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = saved(lists.join(sizes, "value"), "lists")
     sets = saved(_full_sets(documents, lists.select("rep").distinct()), "sets")
 
-    star = lists.where((F.col("rep") != F.col("head")) & _near_size(F.col("n"), F.col("head_n")))
-    links = saved(_linked(star.groupBy("rep").agg(F.min("head").alias("head")).select(*_ordered("head", "rep")), sets), "links")
+    crowd = lists.where(F.col("m") > SHORT).select("rep").distinct()
+    exact = saved(_exact_lists(sets.join(crowd, "rep", "left_semi")), "exact-lists")
+    head = F.max(F.struct("typical", (-F.col("rep")).alias("first"))).alias("head")
+    heads = exact.groupBy("value", "size_class").agg(head, F.count(F.lit(1)).alias("m")).where("m > 1")
+    star = exact.select("value", "size_class", "rep").join(heads, ["value", "size_class"]).groupBy("rep").agg(F.max("head").alias("head"))
+    star = star.withColumn("head", -F.col("head.first")).where(F.col("rep") != F.col("head"))
+    links = saved(_linked(star.select(*_ordered("head", "rep")), sets), "links")
     label = components(links)
 
-    for last in (False, True):
-        own = lists.join(label.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("c", F.coalesce("label", "rep")).drop("label")
-        apart = own.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("value")
-        own = saved(own.join(apart, "value", "left_semi"), "apart")
-        own = own.where(F.col("m") > SHORT) if last else own
-        other = own if last else own.where((F.col("m") <= SHORT) | (F.col("rep") == F.col("head")))
-        other = other.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-        near = (F.col("c") != F.col("c2")) & _near_size(F.col("n"), F.col("n2"))
-        near = near & (F.col("rep") < F.col("rep2")) if last else near
-        pairs = own.join(other, "value").where(near).select(*_ordered("rep", "rep2")).distinct()
-        links = links.unionByName(saved(_linked(pairs, sets), "links"))
-        label = components(links)
-    return label
+    own = _apart(exact, label, "value", "size_class")
+    small = own.where("NOT large").select("value", "size_class", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("c").alias("c2"))
+    common = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1
+    near = (F.col("c") != F.col("c2")) & (F.col("n2") <= F.col("n")) & (7 * common >= 3 * (F.col("n") + F.col("n2")))
+    pairs = own.where("large").join(small, ["value", "size_class"]).where(near).select(*_ordered("rep", "rep2"))
+
+    own = _apart(lists.where(F.col("m") <= SHORT), label, "value")
+    other = own.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+    near = (F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & _near_size(F.col("n"), F.col("n2"))
+    pairs = pairs.unionByName(own.join(other, "value").where(near).select(*_ordered("rep", "rep2"))).distinct()
+    return components(links.unionByName(saved(_linked(pairs, sets), "links")))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
