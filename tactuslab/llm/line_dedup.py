@@ -88,7 +88,8 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     """doc_id, th (hash of the text) and deleted (numbers of lines, from 0), for documents that lose lines."""
     lines = saved(_positions(documents), "lines")
     often = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2")
-    shared = saved(lines.join(often, ["h", "h2"], "left_semi"), "shared-lines")
+    # Rows equal in doc_id and text have the same places: once is enough.
+    shared = saved(lines.join(often, ["h", "h2"], "left_semi").distinct(), "shared-lines")
     runs = saved(_shortest_runs(shared, min_words), "runs")
     longest = runs.agg(F.max("m")).collect()[0][0] or 0
     gone = None
