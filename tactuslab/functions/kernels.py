@@ -128,19 +128,26 @@ def bezier_x(curvature: Column, protraction: Column) -> tuple[Column, Column]:
     return F.when(p == 0, c).otherwise(x1), F.when(p == 0, 1 - c).otherwise(x2)
 
 
-def bezier_t(date: Column, start: Column, end: Column, x1: Column, x2: Column, steps: int = 32) -> Column:
-    """The curve parameter at a date: halving steps until the date is met to a tick."""
-    length, at = (end - start).cast("double"), (date - start).cast("double")
-    u, v, w = 3.0 * x1 - 3.0 * x2 + 1.0, -6.0 * x1 + 3.0 * x2, 3.0 * x1
+def bezier_t(date: Column, start: Column, end: Column, x1: Column, x2: Column) -> Column:
+    """The curve parameter at a date: halving steps until the date is met to a tick, as many as the length asks for."""
+    length = (end - start).cast("double")
+    set_up = F.struct(length.alias("n"), (date - start).cast("double").alias("at"), x1.alias("x1"), x2.alias("x2"))
 
-    def step(b: Column, _: Column) -> Column:
-        off = ((u * b.t + v) * b.t + w) * b.t * length - at
-        t = F.when(F.abs(off) < 1.0, b.t).when(off > 0, b.t - b.h).otherwise(b.t + b.h)
-        return F.struct(t.alias("t"), (b.h * 0.5).alias("h"))
+    def solve(c: Column) -> Column:
+        cubic = F.struct((3.0 * c.x1 - 3.0 * c.x2 + 1.0).alias("u"), (-6.0 * c.x1 + 3.0 * c.x2).alias("v"), (3.0 * c.x1).alias("w"))
+
+        def halve(k: Column) -> Column:
+            def step(b: Column, _: Column) -> Column:
+                off = ((k.u * b.t + k.v) * b.t + k.w) * b.t * c.n - c["at"]
+                t = F.when(F.abs(off) < 1.0, b.t).when(off > 0, b.t - b.h).otherwise(b.t + b.h)
+                return F.struct(t.alias("t"), (b.h * 0.5).alias("h"))
+
+            steps = F.greatest(F.lit(4), F.ceil(F.log2(F.greatest(c.n, F.lit(2.0)))).cast("int") + 4)
+            return F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.lit(0.5).alias("t"), F.lit(0.25).alias("h")), step, lambda b: b.t)
 
-    begin = F.struct(F.lit(0.5).alias("t"), F.lit(0.25).alias("h"))
-    t = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step, lambda b: b.t)
-    return F.when(date == start, 0.0).when(date == end, 1.0).otherwise(t)
+        return let(cubic, halve)
+
+    return F.when(date == start, 0.0).when(date == end, 1.0).otherwise(let(set_up, solve))
 
 
 def eased(date: Column, start: Column, end: Column, value: Column, to: Column, curvature: Column, protraction: Column, zero_is_unset: bool = True) -> Column:
@@ -148,17 +155,19 @@ def eased(date: Column, start: Column, end: Column, value: Column, to: Column, c
     none = to.isNull() | (value == to)
     if zero_is_unset:
         none = none | (to == 0)
-    x1, x2 = bezier_x(curvature, protraction)
-    t = bezier_t(date, start, end, x1, x2)
+    t = bezier_t(date, start, end, *bezier_x(curvature, protraction))
     return F.when((date < start) | none, value).when(date >= end, to).otherwise(let(t, lambda t: (3.0 - 2.0 * t) * t * t * (to - value) + value))
 
 
 def elapsed_ms(start_bpm: Column, end_bpm: Column, mean_at: Column, beats: Column, steps: int = 200) -> Column:
     """Milliseconds of a segment by trapezoids over a power curve; 0 for no length."""
-    p = F.lit(log(0.5)) / F.log(clamp(0.001, mean_at, 0.999))
-    beat = lambda x: 60000.0 / (start_bpm + (end_bpm - start_bpm) * F.pow(x, p))
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(steps - 1)), F.lit(0.0), lambda s, i: s + 0.5 * (F.when(i == 0, 60000.0 / start_bpm).otherwise(beat(i / float(steps))) + beat((i + 1) / float(steps))))
-    return F.when(beats <= 0, 0.0).when(F.abs(start_bpm - end_bpm) < 0.01, beats * 60000.0 / start_bpm).otherwise(total * beats / float(steps))
+    set_up = F.struct((F.lit(log(0.5)) / F.log(clamp(0.001, mean_at, 0.999))).alias("p"), start_bpm.alias("a"), (end_bpm - start_bpm).alias("d"))
+
+    def total(c: Column) -> Column:
+        inner = F.aggregate(F.sequence(F.lit(1), F.lit(steps - 1)), F.lit(0.0), lambda s, i: s + 60000.0 / (c.a + c.d * F.pow(i / float(steps), c.p)))
+        return (inner + 30000.0 / c.a + 30000.0 / (c.a + c.d)) * beats / float(steps)
+
+    return F.when(beats <= 0, 0.0).when(F.abs(start_bpm - end_bpm) < 0.01, beats * 60000.0 / start_bpm).otherwise(let(set_up, total))
 
 
 def optimized_elapsed(start_bpm: Column, end_bpm: Column, mean_at: Column, beats: Column, target_ms: Column, steps: int = 50) -> Column:

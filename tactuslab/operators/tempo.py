@@ -116,33 +116,42 @@ def _basis(x: np.ndarray, shape) -> np.ndarray:
 _GRID = np.linspace(0, 1, 201)
 
 
-def _elapsed(left: float, right: float, shape, beats: float) -> np.ndarray:
-    """Milliseconds from a segment's start to each point of the grid, a row for each shape."""
-    tempo = left + (right - left) * _basis(_GRID, np.asarray(shape, float).reshape(-1, 1))
-    beat = 60000.0 / tempo
-    steps = (beat[:, 1:] + beat[:, :-1]) * (beats / 400)
-    return np.concatenate([np.zeros((len(tempo), 1)), np.cumsum(steps, 1)], 1)
+_COARSE = np.linspace(0.02, 0.98, 97)
+_COARSE_BASIS = _basis(_GRID, _COARSE[:, None])
+
+
+def _elapsed(left: float, right: float, basis: np.ndarray, beats: float) -> np.ndarray:
+    """Milliseconds from a segment's start to each point of the grid, a row for each curve of basis."""
+    beat = (beats * 150.0) / (left + (right - left) * basis)  # 60,000 ms over twice the 200 steps
+    table = np.zeros(beat.shape)
+    np.cumsum(beat[:, 1:] + beat[:, :-1], axis=1, out=table[:, 1:])
+    return table
+
+
+def _whole(left: float, right: float, shape: float, beats: float) -> float:
+    return float(_elapsed(left, right, _basis(_GRID, shape)[None], beats)[0, -1])
 
 
 def _best_shape(x: np.ndarray, ms: np.ndarray, left: float, right: float, beats: float) -> float:
     """The shape that puts the onsets (place in the segment, milliseconds) where they were heard.
 
-    Three ever finer grids about the best so far; nothing is drawn at random.
+    Ever finer grids about the best so far; nothing is drawn at random.
     """
     inside = x > 0
     if abs(left - right) < 0.01 or not inside.any():
         return 0.5
     x, ms = np.minimum(x[inside], 1) * 200, ms[inside]
     cell = np.minimum(x.astype(int), 199)
+    part = x - cell
 
-    def error(shapes: np.ndarray) -> np.ndarray:
-        table = _elapsed(left, right, shapes, beats)
-        return np.sum((table[:, cell] + (x - cell) * (table[:, cell + 1] - table[:, cell]) - ms) ** 2, 1)
+    def error(basis: np.ndarray) -> np.ndarray:
+        table = _elapsed(left, right, basis, beats)
+        return np.sum((table[:, cell] * (1 - part) + table[:, cell + 1] * part - ms) ** 2, 1)
 
-    best, reach = 0.5, 0.48
-    for points in (97, 41, 41, 41):
-        shapes = np.clip(np.linspace(best - reach, best + reach, points), 0.02, 0.98)
-        best, reach = float(shapes[np.argmin(error(shapes))]), 2.2 * reach / points
+    best, reach = float(_COARSE[np.argmin(error(_COARSE_BASIS))]), 0.01
+    for _ in range(3):
+        shapes = np.clip(np.linspace(best - reach, best + reach, 13), 0.02, 0.98)
+        best, reach = float(shapes[np.argmin(error(_basis(_GRID, shapes[:, None])))]), reach / 5
     return best
 
 
@@ -237,7 +246,7 @@ def fit_chain(dates: np.ndarray, onsets_ms: np.ndarray, chain: list[float], beat
         rows[np.arange(len(mid)), of + 1] += phi
         left, right = [rows * np.sqrt(w)[:, None], np.sqrt(c.estimate) * np.eye(n + 1)], [bpm * np.sqrt(w), np.sqrt(c.estimate) * first]
         for k in range(n):
-            span = lambda d0, d1, k=k: _elapsed(tau[k] + d0, tau[k + 1] + d1, shapes[k], beats[k])[0, -1]
+            span = lambda d0, d1, k=k: _whole(tau[k] + d0, tau[k + 1] + d1, shapes[k], beats[k])
             g = np.array([span(0.5, 0) - span(-0.5, 0), span(0, 0.5) - span(0, -0.5)])
             norm = np.hypot(*g)
             if norm > 1e-10:
