@@ -82,13 +82,13 @@ def link_replies(messages: DataFrame) -> DataFrame:
     parents = whole.select(*KEY).join(quotes, KEY, "left").join(before, ["conv_id", "turn"], "left")
     up = F.coalesce("from", F.when(F.col("before_th").isNotNull(), F.struct((F.col("turn") - 1).alias("turn"), F.col("before_th").alias("th"))))
     parents = parents.select(*KEY, F.col("from").isNotNull().alias("by_quote"), up.alias("up"))
-    nodes = saved(parents.select(*KEY, "by_quote", F.col("up.turn").alias("reply_to"), F.coalesce("up", F.struct("turn", "th")).alias("at"), F.col("up").isNotNull().cast("long").alias("depth")), "replies")
-    while True:
-        # Each step doubles how far a message has come towards its root.
+    depth = F.col("up").isNotNull().cast("long")
+    nodes = saved(parents.select(*KEY, "by_quote", F.col("up.turn").alias("reply_to"), F.coalesce("up", F.struct("turn", "th")).alias("at"), depth.alias("depth"), (depth > 0).alias("moving")), "replies")
+    while nodes.where("moving").limit(1).count():
+        # Each step doubles how far a message has come; those that have reached their root rest.
         ahead = nodes.select(F.col("conv_id"), F.struct("turn", "th").alias("at"), F.col("at").alias("far"), F.col("depth").alias("more"))
-        nodes = saved(nodes.join(ahead, ["conv_id", "at"]).select(*KEY, "by_quote", "reply_to", F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moved")), "replies")
-        if not nodes.where("moved").limit(1).count():
-            break
+        further = nodes.where("moving").join(ahead, ["conv_id", "at"]).select(*KEY, "by_quote", "reply_to", F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moving"))
+        nodes = saved(nodes.where("NOT moving").unionByName(further), "replies")
     found = nodes.select(*KEY, "by_quote", "reply_to", F.col("at.turn").alias("root"), "depth")
     levels = F.coalesce(F.array_max(F.transform("lines", lambda x: x.level)), F.lit(0))
     out = rows.select(*KEY, "role", body(F.col("lines")).alias("body"), levels.alias("levels")).join(found, KEY, "left")

@@ -15,6 +15,8 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,7 @@ def default_vocabulary() -> str:
 
 #: Letters that normalisation changes in nothing but case.
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = punctuation.encode()
 #: How a byte-level vocabulary writes the bytes that aren't printable, from character 256 on.
 _UNPRINTED = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
 _WRITTEN = {b: 256 + k for k, b in enumerate(_UNPRINTED)}
@@ -53,7 +56,7 @@ class WordTokenizer:
     """Ids of texts by a byte-level tokenizer that lower-cases and whose pieces never reach over white space.
 
     Each distinct word between ASCII white space is encoded once and remembered, as what stands
-    before its last full stops and commas, and these: after a letter they are a piece of their own.
+    before the marks that it ends with, and these: after a letter they are a piece of their own.
     Texts that hold a special token are encoded whole.
     """
 
@@ -76,35 +79,49 @@ class WordTokenizer:
         return [e.ids for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        parts = []
+        stems, tails = [], []
         for w in new:
-            stem = w.rstrip(b".,")
-            if not (len(stem) < len(w) and stem[-1:].isalpha()):
+            stem = w.rstrip(_MARKS)
+            if not (stem[-1:].isalpha() or (stem and stem[-1] > 127 and _PLAIN.fullmatch(stem.decode()[-1]))):
                 stem = w
-            parts.append((stem.lower(), w[len(stem) :]))
-        self._add_plain([x for x in dict.fromkeys(x for p in parts for x in p) if x and x not in self._index])
-        rest = [(w, p) for w, p in zip(new, parts, strict=True) if w not in self._index]
-        at = [[self._index[x] for x in p if x] for _, p in rest]
-        self._add([w for w, _ in rest], [np.concatenate([self._flat[self._start[k] : self._start[k + 1]] for k in own]) if len(own) > 1 else self._flat[self._start[own[0]] : self._start[own[0] + 1]] for own in at])
+            stems.append(stem.lower())
+            tails.append(w[len(stem) :])
+        self._add_plain([x for x in dict.fromkeys(stems + tails) if x and x not in self._index])
+        rest = [(w, a, b) for w, a, b in zip(new, stems, tails, strict=True) if w not in self._index]
+        # The ids of a word that isn't its own stem are those of its two parts.
+        parts = np.array([k for _, a, b in rest for k in (self._index[a], self._index[b] if b else -1)], np.int64)
+        size = np.where(parts < 0, 0, self._start[parts + 1] - self._start[parts])
+        self._add([w for w, _, _ in rest], size.reshape(-1, 2).sum(1), self._gather(self._start[parts], size))
+
+    def _gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Runs of remembered ids, one after the other."""
+        end = np.cumsum(size)
+        return self._flat[np.arange(end[-1] if len(end) else 0) + np.repeat(start - end + size, size)]
 
     def _add_plain(self, new: list[bytes]) -> None:
         """Encode words: letters without normalisation to do straight by the model, the others by the whole chain."""
-        texts = [w.decode() for w in new]
-        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
-        other = iter(self._encoded([t for t, p in zip(texts, plain, strict=True) if not p]))
         model = self._own.model
-        written = lambda t: t.lower().encode().decode("latin-1").translate(_WRITTEN)
-        self._add(new, [[x.id for x in model.tokenize(written(t))] if p else next(other) for t, p in zip(texts, plain, strict=True)])
-
-    def _add(self, new: list[bytes], ids: list) -> None:
+        ids: list[list[int] | None] = []
+        for w in new:
+            if w.isalpha():  # a-z: written as they are
+                ids.append([x.id for x in model.tokenize(w.decode())])
+            elif _PLAIN.fullmatch(t := w.decode()):
+                ids.append([x.id for x in model.tokenize(t.lower().encode().decode("latin-1").translate(_WRITTEN))])
+            else:
+                ids.append(None)
+        other = iter(self._encoded([w.decode() for w, x in zip(new, ids, strict=True) if x is None]))
+        ids = [next(other) if x is None else x for x in ids]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(new, sizes, np.fromiter(chain.from_iterable(ids), self._flat.dtype, int(sizes.sum())))
+
+    def _add(self, new: list[bytes], sizes: np.ndarray, flat: np.ndarray) -> None:
         n, used = len(self._index), self._used
-        while used + sizes.sum() > len(self._flat):
+        while used + len(flat) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
         while n + len(new) + 1 > len(self._start):
             self._start = np.concatenate([self._start, np.zeros_like(self._start)])
-        self._used = used + int(sizes.sum())
-        self._flat[used : self._used] = np.fromiter((i for x in ids for i in x), self._flat.dtype, self._used - used)
+        self._used = used + len(flat)
+        self._flat[used : self._used] = flat
         self._start[n + 1 : n + 1 + len(new)] = used + np.cumsum(sizes)
         self._index.update(zip(new, range(n, n + len(new)), strict=True))
 
@@ -129,10 +146,8 @@ class WordTokenizer:
             known = list(map(self._index.__getitem__, words))
         at = np.array(known, np.int64)
         size = self._start[at + 1] - self._start[at]
-        end = np.cumsum(size)
-        total = int(end[-1]) if len(end) else 0
-        flat = self._flat[np.arange(total) + np.repeat(self._start[at] - end + size, size)].astype(np.uint32)
-        bounds = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(counts)])]
+        flat = self._gather(self._start[at], size).astype(np.uint32)
+        bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
         return [whole.get(k, flat[bounds[k] : bounds[k + 1]]) for k in range(len(data))]
 
 
