@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = np.ones(1, np.uint64)

@@ -35,7 +35,7 @@ WINDOW_COST = 64
 #: Tokens of a stream that are solved, and held, at once.
 SEGMENT_TOKENS = 1 << 20
 #: Words whose ids a task remembers.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 400_000
 
 
 def default_vocabulary() -> str:
@@ -55,7 +55,7 @@ _WRITTEN = {b: 256 + k for k, b in enumerate(_UNPRINTED)}
 class WordTokenizer:
     """Ids of texts by a byte-level tokenizer that lower-cases and whose pieces never reach over white space.
 
-    Each distinct word between ASCII white space is encoded once and remembered, as what stands
+    Each distinct word between ASCII white space is lower-cased, encoded once and remembered, as what stands
     before the marks that it ends with, and these: after a letter they are a piece of their own.
     Texts that hold a special token are encoded whole.
     """
@@ -84,7 +84,7 @@ class WordTokenizer:
             stem = w.rstrip(_MARKS)
             if not (stem[-1:].isalpha() or (stem and stem[-1] > 127 and _PLAIN.fullmatch(stem.decode()[-1]))):
                 stem = w
-            stems.append(stem.lower())
+            stems.append(stem)
             tails.append(w[len(stem) :])
         self._add_plain([x for x in dict.fromkeys(stems + tails) if x and x not in self._index])
         rest = [(w, a, b) for w, a, b in zip(new, stems, tails, strict=True) if w not in self._index]
@@ -135,7 +135,7 @@ class WordTokenizer:
                 whole[k] = np.array(self._encoded([texts[k]])[0], np.uint32)
                 counts.append(0)
                 continue
-            own = d.split()
+            own = d.lower().split()
             words += own
             counts.append(len(own))
         if len(self._index) > self._limit:
@@ -274,5 +274,3 @@ def _tokenizer(path: str) -> WordTokenizer:
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
-
-
