@@ -20,6 +20,7 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -34,8 +35,10 @@ WORD_CUT = 64
 WINDOW_COST = 64
 #: Tokens of a stream that are solved, and held, at once.
 SEGMENT_TOKENS = 1 << 20
+#: Texts that are looked up at once.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
 #: Words whose ids a task remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 def default_vocabulary() -> str:
@@ -249,8 +252,7 @@ def pack(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None,
             return out.combine_chunks().to_batches()[0]
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for part in _slices(batch, column):
                 own = [np.append(x, np.uint32(END)) for x in tokens.ids(part.column(column).to_pylist())]
                 held += own
                 rows.append(part.select(names) if names else part)
@@ -266,6 +268,17 @@ def pack(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None,
     return documents.mapInArrow(packed, kinds)
 
 
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SLICE_BYTES of text, one row at least and SLICE_ROWS at most."""
+    ends = np.cumsum(pc.binary_length(batch.column(column).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
+    k = 0
+    while k < batch.num_rows:
+        room = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SLICE_BYTES, "right"))
+        end = min(max(k + 1, room), k + SLICE_ROWS)
+        yield batch.slice(k, end - k)
+        k = end
+
+
 _loaded: dict[str, WordTokenizer] = {}
 
 

@@ -122,7 +122,15 @@ def train(texts: pa.Array, toxic: np.ndarray, rate: float = 1.0, seed: int = 7)
     toxic = np.asarray(toxic).astype(np.float32)
     if not len(toxic) or toxic.min() == toxic.max():
         return Toxicity(np.zeros(1 << BITS), -30.0)
-    parsed = [(row + np.arange(len(starts) - 1), *_prepared(buf, starts)) for row, buf, starts in text_chunks(texts, 1 << 16)]
+    # The members of all words lie in one array, which is given back whole: a byte begins no more of them than there are sizes and words.
+    room = np.empty((len(GRAMS) + 1) * sum(len(x.as_buffer() or b"") for x in texts.cast(pa.large_binary())), np.int32)
+    parsed, used = [], 0
+    for row, buf, starts in text_chunks(texts, 1 << 16):
+        flat, *rest = _prepared(buf, starts)
+        own = room[used : used + len(flat)]
+        own[:] = flat
+        used += len(flat)
+        parsed.append((row + np.arange(len(starts) - 1), own, *rest))
     bias_seen = 1e-3
     epochs = int(np.clip(PASS_CHARS // max(1, sum(map(len, texts.to_pylist()))), *PASSES))
     for epoch in range(epochs):
