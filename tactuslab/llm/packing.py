@@ -15,7 +15,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from string import punctuation
 
 import numpy as np
@@ -38,7 +38,7 @@ SEGMENT_TOKENS = 1 << 20
 #: Texts that are looked up at once.
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 256
 #: Words whose ids a task remembers.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 600_000
 
 
 def default_vocabulary() -> str:
@@ -70,9 +70,9 @@ class WordTokenizer:
         self._limit = cache_words
         self._special = [t.content.encode() for t in self._own.get_added_tokens_decoder().values()]
         self.sentence_ends = np.array([self._own.token_to_id(t) for t in (".</w>", "!</w>", "?</w>") if self._own.token_to_id(t) is not None])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self._index: dict[bytes, int] = {}
         self._flat = np.zeros(1 << 16, np.uint16 if self._own.get_vocab_size() <= 1 << 16 else np.uint32)
         self._start = np.zeros(1 << 14, np.int64)
@@ -82,6 +82,8 @@ class WordTokenizer:
         return [e.ids for e in self._own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
+        self._add_plain([w for w in new if w.isalpha()])
+        new = [w for w in new if not w.isalpha()]
         stems, tails = [], []
         for w in new:
             stem = w.rstrip(_MARKS)
@@ -142,12 +144,13 @@ class WordTokenizer:
             words += own
             counts.append(len(own))
         if len(self._index) > self._limit:
-            self._forget()
-        known = list(map(self._index.get, words))
-        if None in known:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, known, strict=True) if k is None)))
-            known = list(map(self._index.__getitem__, words))
-        at = np.array(known, np.int64)
+            self.forget()
+        at = np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            own = [words[k] for k in missing.tolist()]
+            self._learn(list(dict.fromkeys(own)))
+            at[missing] = np.fromiter(map(self._index.__getitem__, own), np.int64, len(own))
         size = self._start[at + 1] - self._start[at]
         flat = self._gather(self._start[at], size).astype(np.uint32)
         bounds = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
@@ -262,6 +265,7 @@ def pack(documents: DataFrame, size: int = SIZE, vocabulary: str | None = None,
                     held, rows, total = [], [], 0
         if held:
             yield solved()
+        tokens.forget()  # what later tasks of other kinds need is memory
 
     kinds = with_fields(documents, **dict.fromkeys(added, "long"))
     kinds = type(kinds)([f for f in kinds.fields if f.name != "text"])
@@ -283,7 +287,7 @@ _loaded: dict[str, WordTokenizer] = {}
 
 
 def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process: what it remembers serves later tasks."""
+    """One for each worker process, which reads the vocabulary once."""
     if path not in _loaded:
         _loaded[path] = WordTokenizer(path)
     return _loaded[path]
