@@ -9,7 +9,7 @@ from tactuslab.functions import kernels
 from tactuslab.functions.kernels import fixed
 from tactuslab.operators import accentuation, articulation, dynamics, ornaments, relops, rubato, tempo, ticks
 from tactuslab.operators import notes as ops
-from tactuslab.queries.base import fx, query
+from tactuslab.queries.base import ORACLES, fx, query
 from tactuslab.sources import derived
 
 # ---------------------------------------------------------------- ornaments
@@ -215,7 +215,17 @@ SELECT note_id, CASE WHEN abs(a - b) < 0.5 THEN abs(240000.0 / target - (a + b)
   {fx('CASE WHEN abs(a - b) < 0.5 THEN 240000.0::DOUBLE / target WHEN target BETWEEN least(m02, m98) AND greatest(m02, m98) THEN a ELSE a * cur / target END', 3)} AS start_u FROM f"""
 )
 def optimize_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _curves(spark, sf_dir).where("note_id < 400").withColumn("target", 2000.0 + (F.col("note_id") % 11) * 100)
+    """The first 400 ids, as its SQL has it; optimize_elapsed_whole has all notes."""
+    return _optimized(_curves(spark, sf_dir).where("note_id < 400"))
+
+
+@query(ORACLES["optimize_elapsed"].replace(" WHERE note_id < 400", ""))
+def optimize_elapsed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _optimized(_curves(spark, sf_dir))
+
+
+def _optimized(curves: DataFrame) -> DataFrame:
+    c = curves.withColumn("target", 2000.0 + (F.col("note_id") % 11) * 100)
     o = c.select("note_id", kernels.optimized_elapsed(F.col("bpm"), F.col("t2"), F.col("im"), F.lit(4.0), F.col("target")).alias("o"))
     return o.select("note_id", "o.bpm_scaled", fixed(F.col("o.start_bpm"), 3).alias("start_u"))
 
