@@ -239,10 +239,16 @@ gr AS (SELECT perf_id, i, sum((b0 + (b1 - b0) * pow((s - s0) / (s1 - s0), ln(0.5
 
 @query(_POINTS + "SELECT perf_id, arg_min(i, (err, i)) AS mean_percent FROM gr GROUP BY perf_id")
 def fit_mean_tempo_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates up to 14,400, as its SQL has it; fit_mean_tempo_at_whole has whole performances."""
     p = tempo.onset_pairs(derived.notes(spark, sf_dir).where("date <= 14400"))
     return tempo.mean_tempo_grid(tempo.trail(p)).select("perf_id", "mean_percent")
 
 
+@query(ORACLES["fit_mean_tempo_at"].replace(" WHERE date <= 14400", ""))
+def fit_mean_tempo_at_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tempo.mean_tempo_grid(tempo.trail(tempo.onset_pairs(derived.notes(spark, sf_dir)))).select("perf_id", "mean_percent")
+
+
 @query(f"""SELECT perf_id, {fx('60000.0::DOUBLE * (d1 - d0) / ((o1 - o0) * 1000 * 720)', 4)} AS bpm_u FROM (SELECT perf_id, min(date) AS d0, max(date) AS d1, arg_min(first_onset, date) AS o0, arg_max(first_onset, date) AS o1 FROM chords GROUP BY perf_id HAVING count(*) > 1)""")
 def tempo_constant_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tempo.mean_tempo(derived.notes(spark, sf_dir)).select("perf_id", fixed(F.col("bpm"), 4).alias("bpm_u"))

@@ -37,3 +37,25 @@ def test_optimize_elapsed_of_all_notes(spark):
             start = a * elapsed(a, b, im) / target if scaled else a
         r = got[n["note_id"]]
         assert r["bpm_scaled"] == scaled and abs(r["start_u"] / 1000 - start) < 0.001
+
+
+def test_mean_tempo_is_fitted_over_whole_performances(spark):
+    from math import log
+
+    from tactuslab.sources import derived
+
+    got = {r["perf_id"]: r["mean_percent"] for r in QUERIES["fit_mean_tempo_at_whole"](spark, DATA).collect()}
+    assert "date <= 14400" not in ORACLES["fit_mean_tempo_at_whole"]
+    heads, last = {}, {}
+    for n in sorted(derived.notes(spark, DATA).collect(), key=lambda n: -n["seq"]):
+        heads.setdefault(n["perf_id"], {})[n["date"]] = n["onset"]
+        last[n["perf_id"]] = max(last.get(n["perf_id"], 0), n["date"])
+    assert min(last.values()) > 14400 and set(got) == set(heads)
+    for perf, dates in heads.items():
+        p = sorted(dates.items())
+        steps = [(o1, 60000 * (d1 - d0) / ((o1 - o0) * 1000 * 720)) for (d0, o0), (d1, o1) in zip(p, p[1:], strict=False) if o1 > o0]
+        (s0, b0), (s1, b1) = steps[0], steps[-1]
+        inner = [((s - s0) / (s1 - s0), v) for s, v in steps]
+        inner = [(x, v) for x, v in inner if 0.01 < x < 0.99]
+        error = {i: sum((b0 + (b1 - b0) * x ** (log(0.5) / log(i / 100)) - v) ** 2 for x, v in inner) for i in range(2, 99)}
+        assert error[got[perf]] <= min(error.values()) * (1 + 1e-9)
