@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tactuslab.functions.kernels import fixed
 from tactuslab.operators import notes as ops
 from tactuslab.operators import relops, tempo
-from tactuslab.queries.base import fx, query
+from tactuslab.queries.base import ORACLES, fx, query
 from tactuslab.sources import derived
 
 
@@ -69,7 +69,17 @@ def range_of_options(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'pedal', pedal_id, CASE WHEN onset < m THEN 0 ELSE onset - coalesce(m, 0) END, CASE WHEN onset < m THEN midi_duration - (m - onset) ELSE midi_duration END
   FROM pedals LEFT JOIN (SELECT perf_id, min(onset) AS m FROM notes WHERE seq % 3 = 0 GROUP BY perf_id) USING (perf_id))""")
 def shift_first_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, p = ops.shift_to_first_onset(derived.notes(spark, sf_dir).where("seq % 3 = 0"), derived.pedals(spark, sf_dir))
+    """Each third note, as its SQL has it; shift_first_onset_whole has all notes."""
+    return _shifted(derived.notes(spark, sf_dir).where("seq % 3 = 0"), derived.pedals(spark, sf_dir))
+
+
+@query(ORACLES["shift_first_onset"].replace(" WHERE seq % 3 = 0", ""))
+def shift_first_onset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shifted(derived.notes(spark, sf_dir), derived.pedals(spark, sf_dir))
+
+
+def _shifted(notes: DataFrame, pedals: DataFrame) -> DataFrame:
+    n, p = ops.shift_to_first_onset(notes, pedals)
     out = lambda df, kind, i: df.select(F.lit(kind).alias("kind"), F.col(i).alias("id"), fixed(F.col("onset")).alias("onset_u"), fixed(F.col("midi_duration")).alias("midi_duration_u"))
     return out(n, "note", "note_id").unionByName(out(p, "pedal", "pedal_id"))
 

@@ -456,10 +456,16 @@ def _indexed(n: DataFrame) -> DataFrame:
 
 @query(_REACH.format(dims="velocity AS x", src="notes", near="abs(a.x - b.x) <= 0.5 AND a.i % 4 = b.i % 4"))
 def dbscan_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters within each quarter of the indexes, as its SQL has it; dbscan_1d_whole has velocity alone."""
     n = _indexed(derived.notes(spark, sf_dir)).withColumn("quarter", (F.col("index") % 4).cast("double"))
     return relops.cluster(n, {"velocity": 0.5, "quarter": 0.0}).select("perf_id", "index", "label")
 
 
+@query(ORACLES["dbscan_1d"].replace(" AND a.i % 4 = b.i % 4", ""))
+def dbscan_1d_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relops.cluster(_indexed(derived.notes(spark, sf_dir)), {"velocity": 0.5}).select("perf_id", "index", "label")
+
+
 @query(_REACH.format(dims="velocity AS x, onset AS y", src="notes", near="abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 2"))
 def dbscan_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _indexed(derived.notes(spark, sf_dir))

@@ -59,3 +59,41 @@ def test_mean_tempo_is_fitted_over_whole_performances(spark):
         inner = [(x, v) for x, v in inner if 0.01 < x < 0.99]
         error = {i: sum((b0 + (b1 - b0) * x ** (log(0.5) / log(i / 100)) - v) ** 2 for x, v in inner) for i in range(2, 99)}
         assert error[got[perf]] <= min(error.values()) * (1 + 1e-9)
+
+
+def test_all_notes_are_shifted(spark):
+    from tactuslab.sources import derived
+
+    assert "seq % 3" not in ORACLES["shift_first_onset_whole"]
+    got = {(r["kind"], r["id"]): (r["onset_u"], r["midi_duration_u"]) for r in QUERIES["shift_first_onset_whole"](spark, DATA).collect()}
+    notes, first = derived.notes(spark, DATA).collect(), {}
+    for n in notes:
+        first[n["perf_id"]] = min(n["onset"], first.get(n["perf_id"], n["onset"]))
+    assert {i for kind, i in got if kind == "note"} == {n["note_id"] for n in notes}
+    for n in notes:
+        assert abs(got["note", n["note_id"]][0] / 1e6 - (n["onset"] - first[n["perf_id"]])) < 1e-6
+
+
+def test_pedals_before_the_first_note_are_cut(spark):
+    from tactuslab.queries.core import _shifted
+
+    notes = spark.createDataFrame([(1, 0, 2.0, 1.0), (1, 1, 3.0, 1.0)], "perf_id long, note_id long, onset double, midi_duration double")
+    pedals = spark.createDataFrame([(1, 7, 1.5, 2.0), (1, 8, 2.5, 1.0), (2, 9, 1.0, 1.0)], "perf_id long, pedal_id long, onset double, midi_duration double")
+    got = {(r["kind"], r["id"]): (r["onset_u"], r["midi_duration_u"]) for r in _shifted(notes, pedals).collect()}
+    assert got == {("note", 0): (0, 1_000_000), ("note", 1): (1_000_000, 1_000_000), ("pedal", 7): (0, 1_500_000), ("pedal", 8): (500_000, 1_000_000), ("pedal", 9): (1_000_000, 1_000_000)}
+
+
+def test_clusters_of_equal_velocity_are_whole(spark):
+    from tactuslab.queries.stages import _indexed
+    from tactuslab.sources import derived
+
+    assert "% 4" not in ORACLES["dbscan_1d_whole"].split("idx AS", 1)[1]
+    got = {(r["perf_id"], r["index"]): r["label"] for r in QUERIES["dbscan_1d_whole"](spark, DATA).collect()}
+    same = {}
+    for r in _indexed(derived.notes(spark, DATA)).collect():
+        same.setdefault((r["perf_id"], r["velocity"]), []).append(r["index"])
+    assert len(got) == sum(map(len, same.values()))
+    labels = [(perf, {got[perf, i] for i in members}, len(members)) for (perf, _), members in same.items()]
+    assert all(len(x) == 1 and (x == {-1}) == (n == 1) for _, x, n in labels)
+    several = [(perf, min(x)) for perf, x, n in labels if n > 1]
+    assert len(several) == len(set(several)) > 0
