@@ -2,8 +2,9 @@
 
 Messages may quote earlier ones with > at the start of lines, nested to any depth. A line's level is
 the number of its marks. Quoted lines are normalised, hashed, and joined to the message of their
-conversation that first wrote a line with that hash itself; what most of a message's shallowest
-quotation comes from is what the message replies to. Without such a message it is the turn before.
+conversation that first wrote a line with that hash itself. Of the levels with such an original the
+shallowest counts: what most of it comes from is what the message replies to. Without one it is the
+turn before. ORACLE_SQL knows the shallowest level only, so it differs where only a deeper one has an original.
 Threads follow the replies: every message stands after the one it answers, without quotations.
 """
 
@@ -56,13 +57,12 @@ def quoted_originals(messages: DataFrame) -> DataFrame:
     """Of parsed messages, conv_id, turn and th of those that quote, and the turn and th that they reply to."""
     own = messages.select(*KEY, F.explode("lines").alias("x")).where((F.col("x.level") == 0) & ~F.col("x.intro")).select(*KEY, normalised(F.col("x.line")).alias("line"))
     first = own.where("line <> ''").groupBy("conv_id", F.xxhash64("line").alias("h"), F.sha1(F.encode("line", "UTF-8")).alias("s")).agg(F.min(F.struct("turn", "th")).alias("from"))
-    shallowest = F.array_min(F.transform(F.filter("lines", lambda x: x.level > 0), lambda x: x.level))
-    quoting = messages.where(F.exists("lines", lambda x: x.level > 0)).select(*KEY, F.explode(F.filter("lines", lambda x: x.level == shallowest)).alias("x"))
-    quoting = quoting.select(*KEY, normalised(F.col("x.line")).alias("line")).where("line <> ''")
-    quoting = quoting.select(*KEY, F.xxhash64("line").alias("h"), F.sha1(F.encode("line", "UTF-8")).alias("s"), F.length("line").alias("n"))
+    quoting = messages.select(*KEY, F.explode(F.filter("lines", lambda x: x.level > 0)).alias("x"))
+    quoting = quoting.select(*KEY, F.col("x.level").alias("level"), normalised(F.col("x.line")).alias("line")).where("line <> ''")
+    quoting = quoting.select(*KEY, "level", F.xxhash64("line").alias("h"), F.sha1(F.encode("line", "UTF-8")).alias("s"), F.length("line").alias("n"))
     found = quoting.join(first, ["conv_id", "h", "s"]).where(F.col("from.turn") < F.col("turn"))
-    votes = found.groupBy(*KEY, "from").agg(F.sum("n").alias("n"))
-    return votes.groupBy(*KEY).agg(F.max_by("from", F.struct("n", "from")).alias("from")).select(*KEY, "from")
+    votes = found.groupBy(*KEY, "level", "from").agg(F.sum("n").alias("n"))
+    return votes.groupBy(*KEY).agg(F.max_by("from", F.struct(-F.col("level"), "n", "from")).alias("from")).select(*KEY, "from")
 
 
 def link_replies(messages: DataFrame) -> DataFrame:
