@@ -25,10 +25,19 @@ def delete_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id, once."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each component of near duplicates the document with the smallest doc_id, once.
+
+    Rows are told apart by doc_id, null or not, and text. Of rows equal in both one stays, unless they
+    have no words; two texts under the smallest doc_id both stay.
+    """
+    found = near_dedup.near_duplicates(docs.select("doc_id", "text"), with_hash=True)
+    found = found.groupBy("doc_id", "text_hash").agg(F.bool_and("kept").alias("kept"), ((F.count(F.lit(1)) > 1) & (F.max("n_shingles") > 0)).alias("again"))
+    found = saved(found.where("NOT kept OR again").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "kept"), "repeated")
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h"))
+    rest = docs.join(found, same, "left_anti").select(*COLUMNS)
+    once = docs.join(found.where("kept"), same, "left_semi").groupBy("doc_id", "text_hash").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return rest.unionByName(once.select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, two numbers that name the set (0 for none), and its K smallest hashes."""
+    """doc_id, text_hash, n_shingles, two numbers that name the set (0 for none), and its K smallest hashes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,9 +73,9 @@ def sketches(documents: DataFrame) -> DataFrame:
                 s2.append(np.add.reduce(mixed(own)))
                 low.append(own[:K])
             sums = [pa.array(np.array(x, np.uint64).astype(np.int64)) for x in (s1, s2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *sums, _lists(low)], names=["doc_id", "n_shingles", "s1", "s2", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), *sums, _lists(low)], names=["doc_id", "text_hash", "n_shingles", "s1", "s2", "sketch"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, s1 long, s2 long, sketch array<long>")
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, sketch array<long>")
 
 
 def _full_sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def class_components(classes: DataFrame, documents: DataFrame) -> DataFrame:
     return components(links.unionByName(saved(_linked(pairs, sets), "links")))
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
+def near_duplicates(documents: DataFrame, with_hash: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of documents (doc_id, text).
 
     A row's set is its distinct five-word shingles, its whole sequence where it has fewer words, and
@@ -194,7 +194,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     of 0.75; component_id is the smallest doc_id that can be reached, and kept tells whether it is the
     row's own. Repeated rows get equal answers; rows that share a doc_id but no text are judged by
     their own texts. Rows with a null doc_id have the component of the documents with their set, or
-    null. Other columns aren't read. An empty table gives an empty one.
+    null. Other columns aren't read. An empty table gives an empty one. with_hash
+    adds text_hash, xxhash64 of the text.
     """
     own = saved(sketches(documents), "sketches")
     classes = own.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
@@ -202,6 +203,6 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     label = class_components(classes, documents)
     named = classes.select("n_shingles", "s1", "s2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("n_shingles", "s1", "s2", F.coalesce("label", "rep").alias("component"))
-    rows = own.select("doc_id", "n_shingles", "s1", "s2").join(named, ["n_shingles", "s1", "s2"], "left")
+    rows = own.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(named, ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", *["text_hash"] * with_hash, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
