@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that all executors share, so that later plans start from files."""
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tactuslab-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tactuslab.tables import discard, saved
 
 
 def by_date(*more: str) -> Window:
@@ -111,7 +98,9 @@ def components(points: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("pe
         step = label.join(near, [*keys, "a"], "left").select(*keys, "a", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         jump = label.select(*keys, F.col("a").alias("root"), F.col("root").alias("far"))
         step = step.join(jump, [*keys, "root"]).select(*keys, "a", "old", F.least("root", "far").alias("root"))
-        label = saved(step.select(*keys, "a", "root", (F.col("root") != F.col("old")).alias("moved")), "roots")
+        before, label = label, saved(step.select(*keys, "a", "root", (F.col("root") != F.col("old")).alias("moved")), "roots")
+        discard(before)
+    discard(both)
     return points.join(label.select(*keys, F.col("a").alias(index), "root"), [*keys, index], "left")
 
 
