@@ -5,7 +5,8 @@ ends, at sentence ends for a penalty, and, where a sentence is longer than a win
 larger one. f(j) is the least padding and penalty up to cut j. A window of L tokens is padded to the
 size, so f(j) = size - j + penalty(j) + min(f(i) + i) over the cuts i within one window, and a
 monotone queue holds the candidates for that minimum; a window whose length is a power of two isn't
-padded, so those few lengths are looked up as well. The stream is solved in segments of bounded
+padded, so those few lengths are looked up as well. penalty(j) holds WINDOW_COST, a cost of every
+window that keeps short ones from being cut without need. The stream is solved in segments of bounded
 size, each of which begins with a window of its own.
 """
 
@@ -60,7 +61,9 @@ class WordTokenizer:
 
     Each distinct word between ASCII white space is lower-cased, encoded once and remembered, as what stands
     before the marks that it ends with, and these: after a letter they are a piece of their own.
-    Texts that hold a special token are encoded whole.
+    A-Z may be lower-cased before the tokenizer composes characters only where no mark can join one of
+    them: texts with a character from U+0300 to U+037F (bytes CC and CD) are encoded whole, and so are
+    texts that may hold a special token.
     """
 
     def __init__(self, vocabulary: str, cache_words: int = CACHE_WORDS) -> None:
@@ -68,7 +71,8 @@ class WordTokenizer:
 
         self._own = Tokenizer.from_file(vocabulary)
         self._limit = cache_words
-        self._special = [t.content.encode() for t in self._own.get_added_tokens_decoder().values()]
+        #: How special tokens begin.
+        self._special = {t.content.encode()[:2] for t in self._own.get_added_tokens_decoder().values()}
         self.sentence_ends = np.array([self._own.token_to_id(t) for t in (".</w>", "!</w>", "?</w>") if self._own.token_to_id(t) is not None])
         self.forget()
 
@@ -136,7 +140,7 @@ class WordTokenizer:
         words: list[bytes] = []
         counts, whole = [], {}
         for k, d in enumerate(data):
-            if b"<|" in d and any(s in d for s in self._special):
+            if b"\xcc" in d or b"\xcd" in d or any(s in d for s in self._special):
                 whole[k] = np.array(self._encoded([texts[k]])[0], np.uint32)
                 counts.append(0)
                 continue
