@@ -2,8 +2,9 @@
 
 Each archive begins with a skippable frame that holds the dictionary, built from a bounded sample
 of the archive's own first records; every record is a frame of its own, so one can be read without
-the others. Files are written by the tasks under the shared folder: first beside, under the name of
-the attempt, then moved to their place, so that a task that runs twice leaves one whole file.
+the others. Tasks write archives under names of their attempt, and a manifest, a table that Spark
+commits, names those of the attempts that counted. Readers go by the manifest: what a lost or doubled
+attempt has left beside is never read, and may be deleted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactuslab.llm.common import shared_dir
@@ -32,6 +33,10 @@ SAMPLE_BYTES = 1 << 20
 ARCHIVE_BYTES = 64 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
+#: Names and sizes of archives, and the folder beside them that holds them.
+MANIFEST, MANIFEST_NAME = "archive string, bytes long", "manifest"
+#: Tasks that archives are read in, at most.
+READ_TASKS = 20_000
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 
 
@@ -48,10 +53,10 @@ def _one_line(text: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record. A revisit has the headers of the response, with its length, and no body."""
+def record(page_id: int | None, url: str | None, payload: bytes | None, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One record of a payload of size bytes. A revisit has the headers of the response, with its length, and no body."""
     revisit = refers_to is not None
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
@@ -64,12 +69,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from sample records, or nothing where they are too few or too short for one."""
+    """A dictionary from sample records: a trained one, or where they are too few or too alike for that, the records themselves."""
     pieces = [r[k : k + 2048] for r in records for k in range(0, len(r), 2048)]
     try:
         return zstandard.train_dictionary(min(size, sum(map(len, pieces)) // 8), pieces, k=512, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(records)[:size]
 
 
 def _archives(records: Iterator[bytes], archive_bytes: int, sample_bytes: int, level: int) -> Iterator[Iterator[bytes]]:
@@ -108,15 +113,16 @@ def _base32(hex_digest: str) -> str:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = SAMPLE_BYTES, level: int = 3) -> DataFrame:
-    """Write a record for each row of pages (page_id, url, html) to archives under path; returns their names and sizes.
+    """Write a record for each row of pages (page_id, url, html) to archives under path; returns the manifest, their names and sizes.
 
     Of rows with equal payloads of min_bytes or more, those with the smallest page_id are responses
     and the others revisit it. A null html is an empty payload, a null page_id is never the smallest
     (where all are null, all are responses), a null url leaves its header out. Rows repeated with the
     smallest id are responses each. Equal payloads are counted before anything is dealt out, so a
     payload that a third of the rows share costs one row for each task. Other columns aren't written.
-    An empty table gives no archive.
+    An empty table gives no archive and an empty manifest.
     """
+    spark = pages.sparkSession
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("digest"))
     keys = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -127,36 +133,23 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for batch in batches:
             for page_id, url, payload, size, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield record(page_id, url, payload if payload is not None else _Sized(size), _base32(digest), refers_to)
+                yield record(page_id, url, payload, size, _base32(digest), refers_to)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
         context = TaskContext.get()
         for k, chunks in enumerate(_archives(made(batches), archive_bytes, sample_bytes, level)):
-            name = f"part-{context.partitionId():06d}-{k:04d}.warc.zst"
-            beside = f"{folder}/_{name}.{context.taskAttemptId()}"
+            name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{k:04d}.warc.zst"
             size = 0
-            with store.open_output_stream(beside) as out:
+            with store.open_output_stream(f"{folder}/{name}") as out:
                 for chunk in chunks:
                     out.write(chunk)
                     size += len(chunk)
-            store.move(beside, f"{folder}/{name}")
             yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": [size]})
 
-    return rows.mapInArrow(write, "archive string, bytes long")
-
-
-class _Sized(bytes):
-    """A payload of which only the length is known: what a revisit needs."""
-
-    def __new__(cls, size: int):
-        own = super().__new__(cls)
-        own.size = size
-        return own
-
-    def __len__(self) -> int:
-        return self.size
+    rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/{MANIFEST_NAME}")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/{MANIFEST_NAME}")
 
 
 def records(archive: bytes) -> Iterator[bytes]:
@@ -198,9 +191,13 @@ def parse(data: bytes) -> tuple:
     return _page_id(fields["WARC-Record-ID"]), stated, digest, kind, refers_to, fields.get("WARC-Target-URI"), payload if kind == "response" else None
 
 
-def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
-    """Every record of the archives under path, with the columns of READ; payload null for revisits, or for all."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Every record of the archives that path's manifest names, with the columns of READ; payload null for revisits, or for all.
+
+    Archives are dealt out over the tasks one by one, and a task holds one archive at a time.
+    """
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/{MANIFEST_NAME}")
+    many = max(1, min(manifest.count(), READ_TASKS))
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in READ.split(", ")]
     width = 7 if payloads else 6
@@ -209,26 +206,29 @@ def read_archives(spark, path: str, payloads: bool = True) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True))[:width], kinds, strict=False)], names=names[:width])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(path)
         for b in batches:
-            for content in b.column(0):
-                rows, size = [], 0
-                for r in records(content.as_py()):
+            for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with store.open_input_stream(f"{folder}/{name}") as stream:
+                    archive = stream.read()
+                if len(archive) != size:
+                    raise ValueError(f"{name} has {len(archive)} bytes, not {size}")
+                rows, held = [], 0
+                for r in records(archive):
                     rows.append(parse(r))
-                    size += len(r)
-                    if size > 4 << 20:
+                    held += len(r)
+                    if held > 4 << 20:
                         yield batch(rows)
-                        rows, size = [], 0
+                        rows, held = [], 0
                 if rows:
                     yield batch(rows)
 
-    return files.select("content").mapInArrow(read, ", ".join(READ.split(", ")[:width]))
+    return manifest.repartition(many).mapInArrow(read, ", ".join(READ.split(", ")[:width]))
 
 
 def archive_and_read(pages: DataFrame, **options) -> DataFrame:
     """Write archives into a new place in the shared folder, then read them back."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    written = write_archives(pages, path, **options).groupBy().sum("bytes").collect()
-    if written[0][0] is None:
-        return spark.createDataFrame([], ", ".join(READ.split(", ")[:6]))
+    write_archives(pages, path, **options)
     return read_archives(spark, path, payloads=False)
