@@ -7,7 +7,12 @@ of m lines is a prefix of suffixes with one longest-common-prefix interval of de
 named by the ranks, at the largest power of two within m, of the run's head and tail. Of each interval
 of runs of MIN_WORDS words or more the first in the corpus stays, and the lines of the others go.
 Every line of such a run lies in a shortest run of enough words from its head or up to its tail, so
-only these shortest runs are looked up; together they make up the maximal runs.
+only these shortest runs are looked up; together they make up the maximal runs. Lines count as equal
+if two hashes of 64 and 32 bits are.
+
+A line that a third of the corpus repeats is a hot key of two joins, with the lines that occur twice
+and with the ranks. Both sides of these are written tables or plain exchanges, and what follows deals
+out by another key, so adaptive execution splits such a key over many tasks.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import saved
+from tactuslab.llm.common import discard, saved
 
 MIN_WORDS = 50
 KEY = ["doc_id", "th"]
@@ -40,7 +45,9 @@ def _ranked(pairs: DataFrame, *by: str) -> DataFrame:
     """doc_id, th, p and r for the rows whose pair is another's too: r orders as the pairs do."""
     shared = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by)
     ranks = saved(shared.orderBy(*by).withColumn("r", F.monotonically_increasing_id()), "ranks")
-    return saved(pairs.join(ranks, list(by)).select(*KEY, "p", "r"), "suffixes")
+    out = saved(pairs.join(ranks, list(by)).select(*KEY, "p", "r"), "suffixes")
+    discard(ranks)
+    return out
 
 
 def suffix_ranks(lines: DataFrame, longest: int) -> list[DataFrame]:
@@ -75,9 +82,10 @@ def _shortest_runs(shared: DataFrame, min_words: int) -> DataFrame:
     place = F.struct(F.col("p").alias("p"), F.col("before").alias("at"))
     end = F.struct((F.col("p") + 1).alias("p"), (F.col("before") + F.col("w")).alias("at"))
     places = rows.select(*KEY, "island", F.explode(F.when(F.col("last"), F.array(place, end)).otherwise(F.array(place))).alias("x")).select(*KEY, "island", "x.p", "x.at")
-    by = Window.partitionBy(*KEY, "island").orderBy("at")
-    ahead = F.min("p").over(by.rangeBetween(min_words, Window.unboundedFollowing))
-    behind = F.max("p").over(by.rangeBetween(Window.unboundedPreceding, -min_words))
+    # Frames that begin with the partition are summed up as they grow; ahead reads from the end.
+    by = Window.partitionBy(*KEY, "island")
+    ahead = F.min("p").over(by.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -min_words))
+    behind = F.max("p").over(by.orderBy("at").rangeBetween(Window.unboundedPreceding, -min_words))
     places = places.select(*KEY, "p", ahead.alias("ahead"), behind.alias("behind"))
     runs = F.array(F.struct(F.col("p").alias("p"), (F.col("ahead") - F.col("p")).alias("m")), F.struct(F.col("behind").alias("p"), (F.col("p") - F.col("behind")).alias("m")))
     runs = places.select(*KEY, F.explode(runs).alias("x")).select(*KEY, "x.p", "x.m")
@@ -87,9 +95,10 @@ def _shortest_runs(shared: DataFrame, min_words: int) -> DataFrame:
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, th (hash of the text) and deleted (numbers of lines, from 0), for documents that lose lines."""
     lines = saved(_positions(documents), "lines")
-    often = lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2")
+    often = saved(lines.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "h2"), "often")
     # Rows equal in doc_id and text have the same places: once is enough.
-    shared = saved(lines.join(often, ["h", "h2"], "left_semi").distinct(), "shared-lines")
+    shared = saved(lines.join(often, ["h", "h2"], "left_semi").dropDuplicates([*KEY, "p"]), "shared-lines")
+    discard(lines, often)
     runs = saved(_shortest_runs(shared, min_words), "runs")
     longest = runs.agg(F.max("m")).collect()[0][0] or 0
     gone = None
