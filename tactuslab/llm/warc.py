@@ -142,7 +142,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
         for k, chunks in enumerate(_archives(made(batches), archive_bytes, sample_bytes, level)):
             name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}-{k:04d}.warc.zst"
             size = 0
-            with store.open_output_stream(f"{folder}/{name}") as out:
+            with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
                 for chunk in chunks:
                     out.write(chunk)
                     size += len(chunk)
@@ -209,7 +209,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         store, folder = fs.FileSystem.from_uri(path)
         for b in batches:
             for name, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                with store.open_input_stream(f"{folder}/{name}") as stream:
+                with store.open_input_stream(f"{folder}/{name}", compression=None) as stream:
                     archive = stream.read()
                 if len(archive) != size:
                     raise ValueError(f"{name} has {len(archive)} bytes, not {size}")
