@@ -4,14 +4,15 @@ A window is 10 consecutive words of a benchmark item, or the whole item where it
 stand in a document only if each of its shingles does, so one shingle is a sufficient prefix: the
 rarest, as counted over all documents. Documents look up their shingles among these; a hit fixes
 where the window would lie, its length has to fit between the document's ends, and then all of its
-words are compared. Windows are taken in blocks of bounded size, which tasks get by broadcast; a
-benchmark of any size takes as many passes over the documents as it has blocks.
+words are compared, by hash and then by their bytes. Windows are taken in blocks of bounded size,
+which are indexed in arrays and which tasks get by broadcast; a benchmark of any size takes as many
+passes over the documents as it has blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ WINDOW = 10
 #: Words of a shingle; items with fewer words are indexed by single words.
 SHINGLE = 5
 #: Benchmark characters in a block: what the driver holds and tasks get at once.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 2_000_000
 WORD = word_class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
 
@@ -35,49 +36,80 @@ def _lowered_words(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
 
 @dataclass
 class Windows:
-    """Distinct windows of a block: hashes of their words, lengths, texts, and items that have them."""
+    """Distinct windows of a block. word: hashes of all words of its items; text: these, lower-cased, with a
+    blank after each, and where each begins. A window begins at word first and has length words; of its
+    items the names are ids[item[owner[k]:owner[k + 1]]], none for an item without an id.
+    """
 
-    hashes: np.ndarray  # a row each, filled up with 0
+    word: np.ndarray
+    text: bytes
+    begin: np.ndarray
+    first: np.ndarray
     length: np.ndarray
-    texts: list[bytes]
-    items: list[list[str]]
+    owner: np.ndarray
+    item: np.ndarray
+    ids: list[str]
 
     @staticmethod
-    def of(items: list[tuple[str, str]], window: int) -> Windows:
-        index: dict[bytes, int] = {}
-        rows: list[np.ndarray] = []
-        owners: list[dict[str, None]] = []
+    def of(items: list[tuple[str | None, str]], window: int) -> Windows:
+        ids = sorted({i for i, _ in items if i is not None})
+        number = {i: k for k, i in enumerate(ids)}
+        parts, word, first, length, item, sizes = [], [], [], [], [], [np.zeros(1, np.int64)]
+        words_before = 0
         for row, buf, starts in text_chunks(pa.array([t for _, t in items], pa.large_string())):
-            buf, first, end, at = _lowered_words(buf, starts)
-            hashes = span_hashes(buf, first, end)
-            for k in range(len(starts) - 1):
-                n = min(window, at[k + 1] - at[k])
-                for a in range(at[k], at[k + 1] - n + 1 if n else at[k]):
-                    text = b" ".join(buf[first[w] : end[w]].tobytes() for w in range(a, a + n))
-                    if text not in index:
-                        index[text] = len(rows)
-                        rows.append(hashes[a : a + n])
-                        owners.append({})
-                    owners[index[text]][items[row + k][0]] = None
-        length = np.array([len(r) for r in rows], np.int64)
-        table = np.zeros((len(rows), window), np.uint64)
-        for k, r in enumerate(rows):
-            table[k, : len(r)] = r
-        return Windows(table, length, list(index), [list(o) for o in owners])
+            buf, lo, hi, at = _lowered_words(buf, starts)
+            word.append(span_hashes(buf, lo, hi))
+            n = hi - lo + 1  # with the blank
+            flat = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            spaced = buf[np.minimum(flat, max(len(buf) - 1, 0))] if len(buf) else buf
+            spaced[np.cumsum(n) - 1] = 32
+            parts.append(spaced.tobytes())
+            sizes.append(n)
+            many = np.diff(at)  # words of each item
+            wide = np.minimum(many, window)
+            windows = np.where(many > 0, many - wide + 1, 0)
+            of = np.repeat(np.arange(len(many)), windows)
+            first.append(words_before + at[of] + np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows))
+            length.append(wide[of])
+            item.append(np.array([number.get(i, -1) for i, _ in items[row : row + len(many)]], np.int64)[of])
+            words_before += len(lo)
+        none = [np.zeros(0, np.int64)]
+        first, length, item, begin = (np.concatenate(x or none) for x in (first, length, item, sizes))
+        own = Windows(np.concatenate(word or [np.zeros(0, np.uint64)]), b"".join(parts), np.cumsum(begin), first, length, none[0], none[0], ids)
+        return own._distinct(item)
+
+    def _distinct(self, item: np.ndarray) -> Windows:
+        """One window of those with equal words, with the items of all."""
+        name = np.zeros(len(self.first), np.uint64)
+        for n in np.unique(self.length):
+            own = self.length == n
+            name[own] = shingle_hashes(self.word, int(n))[self.first[own]]
+        order = np.lexsort((self.length, name))
+        same = (np.diff(name[order]) == 0) & (np.diff(self.length[order]) == 0)
+        # Equal hashes of unequal words are told apart by their bytes.
+        for k in np.flatnonzero(same):
+            same[k] = self._bytes(order[k]) == self._bytes(order[k + 1])
+        head = np.concatenate([[True], ~same]) if len(order) else np.zeros(0, bool)
+        group = np.cumsum(head) - 1
+        pairs = np.unique(np.stack([group, item[order]], 1)[item[order] >= 0], axis=0) if len(order) else np.zeros((0, 2), np.int64)
+        owner = np.searchsorted(pairs[:, 0], np.arange(int(head.sum()) + 1))
+        return replace(self, first=self.first[order][head], length=self.length[order][head], owner=owner, item=pairs[:, 1])
+
+    def _bytes(self, k: int) -> bytes:
+        return self.text[self.begin[self.first[k]] : self.begin[self.first[k] + self.length[k]]]
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash, window and place in it of each shingle of the windows; windows shorter than width have words as shingles."""
-        hashes, window, place = [], [], []
-        for n in np.unique(self.length):
-            own = np.flatnonzero(self.length == n)
-            w = width if n >= width else 1
-            for k in range(n - w + 1):
-                hashes.append(np.array([shingle_hashes(r[k : k + w], w)[0] for r in self.hashes[own]], np.uint64))
-                window.append(own)
-                place.append(np.full(len(own), k))
-        if not hashes:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(hashes), np.concatenate(window), np.concatenate(place)
+        own = np.where(self.length >= width, width, 1)
+        many = self.length - own + 1
+        window = np.repeat(np.arange(len(own)), many)
+        place = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
+        at = self.first[window] + place
+        hashes = np.zeros(len(at), np.uint64)
+        for w in np.unique(own):
+            some = own[window] == w
+            hashes[some] = shingle_hashes(self.word, int(w))[at[some]]
+        return hashes, window, place
 
 
 @dataclass
@@ -165,10 +197,11 @@ def _find(p: Prefixes, seen: _Seen, begin: np.ndarray, many: np.ndarray, buf: np
         text = np.searchsorted(at, start, "right") - 1
         ok = start + n <= at[np.minimum(text + 1, len(at) - 1)]  # between the document's ends
         window, start, n, text = window[ok], start[ok], n[ok], text[ok]
-        for k in range(p.windows.hashes.shape[1]):
-            ok = (k >= n) | (hashes[np.minimum(start + k, len(hashes) - 1)] == p.windows.hashes[window, k])
+        for k in range(int(n.max(initial=0))):
+            other = p.windows.word[np.minimum(p.windows.first[window] + k, len(p.windows.word) - 1)]
+            ok = (k >= n) | (hashes[np.minimum(start + k, len(hashes) - 1)] == other)
             window, start, n, text = window[ok], start[ok], n[ok], text[ok]
-        same = [b" ".join(buf[first[x] : end[x]].tobytes() for x in range(a, a + c)) == p.windows.texts[v] for v, a, c in zip(window, start, n, strict=True)]
+        same = [b"".join(buf[first[x] : end[x]].tobytes() + b" " for x in range(a, a + c)) == p.windows._bytes(v) for v, a, c in zip(window, start, n, strict=True)]
         same = np.array(same, bool)
         texts.append(text[same]), words_at.append(start[same]), windows_at.append(window[same])
     none = [np.zeros(0, np.int64)]
@@ -196,13 +229,21 @@ def _scan(documents: DataFrame, p: Prefixes) -> DataFrame:
                 for k in range(len(starts) - 1):
                     a, b = bounds[k], bounds[k + 1]
                     spans.append(_joined(word[a:b] - at[k], word[a:b] - at[k] + p.windows.length[window[a:b]]) if a < b else [])
-                    items.append(sorted({i for v in set(window[a:b].tolist()) for i in p.windows.items[v]}) if a < b else [])
+                    items.append(_names(p.windows, window[a:b]) if a < b else [])
             more = [np.concatenate(counts) if counts else [], spans, items]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, k) for x, k in zip(more, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True))], names=[*names, "n_words", "spans", "items"])
 
     return documents.mapInArrow(scan, with_fields(documents, n_words="long", spans="longs", items="strings"))
 
 
+def _names(windows: Windows, some: np.ndarray) -> list[str]:
+    """The ids of the items that have some windows, in order."""
+    some = np.unique(some)
+    many = windows.owner[some + 1] - windows.owner[some]
+    at = np.repeat(windows.owner[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return [windows.ids[k] for k in np.unique(windows.item[at])]
+
+
 def _joined(begin: np.ndarray, end: np.ndarray) -> list[int]:
     """Spans that touch or overlap made one: begin, end, begin, end and so on."""
     order = np.argsort(begin, kind="stable")
@@ -212,9 +253,9 @@ def _joined(begin: np.ndarray, end: np.ndarray) -> list[int]:
     return np.stack([begin[new], end[last]], 1).ravel().tolist()
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
     """The items with texts, in blocks of about block_chars characters."""
-    items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
     chars = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
     blocks = max(1, -(-int(chars) // block_chars))
     for k in range(blocks):
@@ -226,37 +267,36 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     """Add n_words, spans and items to each document: which words lie in windows of which items.
 
     Words are runs of 0-9, a-z and non-ASCII characters after lower-casing A-Z. spans holds begin and
-    end of each run of hit words, items the ids whose windows occur, as strings in order. Null and
-    empty texts have no words; a null item_id counts as the id null; items without words have no
-    window; items that share an id count once. Each row is judged alone, so repeated rows get equal
-    answers. Columns of these names in documents are replaced. With an empty benchmark nothing is hit.
+    end of each run of hit words, items the ids whose windows occur, as strings in order: a row names as
+    many as occur in it. Null and empty texts have no words; the windows of an item with a null id hit
+    words like others, but there is no id to name; items without words have no window; items that share
+    an id count once. Each row is judged by its text alone, so repeated rows get equal answers. Columns
+    of these names in documents are replaced. With an empty benchmark nothing is hit.
     """
     documents = documents.drop("n_words", "spans", "items")
-    parts = []
+    first, hit = None, None
     for block in _blocks(benchmark, block_chars):
-        found = Windows.of(block, window)
-        parts.append(_scan(documents, prefixes(documents, found)))
-    if len(parts) == 1:
-        return parts[0]
-    # The rows that a block hits are few; they are added up by row and joined to the others.
-    keys = [F.xxhash64(*documents.columns).alias("_row")]
-    hit = None
-    for part in parts:
-        own = part.where(F.size("spans") > 0).select(*keys, "spans", "items").distinct()
+        part = _scan(documents, prefixes(documents, Windows.of(block, window)))
+        if first is None:
+            first = part
+            continue
+        # What another block finds depends on the text alone: it is kept by the text's digest.
+        own = part.where(F.size("spans") > 0).groupBy(F.sha2("text", 256).alias("_text")).agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+        own = saved(own, "contamination")
         hit = own if hit is None else hit.unionByName(own)
-    hit = saved(hit, "contamination")
-    merged = hit.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("_items"))
-    base = parts[0].withColumn("_row", F.xxhash64(*documents.columns)).drop("spans", "items")
-    none = F.array().cast("array<string>")
-    out = base.join(merged, "_row", "left").withColumn("items", F.coalesce("_items", none)).drop("_items", "_row")
-    pairs = F.transform(F.sequence(F.lit(0), F.size("_spans") - 2, F.lit(2)), lambda k: F.struct(F.get("_spans", k).alias("b"), F.get("_spans", k + 1).alias("e")))
-    start = F.array().cast("array<bigint>")
+    if hit is None:
+        return first
+    more = hit.groupBy("_text").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))  # one for each block
+    out = first.withColumn("_text", F.sha2("text", 256)).join(saved(more, "contamination"), "_text", "left").drop("_text")
+    items = F.when(F.col("_items").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "_items")))
+    spans = F.concat("spans", F.coalesce("_spans", F.array().cast("array<bigint>")))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda k: F.struct(F.get(spans, k).alias("b"), F.get(spans, k + 1).alias("e")))
     joined = F.aggregate(
         F.array_sort(pairs),
-        start,
+        F.array().cast("array<bigint>"),
         lambda s, p: F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1)) >= p.b), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.greatest(F.try_element_at(s, F.lit(-1)), p.e)))).otherwise(F.concat(s, F.array(p.b, p.e))),
     )
-    return out.withColumn("spans", F.when(F.col("_spans").isNull(), start).otherwise(joined)).drop("_spans").select(*documents.columns, "n_words", "spans", "items")
+    return out.select(*documents.columns, "n_words", F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(joined).alias("spans"), items.alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -275,6 +315,6 @@ sizes AS (SELECT DISTINCT n FROM win),
 occ AS (SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM doc, sizes, unnest(range(1, greatest(len(w) - n + 2, 1))) AS u(i)),
 hit AS (SELECT rid, i, occ.n, item_id FROM occ JOIN win ON occ.n = win.n AND occ.t = win.t),
 words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT rid, i, n FROM hit), unnest(range(i, i + n)) AS u(p) GROUP BY rid),
-items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY rid)
+items AS (SELECT rid, count(id) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
