@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import saved
+from tactuslab.llm.common import discard, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every node takes the smallest label beside it, then the label of its label, until none changes;
     the steps grow as the logarithm of the longest path. Each step is written to the shared folder.
-    Edges may repeat, loop, or be none; those with a null end are left out.
+    Edges may repeat, loop, or be none; those with a null end are left out. A hub's edges meet its label
+    in a join of two written tables, which adaptive execution splits; minima are taken in part before
+    they are dealt out.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -23,5 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "m").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         out = step.join(jump, "next", "left").select("node", F.least("next", "far").alias("to"), "label")
-        labels = saved(out.select("node", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved")), "labels")
+        before, labels = labels, saved(out.select("node", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved")), "labels")
+        discard(before)
+    discard(both)
     return labels.select("node", "label")

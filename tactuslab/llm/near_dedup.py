@@ -14,6 +14,12 @@ of the larger, and a shingle's place bounds what the two can still share, and so
 be met from there: those are part of the key. An edited copy whose own shingles are too many to link
 with anything finds no partner. What does link is first gathered around the most typical member of
 each list, and pairs within one component are never compared, as they can't change it.
+
+So documents that stand only in lists of more than SHORT members get their candidates from their full
+sets rather than from retained values: the results are the same, but this part isn't bottom-k.
+A shingle that a third of all documents hold is a hot key where postings meet its count. The counts
+are written first, so that both sides of this join are plain exchanges, and what follows deals out by
+document: adaptive execution then splits such a key over many tasks. The prefix cut drops it after.
 """
 
 from __future__ import annotations
@@ -101,7 +107,7 @@ def _prefix_lists(classes: DataFrame) -> DataFrame:
     kept = F.size("sketch")
     room = kept - F.least(F.lit(NEED), F.ceil(F.col("n_shingles") * 0.75)) + 1
     postings = classes.select("rep", F.col("n_shingles").alias("n"), kept.alias("kept"), room.alias("room"), F.explode("sketch").alias("value"))
-    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = saved(postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     some = postings.join(shared, "value")
     own = some.groupBy("rep", "n", "kept", "room").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))  # K at most
     first = F.slice("v", 1, F.greatest(F.lit(0), F.col("room") - (F.col("kept") - F.size("v"))).cast("int"))
@@ -137,7 +143,7 @@ def _exact_lists(sets: DataFrame) -> DataFrame:
     the share of shingles that another set has too.
     """
     postings = sets.select("rep", "n", F.explode("set").alias("value"))
-    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = saved(postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     far = F.col("n") - F.ceil(F.col("n") * 0.75) + 1
     own = postings.join(shared, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))  # one set
     own = own.select("rep", "n", (F.size("v") / F.col("n")).alias("typical"), (F.col("n") - F.size("v")).alias("alone"), F.slice("v", 1, F.greatest(F.lit(0), far - F.col("n") + F.size("v")).cast("int")).alias("v"))
@@ -192,8 +198,9 @@ def near_duplicates(documents: DataFrame, with_hash: bool = False) -> DataFrame:
     A row's set is its distinct five-word shingles, its whole sequence where it has fewer words, and
     empty without words; an empty set is linked with nothing. Documents are linked from a similarity
     of 0.75; component_id is the smallest doc_id that can be reached, and kept tells whether it is the
-    row's own. Repeated rows get equal answers; rows that share a doc_id but no text are judged by
-    their own texts. Rows with a null doc_id have the component of the documents with their set, or
+    row's own. Repeated rows get equal answers. A doc_id is meant to name one text: groups of equal sets
+    whose smallest doc_id is the same are one node, so texts that share it are in one component, with
+    all that any of them is linked with. Rows with a null doc_id have the component of the documents with their set, or
     null. Other columns aren't read. An empty table gives an empty one. with_hash
     adds text_hash, xxhash64 of the text.
     """

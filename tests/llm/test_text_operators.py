@@ -110,6 +110,13 @@ def test_near_duplicates_of_null_ids_and_nothing(spark):
     assert near_dedup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_ids_with_two_texts(spark):
+    a, b = ("a b c d e f g h", "p q r s t u v w")
+    out = near_dedup.near_duplicates(table(spark, [(3, "x " + a + " " + a), (5, a), (5, b), (7, b), (9, "alone here")])).collect()
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in out}
+    assert {c for (i, _), c in got.items() if i in (5, 7)} == {5} and got[9, 1] == 9
+
+
 def test_components_of_a_chain_a_star_and_loops(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7), (None, 3), (3, 2)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
