@@ -1,24 +1,31 @@
 """Chat formatting: quotation linking.
 
 Messages may quote earlier ones with > at the start of lines, nested to any depth. A line's level is
-the number of its marks. Quoted lines are normalised, hashed, and joined to the message of their
-conversation that first wrote a line with that hash itself. Of the levels with such an original the
-shallowest counts: what most of it comes from is what the message replies to. Without one it is the
-turn before. ORACLE_SQL knows the shallowest level only, so it differs where only a deeper one has an original.
-Threads follow the replies: every message stands after the one it answers, without quotations.
+the number of its marks; a passage is a run of lines of one level, ended by a blank line or by another
+level. Passages of every level are normalised into one line, so that other line breaks make no
+difference, hashed, and joined to the message of their conversation that first wrote a passage or a
+line with that hash itself. Of a passage without such an original, each line is looked up by itself,
+as only a part may have been quoted. Of the levels with an original the shallowest counts: what most
+of it comes from is what the message replies to. Without one it is the turn before.
+
+Conversations follow the replies: after each message come its replies in the order of their turns,
+each with all that answers it, without quotations. A message's position is the sum, over it and the
+messages it answers, of one and of the sizes of the threads that their earlier siblings began. Sizes
+and sums are found by doubling the distance looked at, so a chain of any length takes its logarithm of
+steps, and earlier siblings are added up over ranges, so a message may have any number of replies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import saved
+from tactuslab.llm.common import discard, saved
 
 #: Lines that introduce a quotation, as mail programs write them.
 INTRODUCTION = r"^\s*(On\s.*\swrote|Am\s.*\sschrieb.*|Le\s.*\sa écrit|El\s.*\sescribió)\s*:\s*$"
 MARKS = r"^((?:[ \t]*>)+)"
-#: Turns in one part of a written thread.
+#: Positions in one part of a written thread.
 PART_TURNS = 64
 KEY = ["conv_id", "turn", "th"]
 
@@ -53,46 +60,105 @@ def body(lines: Column) -> Column:
     return F.btrim(F.array_join(F.transform(own, lambda x: x.line), "\n"), F.lit(" \t\r\n"))
 
 
+def _passages(messages: DataFrame) -> DataFrame:
+    """KEY, level, run and line: the lines of passages of all levels, normalised, with the number of the passage."""
+    rows = messages.select(*KEY, F.posexplode("lines").alias("k", "x"))
+    rows = rows.select(*KEY, "k", F.when(~F.col("x.intro"), F.col("x.level")).alias("level"), normalised(F.col("x.line")).alias("line"))
+    rows = rows.withColumn("level", F.when(F.col("line") != "", F.col("level")))
+    message = Window.partitionBy(*KEY).orderBy("k")  # the lines of one row
+    starts = ~F.lag("level").over(message).eqNullSafe(F.col("level"))
+    return rows.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(message)).where("level IS NOT NULL").select(*KEY, "level", "run", "k", "line")
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("h", F.xxhash64("line")).withColumn("s", F.sha1(F.encode("line", "UTF-8")))
+
+
 def quoted_originals(messages: DataFrame) -> DataFrame:
     """Of parsed messages, conv_id, turn and th of those that quote, and the turn and th that they reply to."""
-    own = messages.select(*KEY, F.explode("lines").alias("x")).where((F.col("x.level") == 0) & ~F.col("x.intro")).select(*KEY, normalised(F.col("x.line")).alias("line"))
-    first = own.where("line <> ''").groupBy("conv_id", F.xxhash64("line").alias("h"), F.sha1(F.encode("line", "UTF-8")).alias("s")).agg(F.min(F.struct("turn", "th")).alias("from"))
-    quoting = messages.select(*KEY, F.explode(F.filter("lines", lambda x: x.level > 0)).alias("x"))
-    quoting = quoting.select(*KEY, F.col("x.level").alias("level"), normalised(F.col("x.line")).alias("line")).where("line <> ''")
-    quoting = quoting.select(*KEY, "level", F.xxhash64("line").alias("h"), F.sha1(F.encode("line", "UTF-8")).alias("s"), F.length("line").alias("n"))
-    found = quoting.join(first, ["conv_id", "h", "s"]).where(F.col("from.turn") < F.col("turn"))
-    votes = found.groupBy(*KEY, "level", "from").agg(F.sum("n").alias("n"))
+    lines = saved(_passages(messages), "passages")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x.line), " ")  # of one row
+    passages = saved(_hashed(lines.groupBy(*KEY, "level", "run").agg(whole.alias("line"))), "passages")
+    own = _hashed(lines).where("level = 0").select(*KEY, "h", "s").unionByName(passages.where("level = 0").select(*KEY, "h", "s"))
+    # A table of its own: a line that very many quote is then a key that adaptive execution can split.
+    first = saved(own.groupBy("conv_id", "h", "s").agg(F.min(F.struct("turn", "th")).alias("from")), "originals")
+    first = first.where("from IS NOT NULL")
+
+    def originals(rows: DataFrame) -> DataFrame:
+        return rows.join(first, ["conv_id", "h", "s"]).where(F.col("from.turn") < F.col("turn")).select(*KEY, "level", "run", "from", F.length("line").alias("n"))
+
+    found = saved(originals(passages.where("level > 0")), "quoted")
+    rest = _hashed(lines.where("level > 0").join(found.select(*KEY, "run"), [*KEY, "run"], "left_anti"))
+    votes = found.unionByName(originals(rest)).groupBy(*KEY, "level", "from").agg(F.sum("n").alias("n"))
     return votes.groupBy(*KEY).agg(F.max_by("from", F.struct(-F.col("level"), "n", "from")).alias("from")).select(*KEY, "from")
 
 
+def _earlier(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Add before: the sum of value over the earlier rows of the same keys.
+
+    Rows are dealt out in ranges of keys and order, so that those of one key may lie in many; sums within a
+    range are added to those of the key's ranges before.
+    """
+    rows = saved(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most one row for each range
+    sums = rows.groupBy("_range", *keys).agg(F.sum(value).alias("_sum")).withColumn("_ahead", F.coalesce(F.sum("_sum").over(ranges), F.lit(0)))
+    sums = saved(sums.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_{k}") for k in keys], "_ahead"), "sums")
+    on = F.col("_range") == F.col("_r")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = rows.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, on)
+    return rows.withColumn("before", F.col("_within") + F.col("_ahead")).drop("_within", "_ahead", "_range", "_r", *[f"_{k}" for k in keys])
+
+
+def _threads(replies: DataFrame) -> DataFrame:
+    """Of messages (conv_id, me, up) the top of their thread, depth, and position in the conversation."""
+    start = replies.select("conv_id", "me", F.col("up").alias("far"), F.coalesce("up", "me").alias("top"), F.col("up").isNotNull().cast("long").alias("depth"), F.lit(1).cast("long").alias("size"))
+    nodes = saved(start, "threads")
+    while nodes.where("far IS NOT NULL").limit(1).count():
+        # far is the message so many replies above, size how many there are within so many below.
+        below = nodes.where("far IS NOT NULL").groupBy("conv_id", F.col("far").alias("me")).agg(F.sum("size").alias("more"))
+        above = nodes.select("conv_id", F.col("me").alias("far"), F.col("far").alias("next"), F.col("top").alias("next_top"), F.col("depth").alias("more_depth"))
+        grown = nodes.join(below, ["conv_id", "me"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        grown = grown.join(above, ["conv_id", "far"], "left")
+        before, nodes = nodes, saved(grown.select("conv_id", "me", F.col("next").alias("far"), F.coalesce("next_top", "top").alias("top"), (F.col("depth") + F.coalesce("more_depth", F.lit(0))).alias("depth"), "size"), "threads")
+        discard(before)
+    sized = replies.join(nodes, ["conv_id", "me"]).select("conv_id", "me", "up", "top", "depth", "size", "me.turn", "me.th")
+    placed = _earlier(sized, ["conv_id", "up"], ["turn", "th"], "size")
+    placed = saved(placed.withColumn("step", F.col("before") + F.col("up").isNotNull().cast("long")), "placed")
+    at = saved(placed.select("conv_id", "me", F.col("up").alias("far"), F.col("step").alias("position")), "positions")
+    while at.where("far IS NOT NULL").limit(1).count():
+        above = at.select("conv_id", F.col("me").alias("far"), F.col("far").alias("next"), F.col("position").alias("more"))
+        moved = at.where("far IS NOT NULL").join(above, ["conv_id", "far"]).select("conv_id", "me", F.col("next").alias("far"), (F.col("position") + F.col("more")).alias("position"))
+        before, at = at, saved(at.where("far IS NULL").unionByName(moved), "positions")
+        discard(before)
+    return placed.select("conv_id", "me", "top", "depth").join(at.select("conv_id", "me", "position"), ["conv_id", "me"])
+
+
 def link_replies(messages: DataFrame) -> DataFrame:
-    """Threads of messages (conv_id, turn, role, text): one row for each, with what it replies to.
+    """Conversations of messages (conv_id, turn, role, text): one row for each, with what it replies to.
 
     Adds body, reply_to (a turn or null), by_quote, root (the turn that the thread begins with), depth
-    (replies from there) and levels (of the deepest quotation). A message answers the one its
-    quotation comes from; of equal shares the later. Else it answers the message of the turn before,
-    where there is one: of several the one that hashes lowest. Rows that repeat a message are one
-    message, and one row. Messages with a null conv_id or turn stand alone. Null texts are empty;
-    other columns aren't kept. An empty table gives an empty one.
+    (replies from there), position (in the conversation, from 0, every message after the one it answers)
+    and levels (of the deepest quotation). A message answers the one its quotation comes from; of equal
+    shares the later. Else it answers the message of the turn before, where there is one: of several the
+    one that hashes lowest. Rows that repeat a message are one message, and one row. Messages with a null
+    conv_id or turn stand alone, each at position 0. Null texts are empty; other columns aren't kept. An
+    empty table gives an empty one.
     """
     rows = saved(parsed(messages.select("conv_id", "turn", "role", "text").distinct()), "messages")
     whole = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     quotes = quoted_originals(whole)
-    before = whole.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("th").alias("before_th"))
+    before = saved(whole.groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("th").alias("before_th")), "turns")
     parents = whole.select(*KEY).join(quotes, KEY, "left").join(before, ["conv_id", "turn"], "left")
     up = F.coalesce("from", F.when(F.col("before_th").isNotNull(), F.struct((F.col("turn") - 1).alias("turn"), F.col("before_th").alias("th"))))
-    parents = parents.select(*KEY, F.col("from").isNotNull().alias("by_quote"), up.alias("up"))
-    depth = F.col("up").isNotNull().cast("long")
-    nodes = saved(parents.select(*KEY, "by_quote", F.col("up.turn").alias("reply_to"), F.coalesce("up", F.struct("turn", "th")).alias("at"), depth.alias("depth"), (depth > 0).alias("moving")), "replies")
-    while nodes.where("moving").limit(1).count():
-        # Each step doubles how far a message has come; those that have reached their root rest.
-        ahead = nodes.select(F.col("conv_id"), F.struct("turn", "th").alias("at"), F.col("at").alias("far"), F.col("depth").alias("more"))
-        further = nodes.where("moving").join(ahead, ["conv_id", "at"]).select(*KEY, "by_quote", "reply_to", F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("more") > 0).alias("moving"))
-        nodes = saved(nodes.where("NOT moving").unionByName(further), "replies")
-    found = nodes.select(*KEY, "by_quote", "reply_to", F.col("at.turn").alias("root"), "depth")
+    replies = saved(parents.select("conv_id", F.struct("turn", "th").alias("me"), F.col("from").isNotNull().alias("by_quote"), up.alias("up")), "replies")
+    found = replies.join(_threads(replies), ["conv_id", "me"])
+    found = found.select("conv_id", "me.turn", "me.th", "by_quote", F.col("up.turn").alias("reply_to"), F.col("top.turn").alias("root"), "depth", "position")
     levels = F.coalesce(F.array_max(F.transform("lines", lambda x: x.level)), F.lit(0))
     out = rows.select(*KEY, "role", body(F.col("lines")).alias("body"), levels.alias("levels")).join(found, KEY, "left")
-    return out.select("conv_id", "turn", "role", "body", "reply_to", F.coalesce("by_quote", F.lit(False)).alias("by_quote"), F.coalesce("root", "turn").alias("root"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "levels")
+    zero = F.lit(0).cast("long")
+    return out.select("conv_id", "turn", "role", "body", "reply_to", F.coalesce("by_quote", F.lit(False)).alias("by_quote"), F.coalesce("root", "turn").alias("root"), F.coalesce("depth", zero).alias("depth"), F.coalesce("position", zero).alias("position"), "levels")
 
 
 def formatted(role: Column, text: Column) -> Column:
@@ -101,9 +167,9 @@ def formatted(role: Column, text: Column) -> Column:
 
 
 def write_threads(linked: DataFrame) -> DataFrame:
-    """conv_id, root, part and text: threads in the order of turns, in parts of PART_TURNS turns each."""
-    part = F.floor(F.col("turn") / PART_TURNS).alias("part")
-    one = F.struct("turn", "role", formatted(F.col("role"), F.col("body")).alias("text"))
+    """conv_id, root, part and text: threads in the order of replies, in parts of PART_TURNS positions each."""
+    part = F.floor(F.col("position") / PART_TURNS).alias("part")
+    one = F.struct("position", "turn", "role", formatted(F.col("role"), F.col("body")).alias("text"))
     parts = linked.groupBy("conv_id", "root", part).agg(F.array_sort(F.collect_list(one)).alias("m"))
     return parts.select("conv_id", "root", "part", F.array_join(F.transform("m", lambda x: x.text), "").alias("text"))
 
@@ -115,11 +181,16 @@ v AS (SELECT *, len(regexp_extract(line, '{MARKS}', 1)) - len(replace(regexp_ext
 n AS (SELECT *, lead(level, 1) OVER w AS l1, lead(level, 2) OVER w AS l2, lead(line, 1) OVER w AS t1 FROM v WINDOW w AS (PARTITION BY id ORDER BY k)),
 i AS (SELECT *, level = 0 AND regexp_matches(line, '{INTRODUCTION}') AND coalesce(l1 > 0 OR (l1 = 0 AND trim(t1) = '' AND l2 > 0), false) AS intro,
   lower(trim(regexp_replace(regexp_replace(line, '{MARKS}', ''), '[ \t\r]+', ' ', 'g'))) AS norm FROM n),
-b AS (SELECT id, trim(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE level = 0 AND NOT intro), ''), ' ' || chr(9) || chr(13) || chr(10)) AS body, max(level) AS levels, min(level) FILTER (WHERE level > 0) AS low FROM i GROUP BY id),
-f AS (SELECT conv_id, norm, min(turn) AS turn FROM i WHERE level = 0 AND NOT intro AND norm <> '' GROUP BY ALL),
-vote AS (SELECT i.id, f.turn, sum(len(i.norm)) AS s FROM i JOIN b USING (id) JOIN f ON f.conv_id = i.conv_id AND f.norm = i.norm WHERE i.level = b.low AND f.turn < i.turn GROUP BY ALL),
-q AS (SELECT id, max_by(turn, (s, turn)) AS turn FROM vote GROUP BY id),
+b AS (SELECT id, trim(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE level = 0 AND NOT intro), ''), ' ' || chr(9) || chr(13) || chr(10)) AS body, max(level) AS levels FROM i GROUP BY id),
+s AS (SELECT *, CASE WHEN intro OR norm = '' THEN NULL ELSE level END AS lv FROM i),
+g AS (SELECT *, sum(CASE WHEN lv IS NOT DISTINCT FROM before THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY k) AS run FROM (SELECT *, lag(lv) OVER (PARTITION BY id ORDER BY k) AS before FROM s)),
+ps AS (SELECT id, conv_id, turn, run, lv, string_agg(norm, ' ' ORDER BY k) AS norm FROM g WHERE lv IS NOT NULL GROUP BY ALL),
+f AS (SELECT conv_id, norm, min(turn) AS turn FROM (SELECT conv_id, norm, turn FROM g WHERE lv = 0 UNION ALL SELECT conv_id, norm, turn FROM ps WHERE lv = 0) GROUP BY ALL),
+fp AS (SELECT ps.id, ps.run, ps.lv, f.turn, len(ps.norm) AS n FROM ps JOIN f ON f.conv_id = ps.conv_id AND f.norm = ps.norm WHERE ps.lv > 0 AND f.turn < ps.turn),
+fl AS (SELECT g.id, g.run, g.lv, f.turn, len(g.norm) AS n FROM g JOIN f ON f.conv_id = g.conv_id AND f.norm = g.norm WHERE g.lv > 0 AND f.turn < g.turn AND NOT EXISTS (SELECT 1 FROM fp WHERE fp.id = g.id AND fp.run = g.run)),
+vote AS (SELECT id, lv, turn, sum(n) AS s FROM (SELECT * FROM fp UNION ALL SELECT * FROM fl) GROUP BY ALL),
+q AS (SELECT id, max_by(turn, (-lv, s, turn)) AS turn FROM vote GROUP BY id),
 p AS (SELECT m.id, m.conv_id, m.turn, coalesce(q.turn, (SELECT max(x.turn) FROM m x WHERE x.conv_id = m.conv_id AND x.turn = m.turn - 1)) AS reply_to, q.turn IS NOT NULL AS by_quote FROM m LEFT JOIN q USING (id)),
-r AS (SELECT id, conv_id, reply_to, turn AS root, CAST(0 AS BIGINT) AS depth, turn FROM p WHERE reply_to IS NULL
-  UNION ALL SELECT p.id, p.conv_id, p.reply_to, r.root, r.depth + 1, p.turn FROM p JOIN r ON p.conv_id = r.conv_id AND p.reply_to = r.turn)
-SELECT m.conv_id, m.turn, m.role, b.body, p.reply_to, p.by_quote, r.root, r.depth, b.levels FROM m JOIN b USING (id) JOIN p USING (id) JOIN r USING (id)"""
+r AS (SELECT id, conv_id, reply_to, turn AS root, CAST(0 AS BIGINT) AS depth, turn, [turn] AS path FROM p WHERE reply_to IS NULL
+  UNION ALL SELECT p.id, p.conv_id, p.reply_to, r.root, r.depth + 1, p.turn, list_append(r.path, p.turn) FROM p JOIN r ON p.conv_id = r.conv_id AND p.reply_to = r.turn)
+SELECT m.conv_id, m.turn, m.role, b.body, p.reply_to, p.by_quote, r.root, r.depth, row_number() OVER (PARTITION BY m.conv_id ORDER BY r.path) - 1 AS position, b.levels FROM m JOIN b USING (id) JOIN p USING (id) JOIN r USING (id)"""
