@@ -1,4 +1,4 @@
-"""What several operators share: durable intermediate tables and byte-level word arrays.
+"""What several operators share: models fitted in a task, and byte-level word arrays.
 
 Words are found in UTF-8 bytes. Every byte of a non-ASCII character is 0x80 or above, so a
 word class that holds all non-ASCII characters is the same class of bytes.
@@ -6,15 +6,16 @@ word class that holds all non-ASCII characters is the same class of bytes.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from tactuslab.tables import discard, saved, shared_dir
+
 CHUNK_BYTES = 1 << 20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -22,22 +23,21 @@ _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, set here only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tactuslab-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+def fitted(sample: DataFrame, order: list, fit: Callable[[Iterator[pa.RecordBatch]], object]) -> object:
+    """What fit makes of the batches of sample, a table of bounded size, in order: in one task, so
+    that the driver gets the model and none of the rows, and a lost executor costs one more try.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(batches))], pa.binary())})
+
+    made = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(task, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit(iter(()))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: later plans start from files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def hash_reach(share: float) -> int:
+    """The number that so large a share of all 64-bit hashes doesn't exceed."""
+    return (1 << 63) - 1 if share >= 1 else int(-(1 << 63) + share * ((1 << 64) - 1))
 
 
 def word_class(excluded: bytes) -> np.ndarray:
@@ -122,3 +122,8 @@ def with_fields(df: DataFrame, **kinds: str) -> StructType:
     """The schema of df with more fields, given by type names."""
     more = [StructField(name, KINDS[kind]) for name, kind in kinds.items()]
     return StructType([*df.schema.fields, *more])
+
+
+__all__ = [
+    "LOWER", "SPACES", "discard", "fitted", "hash_reach", "mixed", "saved", "shared_dir", "shingle_hashes", "span_hashes", "text_chunks", "with_fields", "word_class", "words",
+]

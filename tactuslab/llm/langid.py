@@ -8,7 +8,7 @@ weighted by their bytes, are its own.
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import LOWER, text_chunks, with_fields
+from tactuslab.llm.common import LOWER, fitted, hash_reach, text_chunks, with_fields
 from tactuslab.llm.toxicity import held_out
 
 WINDOW = 128
 DIM = 6
 WIDTHS = (2, 3, 5)
 FILTERS = 16
-#: Labelled rows of each language to train on, at most, and characters of each text.
+#: Languages that can be learned: the most frequent ones.
+MAX_LANGUAGES = 500
+#: Labelled rows of each language to train on, at most, and characters of all, an equal share for each language.
 MAX_ROWS = 400
 MAX_CHARS = 3_000_000
 UNKNOWN = "und"
@@ -153,25 +155,35 @@ def _gradients(net: LanguageNet, data: np.ndarray, label: np.ndarray, weight: np
     return [vectors, *filters, *constants, found.T @ z, z.sum(0)]
 
 
-def fit(documents: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> LanguageNet:
-    """Train on at most max_rows documents of each language and max_chars characters in all.
+def fit(documents: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_languages: int = MAX_LANGUAGES) -> LanguageNet:
+    """Train on at most max_rows documents of each of the max_languages most frequent languages and max_chars characters.
 
-    Of each language the rows with the smallest hashes of their ids, whole texts, never held-out ones;
-    rows with a null id, text or lang are passed over.
+    Of each language the rows with the smallest hashes of their ids, never held-out ones, whole texts
+    but for the last, which is cut to what is left of the language's share: so every language is
+    learned, however long its texts are. Rows with a null id, text or lang are passed over. One job
+    counts the languages, another brings about max_rows of each to the task that fits.
     """
     docs = documents.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = docs.select("doc_id", "lang", F.length("text").alias("n"), F.xxhash64("doc_id").alias("_h"))
-    langs = [r["lang"] for r in sizes.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(500).collect()]
-    chosen: dict[int, str] = {}
-    for lang in langs:
-        room = max_chars // max(1, len(langs))
-        for r in sizes.where(F.col("lang") == lang).orderBy("_h", "doc_id").limit(max_rows).collect():
-            if r["n"] <= room:
-                room -= r["n"]
-                chosen[r["doc_id"]] = lang
-    rows = docs.where(F.col("doc_id").isin([*chosen])).select("doc_id", "text", "lang").limit(2 * max_rows * max(1, len(langs))).collect() if chosen else []
-    rows = sorted((r for r in rows if r["lang"] == chosen[r["doc_id"]]), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    share = max(1, max_chars // max(1, len(counts)))
+    within = [(r["lang"], hash_reach((max_rows + 6 * max_rows**0.5 + 6) / r["count"])) for r in counts]
+    known = F.broadcast(documents.sparkSession.createDataFrame(within, "lang string, _reach long"))  # max_languages rows
+    sample = docs.select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("_h")).join(known, "lang").where(F.col("_h") <= F.col("_reach"))
+    sample = sample.select("lang", "_h", "doc_id", F.substring("text", 1, share).alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> LanguageNet:
+        texts, langs, rows, room = [], [], Counter(), Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text = text[: share - room[lang]]
+                if text and rows[lang] < max_rows:
+                    texts.append(text)
+                    langs.append(lang)
+                    rows[lang] += 1
+                    room[lang] += len(text)
+        return train(texts, langs)
+
+    return fitted(sample, ["lang", "_h", "doc_id", "text"], learn)
 
 
 def identify(documents: DataFrame, model: LanguageNet) -> DataFrame:

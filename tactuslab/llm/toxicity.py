@@ -9,16 +9,16 @@ Misspellings that were never seen share most n-grams with words that were.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import LOWER, span_hashes, text_chunks, with_fields, word_class, words
+from tactuslab.llm.common import LOWER, fitted, hash_reach, span_hashes, text_chunks, with_fields, word_class, words
 
 GRAMS = (3, 4, 5, 6)
 BITS = 17
@@ -28,13 +28,17 @@ STEP = 6
 #: Passes over the training rows: as many as make up so many characters, within these limits.
 PASS_CHARS = 80_000_000
 PASSES = (12, 40)
-#: The last passes, in which the highest window of a text stands for it.
+#: The last passes, in which the highest window of a text stands for it: a quarter, but so many at least.
 HIGHEST_PASSES = 9
+#: Bytes of texts that a step learns from.
+STEP_BYTES = 1 << 14
 THRESHOLD = 0.3
 #: Rows of each label to train on; enough for the vocabulary of insults to recur.
 MAX_ROWS = 2000
-#: Characters of these rows' texts that the driver holds.
+#: Characters of these rows' texts, half of them for each label, that the fitting task holds.
 MAX_CHARS = 8_000_000
+#: Characters of one text that can be learned from; of a longer one the first.
+MAX_TEXT = 200_000
 
 _WORD = word_class(bytes(b for b in range(128) if not chr(b).isalnum()))
 
@@ -52,26 +56,32 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _gram_places(buf: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each size n, the place in the table of the n bytes from each byte on."""
-    key = np.zeros(len(buf), np.uint32)
+def _gram_places(chars: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size n, the place in the table of the n characters from each character on."""
+    key = np.zeros(len(chars), np.uint32)
     for n in range(1, GRAMS[-1] + 1):
-        key = key[: len(buf) - n + 1] * np.uint32(0x01000193) + buf[n - 1 :]
+        key = key[: len(chars) - n + 1] * np.uint32(0x01000193) + chars[n - 1 :]
         if n in GRAMS:
             place = (key ^ (key >> np.uint32(15))) * np.uint32(0x9E3779B1 + 2 * n)
             yield n, place >> np.uint32(32 - BITS)
 
 
-def _word_places(buf: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (span_hashes(buf, first, end) >> np.uint64(64 - BITS)).astype(np.int64)
+def _word_places(chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (span_hashes(chars, first, end) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _spaced(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes with spaces for all that is no word, one more in front; words as words() gives them."""
-    buf = np.concatenate([[np.uint8(32)], LOWER[buf]])
-    first, end, at = words(buf, np.concatenate([[1], starts[1:] + 1]), _WORD)
-    buf[~_WORD[buf]] = 32
-    return buf, first, end, at
+    """Lower-cased characters with spaces for all that is no word, one more in front; words as words() gives them."""
+    buf = LOWER[buf]
+    if buf.max(initial=0) > 127:
+        at = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
+        chars, starts = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32), at[starts]
+    else:
+        chars = buf.astype(np.uint32)
+    chars = np.concatenate([np.array([32], np.uint32), chars])
+    first, end, at = words(np.minimum(chars, 128), np.concatenate([[1], starts[1:] + 1]), _WORD)
+    chars[~_WORD[np.minimum(chars, 128)]] = 32
+    return chars, first, end, at
 
 
 def _word_pulls(pull: np.ndarray, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +120,7 @@ def _window_logits(pulls: np.ndarray, at: np.ndarray, bias: float) -> np.ndarray
     return np.maximum.reduceat(mean, begin[:-1]) + bias
 
 
-def train(texts: pa.Array, toxic: np.ndarray, rate: float = 1.0, seed: int = 7) -> Toxicity:
+def train(texts: pa.Array, toxic: np.ndarray, rate: float = 0.15, seed: int = 7) -> Toxicity:
     """Fit on labelled texts. Each step takes one window of each text of a batch, any in the first
     passes and the highest in the last, and moves table and softmax by AdaGrad along the
     gradient of its cross entropy. Without both labels, every text gets the score 0.
@@ -121,46 +131,58 @@ def train(texts: pa.Array, toxic: np.ndarray, rate: float = 1.0, seed: int = 7)
     bias, seen, seen_out = 0.0, np.full(1 << BITS, 1e-3, np.float32), np.full(DIM, 1e-3, np.float32)
     toxic = np.asarray(toxic).astype(np.float32)
     if not len(toxic) or toxic.min() == toxic.max():
-        return Toxicity(np.zeros(1 << BITS), -30.0)
+        return Toxicity(np.zeros(1 << BITS, np.float32), -30.0)
+    size = pc.sum(pc.binary_length(texts.cast(pa.large_binary()))).as_py() or 0
     # The members of all words lie in one array, which is given back whole: a byte begins no more of them than there are sizes and words.
-    room = np.empty((len(GRAMS) + 1) * sum(len(x.as_buffer() or b"") for x in texts.cast(pa.large_binary())), np.int32)
+    room = np.empty((len(GRAMS) + 1) * size, np.int32)
     parsed, used = [], 0
-    for row, buf, starts in text_chunks(texts, 1 << 16):
+    for row, buf, starts in text_chunks(texts, STEP_BYTES):
         flat, *rest = _prepared(buf, starts)
         own = room[used : used + len(flat)]
         own[:] = flat
         used += len(flat)
         parsed.append((row + np.arange(len(starts) - 1), own, *rest))
     bias_seen = 1e-3
-    epochs = int(np.clip(PASS_CHARS // max(1, sum(map(len, texts.to_pylist()))), *PASSES))
+    chars = pc.sum(pc.utf8_length(texts)).as_py() or 0
+    epochs = int(np.clip(PASS_CHARS // max(1, chars), *PASSES))
+    highest = max(HIGHEST_PASSES, epochs // 4)
     for epoch in range(epochs):
         for k in rng.permutation(len(parsed)):
             rows, flat, start, per, at = parsed[k]
-            pull = np.add.reduceat((table @ out)[flat], start) / per if len(start) else np.zeros(0)
             first, end, begin = _windows(at)
-            total = np.concatenate([[0.0], np.cumsum(pull)])
-            mean = (total[end] - total[first]) / np.maximum(end - first, 1)
-            if epoch < epochs - HIGHEST_PASSES:
+            if epoch < epochs - highest:
                 best = rng.integers(begin[:-1], begin[1:])
             else:
+                pull = np.add.reduceat((table @ out)[flat], start) / per if len(start) else np.zeros(0)
+                total = np.concatenate([[0.0], np.cumsum(pull)])
+                mean = (total[end] - total[first]) / np.maximum(end - first, 1)
                 best = np.array([b + int(np.argmax(mean[b:e])) for b, e in zip(begin[:-1], begin[1:], strict=True)])
-            error = 1 / (1 + np.exp(-np.clip(mean[best] + bias, -30, 30))) - toxic[rows]
-            lo, hi = first[best], end[best]
-            word = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]) if len(lo) else lo
-            share = np.repeat(error / np.maximum(hi - lo, 1), hi - lo)
-            member, reps = _flat(flat, start, per, word)
-            g = np.repeat(share / per[word], reps).astype(np.float32)
-            unique, where = np.unique(member, return_inverse=True)
-            g = np.bincount(where, g, len(unique)).astype(np.float32)
-            g_out = g @ table[unique]
-            seen[unique] += g * g * (out @ out)
-            table[unique] -= rate * (g / np.sqrt(seen[unique]))[:, None] * out * 0.3
+            places, g, g_out, b = _gradients(table, out, bias, (flat, start, per), first[best], end[best], toxic[rows])
+            seen[places] += g * g * (out @ out)
+            table[places] -= rate * (g / np.sqrt(seen[places]))[:, None] * out
             seen_out += g_out * g_out
-            out -= rate * 0.3 * g_out / np.sqrt(seen_out)
-            b = float(error.sum())
+            out -= rate * g_out / np.sqrt(seen_out)
             bias_seen += b * b
-            bias -= rate * b / bias_seen**0.5
-    return Toxicity((table @ out).astype(np.float64), bias)
+            bias -= rate / 0.3 * b / bias_seen**0.5
+    return Toxicity((table @ out).astype(np.float32), bias)
+
+
+def _gradients(table: np.ndarray, out: np.ndarray, bias: float, words: tuple[np.ndarray, ...], first: np.ndarray, end: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Of the summed cross entropy of windows from word first to end: places of the table, what to
+    multiply out with for the gradient of each one's vector, the gradient of out, and that of bias.
+    """
+    flat, start, per = words
+    n = end - first
+    word = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    window = np.repeat(np.arange(len(n)), n)
+    member, reps = _flat(flat, start, per, word)
+    share = np.repeat(1 / (per[word] * np.maximum(n, 1)[window]), reps)  # of a member in its window's mean
+    window = np.repeat(window, reps)
+    z = np.bincount(window, (table[member] @ out) * share, len(n)) + bias
+    error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic
+    places, where = np.unique(member, return_inverse=True)
+    g = np.bincount(where, error[window] * share, len(places)).astype(table.dtype)
+    return places, g, g @ table[places], float(error.sum())
 
 
 def _prepared(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,27 +209,38 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Toxicity:
-    """Train on at most max_rows documents of each label and max_chars characters in all.
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, max_text: int = MAX_TEXT) -> Toxicity:
+    """Train on at most max_rows documents of each label and max_chars characters, half for each label.
 
-    The rows are those with the smallest hashes of their ids, whole texts, and never held-out ones;
-    rows with a null id, text or label are passed over.
+    The rows are those with the smallest hashes of their ids, never held-out ones. Texts are learned
+    from whole, but for the first max_text characters of longer ones and for the last of each label,
+    which is cut to what is left. Rows with a null id, text or label are passed over; of several
+    labels of an id the highest counts. All of it runs in one task, and only the model is returned.
     """
-    known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     docs = documents.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text")
-    # Only ids and lengths are joined with the labels; texts are then looked up for the rows chosen.
-    sizes = docs.select("doc_id", F.length("text").alias("n")).join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
-    label: dict[int, int] = {}
-    for value in (1, 0):
-        room = max_chars // 2
-        for r in sizes.where(F.col("toxic") == value).select("doc_id", "_h", "n").orderBy("_h", "doc_id").limit(max_rows).collect():
-            if r["n"] <= room:
-                room -= r["n"]
-                label[r["doc_id"]] = value
-    rows = docs.where(F.col("doc_id").isin([*label])).limit(2 * max_rows).collect() if label else []
-    rows = sorted(rows, key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"]))
-    texts, toxic = [r["text"] for r in rows], [label[r["doc_id"]] for r in rows]
-    return train(pa.array(texts, pa.string()), np.array(toxic))
+    # Only ids are joined with the labels. About max_rows of each label have hashes below its share of the range.
+    ids = docs.select("doc_id").join(known, "doc_id")
+    counts = {r["toxic"]: r["count"] for r in ids.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
+    within = F.lit(False)
+    for value, n in counts.items():
+        within = within | ((F.col("toxic") == value) & (F.col("_h") <= hash_reach((max_rows + 6 * max_rows**0.5 + 6) / n)))
+    # At most a sixth more than max_rows of each label, but for a chance of one in a billion.
+    chosen = F.broadcast(ids.distinct().withColumn("_h", F.xxhash64("doc_id")).where(within))
+    sample = docs.join(chosen, "doc_id").select("_h", "doc_id", "toxic", F.substring("text", 1, max_text).alias("text"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Toxicity:
+        texts, toxic, rows, room = [], [], {0: max_rows, 1: max_rows}, {0: max_chars // 2, 1: max_chars // 2}
+        for batch in batches:
+            for value, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if rows[value] and room[value]:
+                    texts.append(text[: room[value]])
+                    toxic.append(value)
+                    rows[value] -= 1
+                    room[value] -= len(texts[-1])
+        return train(pa.array(texts, pa.large_string()), np.array(toxic))
+
+    return fitted(sample, ["_h", "doc_id", "text"], learn)
 
 
 def score_toxicity(documents: DataFrame, model: Toxicity, threshold: float = THRESHOLD) -> DataFrame:
