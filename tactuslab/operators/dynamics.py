@@ -76,7 +76,7 @@ def fit_dynamics(chord_points: DataFrame) -> DataFrame:
         found = fit_curve(g["date"].to_numpy(), g["velocity"].to_numpy())
         return pd.DataFrame([{"perf_id": g["perf_id"].iloc[0], **found}])
 
-    return chord_points.select("perf_id", "date", "velocity").groupBy("perf_id").applyInPandas(fit, CURVE)
+    return relops.spread(chord_points.select("perf_id", "date", "velocity")).groupBy("perf_id").applyInPandas(fit, CURVE)
 
 
 def two_point(chord_points: DataFrame) -> DataFrame:

@@ -12,6 +12,15 @@ def by_date(*more: str) -> Window:
     return Window.partitionBy("perf_id", *more).orderBy("date")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out by performance for work that costs far more than its rows weigh: a number of
+    partitions of its own, which adaptive execution doesn't join by their few bytes.
+    """
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, "perf_id")
+
+
 def chords(notes: DataFrame, *more: str) -> DataFrame:
     """One row for each date of a performance (and each of more): how many notes, and means over them."""
     return notes.groupBy("perf_id", *more, "date").agg(

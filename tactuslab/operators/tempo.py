@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactuslab.model import WHOLE, defined
+from tactuslab.operators.relops import spread
 
 LIMITS = (5.0, 600.0)
 
@@ -108,16 +109,20 @@ class FitWeights:
     clear_move: float = 1.0
 
 
+_LOG_HALF = float(np.log(0.5))
+
+
 def _basis(x: np.ndarray, shape) -> np.ndarray:
     """How far a power curve that is halfway at shape has come at x in 0..1."""
-    return np.clip(x, 0, 1) ** (np.log(0.5) / np.log(np.clip(shape, 0.001, 0.999)))
+    return np.clip(x, 0, 1) ** (_LOG_HALF / np.log(np.clip(shape, 0.001, 0.999)))
 
 
 _GRID = np.linspace(0, 1, 201)
-
-
 _COARSE = np.linspace(0.02, 0.98, 97)
 _COARSE_BASIS = _basis(_GRID, _COARSE[:, None])
+_FINE = np.linspace(-1, 1, 13)
+#: Tempos at both ends of a segment, as they are and moved by half a beat: where the time it takes is compared.
+_NUDGES = np.array([[0, 0.5, -0.5, 0, 0], [0, 0, 0, 0.5, -0.5]])
 
 
 def _elapsed(left: float, right: float, basis: np.ndarray, beats: float) -> np.ndarray:
@@ -128,8 +133,10 @@ def _elapsed(left: float, right: float, basis: np.ndarray, beats: float) -> np.n
     return table
 
 
-def _whole(left: float, right: float, shape: float, beats: float) -> float:
-    return float(_elapsed(left, right, _basis(_GRID, shape)[None], beats)[0, -1])
+def _spans(left: np.ndarray, right: np.ndarray, shape: float, beats: float) -> np.ndarray:
+    """Milliseconds of a whole segment for several pairs of end tempos."""
+    beat = (beats * 150.0) / (left[:, None] + (right - left)[:, None] * _basis(_GRID, shape))
+    return 2 * beat.sum(1) - beat[:, 0] - beat[:, -1]
 
 
 def _best_shape(x: np.ndarray, ms: np.ndarray, left: float, right: float, beats: float) -> float:
@@ -143,15 +150,18 @@ def _best_shape(x: np.ndarray, ms: np.ndarray, left: float, right: float, beats:
     x, ms = np.minimum(x[inside], 1) * 200, ms[inside]
     cell = np.minimum(x.astype(int), 199)
     part = x - cell
+    # Between the points of the grid time is a weighted sum of both sides.
+    take, weight = np.concatenate([cell, cell + 1]), np.concatenate([1 - part, part])
 
     def error(basis: np.ndarray) -> np.ndarray:
-        table = _elapsed(left, right, basis, beats)
-        return np.sum((table[:, cell] * (1 - part) + table[:, cell + 1] * part - ms) ** 2, 1)
+        at = _elapsed(left, right, basis, beats)[:, take] * weight
+        off = at[:, : len(cell)] + at[:, len(cell) :] - ms
+        return np.einsum("ij,ij->i", off, off)
 
     best, reach = float(_COARSE[np.argmin(error(_COARSE_BASIS))]), 0.01
     for _ in range(3):
-        shapes = np.clip(np.linspace(best - reach, best + reach, 13), 0.02, 0.98)
-        best, reach = float(shapes[np.argmin(error(_basis(_GRID, shapes[:, None])))]), reach / 5
+        shapes = np.minimum(np.maximum(best + reach * _FINE, 0.02), 0.98)
+        best, reach = float(shapes[np.argmin(error(_GRID ** (_LOG_HALF / np.log(shapes))[:, None]))]), reach / 5
     return best
 
 
@@ -246,14 +256,14 @@ def fit_chain(dates: np.ndarray, onsets_ms: np.ndarray, chain: list[float], beat
         rows[np.arange(len(mid)), of + 1] += phi
         left, right = [rows * np.sqrt(w)[:, None], np.sqrt(c.estimate) * np.eye(n + 1)], [bpm * np.sqrt(w), np.sqrt(c.estimate) * first]
         for k in range(n):
-            span = lambda d0, d1, k=k: _whole(tau[k] + d0, tau[k + 1] + d1, shapes[k], beats[k])
-            g = np.array([span(0.5, 0) - span(-0.5, 0), span(0, 0.5) - span(0, -0.5)])
+            here, up0, down0, up1, down1 = _spans(tau[k] + _NUDGES[0], tau[k + 1] + _NUDGES[1], shapes[k], beats[k])
+            g = np.array([up0 - down0, up1 - down1])
             norm = np.hypot(*g)
             if norm > 1e-10:
                 row = np.zeros((1, n + 1))
                 row[0, k : k + 2] = g / norm
                 left.append(np.sqrt(c.timing) * row)
-                right.append(np.sqrt(c.timing) * np.array([(time[k + 1] - time[k] - span(0, 0) + g @ tau[k : k + 2]) / norm]))
+                right.append(np.sqrt(c.timing) * np.array([(time[k + 1] - time[k] - here + g @ tau[k : k + 2]) / norm]))
         tau = np.linalg.lstsq(np.concatenate(left), np.concatenate(right), rcond=None)[0]
         _hold_directions(tau, signs, mass, c)
         if np.abs(tau - before).max() < 0.01:
@@ -270,16 +280,21 @@ FITTED = "perf_id long, date double, end_date double, bpm double, beat_length do
 
 def fit_tempo(onsets: DataFrame, chain: list[float], beat_length: float = 0.25) -> DataFrame:
     """fit_chain for each performance of onsets (perf_id, date, onset in seconds): one group is one performance's onsets in the chain."""
-    rows = onsets.where(F.col("date").between(chain[0], chain[-1])).select("perf_id", "date", "onset")
+    rows = onsets.where(F.col("date").between(chain[0], chain[-1]))
+    return fit_chains(rows.withColumn("marks", F.array(*[F.lit(float(x)) for x in chain])), beat_length)
+
+
+def fit_chains(onsets: DataFrame, beat_length: float = 0.25) -> DataFrame:
+    """fit_chain for each performance of onsets (perf_id, date, onset in seconds, marks), over its own marks."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        found = fit_chain(group["date"].to_numpy(), group["onset"].to_numpy() * 1000, chain, beat_length)
+        found = fit_chain(group["date"].to_numpy(), group["onset"].to_numpy() * 1000, list(group["marks"].iloc[0]), beat_length)
         out = pd.DataFrame(found, columns=["date", "end_date", "bpm", "transition_to", "mean_tempo_at"])
         out.insert(0, "perf_id", group["perf_id"].iloc[0])
         out.insert(4, "beat_length", beat_length)
         return out
 
-    return rows.groupBy("perf_id").applyInPandas(fit, FITTED)
+    return spread(onsets.select("perf_id", "date", "onset", "marks")).groupBy("perf_id").applyInPandas(fit, FITTED)
 
 
 def trail(pairs: DataFrame) -> DataFrame:
@@ -306,16 +321,3 @@ def mean_tempo(notes: DataFrame, beat_length: float = 0.25) -> DataFrame:
     """One tempo from first onset to last, of performances with two dates or more."""
     p = onset_pairs(notes).groupBy("perf_id").agg(F.max("rel_date").alias("d"), F.max_by("rel_onset", "date").alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return p.select("perf_id", (60000.0 * F.col("d") / F.nullif(F.col("s") * 1000 * beat_length * WHOLE, F.lit(0.0))).alias("bpm"))
-
-
-def fit_chains(onsets: DataFrame, beat_length: float = 0.25) -> DataFrame:
-    """fit_chain for each performance of onsets (perf_id, date, onset in seconds, marks), over its own marks."""
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        found = fit_chain(group["date"].to_numpy(), group["onset"].to_numpy() * 1000, list(group["marks"].iloc[0]), beat_length)
-        out = pd.DataFrame(found, columns=["date", "end_date", "bpm", "transition_to", "mean_tempo_at"])
-        out.insert(0, "perf_id", group["perf_id"].iloc[0])
-        out.insert(4, "beat_length", beat_length)
-        return out
-
-    return onsets.select("perf_id", "date", "onset", "marks").groupBy("perf_id").applyInPandas(fit, FITTED)
