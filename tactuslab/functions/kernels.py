@@ -118,34 +118,35 @@ def date_at(ms: Column, start: Column, end: Column, bpm: Column, beat_length: Co
     return F.when(to.isNull() | (to == 0), linear).otherwise(moving)
 
 
-def bezier_x(curvature: Column, protraction: Column) -> tuple[Column, Column]:
-    """Places of the inner control points of a dynamics curve on the time axis."""
+def control_points(curvature: Column, protraction: Column) -> tuple[Column, Column]:
+    """Where on the time axis, from 0 to 1, the inner control points of a dynamics curve lie.
+
+    Without protraction they lie curvature inside the ends; it moves both towards the end, or below 0 towards
+    the begin, by its share of what lies there.
+    """
     c, p = F.coalesce(curvature, F.lit(0.5)), F.coalesce(protraction, F.lit(0.0))
-    a = F.abs(p)
-    safe = F.when(p == 0, 1.0).otherwise(p)
-    x1 = c + ((a + p) / (2.0 * safe) - a / safe * c) * p
-    x2 = 1.0 - c + ((p - a) / (2.0 * safe) + a / safe * c) * p
-    return F.when(p == 0, c).otherwise(x1), F.when(p == 0, 1 - c).otherwise(x2)
+    late = p > 0
+    return F.when(late, c + (1 - c) * p).otherwise(c + c * p), F.when(late, 1 - c + c * p).otherwise(1 - c + (1 - c) * p)
 
 
-def bezier_t(date: Column, start: Column, end: Column, x1: Column, x2: Column) -> Column:
-    """The curve parameter at a date: halving steps until the date is met to a tick, as many as the length asks for."""
-    length = (end - start).cast("double")
-    set_up = F.struct(length.alias("n"), (date - start).cast("double").alias("at"), x1.alias("x1"), x2.alias("x2"))
+def curve_place(date: Column, start: Column, end: Column, x1: Column, x2: Column) -> Column:
+    """The curve parameter at a date: of a bracket of 0 to 1 that is halved on, the first middle that meets the date to a tick."""
+    powers = ((3 * x1).alias("once"), (3 * x2 - 6 * x1).alias("twice"), (3 * x1 - 3 * x2 + 1).alias("thrice"))
+    set_up = F.struct((end - start).cast("double").alias("ticks"), (date - start).cast("double").alias("at"), *powers)
 
     def solve(c: Column) -> Column:
-        cubic = F.struct((3.0 * c.x1 - 3.0 * c.x2 + 1.0).alias("u"), (-6.0 * c.x1 + 3.0 * c.x2).alias("v"), (3.0 * c.x1).alias("w"))
-
-        def halve(k: Column) -> Column:
-            def step(b: Column, _: Column) -> Column:
-                off = ((k.u * b.t + k.v) * b.t + k.w) * b.t * c.n - c["at"]
-                t = F.when(F.abs(off) < 1.0, b.t).when(off > 0, b.t - b.h).otherwise(b.t + b.h)
-                return F.struct(t.alias("t"), (b.h * 0.5).alias("h"))
+        def halve(b: Column, _: Column) -> Column:
+            def choose(m: Column) -> Column:
+                ahead = c.ticks * (m * (c.once + m * (c.twice + m * c.thrice))) - c["at"]
+                met = F.abs(ahead) < 1
+                return F.struct(F.when(met | (ahead <= 0), m).otherwise(b.low).alias("low"), F.when(met | (ahead > 0), m).otherwise(b.high).alias("high"))
 
-            steps = F.greatest(F.lit(4), F.ceil(F.log2(F.greatest(c.n, F.lit(2.0)))).cast("int") + 4)
-            return F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.lit(0.5).alias("t"), F.lit(0.25).alias("h")), step, lambda b: b.t)
+            return let((b.low + b.high) / 2, choose)
 
-        return let(cubic, halve)
+        # A curve passes no tick faster than a few in each part of its parameter.
+        steps = F.greatest(F.lit(4), F.ceil(F.log2(F.greatest(c.ticks, F.lit(2.0)))).cast("int") + 4)
+        bracket = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), steps), bracket, halve, lambda b: (b.low + b.high) / 2)
 
     return F.when(date == start, 0.0).when(date == end, 1.0).otherwise(let(set_up, solve))
 
@@ -155,7 +156,7 @@ def eased(date: Column, start: Column, end: Column, value: Column, to: Column, c
     none = to.isNull() | (value == to)
     if zero_is_unset:
         none = none | (to == 0)
-    t = bezier_t(date, start, end, *bezier_x(curvature, protraction))
+    t = curve_place(date, start, end, *control_points(curvature, protraction))
     return F.when((date < start) | none, value).when(date >= end, to).otherwise(let(t, lambda t: (3.0 - 2.0 * t) * t * t * (to - value) + value))
 
 

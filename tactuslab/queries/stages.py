@@ -294,23 +294,44 @@ def rubato_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(counts, "perf_id").select("perf_id", fixed(F.col("late_start"), 4).alias("late_u"), "n")
 
 
-@query()
+_BENT = "list_sum(list_transform(range(1, len(o) + 1), lambda i: (o[i] - ((i - 1) / (len(o) - 1)::DOUBLE) ** {p}) ** 2))"
+
+
+@query(f""", fc AS (SELECT perf_id, date, avg(onset * 720) AS t FROM notes WHERE date >= 7200 AND date < 10080 GROUP BY ALL),
+fs AS (SELECT perf_id, coalesce(max(t) FILTER (WHERE date = 7200), 7200.0::DOUBLE) AS s FROM fc GROUP BY 1),
+fd AS (SELECT perf_id, s, list((t - s) / (10080 - s) ORDER BY date) AS d FROM fc JOIN fs USING (perf_id) GROUP BY ALL),
+fo AS (SELECT perf_id, least(0.9::DOUBLE, greatest(0.0::DOUBLE, (s - 7200) / 2880)) AS late, CASE WHEN list_contains(d, 0.0::DOUBLE) THEN d ELSE list_prepend(0.0::DOUBLE, d) END AS o FROM fd),
+g AS (SELECT perf_id, late, CASE WHEN list_contains(o, 1.0::DOUBLE) THEN o ELSE list_append(o, 1.0::DOUBLE) END AS o, 0.1::DOUBLE AS lo, 5.0::DOUBLE AS hi, 0 AS k FROM fo UNION ALL
+  SELECT perf_id, late, o, CASE WHEN {_BENT.format(p='c')} < {_BENT.format(p='d')} THEN lo ELSE c END, CASE WHEN {_BENT.format(p='c')} < {_BENT.format(p='d')} THEN d ELSE hi END, k + 1
+  FROM (SELECT *, hi - (hi - lo) / {_GOLD}::DOUBLE AS c, lo + (hi - lo) / {_GOLD}::DOUBLE AS d FROM g WHERE k < 33)),
+r AS (SELECT perf_id, late, CASE WHEN len(o) <= 2 THEN 1.0::DOUBLE ELSE (lo + hi) / 2 END AS i FROM g WHERE k = 33),
+a AS (SELECT note_id, date, onset * 720 AS td, midi_duration * 720 AS tl, late, i, CASE WHEN r.perf_id IS NOT NULL AND date >= 7200 AND date < 10080 THEN (pow((date - 7200) / 2880.0::DOUBLE, i) * (1 - late) + late) * 2880 - (date - 7200) END AS shift FROM notes LEFT JOIN r USING (perf_id)),
+b AS (SELECT *, date + tl - shift AS e FROM a)
+SELECT note_id, {fx('td - coalesce(shift, 0)', 1)} AS tick_date_u, {fx('CASE WHEN shift IS NULL THEN tl WHEN e >= 7200 AND e < 10080 THEN tl - shift - (e - 7200) + 7200 + 2880 * pow(greatest(0.0::DOUBLE, ((e - 7200) / 2880 - late) / (1 - late)), 1 / i) ELSE tl - shift END', 1)} AS tick_duration_u FROM b""")
 def rubato_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _simple_ticks(spark, sf_dir)
     out = rubato.removed(n, rubato.insert_rubato(n, 7200, 2880))
-    return out.select("note_id", fixed(F.col("tick_date"), 2).alias("tick_date_u"), fixed(F.col("tick_duration"), 2).alias("tick_duration_u"))
+    return out.select("note_id", fixed(F.col("tick_date"), 1).alias("tick_date_u"), fixed(F.col("tick_duration"), 1).alias("tick_duration_u"))
 
 
 def _rubatos(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = relops.chords(derived.notes(spark, sf_dir))
     none = F.lit(None).cast("double")
-    return c.select("perf_id", F.col("date").cast("double").alias("date"), F.lit(720.0).alias("frame_length"), (0.7 + (F.col("n_notes") % 2) * 0.1).alias("intensity"), none.alias("late_start"), none.alias("early_end"))
+    return c.select("perf_id", F.col("date").cast("double").alias("date"), F.lit(720.0).alias("frame_length"), (0.7 + (F.col("n_notes") % 4) * 0.15).alias("intensity"), none.alias("late_start"), none.alias("early_end"))
 
 
-@query()
+@query(f""", rb AS (SELECT perf_id, date, 0.7::DOUBLE + (n_notes % 4) * 0.15::DOUBLE AS i, row_number() OVER (PARTITION BY perf_id ORDER BY date) AS k, max(date) OVER (PARTITION BY perf_id) AS last FROM chords),
+run AS (SELECT perf_id, k, date, last, date AS first, i AS mean, 1 AS n FROM rb WHERE k = 1 UNION ALL
+  SELECT perf_id, k, date, last, CASE WHEN go THEN first ELSE date END, CASE WHEN go THEN (mean * n + i) / (n + 1) ELSE i END, CASE WHEN go THEN n + 1 ELSE 1 END FROM (
+    SELECT b.perf_id, b.k, b.date, b.last, b.i, r.first, r.mean, r.n, b.date = r.date + 720 AND b.date < b.last AND (r.mean < 1) = (b.i < 1) AND r.mean <> 1 AND b.i <> 1 AND abs(b.i - r.mean) < 0.2 AS go
+    FROM run r JOIN rb b ON b.perf_id = r.perf_id AND b.k = r.k + 1)),
+whole AS (SELECT perf_id, first, max(n) AS n, arg_max(mean, k) AS mean, max(date) + 720 AS after, max(last) AS last FROM run GROUP BY ALL)
+SELECT perf_id, first AS date, {fx('mean')} AS intensity_u, CASE WHEN n > 1 THEN 0.0::DOUBLE END AS late_start, CASE WHEN n > 1 THEN 1.0::DOUBLE END AS early_end, n > 1 AS loop FROM whole
+UNION ALL SELECT perf_id, after, NULL, NULL, NULL, false FROM whole w WHERE n > 1 AND after < last AND NOT EXISTS (SELECT 1 FROM rb WHERE rb.perf_id = w.perf_id AND rb.date = w.after)""")
 def rubato_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = ops.extent(derived.notes(spark, sf_dir))
-    return rubato.combined(_rubatos(spark, sf_dir), last)
+    out = rubato.combined(_rubatos(spark, sf_dir), last)
+    return out.select("perf_id", F.col("date").cast("long").alias("date"), fixed(F.col("intensity")).alias("intensity_u"), "late_start", "early_end", "loop")
 
 
 # ---------------------------------------------------------------- dynamics
@@ -375,13 +396,31 @@ def accent_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("perf_id", "cell", fixed(F.col("beat")).alias("beat_u"), fixed(F.col("value")).alias("value_u"), fixed(F.col("transition_to")).alias("to_u"))
 
 
-@query()
+_LOOP = _ACC.rstrip() + """,
+l0 AS (SELECT perf_id, beat, floor(value + 0.5) AS r FROM ap WHERE t IS NOT NULL AND cell = 0),
+lf AS (SELECT perf_id, list({'beat': beat, 'value': value, 'to': t} ORDER BY beat) AS ch FROM ap WHERE t IS NOT NULL AND cell = 0 GROUP BY 1),
+ls AS (SELECT perf_id, cell, max(abs(m)) AS scale FROM ab GROUP BY ALL),
+lc AS (SELECT perf_id, cell, scale, coalesce(same, true) AS same FROM ls LEFT JOIN (SELECT perf_id, cell, bool_and(coalesce(floor(value + 0.5) = r, true)) AS same FROM ap LEFT JOIN l0 USING (perf_id, beat) WHERE t IS NOT NULL GROUP BY ALL) USING (perf_id, cell)),
+lt AS (SELECT perf_id, greatest(ceil((max(date + duration) - 10080) / 2880.0::DOUBLE), 0) AS tried FROM notes GROUP BY 1),
+lp AS (SELECT perf_id, scale, 0 AS n, 0 AS k, true AS going, tried FROM lf JOIN ls USING (perf_id) JOIN lt USING (perf_id) WHERE cell = 0 UNION ALL
+  SELECT perf_id, CASE WHEN ok THEN (scale * n + own) / (n + 1) ELSE scale END, n + ok::INT, k + 1, ok, tried FROM (
+    SELECT p.*, c.scale AS own, coalesce(c.scale <> 0 AND c.same AND abs(c.scale - p.scale) <= 10, false) AS ok FROM lp p LEFT JOIN lc c ON c.perf_id = p.perf_id AND c.cell = p.k + 1 WHERE p.going AND p.k < p.tried)),
+lo AS (SELECT perf_id, arg_max(scale, k) AS scale, arg_max(n, k) AS n, max(k) AS last FROM lp GROUP BY 1),
+lr AS (SELECT perf_id, scale, n, 7200 + last * 2880 > 10080 AS loop, CASE WHEN 7200 + last * 2880 > 10080 THEN 7200 + last * 2880 END AS neutral_date FROM lo)
+"""
+
+
+@query(_LOOP + f"SELECT perf_id, {fx('scale')} AS scale_u, n AS repeats, loop, neutral_date FROM lr")
 def accent_loop_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = accentuation.looped(_changed(spark, sf_dir), derived.meta(spark, sf_dir), 7200, 10080, scale_tolerance=10.0)
     return found.select("perf_id", fixed(F.col("scale")).alias("scale_u"), "repeats", "loop", "neutral_date")
 
 
-@query()
+@query(_LOOP + f""", rn AS (SELECT note_id, midi_pitch - 60.0::DOUBLE AS ch0, ch, scale, 1 + ((date - 7200) % 2880) / 720.0::DOUBLE AS beat,
+  coalesce(date >= 7200 AND (loop OR date < 10080) AND (neutral_date IS NULL OR date < neutral_date), false) AS inside FROM notes LEFT JOIN lr USING (perf_id) LEFT JOIN lf USING (perf_id)),
+rx AS (SELECT *, list_filter(ch, lambda a: a.beat = beat) AS exact, list_filter(ch, lambda a: a.beat < beat) AS below, list_filter(ch, lambda a: a.beat > beat) AS above FROM rn WHERE inside AND ch[1].beat <= beat),
+ra AS (SELECT note_id, scale * CASE WHEN len(exact) > 0 THEN exact[1].value ELSE below[-1].value + (beat - below[-1].beat) * (below[-1]['to'] - below[-1].value) / (CASE WHEN len(above) > 0 THEN above[1].beat ELSE 5 END - below[-1].beat) END AS accent FROM rx)
+SELECT note_id, {fx('ch0 - coalesce(accent, 0)')} AS change_u FROM rn LEFT JOIN ra USING (note_id)""")
 def accent_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, m = _changed(spark, sf_dir), derived.meta(spark, sf_dir)
     found = accentuation.looped(n, m, 7200, 10080, scale_tolerance=10.0)
