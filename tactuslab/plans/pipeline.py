@@ -1,23 +1,16 @@
-"""Chains of stages, run in order, and project files that hold them."""
+"""Chains of stages, run in order."""
 
 from __future__ import annotations
 
-import json
-import logging
 from collections.abc import Iterable
 from dataclasses import replace
-from typing import Any
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tactuslab.model import State
 from tactuslab.operators.relops import saved
+from tactuslab.plans.projects import argumentations, export_work, import_work, work_calls
 from tactuslab.plans.registry import Message, Registry, validate
 from tactuslab.plans.stages import Stage, registry
 
-log = logging.getLogger(__name__)
-
 
 class Pipeline:
     """Stages in the registry's order. Notes are written after each stage, so plans stay as short as one stage."""
@@ -39,63 +32,4 @@ class Pipeline:
         return state
 
 
-def _tagged(value: Any) -> Any:
-    if isinstance(value, dict):
-        return {k: _tagged(v) for k, v in value.items()}
-    if isinstance(value, (set, frozenset)):
-        return {"dataType": "Set", "value": sorted(map(_tagged, value))}
-    return [_tagged(v) for v in value] if isinstance(value, (list, tuple)) else value
-
-
-def _revived(value: Any) -> Any:
-    if isinstance(value, dict):
-        if value.get("dataType") == "Set":
-            return set(map(_revived, value["value"]))
-        if value.get("dataType") == "Map":
-            return {k: _revived(v) for k, v in value["value"]}
-        return {k: _revived(v) for k, v in value.items()}
-    return [_revived(v) for v in value] if isinstance(value, list) else value
-
-
-def argumentations(stages: Iterable[Stage]) -> list[tuple[dict, list[Stage]]]:
-    """Stages by the id of their argumentation, in the order they are first seen."""
-    found: dict[str, tuple[dict, list[Stage]]] = {}
-    for s in stages:
-        if s.argumentation:
-            found.setdefault(s.argumentation["id"], (s.argumentation, []))[1].append(s)
-    return list(found.values())
-
-
-def export_work(work: dict, stages: Iterable[Stage], secondary: dict | None = None) -> str:
-    """A project as JSON: its description, and the argumentations with the stages they call.
-
-    The sources that choices prefer are what the project incorporates.
-    """
-    stages = list(stages)
-    sources = sorted({str(s.options[k]) for s in stages if s.name == "MakeChoice" for k in ("prefer", "timing", "velocity", "pedalling") if s.options.get(k)})
-    groups = [{**a, "calls": [{"id": s.id, "name": s.name, "options": _tagged(s.options)} for s in own]} for a, own in argumentations(stages)]
-    return json.dumps({**work, "creation": {"incorporates": sources, "argumentations": groups}, **({"secondary": secondary} if secondary else {})}, sort_keys=True)
-
-
-def import_work(text: str, stage_registry: Registry = registry) -> tuple[dict, list[Stage]]:
-    """The description and the stages of a project, in the registry's order; unknown names are left out with a warning."""
-    data = _revived(json.loads(text))
-    creation = data.pop("creation", {})
-    stages = []
-    for a in creation.get("argumentations", []):
-        argument = {k: v for k, v in a.items() if k != "calls"}
-        for call in a.get("calls", []):
-            if call["name"] not in stage_registry:
-                log.warning("no stage named %s", call["name"])
-                continue
-            stages.append(stage_registry.create(call["name"], id=call["id"], argumentation=argument, **call["options"]))
-    return data, stage_registry.sorted(stages)
-
-
-def work_calls(spark: SparkSession, path: str) -> DataFrame:
-    """The calls of many project files at once: work, argumentation, call id, name and options as JSON; a file is one line or many."""
-    call = "struct<id:string,name:string,options:string>"
-    kind = f"name string, creation struct<argumentations:array<struct<id:string,calls:array<{call}>>>>"
-    rows = spark.read.schema(kind).option("multiLine", True).json(path)
-    rows = rows.select(F.col("name").alias("work"), F.explode("creation.argumentations").alias("a"))
-    return rows.select("work", F.col("a.id").alias("argumentation"), F.explode("a.calls").alias("c")).select("work", "argumentation", "c.id", "c.name", "c.options")
+__all__ = ["Pipeline", "argumentations", "export_work", "import_work", "work_calls"]

@@ -36,6 +36,10 @@ class Registry:
         cls = self._classes.get(name)
         return cls(**options) if cls else None
 
+    def options(self, name: str) -> tuple[str, ...]:
+        """Names of the options that a stage has."""
+        return tuple(self._classes[name].defaults)
+
     def order(self) -> list[str]:
         return list(self._order)
 

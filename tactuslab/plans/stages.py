@@ -46,6 +46,9 @@ class Stage:
         self.id = id or uuid.uuid4().hex
         self.argumentation = argumentation
         self.options = {**self.defaults, **options}
+        #: What a project file says of this call beside its options, and the ids of what it is known to have created.
+        self.beside: dict[str, Any] = {}
+        self.created: list[str] = []
 
     def transform(self, state: State) -> State:
         raise NotImplementedError

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tactuslab.plans import pipeline, stages
 from tactuslab.plans.registry import validate
 from tactuslab.queries.base import query
 from tactuslab.sources import derived, msm
+from tactuslab.tables import shared_dir
 
 
 @query("SELECT * FROM (VALUES (0, 'InsertRubato requires TranslatePhysicalTimeToTicks before it in the chain'), (2, 'StylizeOrnamentation requires InsertDynamicsGradient before it in the chain')) AS t(index, message)")
@@ -37,6 +40,18 @@ def work_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "pos int, name string, argumentation string, aspect string")
 
 
+@query("SELECT DISTINCT 'work ' || perf_id AS work, argumentation, name, threshold FROM notes, (VALUES ('a1', 'InsertTemporalSpread', 35.0::DOUBLE), ('a2', 'TranslatePhyiscalTimeToTicks', NULL)) AS t(argumentation, name, threshold)")
+def project_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project for each performance, written to the shared folder and read back together."""
+    chain = [stages.InsertTemporalSpread(argumentation={"id": "a1"}), stages.TranslatePhysicalTimeToTicks(argumentation={"id": "a2"})]
+    before, after = pipeline.export_work({"name": "work ?"}, chain).split("work ?")
+    works = derived.meta(spark, sf_dir).select(F.concat(F.lit(before + "work "), "perf_id", F.lit(after)))
+    path = f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}"
+    works.write.text(path)
+    calls = pipeline.work_calls(spark, path, multi_line=False)
+    return calls.select("work", "argumentation", "name", F.get_json_object("options", "$.durationThreshold").cast("double").alias("threshold"))
+
+
 @query("SELECT DISTINCT perf_id, pos, kind FROM notes, (VALUES (0, 'author'), (1, 'comment')) AS t(pos, kind)")
 def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = stages.InsertMetadata(authors=[{"name": "A"}], comments=["c"])
