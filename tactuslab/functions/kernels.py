@@ -184,12 +184,13 @@ def optimized_elapsed(start_bpm: Column, end_bpm: Column, mean_at: Column, beats
     def bisected(rising: Column) -> Column:
         def step(b: Column, _: Column) -> Column:
             def use(e: Column) -> Column:
-                met = b.met | (F.abs(e.ms - target_ms) < 0.1)
+                met = F.abs(e.ms - target_ms) < 0.1
                 low = (e.ms < target_ms) == rising
-                return F.struct(F.when(met, b.lo).when(low, e.mid).otherwise(b.lo).alias("lo"), F.when(met, b.hi).when(low, b.hi).otherwise(e.mid).alias("hi"), met.alias("met"))
+                return F.struct(F.when(~met & low, e.mid).otherwise(b.lo).alias("lo"), F.when(met | low, b.hi).otherwise(e.mid).alias("hi"), met.alias("met"))
 
             mid = (b.lo + b.hi) / 2
-            return let(F.struct(mid.alias("mid"), elapsed_ms(start_bpm, end_bpm, mid, beats).alias("ms")), use)
+            # A bracket whose middle has met the target isn't looked at again.
+            return F.when(b.met, b).otherwise(let(F.struct(mid.alias("mid"), elapsed_ms(start_bpm, end_bpm, mid, beats).alias("ms")), use))
 
         begin = F.struct(F.lit(0.02).alias("lo"), F.lit(0.98).alias("hi"), F.lit(False).alias("met"))
         return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step, lambda b: (b.lo + b.hi) / 2)

@@ -65,17 +65,16 @@ def range_of_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT kind, id, {fx('onset')} AS onset_u, {fx('midi_duration')} AS midi_duration_u FROM (
-  SELECT 'note' AS kind, note_id AS id, onset - m AS onset, midi_duration FROM notes JOIN (SELECT perf_id, min(onset) AS m FROM notes WHERE seq % 3 = 0 GROUP BY perf_id) USING (perf_id) WHERE seq % 3 = 0
+  SELECT 'note' AS kind, note_id AS id, onset - m AS onset, midi_duration FROM notes JOIN (SELECT perf_id, min(onset) AS m FROM notes GROUP BY perf_id) USING (perf_id)
   UNION ALL SELECT 'pedal', pedal_id, CASE WHEN onset < m THEN 0 ELSE onset - coalesce(m, 0) END, CASE WHEN onset < m THEN midi_duration - (m - onset) ELSE midi_duration END
-  FROM pedals LEFT JOIN (SELECT perf_id, min(onset) AS m FROM notes WHERE seq % 3 = 0 GROUP BY perf_id) USING (perf_id))""")
+  FROM pedals LEFT JOIN (SELECT perf_id, min(onset) AS m FROM notes GROUP BY perf_id) USING (perf_id))""")
 def shift_first_onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each third note, as its SQL has it; shift_first_onset_whole has all notes."""
-    return _shifted(derived.notes(spark, sf_dir).where("seq % 3 = 0"), derived.pedals(spark, sf_dir))
+    return _shifted(derived.notes(spark, sf_dir), derived.pedals(spark, sf_dir))
 
 
-@query(ORACLES["shift_first_onset"].replace(" WHERE seq % 3 = 0", ""))
+@query(ORACLES["shift_first_onset"])
 def shift_first_onset_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shifted(derived.notes(spark, sf_dir), derived.pedals(spark, sf_dir))
+    return shift_first_onset(spark, sf_dir)
 
 
 def _shifted(notes: DataFrame, pedals: DataFrame) -> DataFrame:

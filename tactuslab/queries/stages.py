@@ -207,19 +207,28 @@ def elapsed_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("note_id", fixed(kernels.elapsed_ms(F.col("bpm"), F.col("t2"), F.col("im"), F.lit(4.0)), 3).alias("ms_u"))
 
 
-@query(
+_MET = "target BETWEEN least(m02, m98) AND greatest(m02, m98)"
+_OPTIMIZED = (
     _CURVES
-    + f""", e AS (SELECT note_id, bpm AS a, t2 AS b, im, 2000.0::DOUBLE + (note_id % 11) * 100 AS target FROM cv WHERE note_id < 400),
-f AS (SELECT *, {_EL.format(n=4, im='0.02')} AS m02, {_EL.format(n=4, im='0.98')} AS m98, {_EL.format(n=4, im='im')} AS cur FROM e)
-SELECT note_id, CASE WHEN abs(a - b) < 0.5 THEN abs(240000.0 / target - (a + b) / 2) > 0.5 ELSE NOT target BETWEEN least(m02, m98) AND greatest(m02, m98) END AS bpm_scaled,
-  {fx('CASE WHEN abs(a - b) < 0.5 THEN 240000.0::DOUBLE / target WHEN target BETWEEN least(m02, m98) AND greatest(m02, m98) THEN a ELSE a * cur / target END', 3)} AS start_u FROM f"""
+    + f""", e AS (SELECT note_id, bpm AS a, t2 AS b, im, 2000.0::DOUBLE + (note_id % 11) * 100 AS target FROM cv),
+f AS (SELECT *, {_EL.format(n=4, im='0.02')} AS m02, {_EL.format(n=4, im='0.98')} AS m98, {_EL.format(n=4, im='im')} AS cur FROM e),
+bi AS (SELECT note_id, a, b, target, m98 > m02 AS rising, 0.02::DOUBLE AS lo, 0.98::DOUBLE AS hi, 0 AS k FROM f WHERE abs(a - b) >= 0.5 AND {_MET} UNION ALL
+  SELECT note_id, a, b, target, rising, CASE WHEN (ms < target) = rising THEN mid ELSE lo END, CASE WHEN (ms < target) = rising THEN hi ELSE mid END, k + 1
+  FROM (SELECT *, {_EL.format(n=4, im='mid')} AS ms FROM (SELECT *, (lo + hi) / 2 AS mid FROM bi WHERE k < 50)) WHERE abs(ms - target) >= 0.1),
+bs AS (SELECT note_id, arg_max((lo + hi) / 2, k) AS shape FROM bi GROUP BY 1)
+SELECT note_id, CASE WHEN abs(a - b) < 0.5 THEN abs(240000.0 / target - (a + b) / 2) > 0.5 ELSE NOT {_MET} END AS bpm_scaled,
+  {fx(f'CASE WHEN abs(a - b) < 0.5 THEN 240000.0::DOUBLE / target WHEN {_MET} THEN a ELSE a * cur / target END', 3)} AS start_u,
+  {fx(f'CASE WHEN abs(a - b) < 0.5 THEN 240000.0::DOUBLE / target WHEN {_MET} THEN b ELSE b * cur / target END', 3)} AS end_u,
+  {fx('CASE WHEN abs(a - b) < 0.5 THEN 0.5 ELSE coalesce(shape, im) END', 4)} AS mean_u FROM f LEFT JOIN bs USING (note_id)"""
 )
+
+
+@query(_OPTIMIZED)
 def optimize_elapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 400 ids, as its SQL has it; optimize_elapsed_whole has all notes."""
-    return _optimized(_curves(spark, sf_dir).where("note_id < 400"))
+    return _optimized(_curves(spark, sf_dir))
 
 
-@query(ORACLES["optimize_elapsed"].replace(" WHERE note_id < 400", ""))
+@query(_OPTIMIZED)
 def optimize_elapsed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _optimized(_curves(spark, sf_dir))
 
@@ -227,10 +236,10 @@ def optimize_elapsed_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _optimized(curves: DataFrame) -> DataFrame:
     c = curves.withColumn("target", 2000.0 + (F.col("note_id") % 11) * 100)
     o = c.select("note_id", kernels.optimized_elapsed(F.col("bpm"), F.col("t2"), F.col("im"), F.lit(4.0), F.col("target")).alias("o"))
-    return o.select("note_id", "o.bpm_scaled", fixed(F.col("o.start_bpm"), 3).alias("start_u"))
+    return o.select("note_id", "o.bpm_scaled", fixed(F.col("o.start_bpm"), 3).alias("start_u"), fixed(F.col("o.end_bpm"), 3).alias("end_u"), fixed(F.col("o.mean_tempo_at"), 4).alias("mean_u"))
 
 
-_POINTS = """, heads AS (SELECT perf_id, date, first_onset AS onset FROM chords WHERE date <= 14400),
+_POINTS = """, heads AS (SELECT perf_id, date, first_onset AS onset FROM chords),
 st AS (SELECT perf_id, onset AS s, 60000.0::DOUBLE * (date - lag(date) OVER w) / ((onset - lag(onset) OVER w) * 1000 * 720) AS bpm, (date - lag(date) OVER w) AS dt, onset - lag(onset) OVER w AS ds FROM heads WINDOW w AS (PARTITION BY perf_id ORDER BY date)),
 tr AS (SELECT perf_id, s, bpm, first_value(s) OVER w AS s0, last_value(s) OVER w AS s1, first_value(bpm) OVER w AS b0, last_value(bpm) OVER w AS b1, count(*) OVER w AS n FROM st WHERE ds > 0 AND dt > 0 WINDOW w AS (PARTITION BY perf_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 gr AS (SELECT perf_id, i, sum((b0 + (b1 - b0) * pow((s - s0) / (s1 - s0), ln(0.5) / ln(i / 100.0::DOUBLE)) - bpm) ** 2) AS err FROM tr, unnest(range(2, 99)) AS u(i) WHERE n >= 2 AND abs(s1 - s0) > 1e-9 AND abs(b1 - b0) > 1e-9 AND (s - s0) / (s1 - s0) > 0.01 AND (s - s0) / (s1 - s0) < 0.99 GROUP BY ALL)
@@ -239,14 +248,12 @@ gr AS (SELECT perf_id, i, sum((b0 + (b1 - b0) * pow((s - s0) / (s1 - s0), ln(0.5
 
 @query(_POINTS + "SELECT perf_id, arg_min(i, (err, i)) AS mean_percent FROM gr GROUP BY perf_id")
 def fit_mean_tempo_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates up to 14,400, as its SQL has it; fit_mean_tempo_at_whole has whole performances."""
-    p = tempo.onset_pairs(derived.notes(spark, sf_dir).where("date <= 14400"))
-    return tempo.mean_tempo_grid(tempo.trail(p)).select("perf_id", "mean_percent")
+    return tempo.mean_tempo_grid(tempo.trail(tempo.onset_pairs(derived.notes(spark, sf_dir)))).select("perf_id", "mean_percent")
 
 
-@query(ORACLES["fit_mean_tempo_at"].replace(" WHERE date <= 14400", ""))
+@query(ORACLES["fit_mean_tempo_at"])
 def fit_mean_tempo_at_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tempo.mean_tempo_grid(tempo.trail(tempo.onset_pairs(derived.notes(spark, sf_dir)))).select("perf_id", "mean_percent")
+    return fit_mean_tempo_at(spark, sf_dir)
 
 
 @query(f"""SELECT perf_id, {fx('60000.0::DOUBLE * (d1 - d0) / ((o1 - o0) * 1000 * 720)', 4)} AS bpm_u FROM (SELECT perf_id, min(date) AS d0, max(date) AS d1, arg_min(first_onset, date) AS o0, arg_max(first_onset, date) AS o1 FROM chords GROUP BY perf_id HAVING count(*) > 1)""")
@@ -493,16 +500,14 @@ def _indexed(n: DataFrame) -> DataFrame:
     return n.withColumn("index", F.row_number().over(Window.partitionBy("perf_id").orderBy("seq")))
 
 
-@query(_REACH.format(dims="velocity AS x", src="notes", near="abs(a.x - b.x) <= 0.5 AND a.i % 4 = b.i % 4"))
+@query(_REACH.format(dims="velocity AS x", src="notes", near="abs(a.x - b.x) <= 0.5"))
 def dbscan_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters within each quarter of the indexes, as its SQL has it; dbscan_1d_whole has velocity alone."""
-    n = _indexed(derived.notes(spark, sf_dir)).withColumn("quarter", (F.col("index") % 4).cast("double"))
-    return relops.cluster(n, {"velocity": 0.5, "quarter": 0.0}).select("perf_id", "index", "label")
+    return relops.cluster(_indexed(derived.notes(spark, sf_dir)), {"velocity": 0.5}).select("perf_id", "index", "label")
 
 
-@query(ORACLES["dbscan_1d"].replace(" AND a.i % 4 = b.i % 4", ""))
+@query(ORACLES["dbscan_1d"])
 def dbscan_1d_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relops.cluster(_indexed(derived.notes(spark, sf_dir)), {"velocity": 0.5}).select("perf_id", "index", "label")
+    return dbscan_1d(spark, sf_dir)
 
 
 @query(_REACH.format(dims="velocity AS x, onset AS y", src="notes", near="abs(a.x - b.x) <= 4 AND abs(a.y - b.y) <= 2"))
@@ -525,16 +530,42 @@ def articulation_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articulation.conflicts(n, n.select("perf_id", "note_id", "seq", F.lit(1.5).alias("mean"))).select("note_id")
 
 
-@query()
+def _closure(name: str, keys: str, near: str) -> str:
+    """Labels of points of table name (keys, i): clusters of those that reach each other, from 0 by their first, or -1 alone."""
+    same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    there = " AND ".join(f"n.{k} = r.{k}" for k in keys.split(", "))
+    nk, ak = (", ".join(f"{t}.{k}" for k in keys.split(", ")) for t in "na")
+    return f"""
+{name}_nb AS (SELECT {ak}, a.i AS a, b.i AS b FROM {name} a JOIN {name} b ON {same} AND a.i <> b.i AND {near}),
+{name}_rc AS (SELECT {keys}, i AS a, i AS root FROM {name} UNION SELECT {nk}, n.b, r.root FROM {name}_rc r JOIN {name}_nb n ON {there} AND n.a = r.a),
+{name}_rt AS (SELECT {keys}, a, min(root) AS root FROM {name}_rc GROUP BY ALL),
+{name}_sz AS (SELECT {keys}, root, dense_rank() OVER (PARTITION BY {keys} ORDER BY root) - 1 AS label FROM {name}_rt GROUP BY {keys}, root HAVING count(*) > 1),
+{name}_lb AS (SELECT {keys}, a AS i, coalesce(label, -1) AS label FROM {name}_rt LEFT JOIN {name}_sz USING ({keys}, root))"""
+
+
+@query(
+    _SPREAD + ", " + ORACLES["spread_intensity"].split(_SPREAD)[1].split("SELECT perf_id, date, CAST(floor")[0].lstrip(", ").rstrip()
+    + _GRADIENT.format(src="notes").rstrip()
+    + """, od AS (SELECT perf_id, date, row_number() OVER (PARTITION BY perf_id ORDER BY date) AS i, (first - mean) * 1000 AS fs, (last - first) * 1000 AS fl, coalesce((lo_ + hi_) / 2, 1.0::DOUBLE) AS st,
+  CASE WHEN mono THEN 'monophonic' WHEN same AND doff > (last - first) * 0.8 THEN 'true' ELSE 'false' END AS shift, coalesce(a, 0.0::DOUBLE) AS g0, coalesce(b, 0.0::DOUBLE) AS g1
+  FROM sp LEFT JOIN (SELECT perf_id, date, lo AS lo_, hi AS hi_ FROM g WHERE k = 33) USING (perf_id, date) LEFT JOIN gs USING (perf_id, date)),"""
+    + _closure("od", "perf_id", "abs(a.fs - b.fs) <= 40 AND abs(a.fl - b.fl) <= 40 AND abs(a.st - b.st) <= 0.3 AND a.shift = b.shift")
+    + """,
+oi AS (SELECT od.*, label AS outside FROM od JOIN od_lb USING (perf_id, i) WHERE label >= 0),"""
+    + _closure("oi", "perf_id, outside", "abs(a.g0 - b.g0) <= 0.1 AND abs(a.g1 - b.g1) <= 0.1")
+    + f""",
+nm AS (SELECT od.*, CASE WHEN l.label >= 0 THEN 'def_global_' || l.outside || '_' || l.label ELSE 'def_single_' || i END AS name FROM od LEFT JOIN oi_lb l USING (perf_id, i))
+SELECT perf_id, name, count(*) AS n, {fx('avg(fs)', 0)} AS start_u, {fx('avg(fl)', 0)} AS length_u, {fx('avg(st)', 3)} AS intensity_u, {fx('avg(g0)')} AS from_u, {fx('avg(g1)')} AS to_u, arg_min(shift, i) AS noteoff_shift FROM nm GROUP BY ALL"""
+)
 def stylize_ornaments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = derived.notes(spark, sf_dir)
     o, _ = ornaments.temporal_spread(n)
     g, _ = ornaments.dynamics_gradient(n)
-    none = F.lit(None).cast("double")
     o = o.join(g.select("perf_id", "date", "transition_from", "transition_to", "scale"), ["perf_id", "date"], "left").withColumn("id", F.concat(F.lit("ornament_"), F.col("date")))
-    del none
     _, defs = ornaments.stylized(o, tick_tolerance=40.0)
-    return ornaments.compressed(defs).select("perf_id", "name", "n", "frame_start", "frame_length", "noteoff_shift")
+    d = ornaments.compressed(defs)
+    values = (("intensity", "intensity_u", 3), ("transition_from", "from_u", 6), ("transition_to", "to_u", 6))
+    return d.select("perf_id", "name", "n", F.col("frame_start").cast("long").alias("start_u"), F.col("frame_length").cast("long").alias("length_u"), *[fixed(F.col(c), k).alias(out) for c, out, k in values], "noteoff_shift")
 
 
 # ---------------------------------------------------------------- parts, pedals
