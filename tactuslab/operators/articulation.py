@@ -47,17 +47,17 @@ def undone(notes: DataFrame, chosen: DataFrame, defs: DataFrame) -> DataFrame:
 def conflicts(notes: DataFrame, lengths: DataFrame) -> DataFrame:
     """Notes (perf_id, note_id, seq) that, at a relative duration of lengths (perf_id, note_id, seq, mean), would run into the next of their pitch.
 
-    Only the next onset of the pitch can be the first to be met, so each note looks at one other.
+    lengths may have further columns, which come along. Only the next onset of the pitch can be the first to be met, so each note looks at one other.
     """
     pitch = Window.partitionBy("perf_id", "midi_pitch")
     rows = notes.where(F.col("tick_date").isNotNull()).withColumn("_place", F.dense_rank().over(pitch.orderBy("tick_date")))
-    rows = rows.withColumn("_next", F.min("tick_date").over(pitch.orderBy("_place").rangeBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("_next", F.min("tick_date").over(pitch.orderBy(F.desc("_place")).rangeBetween(Window.unboundedPreceding, -1)))
     hit = rows.join(lengths, ["perf_id", "note_id", "seq"]).where(F.col("tick_date") + F.col("duration") * F.col("mean") > F.col("_next"))
-    return hit.select("perf_id", "note_id", "seq")
+    return hit.select(*[c for c in lengths.columns if c != "mean"])
 
 
-def stylized(articulated: DataFrame, notes: DataFrame, volume_tolerance: float = 0.01, duration_tolerance: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """Articulations (perf_id, note_id, seq, rel_dur, rel_vel) with label and conflict, and definitions of the clusters.
+def clustered(articulated: DataFrame, volume_tolerance: float = 0.01, duration_tolerance: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Articulations (perf_id, seq, rel_dur, rel_vel and more) with the label of their cluster, and a definition for each.
 
     is_default marks each performance's largest cluster, the first of equals.
     """
@@ -65,7 +65,12 @@ def stylized(articulated: DataFrame, notes: DataFrame, volume_tolerance: float =
     found = relops.cluster(rows, {"rel_dur": duration_tolerance, "rel_vel": volume_tolerance})
     defs = found.where("label >= 0").groupBy("perf_id", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("rel_dur").alias("rel_dur"), F.avg("rel_vel").alias("rel_vel"))
     best = F.row_number().over(Window.partitionBy("perf_id").orderBy(F.desc("n"), "label")) == 1
-    defs = defs.withColumn("is_default", best).withColumn("name", F.concat(F.lit("def_"), F.col("label")))
+    return found, defs.withColumn("is_default", best).withColumn("name", F.concat(F.lit("def_"), F.col("label")))
+
+
+def stylized(articulated: DataFrame, notes: DataFrame, volume_tolerance: float = 0.01, duration_tolerance: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """Articulations (perf_id, note_id, seq, rel_dur, rel_vel) of single notes with label and conflict, and definitions of the clusters."""
+    found, defs = clustered(articulated, volume_tolerance, duration_tolerance)
     lengths = found.join(defs.select("perf_id", "label", F.col("rel_dur").alias("mean")), ["perf_id", "label"]).select("perf_id", "note_id", "seq", "mean")
     clash = conflicts(notes, lengths).withColumn("conflict", F.lit(True))
     out = found.join(clash, ["perf_id", "note_id", "seq"], "left").withColumn("conflict", F.coalesce("conflict", F.lit(False)))

@@ -48,7 +48,8 @@ def boundary_times(notes: DataFrame, boundaries: list[int]) -> DataFrame:
     w = Window.partitionBy("perf_id").orderBy("date")
     point = F.when(~F.col("_cut"), F.struct("date", "onset"))
     rows = rows.withColumn("a", F.last(point, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("b", F.first(point, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))).where("_cut")
+    back = Window.partitionBy("perf_id").orderBy(F.desc("date")).rangeBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("b", F.last(point, ignorenulls=True).over(back)).where("_cut")
     share = (F.col("date") - F.col("a.date")) / F.nullif(F.col("b.date") - F.col("a.date"), F.lit(0))
     between = F.coalesce(F.col("a.onset") + share * (F.col("b.onset") - F.col("a.onset")), F.col("a.onset"), F.col("b.onset"))
     return rows.select("perf_id", F.col("date").alias("boundary"), between.alias("onset"))
@@ -86,14 +87,24 @@ def replaced(tempos: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
     ordered = sorted(ranges)
     if any(a[1] > b[0] for a, b in zip(ordered, ordered[1:], strict=False)):
         raise ValueError("the ranges overlap")
-    out = tempos.withColumn("restored", F.lit(False))
+    everywhere = tempos.select("perf_id").distinct()
+    out, again = tempos, None
     for start, end in ordered:
-        hit = (F.col("date") >= start) & (F.col("date") < end)
-        own = tempos.where(F.col("date") < end).groupBy("perf_id").agg(F.max_by(F.struct("*"), "date").alias("t"), F.max(hit).alias("hit"))
-        have = tempos.where(F.col("date") == end).select("perf_id")
-        again = own.where("hit").join(have, "perf_id", "left_anti").select("t.*").withColumn("date", F.lit(float(end))).withColumn("restored", F.lit(True))
-        out = out.where(~hit).unionByName(again)
-    return out
+        new = replaced_from(tempos, everywhere.withColumn("start", F.lit(float(start))), end).where("restored")
+        again = new if again is None else again.unionByName(new)
+        out = out.where((F.col("date") < start) | (F.col("date") >= end))
+    out = out.withColumn("restored", F.lit(False))
+    return out if again is None else out.unionByName(again)
+
+
+def replaced_from(tempos: DataFrame, starts: DataFrame, end: float) -> DataFrame:
+    """Tempos, but for those from each performance's start (perf_id, start) up to end; restored marks what begins anew there."""
+    rows = tempos.join(starts, "perf_id", "left")
+    hit = F.coalesce((F.col("date") >= F.col("start")) & (F.col("date") < end), F.lit(False))
+    own = rows.where("start IS NOT NULL").where(F.col("date") < end).groupBy("perf_id").agg(F.max_by(F.struct(*tempos.columns), "date").alias("t"), F.max(hit).alias("hit"))
+    have = tempos.where(F.col("date") == end).select("perf_id")
+    again = own.where("hit").join(have, "perf_id", "left_anti").select("t.*").withColumn("date", F.lit(float(end)))
+    return rows.where(~hit).select(*tempos.columns, F.lit(False).alias("restored")).unionByName(again.select(*tempos.columns, F.lit(True).alias("restored")))
 
 
 @dataclass(frozen=True)

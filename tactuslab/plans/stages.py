@@ -23,10 +23,16 @@ registry = Registry()
 
 
 def with_ids(rows: DataFrame, kind: str, existing: DataFrame | None = None) -> DataFrame:
-    """rows with id: kind_date, from the second of a date on with a number; those of existing are counted first."""
+    """rows with id: kind_date, from the second of a date on with a number; those of existing are counted first.
+
+    Rows of one date are numbered by seq, if they have it, and then by what they hold, so that a task that is
+    run again gives the same ids.
+    """
     date = F.when(F.col("date") == F.floor("date"), F.floor("date").cast("string")).otherwise(F.col("date").cast("string"))
-    k = F.row_number().over(Window.partitionBy("perf_id", "date").orderBy(F.monotonically_increasing_id())) - 1
-    rows = rows.drop("id").withColumn("_k", k)
+    rows = rows.drop("id")
+    order = ["seq"] * ("seq" in rows.columns) + [c for c, t in rows.dtypes if c not in ("perf_id", "date", "seq") and not t.startswith("map")]
+    k = F.row_number().over(Window.partitionBy("perf_id", "date").orderBy(*order or ["date"])) - 1
+    rows = rows.withColumn("_k", k)
     if existing is not None:
         rows = rows.join(existing.groupBy("perf_id", "date").agg(F.count(F.lit(1)).alias("_n")), ["perf_id", "date"], "left").withColumn("_k", F.col("_k") + F.coalesce("_n", F.lit(0))).drop("_n")
     return rows.withColumn("id", F.concat(F.lit(f"{kind}_"), date, F.when(F.col("_k") > 0, F.concat(F.lit("_"), F.col("_k"))).otherwise(""))).drop("_k")
@@ -144,13 +150,11 @@ class ApproximateLogarithmicTempo(Stage):
         played = ops.in_part(played, o["scope"])
         fitted = self.preview(state, played)
         have = scoped(state.table("tempo"), o["scope"])
-        start = fitted.groupBy("perf_id").agg(F.min("date").alias("_from"))
-        kept = have.join(start, "perf_id", "left")
-        hit = F.col("_from").isNotNull() & (F.col("date") >= F.col("_from")) & (F.col("date") < o["end"])
-        own = kept.where("_from IS NOT NULL").where(F.col("date") < o["end"]).groupBy("perf_id").agg(F.max_by(F.struct(*have.columns), "date").alias("t"), F.max(hit).alias("hit"))
-        again = own.where("hit").join(have.where(F.col("date") == o["end"]).select("perf_id"), "perf_id", "left_anti").select("t.*").withColumn("date", F.lit(float(o["end"]))).withColumn("id", F.lit(f"tempo_{o['end']}"))
+        start = fitted.groupBy("perf_id").agg(F.min("date").alias("start"))
+        kept = tempo.replaced_from(have, start, o["end"])
+        kept = kept.withColumn("id", F.when(F.col("restored"), F.lit(f"tempo_{o['end']}")).otherwise(F.col("id")))
         others = state.table("tempo").where(~F.col("scope").eqNullSafe(F.lit(o["scope"]).cast("int")))
-        rest = others.unionByName(kept.where(~hit).select(*have.columns)).unionByName(again)
+        rest = others.unionByName(kept.select(*have.columns))
         new = with_ids(fitted, "tempo", rest).withColumn("scope", F.lit(o["scope"]).cast("int"))
         rest = rest.unionByName(new.select(*have.columns))
         return state.with_table("tempo", relops.saved(rest, "tempo"))
@@ -309,14 +313,17 @@ class StylizeArticulation(Stage):
     def transform(self, state: State) -> State:
         o = self.options
         all_rows = state.table("articulation").withColumn("_row", F.monotonically_increasing_id())
-        all_rows = relops.saved(all_rows, "articulations")
+        all_rows = relops.saved(all_rows, "articulations")  # which keeps the numbers
         own = scoped(all_rows, o["scope"]).where(defined("rel_dur") & defined("rel_vel"))
-        note = F.substring(F.get("noteid", F.lit(0)), 2, 1 << 20)
-        keyed = own.select("perf_id", F.col("_row").alias("seq"), note.alias("note_id"), "rel_dur", "rel_vel")
-        firsts = ops.by_id_all(state.notes).select("perf_id", "note_id", F.col("seq").alias("_seq"))
-        keyed = keyed.join(firsts, ["perf_id", "note_id"]).select("perf_id", "note_id", F.col("_seq").alias("seq"), F.col("seq").alias("_row"), "rel_dur", "rel_vel")
-        found, defs = articulation.stylized(keyed, state.notes, o["volume_tolerance"], o["duration_tolerance"])
+        own = own.select("perf_id", "_row", "date", F.substring(F.get("noteid", F.lit(0)), 2, 1 << 20).alias("_note"), "rel_dur", "rel_vel")
+        found, defs = articulation.clustered(own.withColumn("seq", F.col("_row")), o["volume_tolerance"], o["duration_tolerance"])
         found, defs = relops.saved(found, "found"), relops.saved(defs, "articulation-defs")
+        # An articulation is one of a note, or of all notes of its date.
+        means = found.join(defs.select("perf_id", "label", F.col("rel_dur").alias("mean")), ["perf_id", "label"])
+        meant = state.notes.select("perf_id", "date", "note_id", "seq").join(means.select("perf_id", F.col("date").cast("long").alias("date"), "_row", "_note", "mean"), ["perf_id", "date"])
+        meant = meant.where(F.col("_note").isNull() | (F.col("_note") == F.col("note_id").cast("string")))
+        clash = articulation.conflicts(state.notes, meant.select("perf_id", "note_id", "seq", "mean", "_row")).select("perf_id", "_row").distinct()
+        found = found.join(clash.withColumn("_clash", F.lit(True)), ["perf_id", "_row"], "left").withColumn("conflict", F.coalesce("_clash", F.lit(False)))
         state = self._define(state, "articulationDef", defs, "rel_dur", "rel_vel")
         best = defs.where("is_default").select("perf_id", F.col("name").alias("default_articulation"), F.col("label").alias("_best"))
         named = found.where("label >= 0 AND NOT conflict").join(best, "perf_id").select("perf_id", "_row", F.concat(F.lit("def_"), F.col("label")).alias("_name"), (F.col("label") == F.col("_best")).alias("_gone"))

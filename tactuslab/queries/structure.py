@@ -68,12 +68,15 @@ def score_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain over all performances: what is left of each note."""
+    """All sixteen stages of the standard order over all performances and dates: what is left of each note."""
+    end = 43200
     chain = pipeline.Pipeline([
-        stages.Modify(aspect="velocity", change=1.0, start=0, end=720), stages.InsertTemporalSpread(), stages.InsertDynamicsGradient(), stages.ApproximateLogarithmicTempo(start=0, end=21600),
-        stages.TranslatePhysicalTimeToTicks(), stages.InsertRubato(start=7200, length=1440), stages.InsertDynamicsInstructions(start=0, end=21600), stages.InsertPedal(duration=60.0), stages.InsertMetadata(authors=["A"]),
+        stages.MakeChoice(prefer="view", start=0, end=720), stages.Modify(aspect="velocity", change=1.0, start=0, end=720), stages.InsertTemporalSpread(), stages.InsertDynamicsGradient(),
+        stages.ApproximateLogarithmicTempo(start=0, end=end), stages.TranslatePhysicalTimeToTicks(), stages.StylizeOrnamentation(tick_tolerance=40.0), stages.InsertRubato(start=7200, length=1440),
+        stages.InsertRubato(start=8640, length=1440), stages.CombineAdjacentRubatos(), stages.InsertDynamicsInstructions(start=0, end=end),
+        stages.InsertMetricalAccentuation(pattern="first", start=0, end=2880, scale_tolerance=10.0), stages.InsertMetricalAccentuation(pattern="second", start=2880, end=5760, scale_tolerance=10.0),
+        stages.MergeMetricalAccentuations(names=("first", "second"), into="both"), stages.InsertArticulation(note_ids=tuple(range(0, 1000, 7)), aspects=("rel_dur",)), stages.StylizeArticulation(),
+        stages.InsertPedal(duration=60.0), stages.InsertMetadata(authors=["A"]),
     ])
     out = chain.run(derived.state(spark, sf_dir))
     return out.notes.select("perf_id", "note_id", "date", "tick_date", "tick_duration", "abs_vel_change")
-
-
