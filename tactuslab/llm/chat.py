@@ -17,10 +17,12 @@ steps, and earlier siblings are added up over ranges, so a message may have any
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import discard, saved
+from tactuslab.llm.common import saved
 
 #: Lines that introduce a quotation, as mail programs write them.
 INTRODUCTION = r"^\s*(On\s.*\swrote|Am\s.*\sschrieb.*|Le\s.*\sa écrit|El\s.*\sescribió)\s*:\s*$"
@@ -113,25 +115,42 @@ def _earlier(rows: DataFrame, keys: list[str], order: list[str], value: str) ->
 
 def _threads(replies: DataFrame) -> DataFrame:
     """Of messages (conv_id, me, up) the top of their thread, depth, and position in the conversation."""
+    columns = ["conv_id", "me", "far", "top", "depth"]
     start = replies.select("conv_id", "me", F.col("up").alias("far"), F.coalesce("up", "me").alias("top"), F.col("up").isNotNull().cast("long").alias("depth"), F.lit(1).cast("long").alias("size"))
-    nodes = saved(start, "threads")
-    while nodes.where("far IS NOT NULL").limit(1).count():
-        # far is the message so many replies above, size how many there are within so many below.
-        below = nodes.where("far IS NOT NULL").groupBy("conv_id", F.col("far").alias("me")).agg(F.sum("size").alias("more"))
-        above = nodes.select("conv_id", F.col("me").alias("far"), F.col("far").alias("next"), F.col("top").alias("next_top"), F.col("depth").alias("more_depth"))
-        grown = nodes.join(below, ["conv_id", "me"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
-        grown = grown.join(above, ["conv_id", "far"], "left")
-        before, nodes = nodes, saved(grown.select("conv_id", "me", F.col("next").alias("far"), F.coalesce("next_top", "top").alias("top"), (F.col("depth") + F.coalesce("more_depth", F.lit(0))).alias("depth"), "size"), "threads")
-        discard(before)
+    moving = saved(start, "threads")
+    settled, moving = [moving.where("far IS NULL").select(*columns)], moving.where("far IS NOT NULL")
+    added = []
+    while moving.limit(1).count():
+        # far is the message so many replies above, size how many there are within so many below. Only what hasn't
+        # come to its root goes on; what is added to the size of a message is kept apart and summed up at the end.
+        more = saved(moving.groupBy("conv_id", F.col("far").alias("me")).agg(F.sum("size").alias("more")), "below")
+        added.append(more)
+        known = reduce(DataFrame.unionByName, settled, moving.select(*columns))
+        above = known.select("conv_id", F.col("me").alias("far"), F.col("far").alias("next"), F.col("top").alias("next_top"), F.col("depth").alias("more_depth"))
+        grown = moving.join(more, ["conv_id", "me"], "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        grown = grown.join(above, ["conv_id", "far"])
+        grown = saved(grown.select("conv_id", "me", F.col("next").alias("far"), F.col("next_top").alias("top"), (F.col("depth") + F.col("more_depth")).alias("depth"), "size"), "threads")
+        settled.append(grown.where("far IS NULL").select(*columns))
+        moving = grown.where("far IS NOT NULL")
+    nodes = reduce(DataFrame.unionByName, settled)
+    if added:
+        sizes = saved(reduce(DataFrame.unionByName, added).groupBy("conv_id", "me").agg(F.sum("more").alias("more")), "sizes")
+        nodes = nodes.join(sizes, ["conv_id", "me"], "left")
+    else:
+        nodes = nodes.withColumn("more", F.lit(None).cast("long"))
+    nodes = nodes.withColumn("size", 1 + F.coalesce("more", F.lit(0).cast("long")))
     sized = replies.join(nodes, ["conv_id", "me"]).select("conv_id", "me", "up", "top", "depth", "size", "me.turn", "me.th")
     placed = _earlier(sized, ["conv_id", "up"], ["turn", "th"], "size")
     placed = saved(placed.withColumn("step", F.col("before") + F.col("up").isNotNull().cast("long")), "placed")
-    at = saved(placed.select("conv_id", "me", F.col("up").alias("far"), F.col("step").alias("position")), "positions")
-    while at.where("far IS NOT NULL").limit(1).count():
-        above = at.select("conv_id", F.col("me").alias("far"), F.col("far").alias("next"), F.col("position").alias("more"))
-        moved = at.where("far IS NOT NULL").join(above, ["conv_id", "far"]).select("conv_id", "me", F.col("next").alias("far"), (F.col("position") + F.col("more")).alias("position"))
-        before, at = at, saved(at.where("far IS NULL").unionByName(moved), "positions")
-        discard(before)
+    at = placed.select("conv_id", "me", F.col("up").alias("far"), F.col("step").alias("position"))
+    settled, moving = [at.where("far IS NULL")], at.where("far IS NOT NULL")
+    while moving.limit(1).count():
+        known = reduce(DataFrame.unionByName, settled, moving)
+        above = known.select("conv_id", F.col("me").alias("far"), F.col("far").alias("next"), F.col("position").alias("more"))
+        moved = saved(moving.join(above, ["conv_id", "far"]).select("conv_id", "me", F.col("next").alias("far"), (F.col("position") + F.col("more")).alias("position")), "positions")
+        settled.append(moved.where("far IS NULL"))
+        moving = moved.where("far IS NOT NULL")
+    at = reduce(DataFrame.unionByName, settled)
     return placed.select("conv_id", "me", "top", "depth").join(at.select("conv_id", "me", "position"), ["conv_id", "me"])
 
 
