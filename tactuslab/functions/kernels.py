@@ -226,10 +226,41 @@ def accentuation_at(beat: Column, children: Column, length: Column) -> Column:
     )
 
 
+#: SQL functions: name, parameters and body. Those of fixed steps carry their state through aggregate().
+_POWER = "power({x}, ln(0.5D) / ln(coalesce({m}, 0.5D)))"
+_INVERSE = "(1 / (bpm + (`to` - bpm) * " + _POWER.format(x="least(1D, {k} * (date - start) / (2 * greatest(floor((date - start) / 180), 1) * (`end` - start)))", m="mean_at") + "))"
+_HALF = "CAST(greatest(floor((date - start) / 180), 1) AS INT)"
+_ERROR = "aggregate(sequence(0, size(onsets) - 1), 0D, (s, i) -> s + power(get(onsets, i) - power(CAST(i AS DOUBLE) / (size(onsets) - 1), {p}), 2D))"
+_C, _D = f"(b.hi - (b.hi - b.lo) / {GOLDEN}D)", f"(b.lo + (b.hi - b.lo) / {GOLDEN}D)"
+_X1 = "if(protraction > 0, curvature + (1 - curvature) * protraction, curvature + curvature * protraction)"
+_X2 = "if(protraction > 0, 1 - curvature + curvature * protraction, 1 - curvature + (1 - curvature) * protraction)"
+_T = "((b.low + b.high) / 2)"
+_AHEAD = f"(({_T} * (3 * {_X1} + {_T} * (3 * {_X2} - 6 * {_X1} + {_T} * (3 * {_X1} - 3 * {_X2} + 1)))) * (`end` - start) - (date - start))"
+SQL_FUNCTIONS = (
+    ("js_round", "x DOUBLE", "floor(x + 0.5D)"),
+    ("clamp", "low DOUBLE, x DOUBLE, high DOUBLE", "greatest(low, least(high, x))"),
+    ("rubato_on_date", "date DOUBLE, start DOUBLE, length DOUBLE, intensity DOUBLE, late DOUBLE, early DOUBLE",
+     "date + (power(((date - start) % length) / length, coalesce(intensity, 1D)) * (greatest(0.1D, least(1D, coalesce(early, 1D))) - greatest(0D, least(0.9D, coalesce(late, 0D)))) + greatest(0D, least(0.9D, coalesce(late, 0D)))) * length - (date - start) % length"),
+    ("tempo_at", "date DOUBLE, start DOUBLE, `end` DOUBLE, bpm DOUBLE, `to` DOUBLE, mean_at DOUBLE",
+     "CASE WHEN bpm IS NULL OR bpm = 0 THEN 100D WHEN `to` IS NULL OR `to` = 0 THEN bpm WHEN date >= `end` THEN `to` ELSE bpm + (`to` - bpm) * " + _POWER.format(x="(date - start) / (`end` - start)", m="mean_at") + " END"),
+    ("tempo_ms_at", "date DOUBLE, start DOUBLE, `end` DOUBLE, bpm DOUBLE, beat_length DOUBLE, `to` DOUBLE, mean_at DOUBLE",
+     f"CASE WHEN `to` IS NULL OR `to` = 0 THEN 15000D * (date - start) / (bpm * beat_length * 720) WHEN date = start THEN 0D ELSE (date - start) * 2500 / ({_HALF} * beat_length * 720) * (1 / bpm + {_INVERSE.format(k=f'(2 * {_HALF})')} + aggregate(sequence(1, 2 * {_HALF} - 1), 0D, (t, k) -> t + (2 + 2 * (k % 2)) * {_INVERSE.format(k='k')})) END"),
+    ("elapsed_ms", "start_bpm DOUBLE, end_bpm DOUBLE, mean_at DOUBLE, beats DOUBLE",
+     "CASE WHEN beats <= 0 THEN 0D WHEN abs(start_bpm - end_bpm) < 0.01 THEN beats * 60000D / start_bpm ELSE (aggregate(sequence(1, 199), 0D, (s, i) -> s + 60000D / (start_bpm + (end_bpm - start_bpm) * power(i / 200D, ln(0.5D) / ln(greatest(0.001D, least(0.999D, mean_at)))))) + 30000D / start_bpm + 30000D / end_bpm) * beats / 200D END"),
+    ("spread_intensity", "onsets ARRAY<DOUBLE>",
+     f"CASE WHEN size(onsets) <= 2 THEN 1D ELSE aggregate(sequence(1, {GOLDEN_STEPS}), struct(0.1D AS lo, 5D AS hi), (b, k) -> if({_ERROR.format(p=_C)} < {_ERROR.format(p=_D)}, struct(b.lo AS lo, {_D} AS hi), struct({_C} AS lo, b.hi AS hi)), b -> (b.lo + b.hi) / 2) END"),
+    ("curve_place", "date DOUBLE, start DOUBLE, `end` DOUBLE, curvature DOUBLE, protraction DOUBLE",
+     f"CASE WHEN date = start THEN 0D WHEN date = `end` THEN 1D ELSE aggregate(sequence(1, greatest(4, CAST(ceil(log2(greatest(`end` - start, 2D))) AS INT) + 4)), struct(0D AS low, 1D AS high), (b, k) -> struct(if(abs({_AHEAD}) < 1 OR {_AHEAD} <= 0, {_T}, b.low) AS low, if(abs({_AHEAD}) < 1 OR {_AHEAD} > 0, {_T}, b.high) AS high), b -> {_T}) END"),
+    ("volume_at", "date DOUBLE, start DOUBLE, `end` DOUBLE, value DOUBLE, `to` DOUBLE, curvature DOUBLE, protraction DOUBLE",
+     "CASE WHEN `to` IS NULL OR `to` = 0 OR `to` = value OR date < start THEN value WHEN date >= `end` THEN `to` ELSE get(transform(array(curve_place(date, start, `end`, coalesce(curvature, 0.5D), coalesce(protraction, 0D))), t -> (3 - 2 * t) * t * t * (`to` - value) + value), 0) END"),
+)
+
+
 def register(spark) -> None:
-    """Kernels of plain numbers as SQL functions."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION js_round(x DOUBLE) RETURNS DOUBLE RETURN floor(x + 0.5D)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION clamp(low DOUBLE, x DOUBLE, high DOUBLE) RETURNS DOUBLE RETURN greatest(low, least(high, x))")
+    """The kernels of plain numbers as SQL functions, under their names here; tempo_ms_at is ms_at, volume_at eased."""
+    for name, parameters, body in SQL_FUNCTIONS:
+        kind = "DOUBLE"
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
 
 
 def all_of(conditions: list[Column]) -> Column:

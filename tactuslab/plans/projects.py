@@ -127,7 +127,16 @@ def stage_options(name: str, options: dict, known: Iterable[str]) -> tuple[dict,
 
 
 def argumentations(stages: Iterable[Stage]) -> list[tuple[dict, list[Stage]]]:
-    """Stages by their argumentation, each of which is one however its id reads, in the order they are first seen."""
+    """Stages by the id of their argumentation, in the order they are first seen."""
+    found: dict[str, tuple[dict, list[Stage]]] = {}
+    for s in stages:
+        if s.argumentation:
+            found.setdefault(s.argumentation["id"], (s.argumentation, []))[1].append(s)
+    return list(found.values())
+
+
+def _groups(stages: Iterable[Stage]) -> list[tuple[dict, list[Stage]]]:
+    """Stages by their argumentation itself, however its id reads; those without one together."""
     found: dict[int, tuple[dict, list[Stage]]] = {}
     for s in stages:
         found.setdefault(id(s.argumentation), (s.argumentation or {}, []))[1].append(s)
@@ -146,7 +155,7 @@ def export_work(work: dict, stages: Iterable[Stage], secondary: dict | None = No
             o = call_options(s)
             sources += [o["prefer"]] if "prefer" in o else [x for x in (o.get("velocity"), o.get("timing")) if x is not None]
     call = lambda s: {"id": s.id, "name": STAGE_NAMES.get(s.name, s.name), "options": call_options(s), "created": s.created}
-    groups = [{**a, "calls": [call(s) for s in own]} for a, own in argumentations(stages)]
+    groups = [{**a, "calls": [call(s) for s in own]} for a, own in _groups(stages)]
     body = {"@context": CONTEXT, "@type": "Reconstruction", **work, "creation": {"incorporates": list(dict.fromkeys(sources)), "argumentations": groups}}
     return json.dumps({**body, **({"secondary": secondary} if secondary is not None else {})})
 
