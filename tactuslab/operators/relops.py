@@ -113,13 +113,28 @@ def components(points: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("pe
     return points.join(label.select(*keys, F.col("a").alias(index), "root"), [*keys, index], "left")
 
 
+def _in_a_row(points: DataFrame, dim: str, epsilon: float, keys: tuple[str, ...], index: str) -> DataFrame:
+    """points with root where there is one dimension: a component ends at each gap of more than epsilon."""
+    x = F.col(dim).cast("double")
+    known = x.isNotNull() & ~F.isnan(x)
+    order = Window.partitionBy(*keys, known).orderBy(x)
+    rows = points.withColumn("_known", known).withColumn("_run", F.sum(F.coalesce((x - F.lag(x).over(order) > epsilon).cast("int"), F.lit(0))).over(order))
+    root = F.when(F.col("_known"), F.min(index).over(Window.partitionBy(*keys, "_known", "_run"))).otherwise(F.col(index))
+    return rows.withColumn("root", root).drop("_known", "_run")
+
+
 def cluster(points: DataFrame, dims: dict[str, float], keys: tuple[str, ...] = ("perf_id",), index: str = "index") -> DataFrame:
     """points with label: clusters of points that touch within a box, numbered by their first index, -1 alone.
 
     What density clustering with two points a core comes to: every point with a neighbour is a core, so
-    clusters are the connected components of two or more.
+    clusters are the connected components of two or more. One dimension takes a sort; more take pairs of
+    neighbouring cells of the first one.
     """
-    found = components(points, box_neighbours(points, dims, keys, index), keys, index)
+    if len(dims) == 1:
+        ((dim, epsilon),) = dims.items()
+        found = _in_a_row(points, dim, epsilon, keys, index)
+    else:
+        found = components(points, box_neighbours(points, dims, keys, index), keys, index)
     sizes = found.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     w = Window.partitionBy(*keys).orderBy("root")
     sizes = sizes.withColumn("label", F.row_number().over(w) - 1).drop("_n")

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactuslab.functions.kernels import fixed
 from tactuslab.plans import pipeline, stages
 from tactuslab.plans.registry import validate
-from tactuslab.queries.base import query
+from tactuslab.queries.base import fx, query
 from tactuslab.sources import derived, msm
 from tactuslab.tables import shared_dir
 
@@ -52,18 +53,24 @@ def project_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("work", "argumentation", "name", F.get_json_object("options", "$.durationThreshold").cast("double").alias("threshold"))
 
 
-@query("SELECT DISTINCT perf_id, pos, kind FROM notes, (VALUES (0, 'author'), (1, 'comment')) AS t(pos, kind)")
+@query("""SELECT DISTINCT perf_id, pos, kind, body FROM notes, (VALUES (0, 'author', '{"number": 1, "text": "A"}'), (1, 'comment', '"c"'), (2, 'appInfo', '{"name": "app", "url": "u", "version": "1"}')) AS t(pos, kind, body)""")
 def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = stages.InsertMetadata(authors=[{"name": "A"}], comments=["c"])
-    return stage.run(derived.state(spark, sf_dir)).table("metadata").select("perf_id", "pos", "kind")
+    stage = stages.InsertMetadata(authors=[{"number": 1, "text": "A"}], comments=["c"], app_info=[{"name": "app", "version": "1", "url": "u"}])
+    return stage.run(derived.state(spark, sf_dir)).table("metadata").select("perf_id", "pos", "kind", "body")
 
 
-@query("SELECT perf_id, count(*) AS n_notes, max(date) AS section_end FROM notes GROUP BY perf_id")
+@query(f"SELECT perf_id, part, CAST(note_id AS VARCHAR) AS id, date, duration, midi_pitch, {fx('onset')} AS onset_u, {fx('midi_duration')} AS midi_duration_u, velocity, max(date) OVER (PARTITION BY perf_id) AS section_end FROM notes")
 def score_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = derived.notes(spark, sf_dir)
-    x = msm.to_xml(n, derived.meta(spark, sf_dir))
-    notes = F.size(F.split("xml", "<note ")) - 1
-    return x.select("perf_id", notes.cast("long").alias("n_notes"), F.regexp_extract("xml", r'date\.end="(\d+)"', 1).cast("long").alias("section_end"))
+    """The attributes of all notes as the written score has them, part by part."""
+    x = msm.to_xml(derived.notes(spark, sf_dir), derived.meta(spark, sf_dir), intermediate=True)
+    end = F.regexp_extract("xml", r'date\.end="(\d+)"', 1).cast("long")
+    parts = x.select("perf_id", end.alias("section_end"), F.explode(F.slice(F.split("xml", "<part "), 2, 1 << 20)).alias("p"))
+    notes = parts.select("perf_id", "section_end", F.regexp_extract("p", r'number="(\d+)"', 1).cast("int").alias("part"), F.explode(F.slice(F.split("p", "<note "), 2, 1 << 20)).alias("n"))
+    value = lambda a: F.regexp_extract("n", rf'(?:^| ){a}="([^"]*)"', 1)
+    return notes.select(
+        "perf_id", "part", value("xml:id").alias("id"), value("date").cast("long").alias("date"), value("duration").cast("long").alias("duration"), value(r"midi\.pitch").cast("int").alias("midi_pitch"),
+        fixed(value(r"midi\.onset").cast("double")).alias("onset_u"), fixed(value(r"midi\.duration").cast("double")).alias("midi_duration_u"), value(r"midi\.velocity").cast("double").alias("velocity"), "section_end",
+    )
 
 
 @query()
