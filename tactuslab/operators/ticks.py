@@ -1,4 +1,7 @@
-"""From physical time to score time: frames of tempos anchored at heard onsets, and what falls into them."""
+"""From physical time to score time: frames of tempos anchored at heard onsets, and what falls into them.
+
+Whoever needs more than one of these makes the frames once, writes them, and passes them as made.
+"""
 
 from __future__ import annotations
 
@@ -29,17 +32,17 @@ def _date(ms, prefix: str = ""):
     return date_at(ms, *[F.col(prefix + c) for c in TEMPO])
 
 
-def tick_onsets(notes: DataFrame, tempos: DataFrame) -> DataFrame:
+def tick_onsets(notes: DataFrame, tempos: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """notes with tick_date: where the tempo in force at their score date puts their onset. Before the first tempo there is none."""
-    f = frames(tempos, notes)
+    f = frames(tempos, notes) if made is None else made
     rows = relops.asof(notes, f, [*TEMPO, "begin_ms"], prefix="_t_")
     at = F.when(F.col("_t_bpm").isNotNull(), _date(F.col("onset") * 1000 - F.col("_t_begin_ms"), "_t_"))
     return rows.withColumn("tick_date", at).select(*notes.columns, *([] if "tick_date" in notes.columns else ["tick_date"]))
 
 
-def tick_durations(notes: DataFrame, tempos: DataFrame) -> DataFrame:
+def tick_durations(notes: DataFrame, tempos: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """notes (with tick_date) with tick_duration: the last frame in which a note's end is heard, both ends counted, gives it; past the last there is none."""
-    f = frames(tempos, notes).select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in TEMPO], "begin_ms", "heard_ms")
+    f = (frames(tempos, notes) if made is None else made).select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in TEMPO], "begin_ms", "heard_ms")
     ended = notes.where(F.col("midi_duration").isNotNull() & (F.col("midi_duration") != 0)).withColumn("_end", (F.col("onset") + F.col("midi_duration")) * 1000)
     # Frames follow each other, so the last that begins at or before the end, or one that ends just there, is the one.
     cand = _asof_ms(ended, f)
@@ -58,9 +61,9 @@ def _asof_ms(rows: DataFrame, f: DataFrame) -> DataFrame:
     return out.drop("date").withColumnsRenamed({"_date": "date", "_b": "begin_ms"})
 
 
-def pedal_ticks(pedals: DataFrame, notes: DataFrame, tempos: DataFrame) -> DataFrame:
+def pedal_ticks(pedals: DataFrame, notes: DataFrame, tempos: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """pedals with tick_date and tick_duration, from the frames in which their beginning and their end are heard (half open)."""
-    f = frames(tempos, notes).select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in TEMPO], "begin_ms", "length_ms", "heard_ms")
+    f = (frames(tempos, notes) if made is None else made).select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in TEMPO], "begin_ms", "length_ms", "heard_ms")
     out = pedals.drop("tick_date", "tick_duration")
     for name, at, span in (("tick_date", F.col("onset"), "length_ms"), ("_tick_end", F.col("onset") + F.col("midi_duration"), "heard_ms")):
         right = f.withColumn("_b", F.col("begin_ms")).withColumn("date", F.col("begin_ms"))
@@ -76,9 +79,9 @@ def _asof_at(rows: DataFrame, right: DataFrame, span: str) -> DataFrame:
     return out.withColumnRenamed("_date", "date") if "_date" in out.columns else out
 
 
-def ornament_ticks(ornaments: DataFrame, notes: DataFrame, tempos: DataFrame) -> DataFrame:
+def ornament_ticks(ornaments: DataFrame, notes: DataFrame, tempos: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """Ornament frames in milliseconds as ticks: the ornament's own time, then its frame's start and end, through the tempo frames."""
-    f = frames(tempos, notes)
+    f = frames(tempos, notes) if made is None else made
     done = ornaments.where(F.col("time_unit").eqNullSafe("ticks"))
     rows = ornaments.where(~F.col("time_unit").eqNullSafe("ticks"))
     rows = relops.asof(rows, f, [*TEMPO, "begin_ms"], prefix="_t_")

@@ -180,14 +180,15 @@ class TranslatePhysicalTimeToTicks(Stage):
 
     def transform(self, state: State) -> State:
         tempos = scoped(state.table("tempo"), self.options["scope"])
-        notes = relops.saved(ticks.tick_onsets(state.notes, tempos), "ticks")
+        frames = relops.saved(ticks.frames(tempos, state.notes), "frames")
+        notes = relops.saved(ticks.tick_onsets(state.notes, tempos, frames), "ticks")
         out = state
         if self.options["translate_modifiers"] and "ornament" in state.tables:
             o = state.table("ornament")
-            framed = ticks.ornament_ticks(o.where(F.col("frame_start").isNotNull()), notes, tempos)
+            framed = ticks.ornament_ticks(o.where(F.col("frame_start").isNotNull()), notes, tempos, frames)
             out = out.with_table("ornament", framed.unionByName(o.where(F.col("frame_start").isNull())))
-        pedals = ticks.pedal_ticks(state.pedals, notes, tempos)
-        return replace(out, notes=ticks.tick_durations(notes, tempos), pedals=pedals)
+        pedals = ticks.pedal_ticks(state.pedals, notes, tempos, frames)
+        return replace(out, notes=ticks.tick_durations(notes, tempos, frames), pedals=pedals)
 
 
 class StylizeOrnamentation(Stage):

@@ -122,7 +122,8 @@ def _tempos(spark: SparkSession, sf_dir: str, n: DataFrame) -> DataFrame:
 def _ticked(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = derived.notes(spark, sf_dir)
     t = _tempos(spark, sf_dir, n)
-    return ticks.tick_durations(ticks.tick_onsets(n, t), t)
+    frames = relops.saved(ticks.frames(t, n), "frames")
+    return ticks.tick_durations(ticks.tick_onsets(n, t, frames), t, frames)
 
 
 @query(_ENDS + f"SELECT note_id, {fx('onset * 720', 4)} AS tick_date_u FROM notes")
