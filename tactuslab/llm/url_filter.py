@@ -3,7 +3,8 @@
 A rule is a regular expression with literal tokens that every URL it fits must hold. Each rule
 is filed under the rarest of them, as counted over all URLs; a URL looks up its own tokens, and
 only the rules filed there run their expression. All of it is row by row: no shuffle but for the
-token counts.
+token counts. The index is a literal of the plan, which every task gets: that holds for MAX_RULES,
+and more are refused.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "[^a-z0-9]+"
+#: Rules that an index may hold.
+MAX_RULES = 5000
 
 
 @dataclass(frozen=True)
@@ -25,7 +28,7 @@ class UrlRule:
     """What to do with URLs whose host and path, written together, fit expression.
 
     tokens: runs of a-z and 0-9 that stand whole in every such URL. Of the rules that fit, the
-    highest tier decides, in it the longest name, then the first name in order.
+    highest tier decides, in it the longest name, of equally long ones the last in order.
     """
 
     name: str
@@ -105,6 +108,8 @@ def token_counts(urls: DataFrame, rules: tuple[UrlRule, ...], url: str = "url")
 
 def _index(rules: tuple[UrlRule, ...], counts: dict[str, int]) -> Column:
     """Rules in buckets by the hash of the token they are filed under; in bucket 0 those without one."""
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"{len(rules)} rules are more than a plan may hold ({MAX_RULES})")
     n = max(1, len(rules))
     buckets: list[list[dict]] = [[] for _ in range(n + 1)]
     order = sorted(rules, key=lambda r: (r.tier, len(r.name), r.name))
