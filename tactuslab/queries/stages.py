@@ -353,9 +353,27 @@ def dynamics_two_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("perf_id", F.col("date").cast("long").alias("date"), fixed(F.col("volume")).alias("volume_u"), fixed(F.col("transition_to")).alias("to_u"))
 
 
-@query()
+def _grid_round(r: int) -> str:
+    """One round of the search: 13 curvatures and protractions about the best so far, and the pair of least error."""
+    steps = ", ".join(f"{0.5**k!r}::DOUBLE" for k in range(1, 25))
+    place = f"list_reduce([{steps}], lambda low, h: CASE WHEN ((3 * x1 - 3 * x2 + 1) * (low + h) + (3 * x2 - 6 * x1)) * (low + h) * (low + h) + 3 * x1 * (low + h) < x THEN low + h ELSE low END, 0.0::DOUBLE)"
+    axis = lambda b, reach, k: f"CASE WHEN {k} = 12 THEN {b} + {reach} ELSE {b} - {reach} + {k} * (({b} + {reach}) - ({b} - {reach})) / 12 END"
+    return f""",
+g{r} AS (SELECT perf_id, rc, rp, ic, ip, least(1.0::DOUBLE, greatest(0.0::DOUBLE, {axis('bc', 'rc', 'ic')})) AS c, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, {axis('bp', 'rp', 'ip')})) AS p FROM q{r - 1}, unnest(range(13)) AS a(ic), unnest(range(13)) AS b(ip)),
+h{r} AS (SELECT *, CASE WHEN p > 0 THEN c + (1 - c) * p ELSE c + c * p END AS x1, CASE WHEN p > 0 THEN 1 - c + c * p ELSE 1 - c + (1 - c) * p END AS x2 FROM g{r}),
+t{r} AS (SELECT h.perf_id, rc, rp, ic, ip, c, p, v, v0, v1, {place} + {0.5**25!r}::DOUBLE AS t FROM h{r} h JOIN px USING (perf_id)),
+q{r} AS (SELECT perf_id, arg_min(c, (err, ip, ic)) AS bc, arg_min(p, (err, ip, ic)) AS bp, any_value(rc) / 5 AS rc, any_value(rp) / 5 AS rp FROM (
+  SELECT perf_id, rc, rp, ic, ip, c, p, sum(abs((3 - 2 * t) * t * t * (v1 - v0) + v0 - v)) AS err FROM t{r} GROUP BY ALL) GROUP BY perf_id)"""
+
+
+@query(_DYN + """, pa AS (SELECT perf_id, count(*) AS n, min(date) AS d0, max(date) AS d1, arg_min(v, date) AS v0, arg_max(v, date) AS v1 FROM pt GROUP BY 1),
+px AS (SELECT perf_id, v, v0, v1, (date - d0) / (d1 - d0)::DOUBLE AS x FROM pt JOIN pa USING (perf_id) WHERE n > 2 AND v0 <> v1),
+q0 AS (SELECT DISTINCT perf_id, 0.5::DOUBLE AS bc, 0.0::DOUBLE AS bp, 0.5::DOUBLE AS rc, 1.0::DOUBLE AS rp FROM px)""" + "".join(map(_grid_round, range(1, 5)))
+    + f" SELECT perf_id, d0 AS date, {fx('v0')} AS volume_u, CASE WHEN n > 1 THEN {fx('v1')} END AS to_u, CASE WHEN n > 1 THEN {fx('coalesce(bc, 0.5::DOUBLE)', 4)} END AS curvature_u, CASE WHEN n > 1 THEN {fx('coalesce(bp, 0.0::DOUBLE)', 4)} END AS protraction_u FROM pa LEFT JOIN q4 USING (perf_id)")
 def dynamics_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamics.fit_dynamics(dynamics.points(derived.notes(spark, sf_dir), start=3600, end=18000))
+    d = dynamics.fit_dynamics(dynamics.points(derived.notes(spark, sf_dir), start=3600, end=18000))
+    values = (("volume", "volume_u", 6), ("transition_to", "to_u", 6), ("curvature", "curvature_u", 4), ("protraction", "protraction_u", 4))
+    return d.select("perf_id", F.col("date").cast("long").alias("date"), *[fixed(F.col(c), k).alias(out) for c, out, k in values])
 
 
 @query(", b AS (SELECT note_id, 1 + note_id % 2879 AS d, (note_id % 11) / 10.0::DOUBLE AS c, velocity AS v0, 60.0::DOUBLE + midi_pitch AS v1 FROM notes), "

@@ -73,6 +73,16 @@ def score_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"SELECT CAST(note_id AS VARCHAR) AS id, part, date, duration, midi_pitch, {fx('onset')} AS onset_u, {fx('midi_duration')} AS midi_duration_u, velocity FROM notes")
+def score_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score file for each performance, written to the shared folder and read back together."""
+    path = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    x = msm.to_xml(derived.notes(spark, sf_dir), derived.meta(spark, sf_dir), intermediate=True)
+    x.withColumnRenamed("perf_id", "work").write.partitionBy("work").text(path)
+    n = msm.read_notes(spark, path)
+    return n.select(F.col("note_id").alias("id"), "part", "date", "duration", "midi_pitch", fixed(F.col("onset")).alias("onset_u"), fixed(F.col("midi_duration")).alias("midi_duration_u"), "velocity")
+
+
 @query()
 def full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sixteen stages of the standard order over all performances and dates: what is left of each note."""
