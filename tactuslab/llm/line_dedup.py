@@ -101,8 +101,8 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     discard(lines, often)
     runs = saved(_shortest_runs(shared, min_words), "runs")
     longest = runs.agg(F.max("m")).collect()[0][0] or 0
-    gone = None
-    for k, ranks in enumerate(suffix_ranks(shared, longest) if longest else []):
+    gone, levels = None, suffix_ranks(shared, longest) if longest else []
+    for k, ranks in enumerate(levels):
         own = runs.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k))
         head = _null_safe(ranks).withColumnRenamed("r", "r1")
         own = own.join(head, _on(own, [*KEY, "p"])).select(*KEY, "p", "m", "r1", (F.col("p") + F.col("m") - (1 << k)).alias("tail"))
@@ -116,7 +116,10 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
         return shared.limit(0).groupBy(*KEY).agg(F.collect_list("line").alias("deleted"))
     taken = gone.select(*KEY, F.explode(F.sequence("p", F.col("p") + F.col("m") - 1)).alias("p")).distinct()
     number = _null_safe(shared.select(*KEY, "p", "line"))
-    return taken.join(number, _on(taken, [*KEY, "p"])).groupBy(*KEY).agg(F.array_sort(F.collect_set("line")).alias("deleted"))
+    out = taken.join(number, _on(taken, [*KEY, "p"])).groupBy(*KEY).agg(F.array_sort(F.collect_set("line")).alias("deleted"))  # of one text
+    out = saved(out, "deleted-lines")
+    discard(shared, runs, *levels)
+    return out
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

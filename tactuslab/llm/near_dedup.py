@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import LOWER, SPACES, mixed, saved, shingle_hashes, span_hashes, text_chunks, word_class, words
+from tactuslab.llm.common import LOWER, SPACES, discard, mixed, saved, shingle_hashes, span_hashes, text_chunks, word_class, words
 from tactuslab.llm.components import components
 
 SHINGLE = 5
@@ -189,7 +189,10 @@ def class_components(classes: DataFrame, documents: DataFrame) -> DataFrame:
     other = own.select("value", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
     near = (F.col("rep") < F.col("rep2")) & (F.col("c") != F.col("c2")) & _near_size(F.col("n"), F.col("n2"))
     pairs = pairs.unionByName(own.join(other, "value").where(near).select(*_ordered("rep", "rep2"))).distinct()
-    return components(links.unionByName(saved(_linked(pairs, sets), "links")))
+    more = saved(_linked(pairs, sets), "links")
+    out = components(links.unionByName(more))
+    discard(lists, sets, exact, links, more)
+    return out
 
 
 def near_duplicates(documents: DataFrame, with_hash: bool = False) -> DataFrame:
