@@ -190,3 +190,12 @@ def work_calls(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     rows = spark.read.schema(kind).option("multiLine", multi_line).json(path)
     rows = rows.select(F.col("name").alias("work"), F.explode("creation.argumentations").alias("a"))
     return rows.select("work", F.col("a.id").alias("argumentation"), F.explode("a.calls").alias("c")).select("work", "argumentation", "c.id", "c.name", "c.options", "c.created")
+
+
+def missing_requirements(calls: DataFrame, stage_registry: Registry = registry) -> DataFrame:
+    """Of the chains of many projects (work, pos, name): each call and stage that it requires and that doesn't stand before it."""
+    rows = [(name, r) for name in stage_registry.order() for r in stage_registry.requirements(name)]
+    required = F.broadcast(calls.sparkSession.createDataFrame(rows, "name string, requires string"))  # as many as the registry has
+    first = calls.groupBy("work", F.col("name").alias("requires")).agg(F.min("pos").alias("_at"))
+    out = calls.join(required, "name").join(first, ["work", "requires"], "left").where(F.col("_at").isNull() | (F.col("_at") >= F.col("pos")))
+    return out.select("work", "pos", "name", "requires")

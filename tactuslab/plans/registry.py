@@ -40,6 +40,10 @@ class Registry:
         """Names of the options that a stage has."""
         return tuple(self._classes[name].defaults)
 
+    def requirements(self, name: str) -> tuple[str, ...]:
+        """Names of the stages that a stage requires."""
+        return tuple(self._classes[name].requires)
+
     def order(self) -> list[str]:
         return list(self._order)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactuslab.functions.kernels import fixed
-from tactuslab.plans import pipeline, stages
+from tactuslab.plans import pipeline, projects, stages
 from tactuslab.plans.registry import validate
 from tactuslab.queries.base import fx, query
 from tactuslab.sources import derived, msm
@@ -21,6 +21,17 @@ def chain_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(m.index, m.message) for m in validate(chain)], "index int, message string")
 
 
+_CHAINS = (("InsertRubato", "InsertTemporalSpread", "StylizeOrnamentation"), ("TranslatePhysicalTimeToTicks", "InsertRubato", "CombineAdjacentRubatos"), ("StylizeArticulation", "TranslatePhysicalTimeToTicks", "InsertArticulation"))
+
+
+@query("SELECT DISTINCT perf_id AS work, pos, name, requires FROM notes JOIN (VALUES (0, 0, 'InsertRubato', 'TranslatePhysicalTimeToTicks'), (0, 2, 'StylizeOrnamentation', 'InsertDynamicsGradient'), (2, 0, 'StylizeArticulation', 'InsertArticulation')) AS t(kind, pos, name, requires) ON perf_id % 3 = kind")
+def chain_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the chains of all performances, of three kinds, lack."""
+    chain = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in _CHAINS]), (F.col("perf_id") % 3 + 1).cast("int"))
+    calls = derived.meta(spark, sf_dir).select(F.col("perf_id").alias("work"), F.posexplode(chain).alias("pos", "name"))
+    return projects.missing_requirements(calls)
+
+
 @query("SELECT perf_id, date, 'note_' || date || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS id FROM (SELECT perf_id, date, row_number() OVER (PARTITION BY perf_id, date ORDER BY seq) - 1 AS k FROM notes)")
 def generate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.with_ids(derived.notes(spark, sf_dir).select("perf_id", "date"), "note").select("perf_id", "date", "id")
