@@ -10,8 +10,8 @@ Every line of such a run lies in a shortest run of enough words from its head or
 only these shortest runs are looked up; together they make up the maximal runs. Lines count as equal
 if two hashes of 64 and 32 bits are.
 
-A line that a third of the corpus repeats is a hot key of two joins, with the lines that occur twice
-and with the ranks. Both sides of these are written tables or plain exchanges, and what follows deals
+A line or run that a third of the corpus repeats is a hot key of three joins, with the lines that occur
+twice, with the ranks and with the intervals. Both sides of these are written tables or plain exchanges, and what follows deals
 out by another key, so adaptive execution splits such a key over many tasks.
 """
 
@@ -101,7 +101,7 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     discard(lines, often)
     runs = saved(_shortest_runs(shared, min_words), "runs")
     longest = runs.agg(F.max("m")).collect()[0][0] or 0
-    gone, levels = None, suffix_ranks(shared, longest) if longest else []
+    gone, levels, made = None, suffix_ranks(shared, longest) if longest else [], []
     for k, ranks in enumerate(levels):
         own = runs.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k))
         head = _null_safe(ranks).withColumnRenamed("r", "r1")
@@ -109,7 +109,10 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
         tail = _null_safe(ranks).withColumnsRenamed({"r": "r2", "_p": "_tail"})
         own = own.join(tail, _on(own, [*KEY, "tail"])).select(*KEY, "p", "m", "r1", "r2")
         at = F.struct("doc_id", "th", "p")
+        own = saved(own, "runs")
         interval = own.groupBy("m", "r1", "r2").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("m", "r1", "r2", "first")
+        interval = saved(interval, "intervals")  # by itself, so that a run that very many repeat can be split
+        made += [own, interval]
         later = own.join(interval, ["m", "r1", "r2"]).where(~at.eqNullSafe(F.col("first"))).select(*KEY, "p", "m")
         gone = later if gone is None else gone.unionByName(later)
     if gone is None:
@@ -118,7 +121,7 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     number = _null_safe(shared.select(*KEY, "p", "line"))
     out = taken.join(number, _on(taken, [*KEY, "p"])).groupBy(*KEY).agg(F.array_sort(F.collect_set("line")).alias("deleted"))  # of one text
     out = saved(out, "deleted-lines")
-    discard(shared, runs, *levels)
+    discard(shared, runs, *levels, *made)
     return out
 
 
@@ -133,7 +136,8 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     documents = documents.drop("n_lines", "deleted", "th").withColumn("th", F.xxhash64("text"))
     gone = repeated_lines(documents, min_words).withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
-    out = documents.join(gone, _on(documents, KEY), "left").drop("_doc_id", "_th", "th")
+    # What is deleted grows with the corpus, so it isn't broadcast, however little it is.
+    out = documents.join(gone.hint("merge"), _on(documents, KEY), "left").drop("_doc_id", "_th", "th")
     lines = _line_array(F.col("text"))
     kept = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("deleted")), lambda k: F.get(x, k)), "\n"))[0]
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
