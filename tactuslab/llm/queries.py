@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactuslab.llm import chat, decontaminate, fingerprint, langid, line_dedup, near_dedup, packing, toxicity, url_filter, warc
+from tactuslab.llm import chat, decontaminate, fingerprint, hard_negatives, langid, line_dedup, mixing, near_dedup, packing, periodic, toxicity, url_filter, warc
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,9 +60,26 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.select("doc_id", periodic.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digest(periodic.find_runs(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filters": url_filter.oracle_sql("pages", "page_id")}
+    return {
+        "op1_decontamination": decontaminate.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op5_url_filters": url_filter.oracle_sql("pages", "page_id"),
+        "op11_hard_negatives": hard_negatives.oracle_sql(), "op12_mixing": mixing.ORACLE_SQL,
+    }
