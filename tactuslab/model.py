@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,17 +75,59 @@ class State:
         return replace(self, notes=notes)
 
 
-def in_scope(scope: int | None, part: str = "part") -> Column:
+@dataclass(frozen=True)
+class Keyed:
+    """An option with a value for each performance: a column over a table with one row a performance."""
+
+    table: DataFrame
+    name: str
+    value: Column
+
+    def either(self, other: Keyed) -> Keyed:
+        """This option, or where it is null another of the same table."""
+        return Keyed(self.table, f"{self.name}_{other.name}", F.coalesce(self.value, other.value))
+
+
+def by_performance(rows: DataFrame, *options: Any) -> tuple:
+    """rows beside the columns that keyed options need, and each option as it can be used there: keyed ones as columns, others as they are.
+
+    Columns already there from an earlier call aren't joined again.
+    """
+    keyed = {f"_o_{o.name}": o for o in options if isinstance(o, Keyed)}
+    new = {c: o for c, o in keyed.items() if c not in rows.columns}
+    if new:
+        table = next(iter(new.values())).table
+        rows = rows.join(table.select("perf_id", *[o.value.alias(c) for c, o in new.items()]), "perf_id")
+    return rows, *[F.col(f"_o_{o.name}") if isinstance(o, Keyed) else o for o in options]
+
+
+def in_scope(scope: int | Column | None, part: str = "part") -> Column:
     """Whether a note belongs to a scope: null means all parts, a number the part one above it."""
+    if isinstance(scope, Column):
+        return scope.isNull() | (F.col(part) - 1 == scope)
     return F.lit(True) if scope is None else F.col(part) - 1 == scope
 
 
+def within(start: Any, end: Any, at: str = "date") -> Column:
+    """Whether a date lies in a closed range; a range without a start holds all."""
+    if isinstance(start, Column):
+        return start.isNull() | F.col(at).between(start, end)
+    return F.lit(True) if start is None else F.col(at).between(start, end)
+
+
+def listed(ids: Any, column: str = "note_id") -> Column:
+    """Whether a column's value is among ids, which are a list or an array of strings."""
+    return F.coalesce(F.array_contains(ids, F.col(column).cast("string")), F.lit(False)) if isinstance(ids, Column) else F.col(column).isin(ids)
+
+
 def defined(column: Column | str) -> Column:
     """Neither null nor NaN."""
     c = F.col(column) if isinstance(column, str) else column
     return c.isNotNull() & ~F.isnan(c)
 
 
-def scoped(rows: DataFrame, scope: int | None) -> DataFrame:
-    """Instructions of exactly one scope: a part's lookup doesn't fall back to the global ones."""
-    return rows.where(F.col("scope").eqNullSafe(F.lit(scope).cast("int")))
+def scoped(rows: DataFrame, scope: int | Keyed | None, others: bool = False) -> DataFrame:
+    """Instructions of exactly one scope: a part's lookup doesn't fall back to the global ones. With others all but these."""
+    both, own = by_performance(rows, scope)
+    same = F.col("scope").eqNullSafe(F.lit(own).cast("int"))
+    return both.where(~same if others else same).select(*rows.columns)

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactuslab.functions.kernels import accentuation_at, js_round
-from tactuslab.model import PPQ, WHOLE, in_scope
+from tactuslab.model import PPQ, WHOLE, by_performance, in_scope, listed
 from tactuslab.operators import relops
 
 
+def _length(start: int | Column, end: int | Column) -> int | Column:
+    """Of a cell; of an empty one none."""
+    return F.nullif(end - start, F.lit(0)) if isinstance(start, Column) else end - start
+
+
 def beat_velocities(notes: DataFrame, meta: DataFrame, start: int, end: int, beat_length: float = 0.25, scope: int | None = None) -> DataFrame:
     """Mean residual velocity by cell and beat: every cell as long as the first, to the end of the piece, all at once.
 
     Beats of a cell include its end, so a date on a border belongs to two cells.
     """
-    length, step = end - start, beat_length * WHOLE
-    rows = notes.where(F.col("abs_vel_change").isNotNull() & in_scope(scope) & (F.col("date") >= start))
+    rows, first, scope = by_performance(notes, start, scope)
+    rows = rows.where(F.col("abs_vel_change").isNotNull() & in_scope(scope) & (F.col("date") >= first))
     c = rows.groupBy("perf_id", "date").agg(F.avg("abs_vel_change").alias("mean"))
+    c, start, end, beat_length = by_performance(c, start, end, beat_length)
+    length, step = _length(start, end), beat_length * WHOLE
     cell = F.floor((F.col("date") - start) / length)
     c = c.withColumn("cell", F.explode(F.when((cell > 0) & ((F.col("date") - start) % length == 0), F.array(cell, cell - 1)).otherwise(F.array(cell))))
     off = F.col("date") - start - F.col("cell") * length
@@ -31,6 +38,7 @@ def patterns(velocities: DataFrame, neutral_end: bool = False) -> DataFrame:
     w = cell.orderBy("beat")
     rows = velocities.withColumn("scale", F.max(F.abs("velocity")).over(cell)).where("scale <> 0")
     rows = rows.withColumn("value", F.col("velocity") / F.col("scale")).withColumn("_next", F.lead("value").over(w)).withColumn("_after", F.lead("value", 2).over(w))
+    rows, neutral_end = by_performance(rows, neutral_end)
     to = F.when(F.col("_after").isNull() & F.lit(neutral_end), 0.0).otherwise(F.col("_next"))
     return rows.where("_next IS NOT NULL").select("perf_id", "cell", "beat", "value", F.col("value").alias("transition_from"), to.alias("transition_to"), "scale")
 
@@ -48,15 +56,16 @@ def looped(notes: DataFrame, meta: DataFrame, start: int, end: int, beat_length:
     """
     v = beat_velocities(notes, meta, start, end, beat_length, scope)
     p = patterns(v, neutral_end)
-    length = end - start
     first = p.where("cell = 0").groupBy("perf_id").agg(F.array_sort(F.collect_list(F.struct("beat", "value", "transition_from", "transition_to"))).alias("children"), F.first("scale").alias("s0"))
     base = p.where("cell = 0").select("perf_id", "beat", js_round(F.col("value")).alias("r0"))
     later = p.where("cell > 0").join(base, ["perf_id", "beat"], "left").groupBy("perf_id", "cell").agg(F.bool_and(F.coalesce(js_round(F.col("value")) == F.col("r0"), F.lit(True))).alias("same"))
     later = scales(v).where("cell > 0").join(later, ["perf_id", "cell"], "left").withColumn("same", F.coalesce("same", F.lit(True)))
     cells = later.groupBy("perf_id").agg(F.array_sort(F.collect_list(F.struct("cell", "scale", "same"))).alias("cells"))
     rows = first.join(cells, "perf_id", "left").join(relops.ends(notes), "perf_id")
+    rows, start, end, scale_tolerance = by_performance(rows, start, end, scale_tolerance)
+    length = _length(start, end)
     stop = F.least(F.lit(next_date), F.col("end_date")) if next_date is not None else F.col("end_date")
-    tried = F.greatest(F.ceil((stop - end) / float(length)), F.lit(0)).cast("int")
+    tried = F.greatest(F.ceil((stop - end) / (length.cast("double") if isinstance(length, Column) else float(length))), F.lit(0)).cast("int")
 
     def step(s, k):
         own = F.try_element_at(F.filter(F.col("cells"), lambda c: c.cell == k), F.lit(1))
@@ -73,8 +82,9 @@ def looped(notes: DataFrame, meta: DataFrame, start: int, end: int, beat_length:
 
 def accent_residual(notes: DataFrame, found: DataFrame, meta: DataFrame, start: int, end: int, next_date: int | None = None, scope: int | None = None) -> DataFrame:
     """notes with the pattern's accent taken out of abs_vel_change, within its cell or its loop."""
-    length = float(end - start)
-    rows = notes.join(found, "perf_id", "left").join(meta, "perf_id", "left")
+    out = notes.columns
+    rows, start, end, scope = by_performance(notes.join(found, "perf_id", "left").join(meta, "perf_id", "left"), start, end, scope)
+    length = _length(start, end) * 1.0
     stop = F.coalesce(F.col("neutral_date"), F.lit(next_date).cast("long"))
     inside = (F.col("date") >= start) & (F.col("loop") | (F.col("date") < start + length)) & (stop.isNull() | (F.col("date") < stop)) & in_scope(scope)
     beat = 1 + ((F.col("date") - start) % length) / float(PPQ)
@@ -82,7 +92,7 @@ def accent_residual(notes: DataFrame, found: DataFrame, meta: DataFrame, start:
     reached = F.coalesce(F.get("children", F.lit(0))["beat"] <= beat, F.lit(False))
     change = accentuation_at(beat, F.col("children"), beats) * F.col("scale")
     value = F.when(F.coalesce(inside, F.lit(False)) & reached & F.col("abs_vel_change").isNotNull(), F.col("abs_vel_change") - change).otherwise(F.col("abs_vel_change"))
-    return rows.withColumn("abs_vel_change", value).select(*notes.columns)
+    return rows.withColumn("abs_vel_change", value).select(*out)
 
 
 def merged(accents: DataFrame, names: list[str], into: str) -> DataFrame:
@@ -91,7 +101,8 @@ def merged(accents: DataFrame, names: list[str], into: str) -> DataFrame:
     The first definition's beats stay; each further one moves those it shares by one part in its rank.
     Fewer than two named definitions stay as they are.
     """
-    own = accents.where(F.col("name").isin(names))
+    own, names = by_performance(accents, names)
+    own = own.where(listed(names, "name"))
     rank = F.dense_rank().over(Window.partitionBy("perf_id").orderBy("pos"))
     own = own.withColumn("rank", rank)
     many = own.groupBy("perf_id").agg(F.max("rank").alias("m")).where("m > 1").select("perf_id")
@@ -102,4 +113,5 @@ def merged(accents: DataFrame, names: list[str], into: str) -> DataFrame:
         rest = F.slice("v", 2, F.greatest(F.size("v") - 1, F.lit(0)))
         return F.aggregate(rest, F.get("v", F.lit(0))[c], lambda s, x: (s * (x.rank - 1) + x[c]) / x.rank).alias(c)
 
+    g, into = by_performance(g, into)
     return g.select("perf_id", F.lit(into).alias("name"), "beat", fold("value"), fold("transition_from"), fold("transition_to"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tactuslab.model import by_performance
 from tactuslab.operators import relops
 
 ASPECTS = ("rel_dur", "rel_vel", "abs_dur", "abs_dur_change")
@@ -23,13 +24,16 @@ def values(notes: DataFrame) -> DataFrame:
 
 def definition(chosen: DataFrame, aspects: tuple[str, ...]) -> DataFrame:
     """Mean of the selected aspects of the chosen notes' values; the others are null."""
-    return chosen.groupBy("perf_id").agg(*[(F.avg(a) if a in aspects else F.lit(None).cast("double")).alias(a) for a in ASPECTS])
+    rows, wanted = by_performance(chosen.groupBy("perf_id").agg(*[F.avg(a).alias(a) for a in ASPECTS]), aspects)
+    keep = lambda a: F.when(F.array_contains(wanted, a), F.col(a)) if isinstance(wanted, Column) else F.col(a) if a in wanted else F.lit(None).cast("double")
+    return rows.select("perf_id", *[keep(a).alias(a) for a in ASPECTS])
 
 
 def instructions(chosen: DataFrame, name: str) -> DataFrame:
     """One articulation for each date: the ids of its notes in order."""
     ids = F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("#"), F.col("note_id").cast("string")).alias("id"))))
-    return chosen.groupBy("perf_id", "date").agg(F.transform(ids, lambda x: x.id).alias("noteid")).withColumn("name_ref", F.lit(name))
+    rows, name = by_performance(chosen.groupBy("perf_id", "date").agg(F.transform(ids, lambda x: x.id).alias("noteid")), name)
+    return rows.select("perf_id", "date", "noteid", F.lit(name).alias("name_ref"))
 
 
 def undone(notes: DataFrame, chosen: DataFrame, defs: DataFrame) -> DataFrame:
@@ -61,8 +65,8 @@ def clustered(articulated: DataFrame, volume_tolerance: float = 0.01, duration_t
 
     is_default marks each performance's largest cluster, the first of equals.
     """
-    rows = articulated.withColumn("index", F.row_number().over(Window.partitionBy("perf_id").orderBy("seq")))
-    found = relops.cluster(rows, {"rel_dur": duration_tolerance, "rel_vel": volume_tolerance})
+    rows, duration_tolerance, volume_tolerance = by_performance(articulated.withColumn("index", F.row_number().over(Window.partitionBy("perf_id").orderBy("seq"))), duration_tolerance, volume_tolerance)
+    found = relops.cluster(rows, {"rel_dur": duration_tolerance, "rel_vel": volume_tolerance}).select(*articulated.columns, "index", "label")
     defs = found.where("label >= 0").groupBy("perf_id", "label").agg(F.count(F.lit(1)).alias("n"), F.avg("rel_dur").alias("rel_dur"), F.avg("rel_vel").alias("rel_vel"))
     best = F.row_number().over(Window.partitionBy("perf_id").orderBy(F.desc("n"), "label")) == 1
     return found, defs.withColumn("is_default", best).withColumn("name", F.concat(F.lit("def_"), F.col("label")))

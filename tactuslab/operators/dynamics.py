@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactuslab.functions.kernels import eased
-from tactuslab.model import in_scope
+from tactuslab.model import by_performance, in_scope, within
 from tactuslab.operators import relops
 
 CURVE = "perf_id long, date double, volume double, transition_to double, curvature double, protraction double"
@@ -16,10 +16,12 @@ CURVE = "perf_id long, date double, volume double, transition_to double, curvatu
 
 def points(notes: DataFrame, phantoms: dict[int, float] | None = None, start: int | None = None, end: int | None = None, scope: int | None = None) -> DataFrame:
     """Mean velocity by date; a phantom velocity takes its place unless it is 0."""
-    rows = notes.where(in_scope(scope))
-    if start is not None:
-        rows = rows.where(F.col("date").between(start, end))
-    mean = rows.groupBy("perf_id", "date").agg(F.avg("velocity").alias("velocity"))
+    rows, start, end, scope = by_performance(notes, start, end, scope)
+    mean = rows.where(in_scope(scope) & within(start, end)).groupBy("perf_id", "date").agg(F.avg("velocity").alias("velocity"))
+    mean, phantoms = by_performance(mean, phantoms)
+    if isinstance(phantoms, Column):
+        given = F.nullif(F.try_element_at(phantoms, F.col("date").cast("int")), F.lit(0.0))
+        return mean.withColumn("velocity", F.coalesce(given, "velocity")).select("perf_id", "date", "velocity")
     given = {d: v for d, v in (phantoms or {}).items() if v}
     if not given:
         return mean
@@ -91,7 +93,7 @@ def residual(notes: DataFrame, dynamics: DataFrame, scope: int | None = None) ->
     ends = relops.ends(notes)
     d = relops.with_end(dynamics, ends).select("perf_id", "date", "end_date", "volume", "transition_to", "curvature", "protraction")
     columns = ["date", "end_date", "volume", "transition_to", "curvature", "protraction"]
-    rows = relops.asof(notes, d, columns, prefix="_d_")
+    rows, scope = by_performance(relops.asof(notes, d, columns, prefix="_d_"), scope)
     volume = eased(F.col("date").cast("double"), *[F.col(f"_d_{c}") for c in columns])
     hit = F.col("_d_volume").isNotNull() & (F.col("date") < F.col("_d_end_date")) & F.col("velocity").isNotNull() & (F.col("velocity") != 0) & in_scope(scope)
     old = F.col("abs_vel_change") if "abs_vel_change" in notes.columns else F.lit(None).cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactuslab.model import defined, in_scope
+from tactuslab.model import by_performance, defined, in_scope, listed, within
 
 
 def at_date(notes: DataFrame, date: int, scope: int | None = None) -> DataFrame:
@@ -24,7 +24,8 @@ def in_range(notes: DataFrame, start: int, end: int, scope: int | None = None) -
 def by_id(notes: DataFrame, note_ids: list) -> DataFrame:
     """The first row of each performance with one of the ids."""
     w = Window.partitionBy("perf_id", "note_id").orderBy("seq")
-    return notes.where(F.col("note_id").isin(note_ids)).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    rows, note_ids = by_performance(notes, note_ids)
+    return rows.where(listed(note_ids)).withColumn("_k", F.row_number().over(w)).where("_k = 1").select(*notes.columns)
 
 
 def by_id_all(notes: DataFrame) -> DataFrame:
@@ -88,16 +89,21 @@ def shift_to_first_onset(notes: DataFrame, pedals: DataFrame) -> tuple[DataFrame
 
 def modify(notes: DataFrame, aspect: str, change: float, start: int | None = None, end: int | None = None, note_ids: list | None = None, scope: int | None = None) -> DataFrame:
     """Add change to velocity (never below 0), onset or duration of notes in a closed range, or of ids whatever their part."""
-    hit = F.col("note_id").isin(note_ids) if note_ids is not None else F.col("date").between(start, end) & in_scope(scope)
+    out = notes.columns
+    notes, aspect, change, start, end, note_ids, scope = by_performance(notes, aspect, change, start, end, note_ids, scope)
+    inside = F.col("date").between(start, end) & in_scope(scope)
+    hit = F.when(note_ids.isNotNull(), listed(note_ids)).otherwise(inside) if isinstance(note_ids, Column) else inside if note_ids is None else listed(note_ids)
     columns: dict[str, tuple[str, Column]] = {
         "velocity": ("velocity", F.greatest(F.lit(0.0), F.col("velocity") + change)),
         "onset": ("onset", F.col("onset") + change),
         "duration": ("midi_duration", F.col("midi_duration") + change),
     }
+    if isinstance(aspect, Column):
+        return notes.withColumns({name: F.when((aspect == a) & hit, value).otherwise(F.col(name)) for a, (name, value) in columns.items()}).select(*out)
     if aspect not in columns:
         raise ValueError(f"no such aspect: {aspect}")
     name, value = columns[aspect]
-    return notes.withColumn(name, F.when(hit, value).otherwise(F.col(name)))
+    return notes.withColumn(name, F.when(hit, value).otherwise(F.col(name))).select(*out)
 
 
 def make_choice(notes: DataFrame, timing: str, velocity: str | None = None, start: int | None = None, end: int | None = None, note_ids: list | None = None) -> DataFrame:
@@ -106,16 +112,20 @@ def make_choice(notes: DataFrame, timing: str, velocity: str | None = None, star
     Its velocity may come from another source's take. Notes without a take of the preferred source, and
     notes outside the range or the ids, stay as they are. A kept note goes to the end of the order.
     """
-    affected = F.lit(True)
-    if start is not None:
-        affected = F.col("source").isNotNull() & (F.col("source") != "") & F.col("date").between(start, end)
+    out = notes.columns
+    notes, timing, velocity, start, end, note_ids = by_performance(notes, timing, velocity, start, end, note_ids)
+    affected, sourced = F.lit(True), F.col("source").isNotNull() & (F.col("source") != "")
+    if isinstance(start, Column) or isinstance(note_ids, Column):
+        affected = F.when(F.lit(start).isNotNull(), sourced & within(start, end)).when(F.lit(note_ids).isNotNull(), sourced & listed(note_ids)).otherwise(F.lit(True))
+    elif start is not None:
+        affected = sourced & within(start, end)
     elif note_ids is not None:
-        affected = F.col("source").isNotNull() & (F.col("source") != "") & F.col("note_id").isin(note_ids)
+        affected = sourced & listed(note_ids)
     rows = notes.withColumn("_a", F.coalesce(affected, F.lit(False)))
     group = Window.partitionBy("perf_id", "_a", "date", "duration", "midi_pitch")
     keep = F.min(F.when(F.col("source") == timing, F.col("seq"))).over(group)
     rows = rows.withColumn("_keep", F.when(F.col("_a"), keep))
-    if velocity is not None and velocity != timing:
+    if isinstance(velocity, Column) or (velocity is not None and not isinstance(timing, Column) and velocity != timing):
         other = F.min_by(F.when(F.col("source") == velocity, F.col("velocity")), F.when(F.col("source") == velocity, F.col("seq"))).over(group)
         rows = rows.withColumn("_v", other).withColumn("velocity", F.when(F.col("_keep") == F.col("seq"), F.coalesce("_v", "velocity")).otherwise(F.col("velocity"))).drop("_v")
     rows = rows.where(F.col("_keep").isNull() | (F.col("_keep") == F.col("seq")))
@@ -123,16 +133,19 @@ def make_choice(notes: DataFrame, timing: str, velocity: str | None = None, star
     top = F.max("seq").over(per)
     rank = F.row_number().over(per.orderBy(F.col("_keep").isNull(), "seq"))
     rows = rows.withColumn("_top", top).withColumn("_rank", rank)
-    return rows.withColumn("seq", F.when(F.col("_keep").isNotNull(), F.col("_top") + F.col("_rank")).otherwise(F.col("seq"))).drop("_a", "_keep", "_top", "_rank")
+    return rows.withColumn("seq", F.when(F.col("_keep").isNotNull(), F.col("_top") + F.col("_rank")).otherwise(F.col("seq"))).select(*out)
 
 
 def choose_pedals(pedals: DataFrame, source: str, start: float | None = None, end: float | None = None) -> DataFrame:
     """Pedals of the preferred source; with a range those outside it too, and those without a date count as inside."""
+    rows, source, start, end = by_performance(pedals, source, start, end)
     wanted = F.col("source") == source
+    if isinstance(source, Column):  # none wanted: all stay
+        wanted = wanted | source.isNull() | (source == "")
     if start is None:
-        return pedals.where(wanted)
+        return rows.where(wanted).select(*pedals.columns)
     date = F.col("date") if "date" in pedals.columns else F.lit(None).cast("double")
-    return pedals.where(wanted | (date < start) | (date > end))
+    return rows.where(wanted | (date < start) | (date > end)).select(*pedals.columns)
 
 
 def make_default_articulation(notes: DataFrame, articulated: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -155,32 +168,38 @@ def asynchrony(notes: DataFrame, part: int = 1, start: int = 0, end: int = 0) ->
 
     part is a scope: 0 or 1. Without dates in common nothing is shifted.
     """
-    own = in_scope(part)
+    out = notes.columns
     heads = notes.groupBy("perf_id", "date", (F.col("part") - 1).alias("scope")).agg(F.min_by("onset", "seq").alias("onset"))
-    a = heads.where((F.col("scope") == part) & F.col("date").between(start, end)).select("perf_id", "date", F.col("onset").alias("a"))
-    b = heads.where(F.col("scope") == (0 if part == 1 else 1)).select("perf_id", "date", F.col("onset").alias("b"))
+    heads, *at = by_performance(heads, part, start, end)
+    a = heads.where((F.col("scope") == at[0]) & F.col("date").between(at[1], at[2])).select("perf_id", "date", F.col("onset").alias("a"))
+    b = heads.where(F.col("scope") == F.when(F.lit(at[0]) == 1, 0).otherwise(1)).select("perf_id", "date", F.col("onset").alias("b"))
+    notes, part, start, end = by_performance(notes, part, start, end)
+    own = in_scope(part)
     shift = a.join(b, ["perf_id", "date"]).where("a IS NOT NULL AND b IS NOT NULL").groupBy("perf_id").agg(F.avg(F.col("a") - F.col("b")).alias("shift"))
     moved = notes.join(shift, "perf_id", "left")
     value = F.when(own & F.col("date").between(start, end), F.col("onset") - F.coalesce("shift", F.lit(0.0))).otherwise(F.col("onset"))
-    return shift, moved.withColumn("onset", value).drop("shift")
+    return shift, moved.withColumn("onset", value).select(*out)
 
 
 def pedal_movements(pedals: DataFrame, start: float, duration: float, direction: str, depth: float | None = None, pedal_id=None) -> DataFrame:
     """Two movements for each pedal with ticks: down to a depth at its beginning, or up from it at its end."""
-    depth = float(depth or 1)
     rows = pedals.where(F.col("tick_date").isNotNull() & F.col("tick_duration").isNotNull())
-    if pedal_id is not None:
+    rows, start, duration, direction, depth, pedal_id = by_performance(rows, start, duration, direction, depth, pedal_id)
+    if isinstance(pedal_id, Column):
+        rows = rows.where(pedal_id.isNull() | (F.col("pedal_id") == pedal_id))
+    elif pedal_id is not None:
         rows = rows.where(F.col("pedal_id") == pedal_id)
-    down = direction == "down"
-    base = F.col("tick_date") if down else F.col("tick_date") + F.col("tick_duration")
+    down = F.lit(direction) == "down"
+    depth = F.coalesce(F.nullif(F.lit(depth).cast("double"), F.lit(0.0)), F.lit(1.0))
+    either = lambda a, b: F.when(down, a).otherwise(b)
+    base = either(F.col("tick_date"), F.col("tick_date") + F.col("tick_duration"))
 
-    def movement(name: str, date: Column, position: float, to: float | None) -> Column:
-        ident = F.concat(F.col("pedal_id").cast("string"), F.lit(name))
-        return F.struct(ident.alias("id"), date.alias("date"), F.lit(position).alias("position"), F.lit(to).cast("double").alias("transition_to"))
+    def movement(name: Column, date: Column, position: Column, to: Column) -> Column:
+        ident = F.concat(F.col("pedal_id").cast("string"), name)
+        return F.struct(ident.alias("id"), date.alias("date"), position.alias("position"), to.cast("double").alias("transition_to"))
 
-    first, last = ("_start", "_moveDown") if down else ("_moveUp", "_end")
-    low, high = (0.0, depth) if down else (depth, 0.0)
-    both = F.array(movement(first, base + start, low, high), movement(last, base + start + duration, high, None))
+    low, high = either(F.lit(0.0), depth), either(depth, F.lit(0.0))
+    both = F.array(movement(either("_start", "_moveUp"), base + start, low, high), movement(either("_moveDown", "_end"), base + start + duration, high, F.lit(None)))
     return rows.select("perf_id", F.col("type").alias("controller"), F.explode(both).alias("m")).select("perf_id", "m.id", "m.date", "m.position", "m.transition_to", "controller")
 
 

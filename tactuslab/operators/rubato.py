@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactuslab.functions.kernels import clamp, rubato_on_date, rubato_removed, spread_intensity
-from tactuslab.model import in_scope
+from tactuslab.model import by_performance, in_scope
 from tactuslab.operators import relops
 
 FIELDS = ["date", "frame_length", "intensity", "late_start", "early_end"]
@@ -18,15 +18,20 @@ def insert_rubato(notes: DataFrame, start: int = 0, length: int = 720, scope: in
 
     A frame any of whose notes has no ticks gets none. Chords on the frame's start give its late start.
     """
-    rows = notes.where(in_scope(scope) & (F.col("date") >= start) & (F.col("date") < start + length))
+    begin, size = start, length
+    rows, start, length, scope = by_performance(notes, begin, size, scope)
+    rows = rows.where(in_scope(scope) & (F.col("date") >= start) & (F.col("date") < start + length))
     c = rows.groupBy("perf_id", "date").agg(F.avg("tick_date").alias("at"), F.bool_or(F.col("tick_date").isNull() | F.col("tick_duration").isNull()).alias("open"))
+    c, start = by_performance(c, begin)
     f = c.groupBy("perf_id").agg(F.bool_or("open").alias("open"), F.max(F.when(F.col("date") == start, F.col("at"))).alias("first"), F.array_sort(F.collect_list(F.struct("date", "at"))).alias("c")).where("NOT open")
-    f = f.withColumn("s", F.coalesce("first", F.lit(float(start))))
+    f, start, length = by_performance(f, begin, size)
+    number = lambda x: F.lit(x).cast("double")
+    f = f.withColumn("s", F.coalesce("first", number(start)))
     scaled = F.transform("c", lambda x: (x["at"] - F.col("s")) / F.nullif(start + length - F.col("s"), F.lit(0.0)))
     f = f.withColumn("d", scaled)
     full = F.concat(F.when(F.array_contains("d", 0.0), F.array().cast("array<double>")).otherwise(F.array(F.lit(0.0))), "d", F.when(F.array_contains("d", 1.0), F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0))))
     late = clamp(0.0, (F.col("s") - start) / length, 0.9)
-    return f.select("perf_id", F.lit(float(start)).alias("date"), F.lit(float(length)).alias("frame_length"), spread_intensity(full).alias("intensity"), F.when(late != 0, late).alias("late_start"), F.lit(None).cast("double").alias("early_end"), F.lit(False).alias("loop"))
+    return f.select("perf_id", number(start).alias("date"), number(length).alias("frame_length"), spread_intensity(full).alias("intensity"), F.when(late != 0, late).alias("late_start"), F.lit(None).cast("double").alias("early_end"), F.lit(False).alias("loop"))
 
 
 def removed(notes: DataFrame, rubatos: DataFrame, scope: int | None = None) -> DataFrame:
@@ -34,7 +39,7 @@ def removed(notes: DataFrame, rubatos: DataFrame, scope: int | None = None) -> D
     cover = lambda p: F.col(f"{p}frame_length").isNotNull() & (F.col(f"{p}loop") | (F.col("_at") < F.col(f"{p}date") + F.col(f"{p}frame_length")))
     columns = [*FIELDS, "loop"]
     r = rubatos.withColumn("loop", F.coalesce("loop", F.lit(False)))
-    rows = relops.asof(notes, r, columns, prefix="_r_").withColumn("_at", F.col("date").cast("double"))
+    rows, scope = by_performance(relops.asof(notes, r, columns, prefix="_r_").withColumn("_at", F.col("date").cast("double")), scope)
     hit = cover("_r_") & F.col("tick_duration").isNotNull() & (F.col("tick_duration") != 0) & in_scope(scope)
     shift = rubato_on_date(F.col("date").cast("double"), *[F.col(f"_r_{c}") for c in FIELDS]) - F.col("date")
     rows = rows.withColumn("_hit", F.coalesce(hit, F.lit(False))).withColumn("_s", F.when(F.col("_hit"), shift).otherwise(0.0))
@@ -55,10 +60,11 @@ def combined(rubatos: DataFrame, last_dates: DataFrame, intensity_tolerance: flo
     order. A run that ends before the last date is followed by a neutral rubato.
     """
     kind = "perf_id long, date double, frame_length double, intensity double, late_start double, early_end double, loop boolean"
-    rows = rubatos.join(last_dates.select("perf_id", "last_date"), "perf_id")
+    rows, likeness, compression = by_performance(rubatos.join(last_dates.select("perf_id", "last_date"), "perf_id"), intensity_tolerance, compression_tolerance)
+    rows = rows.select(*rubatos.columns, "last_date", F.lit(likeness).alias("likeness"), F.lit(compression).alias("compression"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        perf, last = group["perf_id"].iloc[0], group["last_date"].iloc[0]
+        perf, last, likeness, compression = (group[c].iloc[0] for c in ("perf_id", "last_date", "likeness", "compression"))
         rest = {r["date"]: r for r in group.sort_values("date").to_dict("records")}
         value = lambda r, c, d: d if pd.isna(r[c]) or r[c] == 0 else r[c]
         out = []
@@ -72,7 +78,7 @@ def combined(rubatos: DataFrame, last_dates: DataFrame, intensity_tolerance: flo
                 other = rest[at]
                 own = [other["intensity"], value(other, "late_start", 0.0), value(other, "early_end", 1.0)]
                 like = (mean[0] < 1) == (own[0] < 1) and mean[0] != 1 != own[0]
-                near = abs(own[0] - mean[0]) < intensity_tolerance and all(abs(a - b) < compression_tolerance for a, b in zip(own[1:], mean[1:], strict=True))
+                near = abs(own[0] - mean[0]) < likeness and all(abs(a - b) < compression for a, b in zip(own[1:], mean[1:], strict=True))
                 if not (like and near):
                     break
                 del rest[at]

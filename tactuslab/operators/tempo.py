@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactuslab.model import WHOLE, defined
+from tactuslab.model import WHOLE, by_performance, defined
 from tactuslab.operators.relops import spread
 
 LIMITS = (5.0, 600.0)
@@ -76,10 +76,11 @@ def partitioned(points: DataFrame, boundaries: list[int]) -> DataFrame:
 def chain_before(tempos: DataFrame, start: int, beat_length: float) -> DataFrame:
     """The tempos that lead up to start without a gap and in one beat length: islands counted backwards."""
     w = Window.partitionBy("perf_id").orderBy(F.col("date").desc())
-    rows = tempos.where(F.col("date") < start)
+    rows, start, beat_length = by_performance(tempos, start, beat_length)
+    rows = rows.where(F.col("date") < start)
     follows = F.coalesce(F.lag("date").over(w), F.lit(start))
     broken = (F.col("end_date") != follows) | (F.col("beat_length") != beat_length)
-    return rows.withColumn("_b", F.sum(broken.cast("int")).over(w)).where("_b = 0").drop("_b")
+    return rows.withColumn("_b", F.sum(broken.cast("int")).over(w)).where("_b = 0").select(*tempos.columns)
 
 
 def replaced(tempos: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
@@ -99,11 +100,12 @@ def replaced(tempos: DataFrame, ranges: list[tuple[int, int]]) -> DataFrame:
 
 def replaced_from(tempos: DataFrame, starts: DataFrame, end: float) -> DataFrame:
     """Tempos, but for those from each performance's start (perf_id, start) up to end; restored marks what begins anew there."""
-    rows = tempos.join(starts, "perf_id", "left")
-    hit = F.coalesce((F.col("date") >= F.col("start")) & (F.col("date") < end), F.lit(False))
-    own = rows.where("start IS NOT NULL").where(F.col("date") < end).groupBy("perf_id").agg(F.max_by(F.struct(*tempos.columns), "date").alias("t"), F.max(hit).alias("hit"))
-    have = tempos.where(F.col("date") == end).select("perf_id")
-    again = own.where("hit").join(have, "perf_id", "left_anti").select("t.*").withColumn("date", F.lit(float(end)))
+    rows, at = by_performance(tempos.join(starts, "perf_id", "left"), end)
+    end_date = F.lit(at).cast("double")
+    hit = F.coalesce((F.col("date") >= F.col("start")) & (F.col("date") < end_date), F.lit(False))
+    own = rows.where("start IS NOT NULL").where(F.col("date") < end_date).groupBy("perf_id").agg(F.max_by(F.struct(*tempos.columns), "date").alias("t"), F.max(hit).alias("hit"), F.max(end_date).alias("_end"))
+    have = rows.where(F.col("date") == end_date).select("perf_id")
+    again = own.where("hit").join(have, "perf_id", "left_anti").select("t.*", "_end").withColumn("date", F.col("_end")).drop("_end")
     return rows.where(~hit).select(*tempos.columns, F.lit(False).alias("restored")).unionByName(again.select(*tempos.columns, F.lit(True).alias("restored")))
 
 
@@ -299,13 +301,15 @@ def fit_chains(onsets: DataFrame, beat_length: float = 0.25) -> DataFrame:
     """fit_chain for each performance of onsets (perf_id, date, onset in seconds, marks), over its own marks."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        found = fit_chain(group["date"].to_numpy(), group["onset"].to_numpy() * 1000, list(group["marks"].iloc[0]), beat_length)
+        beat = float(group["beat"].iloc[0])
+        found = fit_chain(group["date"].to_numpy(), group["onset"].to_numpy() * 1000, list(group["marks"].iloc[0]), beat)
         out = pd.DataFrame(found, columns=["date", "end_date", "bpm", "transition_to", "mean_tempo_at"])
         out.insert(0, "perf_id", group["perf_id"].iloc[0])
-        out.insert(4, "beat_length", beat_length)
+        out.insert(4, "beat_length", beat)
         return out
 
-    return spread(onsets.select("perf_id", "date", "onset", "marks")).groupBy("perf_id").applyInPandas(fit, FITTED)
+    onsets, beat_length = by_performance(onsets, beat_length)
+    return spread(onsets.select("perf_id", "date", "onset", "marks", F.lit(beat_length).cast("double").alias("beat"))).groupBy("perf_id").applyInPandas(fit, FITTED)
 
 
 def trail(pairs: DataFrame) -> DataFrame:

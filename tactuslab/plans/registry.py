@@ -54,14 +54,18 @@ class Registry:
         self._order.clear()
         self._classes.clear()
 
-    def sort_key(self, stage) -> tuple[int, float]:
-        """Place in the order, unknown names first; equal stages by where they begin."""
-        at = self._order.index(stage.name) if stage.name in self._classes else -1
-        start = stage.options.get("start")
-        return at, float(start) if isinstance(start, (int, float)) else 0.0
+    def place(self, name: str) -> int:
+        """Place in the order, unknown names first."""
+        return self._order.index(name) if name in self._classes else -1
 
     def sorted(self, chain: Iterable) -> list:
-        return sorted(chain, key=self.sort_key)
+        """Stages by place. Those of one name keep their order, but of neighbours that both cover a range the earlier one comes first."""
+        keyed, runs = [], {}
+        for k, stage in enumerate(chain):
+            start = stage.options.get("start") if getattr(stage, "ranged", False) else None
+            runs[stage.name] = runs.get(stage.name, 0) + (start is None)  # one without a range parts those before it from those behind
+            keyed.append(((self.place(stage.name), runs[stage.name], start is not None, start or 0.0, k), stage))
+        return [stage for _, stage in sorted(keyed, key=lambda x: x[0])]
 
 
 def validate(chain: list) -> list[Message]:

@@ -11,10 +11,10 @@ import uuid
 from dataclasses import replace
 from typing import Any, ClassVar
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactuslab.model import State, defined, scoped
+from tactuslab.model import Keyed, State, by_performance, defined, listed, scoped
 from tactuslab.operators import accentuation, articulation, dynamics, ornaments, relops, rubato, tempo, ticks
 from tactuslab.operators import notes as ops
 from tactuslab.plans.registry import Registry
@@ -39,13 +39,19 @@ def with_ids(rows: DataFrame, kind: str, existing: DataFrame | None = None) -> D
 
 
 class Stage:
-    """Base of all stages. options are plain values, so that a chain can be written as JSON."""
+    """Base of all stages. options are plain values, so that a chain can be written as JSON.
+
+    Where each performance has options of its own they are Keyed, as are id and argumentation then
+    (plans.calls makes such stages of a table of calls).
+    """
 
     name: ClassVar[str] = ""
     requires: ClassVar[tuple[str, ...]] = ()
     defaults: ClassVar[dict[str, Any]] = {}
+    #: Whether start and end are a range of score dates that the stage covers, by which equal stages are ordered.
+    ranged: ClassVar[bool] = False
 
-    def __init__(self, id: str | None = None, argumentation: dict | None = None, **options: Any) -> None:
+    def __init__(self, id: str | Keyed | None = None, argumentation: dict | Keyed | None = None, **options: Any) -> None:
         unknown = set(options) - set(self.defaults)
         if unknown:
             raise ValueError(f"{self.name} has no options {sorted(unknown)}")
@@ -68,24 +74,29 @@ class Stage:
             new = rows.select("perf_id", "id")
             if kind in state.tables:
                 new = new.join(state.tables[kind].select("perf_id", "id"), ["perf_id", "id"], "left_anti")
-            corresp = F.array(F.lit(self.argumentation["id"])) if self.argumentation else F.array().cast("array<string>")
-            out = out.inserted("provenance", new.select("perf_id", F.lit(self.id).alias("transformer_id"), F.col("id").alias("instruction_id"), corresp.alias("corresp")))
+            argument = self.argumentation if isinstance(self.argumentation, Keyed) else (self.argumentation or {}).get("id")
+            new, own, argument = by_performance(new, self.id, argument)
+            corresp = F.array(F.coalesce(F.lit(argument), F.lit(own)))
+            out = out.inserted("provenance", new.select("perf_id", F.lit(own).alias("transformer_id"), F.col("id").alias("instruction_id"), corresp.alias("corresp")))
         return out
 
+    def _scope(self, rows: DataFrame) -> tuple[DataFrame, Column]:
+        """rows, and the stage's scope over them."""
+        rows, scope = by_performance(rows, self.options.get("scope"))
+        return rows, F.lit(scope).cast("int")
+
     def _insert(self, state: State, kind: str, rows: DataFrame) -> State:
-        scope = F.lit(self.options.get("scope")).cast("int")
-        rows = with_ids(rows.withColumn("date", F.col("date").cast("double")), kind, state.table(kind))
+        rows, scope = self._scope(with_ids(rows.withColumn("date", F.col("date").cast("double")), kind, state.table(kind)))
         return state.inserted(kind, rows.withColumn("scope", scope))
 
     def _define(self, state: State, kind: str, rows: DataFrame, *body: str) -> State:
         """Definitions (perf_id, name, and the columns of body as JSON) and a style switch at 0 where there is none."""
-        scope = F.lit(self.options.get("scope")).cast("int")
+        rows, scope = self._scope(rows)
         return state.inserted("definitions", rows.select("perf_id", scope.alias("scope"), F.lit(kind).alias("def_type"), "name", F.to_json(F.struct(*body)).alias("body")))
 
     def _style(self, state: State, map_type: str, rows: DataFrame) -> State:
-        scope = F.lit(self.options.get("scope")).cast("int")
         have = scoped(state.table("styles"), self.options.get("scope")).where(F.col("map_type") == map_type).select("perf_id")
-        rows = rows.join(have, "perf_id", "left_anti")
+        rows, scope = self._scope(rows.join(have, "perf_id", "left_anti"))
         default = F.col("default_articulation") if "default_articulation" in rows.columns else F.lit(None).cast("string")
         return state.inserted("styles", rows.select("perf_id", scope.alias("scope"), F.lit(map_type).alias("map_type"), F.lit(f"style_{map_type}").alias("id"), F.lit(0.0).alias("date"), F.lit("performance_style").alias("name_ref"), default.alias("default_articulation")))
 
@@ -94,11 +105,12 @@ class MakeChoice(Stage):
     """Choose among takes of a note, by source; velocity and pedalling may be another source's."""
 
     name = "MakeChoice"
+    ranged = True
     defaults = {"prefer": "", "timing": None, "velocity": None, "pedalling": None, "start": None, "end": None, "note_ids": None, "scope": None}
 
     def transform(self, state: State) -> State:
         o = self.options
-        timing, velocity, pedalling = (o[k] if o[k] is not None else o["prefer"] for k in ("timing", "velocity", "pedalling"))
+        timing, velocity, pedalling = (o[k].either(o["prefer"]) if isinstance(o[k], Keyed) else o[k] if o[k] is not None else o["prefer"] for k in ("timing", "velocity", "pedalling"))
         notes = ops.make_choice(state.notes, timing, velocity, o["start"], o["end"], o["note_ids"])
         pedals = ops.choose_pedals(state.pedals, pedalling, o["start"], o["end"]) if pedalling else state.pedals
         return replace(state, notes=notes, pedals=pedals)
@@ -108,6 +120,7 @@ class Modify(Stage):
     """Add to velocity, onset or duration of some notes."""
 
     name = "Modify"
+    ranged = True
     defaults = {"aspect": "velocity", "change": 0.0, "start": 0, "end": 0, "note_ids": None, "scope": None}
 
     def transform(self, state: State) -> State:
@@ -131,8 +144,7 @@ class InsertDynamicsGradient(Stage):
 
     def transform(self, state: State) -> State:
         o = self.options
-        gradient = tuple(o["gradient"]) if o["gradient"] else None
-        rows, notes = ornaments.dynamics_gradient(state.notes, gradient, o["date"], tuple(o["crescendo"]), tuple(o["decrescendo"]), o["sort_velocities"], o["scope"])
+        rows, notes = ornaments.dynamics_gradient(state.notes, o["gradient"] or None, o["date"], o["crescendo"], o["decrescendo"], o["sort_velocities"], o["scope"])
         return self._insert(state, "ornament", rows.drop("standard")).with_notes(notes)
 
 
@@ -140,6 +152,7 @@ class ApproximateLogarithmicTempo(Stage):
     """Fit power-curve tempos between start and end; with go_on together with the chain of tempos that leads there."""
 
     name = "ApproximateLogarithmicTempo"
+    ranged = True
     defaults = {"start": 0, "end": 0, "beat_length": 0.25, "silent_onsets": (), "go_on": False, "scope": None}
 
     def transform(self, state: State) -> State:
@@ -147,15 +160,18 @@ class ApproximateLogarithmicTempo(Stage):
         notes, pedals = ops.shift_to_first_onset(state.notes, state.pedals)
         state = replace(state, notes=notes, pedals=pedals)
         played = notes.join(state.meta.where("ts_numerator IS NOT NULL").select("perf_id"), "perf_id", "left_semi")
-        played = ops.in_part(played, o["scope"])
+        rows, part = by_performance(played, o["scope"])
+        played = ops.in_part(rows, part).select(*played.columns)
         fitted = self.preview(state, played)
         have = scoped(state.table("tempo"), o["scope"])
         start = fitted.groupBy("perf_id").agg(F.min("date").alias("start"))
         kept = tempo.replaced_from(have, start, o["end"])
-        kept = kept.withColumn("id", F.when(F.col("restored"), F.lit(f"tempo_{o['end']}")).otherwise(F.col("id")))
-        others = state.table("tempo").where(~F.col("scope").eqNullSafe(F.lit(o["scope"]).cast("int")))
+        kept, end = by_performance(kept, o["end"])
+        kept = kept.withColumn("id", F.when(F.col("restored"), F.concat(F.lit("tempo_"), F.lit(end).cast("string"))).otherwise(F.col("id")))
+        others = scoped(state.table("tempo"), o["scope"], others=True)
         rest = others.unionByName(kept.select(*have.columns))
-        new = with_ids(fitted, "tempo", rest).withColumn("scope", F.lit(o["scope"]).cast("int"))
+        new, scope = self._scope(with_ids(fitted, "tempo", rest))
+        new = new.withColumn("scope", scope)
         rest = rest.unionByName(new.select(*have.columns))
         return state.with_table("tempo", relops.saved(rest, "tempo"))
 
@@ -164,13 +180,21 @@ class ApproximateLogarithmicTempo(Stage):
         o = self.options
         played = state.notes if played is None else played
         have = relops.with_end(scoped(state.table("tempo"), o["scope"]), relops.ends(state.notes))
-        silent = state.spark.createDataFrame([(int(d), float(s)) for d, s in o["silent_onsets"]], "date long, onset double")
-        silent = played.select("perf_id").distinct().join(silent, F.lit(True)) if o["silent_onsets"] else played.select("perf_id", "date", "onset").limit(0)
-        chain = tempo.chain_before(have, o["start"], o["beat_length"]) if o["go_on"] else have.limit(0)
+        given = o["silent_onsets"]
+        if not isinstance(given, (Keyed, Column)):
+            given = F.array(*[F.struct(F.lit(int(d)).cast("long").alias("date"), F.lit(float(s)).alias("onset")) for d, s in given]) if given else F.array().cast("array<struct<date:bigint,onset:double>>")
+        silent, given = by_performance(played.select("perf_id").distinct(), given)
+        silent = silent.select("perf_id", F.explode(given).alias("x")).select("perf_id", "x.date", "x.onset")
+        chain = have.limit(0)
+        if o["go_on"] is not False:
+            chain, go_on = by_performance(tempo.chain_before(have, o["start"], o["beat_length"]), o["go_on"])
+            chain = chain.where(F.lit(go_on))
         marks = chain.groupBy("perf_id").agg(F.collect_set("date").alias("marks"))
-        reach = played.select("perf_id").distinct().join(marks, "perf_id", "left").withColumn("marks", F.array_sort(F.array_union(F.coalesce("marks", F.array().cast("array<double>")), F.array(F.lit(float(o["start"])), F.lit(float(o["end"]))))))
+        reach, start, end = by_performance(played.select("perf_id").distinct().join(marks, "perf_id", "left"), o["start"], o["end"])
+        own = F.array(F.lit(start).cast("double"), F.lit(end).cast("double"))
+        reach = reach.select("perf_id", F.array_sort(F.array_union(F.coalesce("marks", F.array().cast("array<double>")), own)).alias("marks"), F.lit(end).cast("double").alias("_end"))
         onsets = tempo.merged_onsets(played, silent, -(1 << 60), 1 << 60).join(reach, "perf_id")
-        onsets = onsets.where((F.col("date") >= F.element_at("marks", 1)) & (F.col("date") <= o["end"]))
+        onsets = onsets.where((F.col("date") >= F.element_at("marks", 1)) & (F.col("date") <= F.col("_end")))
         return tempo.fit_chains(onsets, o["beat_length"])
 
 
@@ -183,10 +207,12 @@ class TranslatePhysicalTimeToTicks(Stage):
         frames = relops.saved(ticks.frames(tempos, state.notes), "frames")
         notes = relops.saved(ticks.tick_onsets(state.notes, tempos, frames), "ticks")
         out = state
-        if self.options["translate_modifiers"] and "ornament" in state.tables:
+        if self.options["translate_modifiers"] is not False and "ornament" in state.tables:
             o = state.table("ornament")
-            framed = ticks.ornament_ticks(o.where(F.col("frame_start").isNotNull()), notes, tempos, frames)
-            out = out.with_table("ornament", framed.unionByName(o.where(F.col("frame_start").isNull())))
+            rows, wanted = by_performance(o, self.options["translate_modifiers"])
+            framed = F.col("frame_start").isNotNull() & F.coalesce(F.lit(wanted), F.lit(True))
+            moved = ticks.ornament_ticks(rows.where(framed).select(*o.columns), notes, tempos, frames)
+            out = out.with_table("ornament", moved.unionByName(rows.where(~framed).select(*o.columns)))
         pedals = ticks.pedal_ticks(state.pedals, notes, tempos, frames)
         return replace(out, notes=ticks.tick_durations(notes, tempos, frames), pedals=pedals)
 
@@ -199,7 +225,7 @@ class StylizeOrnamentation(Stage):
     def transform(self, state: State) -> State:
         o = self.options
         rows = scoped(state.table("ornament"), o["scope"])
-        others = state.table("ornament").where(~F.col("scope").eqNullSafe(F.lit(o["scope"]).cast("int")))
+        others = scoped(state.table("ornament"), o["scope"], others=True)
         out, defs = ornaments.stylized(rows, o["tick_tolerance"], o["intensity_tolerance"], o["gradient_tolerance"])
         defs = relops.saved(defs, "ornament-defs")
         state = state.with_table("ornament", relops.saved(others.unionByName(out), "ornament"))
@@ -226,25 +252,29 @@ class CombineAdjacentRubatos(Stage):
     def transform(self, state: State) -> State:
         o = self.options
         own = scoped(state.table("rubato"), o["scope"])
-        others = state.table("rubato").where(~F.col("scope").eqNullSafe(F.lit(o["scope"]).cast("int")))
+        others = scoped(state.table("rubato"), o["scope"], others=True)
         rows = rubato.combined(own.drop("id", "scope", "loop"), ops.extent(state.notes), o["intensity_tolerance"], o["compression_tolerance"])
-        rows = with_ids(rows, "rubato").withColumn("scope", F.lit(o["scope"]).cast("int"))
-        return state.with_table("rubato", others.unionByName(rows.select(*others.columns)))
+        rows, scope = self._scope(with_ids(rows, "rubato"))
+        return state.with_table("rubato", others.unionByName(rows.withColumn("scope", scope).select(*others.columns)))
 
 
 class InsertDynamicsInstructions(Stage):
     name = "InsertDynamicsInstructions"
+    ranged = True
     defaults = {"start": 0, "end": 0, "phantom_velocities": (), "scope": None}
 
     def transform(self, state: State) -> State:
         o = self.options
-        points = dynamics.points(state.notes, {int(d): float(v) for d, v in o["phantom_velocities"]}, o["start"], o["end"], o["scope"])
+        phantoms = o["phantom_velocities"]
+        phantoms = phantoms if isinstance(phantoms, Keyed) else {int(d): float(v) for d, v in phantoms}
+        points = dynamics.points(state.notes, phantoms, o["start"], o["end"], o["scope"])
         state = self._insert(state, "dynamics", relops.saved(dynamics.fit_dynamics(points), "dynamics"))
         return state.with_notes(dynamics.residual(state.notes, scoped(state.table("dynamics"), o["scope"]), o["scope"]))
 
 
 class InsertMetricalAccentuation(Stage):
     name = "InsertMetricalAccentuation"
+    ranged = True
     requires = ("InsertDynamicsInstructions",)
     defaults = {"pattern": "my-accentuation", "start": 0, "end": 0, "beat_length": 0.25, "neutral_end": False, "scale_tolerance": 0.0, "scope": None}
 
@@ -252,14 +282,16 @@ class InsertMetricalAccentuation(Stage):
         o = self.options
         found = accentuation.looped(state.notes, state.meta, o["start"], o["end"], o["beat_length"], o["neutral_end"], o["scale_tolerance"], None, o["scope"])
         found = relops.saved(found, "accents")
-        name, neutral = F.lit(o["pattern"]), F.lit("neutral")
+        neutral = F.lit("neutral")
         notes = accentuation.accent_residual(state.notes, found, state.meta, o["start"], o["end"], None, o["scope"])
-        defs = found.join(state.meta, "perf_id").select("perf_id", name.alias("name"), "children", (F.lit((o["end"] - o["start"]) / 2880.0) * F.col("ts_denominator")).alias("length"))
+        found, pattern, start, end = by_performance(found, o["pattern"], o["start"], o["end"])
+        name, begin = F.lit(pattern), F.lit(start).cast("double")
+        defs = found.join(state.meta, "perf_id").select("perf_id", name.alias("name"), "children", ((F.lit(end) - begin) / 2880.0 * F.col("ts_denominator")).alias("length"))
         flat = F.array(F.struct(F.lit(1.0).alias("beat"), F.lit(0.0).alias("value"), F.lit(0.0).alias("transition_from"), F.lit(0.0).alias("transition_to")))
         have = state.table("definitions").where("name = 'neutral'").select("perf_id")
         calm = found.join(have, "perf_id", "left_anti").select("perf_id", neutral.alias("name"), flat.alias("children"), F.lit(0.25).alias("length"))
         state = self._define(state, "accentuationPatternDef", calm.unionByName(defs), "children", "length")
-        rows = found.select("perf_id", F.lit(float(o["start"])).alias("date"), name.alias("name_ref"), "scale", F.when(F.col("loop"), True).alias("loop"))
+        rows = found.select("perf_id", begin.alias("date"), name.alias("name_ref"), "scale", F.when(F.col("loop"), True).alias("loop"))
         after = found.where("loop").select("perf_id", F.col("neutral_date").cast("double").alias("date"), neutral.alias("name_ref"), F.lit(0.0).alias("scale"), F.lit(None).cast("boolean").alias("loop"))
         state = self._insert(state, "accentuation_pattern", rows.unionByName(after)).with_notes(notes)
         return self._style(state, "accentuationPattern", found.select("perf_id"))
@@ -274,20 +306,25 @@ class MergeMetricalAccentuations(Stage):
     def transform(self, state: State) -> State:
         o = self.options
         defs = state.table("definitions")
-        own = scoped(defs, o["scope"]).where("def_type = 'accentuationPatternDef'").where(F.col("name").isin(list(o["names"])))
-        order = F.create_map(*[x for k, n in enumerate(o["names"]) for x in (F.lit(n), F.lit(k))]) if o["names"] else F.create_map().cast("map<string,int>")
-        parsed = own.select("perf_id", "name", F.from_json("body", self.BODY).alias("b"), F.element_at(order, F.col("name")).alias("pos"))
-        merged = accentuation.merged(parsed.select("perf_id", "pos", "name", F.explode("b.children").alias("c")).select("perf_id", "pos", "name", "c.*"), list(o["names"]), o["into"])
+        own, names = by_performance(scoped(defs, o["scope"]).where("def_type = 'accentuationPatternDef'"), o["names"])
+        names = names if isinstance(names, Column) else F.array(*map(F.lit, names)).cast("array<string>")
+        own = own.where(listed(names, "name"))
+        parsed = own.select("perf_id", "name", F.from_json("body", self.BODY).alias("b"), F.array_position(names, F.col("name")).alias("pos"))
+        merged = accentuation.merged(parsed.select("perf_id", "pos", "name", F.explode("b.children").alias("c")).select("perf_id", "pos", "name", "c.*"), o["names"] if isinstance(o["names"], Keyed) else list(o["names"]), o["into"])
         length = parsed.groupBy("perf_id").agg(F.min_by("b.length", "pos").alias("length"))
         accent = F.struct("beat", "value", "transition_from", "transition_to")
         new = relops.saved(merged.groupBy("perf_id", "name").agg(F.array_sort(F.collect_list(accent)).alias("children")).join(length, "perf_id"), "merged-accents")
         hit = new.select("perf_id", F.lit(True).alias("_m"))
-        gone = F.coalesce(F.col("_m"), F.lit(False)) & (F.col("def_type") == "accentuationPatternDef") & F.col("name").isin(list(o["names"])) & F.col("scope").eqNullSafe(F.lit(o["scope"]).cast("int"))
-        state = state.with_table("definitions", defs.join(hit, "perf_id", "left").where(~gone).select(*defs.columns))
+        named = lambda rows: by_performance(rows.join(hit, "perf_id", "left"), o["names"], o["scope"], o["into"])
+        rows, names, scope, into = named(defs)
+        names = names if isinstance(names, Column) else list(names)
+        gone = F.coalesce(F.col("_m"), F.lit(False)) & (F.col("def_type") == "accentuationPatternDef") & listed(names, "name") & F.col("scope").eqNullSafe(F.lit(scope).cast("int"))
+        state = state.with_table("definitions", rows.where(~gone).select(*defs.columns))
         state = self._define(state, "accentuationPatternDef", new, "children", "length")
-        rows = state.table("accentuation_pattern").join(hit, "perf_id", "left")
-        renamed = F.when(F.col("_m") & F.col("name_ref").isin(list(o["names"])), F.lit(o["into"])).otherwise(F.col("name_ref"))
-        return state.with_table("accentuation_pattern", rows.withColumn("name_ref", renamed).drop("_m"))
+        have = state.table("accentuation_pattern")
+        rows, *_ = named(have)
+        renamed = F.when(F.col("_m") & listed(names, "name_ref"), F.lit(into)).otherwise(F.col("name_ref"))
+        return state.with_table("accentuation_pattern", rows.withColumn("name_ref", renamed).select(*have.columns))
 
 
 class InsertArticulation(Stage):
@@ -297,8 +334,10 @@ class InsertArticulation(Stage):
 
     def transform(self, state: State) -> State:
         o = self.options
-        chosen = articulation.values(ops.by_id(state.notes, list(o["note_ids"])))
-        defs = articulation.definition(chosen, tuple(o["aspects"])).withColumn("name", F.lit(o["articulation"]))
+        plain = lambda x: x if isinstance(x, Keyed) else list(x)
+        chosen = articulation.values(ops.by_id(state.notes, plain(o["note_ids"])))
+        defs, name = by_performance(articulation.definition(chosen, plain(o["aspects"])), o["articulation"])
+        defs = defs.withColumn("name", F.lit(name))
         notes = articulation.undone(state.notes, chosen, defs)
         state = self._define(state, "articulationDef", defs, *articulation.ASPECTS)
         return self._insert(state, "articulation", articulation.instructions(chosen, o["articulation"])).with_notes(notes)
@@ -355,21 +394,33 @@ class InsertMetadata(Stage):
     def transform(self, state: State) -> State:
         o = self.options
         kinds = (("author", "authors"), ("comment", "comments"), ("relatedResource", "related_resources"), ("appInfo", "app_info"))
+        if any(isinstance(o[key], Keyed) for _, key in kinds):
+            return state.with_table("metadata", self._lines(state.meta, kinds))
         rows = [(kind, json.dumps(x, sort_keys=True)) for kind, key in kinds for x in o[key]]
         lines = F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(kind).alias("kind"), F.lit(body).alias("body")) for k, (kind, body) in enumerate(rows)]) if rows else F.array().cast("array<struct<pos:int,kind:string,body:string>>")
         return state.with_table("metadata", state.meta.select("perf_id", F.explode(lines).alias("x")).select("perf_id", "x.pos", "x.kind", "x.body"))
 
 
+    def _lines(self, meta: DataFrame, kinds: tuple) -> DataFrame:
+        """Metadata of options that are arrays of JSON texts."""
+        rows, *values = by_performance(meta.select("perf_id"), *[self.options[key] for _, key in kinds])
+        tagged = [F.transform(v, lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x.alias("body"))) for (kind, _), v in zip(kinds, values, strict=True)]
+        return rows.select("perf_id", F.posexplode(F.concat(*tagged)).alias("pos", "x")).select("perf_id", "pos", "x.kind", "x.body")
+
+
 class InsertAsynchrony(Stage):
     name = "InsertAsynchrony"
+    ranged = True
     defaults = {"part": 1, "start": 0, "end": 0}
 
     def transform(self, state: State) -> State:
         o = self.options
         shift, notes = ops.asynchrony(state.notes, o["part"], o["start"], o["end"])
-        pair = F.array(F.struct(F.lit(float(o["start"])).alias("date"), (F.col("shift") * 1000).alias("milliseconds_offset")), F.struct(F.lit(float(o["end"])).alias("date"), F.lit(0.0).alias("milliseconds_offset")))
+        shift, part, start, end = by_performance(shift, o["part"], o["start"], o["end"])
+        pair = F.array(*[F.struct(F.lit(at).cast("double").alias("date"), value.alias("milliseconds_offset")) for at, value in ((start, F.col("shift") * 1000), (end, F.lit(0.0)))])
         rows = shift.select("perf_id", F.explode(pair).alias("x")).select("perf_id", "x.date", "x.milliseconds_offset")
-        rows = with_ids(rows, "asynchrony", state.table("asynchrony")).withColumn("scope", F.lit(o["part"]).cast("int"))
+        rows, part = by_performance(with_ids(rows, "asynchrony", state.table("asynchrony")), o["part"])
+        rows = rows.withColumn("scope", F.lit(part).cast("int"))
         return state.inserted("asynchrony", rows).with_notes(notes)
 
 
