@@ -117,7 +117,7 @@ def within(start: Any, end: Any, at: str = "date") -> Column:
 
 def listed(ids: Any, column: str = "note_id") -> Column:
     """Whether a column's value is among ids, which are a list or an array of strings."""
-    return F.coalesce(F.array_contains(ids, F.col(column).cast("string")), F.lit(False)) if isinstance(ids, Column) else F.col(column).isin(ids)
+    return F.coalesce(F.array_contains(ids, F.col(column).cast("string")), F.lit(False)) if isinstance(ids, Column) else F.col(column).isin(list(ids))
 
 
 def defined(column: Column | str) -> Column:

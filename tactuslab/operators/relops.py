@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,24 +78,95 @@ def islands(rows: DataFrame, starts: Column, order: str, out: str = "island", ke
     return rows.withColumn(out, F.sum(F.coalesce(starts, F.lit(True)).cast("int")).over(w))
 
 
-def box_neighbours(points: DataFrame, dims: dict[str, float], keys: tuple[str, ...] = ("perf_id",), index: str = "index") -> DataFrame:
-    """Pairs a < b of points no further apart than epsilon in every dimension.
+def _directions(dims: dict) -> list[dict[str, int]]:
+    """Half of the ways from a cell to its neighbours: in each dimension that has an extent back, none or forth, and the first move forth."""
+    free = [d for d, e in dims.items() if isinstance(e, Column) or e > 0]
+    ways = [dict(zip(free, step, strict=True)) for step in product((0, 1, -1), repeat=len(free))]
+    return [w for w in ways if next((x for x in w.values() if x), 0) > 0]
+
+
+def touching_cells(points: DataFrame, dims: dict[str, float | Column], keys: tuple[str, ...] = ("perf_id",), index: str = "index") -> tuple[DataFrame, DataFrame]:
+    """points (known in all dimensions) with node, their cell's smallest index, and pairs a, b of nodes whose cells hold points that touch.
 
-    The first dimension with an extent is cut into cells of epsilon; a point looks into its own cell and
-    the next one, so the join has an equal key whatever the group's size. Null and NaN are near nothing.
+    Points touch if they are no further apart than epsilon in every dimension; a cell is epsilon wide in each
+    dimension, so all its points touch each other, and one pair is enough to tie two cells. Cells that differ in
+    one dimension are tied by their outermost points. Across a corner, the outermost points towards it are
+    tried first and cells whose bounds are too far apart left out; what is open then is told by a sweep: by
+    falling first dimension the furthest second one reached so far. Only where three or more dimensions differ are
+    points that pass the sweep compared in pairs. Rows grow with points and with cells, not with pairs of points.
     """
-    main = next((d for d, e in dims.items() if e > 0), None)
-    rows = points
+    known = F.lit(True)
+    for d in dims:
+        known = known & F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double"))
+    rows = points.where(known)
+    extent = lambda d: dims[d] if isinstance(dims[d], Column) else F.lit(float(dims[d]))
+    rows = rows.withColumns({f"_e_{d}": extent(d).cast("double") for d in dims}).withColumns({f"_x_{d}": F.col(d).cast("double") for d in dims})
+    rows = rows.withColumns({f"_c_{d}": F.when(F.col(f"_e_{d}") > 0, F.floor(F.col(f"_x_{d}") / F.nullif(F.col(f"_e_{d}"), F.lit(0.0))).cast("double")).otherwise(F.col(f"_x_{d}")) for d in dims})
+    cell = [f"_c_{d}" for d in dims]
+    rows = rows.withColumn("node", F.min(index).over(Window.partitionBy(*keys, *cell)))
+    ways = _directions(dims)
+    place = F.struct(*[F.col(f"_x_{d}").alias(d) for d in dims])
+
+    def along(way: dict[str, int]) -> Column:
+        return reduce(lambda a, b: a + b, [F.col(f"_x_{d}") / F.nullif(F.col(f"_e_{d}"), F.lit(0.0)) * x for d, x in way.items() if x], F.lit(0.0))
+
+    sides = [x for k, w in enumerate(ways) for x in (F.max_by(place, along(w)).alias(f"_far_{k}"), F.min_by(place, along(w)).alias(f"_near_{k}"))]
+    bounds = [x for d in dims for x in (F.min(f"_x_{d}").alias(f"_lo_{d}"), F.max(f"_x_{d}").alias(f"_hi_{d}"), F.max(f"_e_{d}").alias(f"_e_{d}"))]
+    cells = saved(rows.groupBy(*keys, *cell, "node").agg(*bounds, *sides), "cells")
+    rows = saved(rows, "cell-points")
+    if not ways:
+        return rows.select(*points.columns, "node"), cells.select(*keys, F.col("node").alias("a"), F.col("node").alias("b")).where(F.lit(False))
+
+    step = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(float(w.get(d, 0))).alias(d) for d in dims]) for k, w in enumerate(ways)]))
+    one = cells.select("*", step.alias("_w"))
+    one = one.withColumns({f"_to_{d}": F.col(f"_c_{d}") + F.col("_w")[d] for d in dims}).withColumn("_out", F.element_at(F.array(*[F.col(f"_far_{k}") for k in range(len(ways))]), F.col("_w.k") + 1))
+    one = one.select(*keys, *[f"_to_{d}" for d in dims], F.col("node").alias("a"), "_w", "_out", *[F.col(f"_{x}_{d}").alias(f"_a{x}_{d}") for d in dims for x in ("lo", "hi")])
+    other = cells.select(*keys, *[F.col(c).alias(f"_to_{d}") for c, d in zip(cell, dims, strict=True)], F.col("node").alias("b"), F.array(*[F.col(f"_near_{k}") for k in range(len(ways))]).alias("_in"), *[f"_{x}_{d}" for d in dims for x in ("lo", "hi", "e")])
+    pairs = one.join(other, [*keys, *[f"_to_{d}" for d in dims]]).withColumn("_into", F.element_at("_in", F.col("_w.k") + 1))
+    apart, touch = F.lit(False), F.lit(True)
+    for d in dims:
+        gap = F.when(F.col("_w")[d] > 0, F.col(f"_lo_{d}") - F.col(f"_ahi_{d}")).when(F.col("_w")[d] < 0, F.col(f"_alo_{d}") - F.col(f"_hi_{d}")).otherwise(F.lit(0.0))
+        apart = apart | (gap > F.col(f"_e_{d}"))
+        touch = touch & (F.abs(F.col("_out")[d] - F.col("_into")[d]) <= F.col(f"_e_{d}"))
+    turns = reduce(lambda a, b: a + b, [F.abs(F.col("_w")[d]) for d in dims])
+    pairs = pairs.where(~apart).select(*keys, "a", "b", "_w", touch.alias("_tied"), turns.alias("_turns"), *[f"_{x}_{d}" for d in dims for x in ("lo", "hi", "e")], *[f"_a{x}_{d}" for d in dims for x in ("lo", "hi")])
+    pairs = saved(pairs, "cell-pairs")
+    tied = pairs.where("_tied").select(*keys, "a", "b")
+    found = [tied]
+    if max(sum(map(abs, w.values())) for w in ways) > 1:
+        found.append(_across_corners(rows, pairs.where("NOT _tied AND _turns > 1"), dims, keys, index))
+    return rows.select(*points.columns, "node"), reduce(DataFrame.unionByName, found)
+
+
+def _across_corners(rows: DataFrame, pairs: DataFrame, dims: dict, keys: tuple[str, ...], index: str) -> DataFrame:
+    """Those of pairs of cells that hold points which touch, by a sweep over the points that lie near the other cell's bounds."""
+    mirrored = lambda d: F.when(F.col("_w")[d] < 0, -F.col(f"_x_{d}")).otherwise(F.col(f"_x_{d}"))
+    values = {f"_y_{d}": mirrored(d) for d in dims}
+    own = rows.select(*keys, "node", F.col(index).alias("_i"), *[f"_x_{d}" for d in dims])
+
+    def near(side: str, low: str, high: str) -> DataFrame:
+        some = own.withColumnRenamed("node", side).join(pairs, [*keys, side])
+        for d in dims:
+            up, down = F.col(f"_x_{d}") >= F.col(f"{low}_{d}") - F.col(f"_e_{d}"), F.col(f"_x_{d}") <= F.col(f"{high}_{d}") + F.col(f"_e_{d}")
+            some = some.where(up & down)
+        reach = {f"_y_{d}": v + (F.col(f"_e_{d}") if side == "a" else F.lit(0.0)) for d, v in zip(dims, values.values(), strict=True)}
+        turned = F.filter(F.array(*[F.when(F.col("_w")[d] != 0, F.struct(reach[f"_y_{d}"].alias("y"))) for d in dims]), lambda x: x.isNotNull())
+        return some.select(*keys, "a", "b", F.lit(side == "b").alias("_b"), "_i", "_turns", turned.alias("_t"), *[f"_x_{d}" for d in dims], *[f"_e_{d}" for d in dims])
+
+    both = near("a", "_lo", "_hi").unionByName(near("b", "_alo", "_ahi"))
+    both = both.withColumn("_first", F.col("_t")[0]["y"]).withColumn("_second", F.col("_t")[1]["y"])
+    sweep = Window.partitionBy(*keys, "a", "b").orderBy(F.desc("_first"), "_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = both.withColumn("_reach", F.max(F.when(~F.col("_b"), F.col("_second"))).over(sweep))
+    hit = swept.where(F.col("_b") & (F.col("_second") <= F.col("_reach")))
+    flat = hit.where("_turns = 2").select(*keys, "a", "b").distinct()
+    if sum(1 for e in dims.values() if isinstance(e, Column) or e > 0) < 3:
+        return flat
+    left = both.where("NOT _b AND _turns > 2").select(*keys, "a", "b", *[F.col(f"_x_{d}").alias(f"_p_{d}") for d in dims])
+    close = F.lit(True)
     for d in dims:
-        rows = rows.where(F.col(d).isNotNull() & ~F.isnan(F.col(d).cast("double")))
-    cell = F.floor(F.col(main) / dims[main]) if main else F.lit(0).cast("long")
-    rows = rows.select(*keys, F.col(index).alias("a"), *[F.col(d).cast("double").alias(f"a_{d}") for d in dims], cell.alias("_cell"))
-    other = rows.select(*keys, F.col("a").alias("b"), *[F.col(f"a_{d}").alias(f"b_{d}") for d in dims], F.explode(F.array("_cell", F.col("_cell") - 1) if main else F.array("_cell")).alias("_cell"))
-    near = F.lit(True)
-    for d, e in dims.items():
-        near = near & (F.abs(F.col(f"a_{d}") - F.col(f"b_{d}")) <= e)
-    pairs = rows.join(other, [*keys, "_cell"]).where(near & (F.col("a") != F.col("b")))
-    return pairs.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        close = close & (F.abs(F.col(f"_x_{d}") - F.col(f"_p_{d}")) <= F.col(f"_e_{d}"))
+    deep = hit.where("_turns > 2").join(left, [*keys, "a", "b"]).where(close).select(*keys, "a", "b").distinct()
+    return flat.unionByName(deep)
 
 
 def components(points: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("perf_id",), index: str = "index") -> DataFrame:
@@ -127,14 +201,17 @@ def cluster(points: DataFrame, dims: dict[str, float], keys: tuple[str, ...] = (
     """points with label: clusters of points that touch within a box, numbered by their first index, -1 alone.
 
     What density clustering with two points a core comes to: every point with a neighbour is a core, so
-    clusters are the connected components of two or more. One dimension takes a sort; more take pairs of
-    neighbouring cells of the first one.
+    clusters are the connected components of two or more. One dimension takes a sort; more take the graph of
+    cells that touch. Null and NaN are near nothing.
     """
     if len(dims) == 1:
         ((dim, epsilon),) = dims.items()
         found = _in_a_row(points, dim, epsilon, keys, index)
     else:
-        found = components(points, box_neighbours(points, dims, keys, index), keys, index)
+        placed, pairs = touching_cells(points, dims, keys, index)
+        cells = components(placed.select(*keys, F.col("node").alias(index)).distinct(), pairs, keys, index)
+        roots = placed.select(*keys, index, "node").join(cells.select(*keys, F.col(index).alias("node"), "root"), [*keys, "node"]).drop("node")
+        found = points.join(roots, [*keys, index], "left").withColumn("root", F.coalesce("root", index))
     sizes = found.groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     w = Window.partitionBy(*keys).orderBy("root")
     sizes = sizes.withColumn("label", F.row_number().over(w) - 1).drop("_n")

@@ -13,7 +13,7 @@ from tactuslab.plans.stages import Stage, registry
 
 
 class Pipeline:
-    """Stages in the registry's order. Notes are written after each stage, so plans stay as short as one stage."""
+    """Stages in the registry's order. What a stage has changed is written after it, so plans stay as short as one stage."""
 
     def __init__(self, stages: Iterable[Stage], stage_registry: Registry = registry) -> None:
         self.stages = stage_registry.sorted(stages)
@@ -26,9 +26,10 @@ class Pipeline:
         if problems:
             raise ValueError("; ".join(m.message for m in problems))
         for stage in self.stages:
-            state = stage.run(state)
-            tables = {k: saved(t, f"{stage.name}-{k}") for k, t in state.tables.items()}
-            state = replace(state, notes=saved(state.notes, f"{stage.name}-notes"), pedals=saved(state.pedals, f"{stage.name}-pedals"), tables=tables)
+            before, state = state, stage.run(state)
+            kept = lambda new, old, what, stage=stage: new if new is old else saved(new, f"{stage.name}-{what}")
+            tables = {k: kept(t, before.tables.get(k), k) for k, t in state.tables.items()}
+            state = replace(state, notes=kept(state.notes, before.notes, "notes"), pedals=kept(state.pedals, before.pedals, "pedals"), tables=tables)
         return state
 
 

@@ -181,15 +181,17 @@ def import_work(text: str, stage_registry: Registry = registry) -> tuple[dict, l
 
 
 def work_calls(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """The calls of many project files at once: work, argumentation, id, name, options as JSON, and what they created.
+    """The calls of many project files at once: work, pos (in the file), argumentation, id, name, options as JSON, and what they created.
 
     A file is one project, or with multi_line off, one in each line.
     """
     call = "struct<id:string,name:string,options:string,created:array<string>>"
     kind = f"name string, creation struct<argumentations:array<struct<id:string,calls:array<{call}>>>>"
     rows = spark.read.schema(kind).option("multiLine", multi_line).json(path)
-    rows = rows.select(F.col("name").alias("work"), F.explode("creation.argumentations").alias("a"))
-    return rows.select("work", F.col("a.id").alias("argumentation"), F.explode("a.calls").alias("c")).select("work", "argumentation", "c.id", "c.name", "c.options", "c.created")
+    rows = rows.select(F.col("name").alias("work"), F.posexplode("creation.argumentations").alias("i", "a"))
+    rows = rows.select("work", "i", F.col("a.id").alias("argumentation"), F.posexplode("a.calls").alias("j", "c"))
+    pos = F.col("i").cast("long") * (1 << 32) + F.col("j")
+    return rows.select("work", pos.alias("pos"), "argumentation", "c.id", "c.name", "c.options", "c.created")
 
 
 def missing_requirements(calls: DataFrame, stage_registry: Registry = registry) -> DataFrame:

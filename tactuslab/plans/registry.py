@@ -44,6 +44,13 @@ class Registry:
         """Names of the stages that a stage requires."""
         return tuple(self._classes[name].requires)
 
+    def stage(self, name: str) -> type:
+        return self._classes[name]
+
+    def ranged(self, name: str) -> bool:
+        """Whether a stage covers a range of dates by which its calls are ordered."""
+        return getattr(self._classes[name], "ranged", False)
+
     def order(self) -> list[str]:
         return list(self._order)
 

@@ -404,7 +404,8 @@ class InsertMetadata(Stage):
     def _lines(self, meta: DataFrame, kinds: tuple) -> DataFrame:
         """Metadata of options that are arrays of JSON texts."""
         rows, *values = by_performance(meta.select("perf_id"), *[self.options[key] for _, key in kinds])
-        tagged = [F.transform(v, lambda x, kind=kind: F.struct(F.lit(kind).alias("kind"), x.alias("body"))) for (kind, _), v in zip(kinds, values, strict=True)]
+        of = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("body"))
+        tagged = [F.transform(v, of(kind)) for (kind, _), v in zip(kinds, values, strict=True)]
         return rows.select("perf_id", F.posexplode(F.concat(*tagged)).alias("pos", "x")).select("perf_id", "pos", "x.kind", "x.body")
 
 

@@ -626,11 +626,6 @@ _movements("down")
 _movements("up")
 
 
-@query("SELECT -7.0::DOUBLE AS low, 7.0::DOUBLE AS high")
-def imprecision_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([ops.imprecision_limits(6.0)], "low double, high double")
-
-
 @query(f"SELECT perf_id, date, {fx('(mean_onset - first_onset) * 1000', 0)} AS start_u FROM chords")
 def compress_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = relops.chords(derived.notes(spark, sf_dir)).select("perf_id", "date", ((F.col("mean_onset") - F.col("first_onset")) * 1000).alias("frame_start"), F.lit(0.0).alias("frame_length"))

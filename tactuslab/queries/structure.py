@@ -4,23 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tactuslab.functions.kernels import fixed
-from tactuslab.plans import pipeline, projects, stages
-from tactuslab.plans.registry import validate
+from tactuslab.plans import calls, pipeline, projects, stages
 from tactuslab.queries.base import fx, query
 from tactuslab.sources import derived, msm
 from tactuslab.tables import shared_dir
 
 
-@query("SELECT * FROM (VALUES (0, 'InsertRubato requires TranslatePhysicalTimeToTicks before it in the chain'), (2, 'StylizeOrnamentation requires InsertDynamicsGradient before it in the chain')) AS t(index, message)")
-def chain_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = [stages.InsertRubato(), stages.InsertTemporalSpread(), stages.StylizeOrnamentation()]
-    return spark.createDataFrame([(m.index, m.message) for m in validate(chain)], "index int, message string")
-
-
 _CHAINS = (("InsertRubato", "InsertTemporalSpread", "StylizeOrnamentation"), ("TranslatePhysicalTimeToTicks", "InsertRubato", "CombineAdjacentRubatos"), ("StylizeArticulation", "TranslatePhysicalTimeToTicks", "InsertArticulation"))
 
 
@@ -28,8 +21,8 @@ _CHAINS = (("InsertRubato", "InsertTemporalSpread", "StylizeOrnamentation"), ("T
 def chain_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the chains of all performances, of three kinds, lack."""
     chain = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in _CHAINS]), (F.col("perf_id") % 3 + 1).cast("int"))
-    calls = derived.meta(spark, sf_dir).select(F.col("perf_id").alias("work"), F.posexplode(chain).alias("pos", "name"))
-    return projects.missing_requirements(calls)
+    rows = derived.meta(spark, sf_dir).select(F.col("perf_id").alias("work"), F.posexplode(chain).alias("pos", "name"))
+    return projects.missing_requirements(rows)
 
 
 @query("SELECT perf_id, date, 'note_' || date || CASE WHEN k > 0 THEN '_' || k ELSE '' END AS id FROM (SELECT perf_id, date, row_number() OVER (PARTITION BY perf_id, date ORDER BY seq) - 1 AS k FROM notes)")
@@ -44,14 +37,6 @@ def provenance_corresp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.table("provenance").select("perf_id", "instruction_id", F.array_join("corresp", " ").alias("corresp"))
 
 
-@query("SELECT * FROM (VALUES (0, 'Modify', 'a2', 'velocity'), (1, 'InsertTemporalSpread', 'a1', NULL)) AS t(pos, name, argumentation, aspect)")
-def work_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chain = [stages.InsertTemporalSpread(argumentation={"id": "a1"}), stages.Modify(argumentation={"id": "a2"}, change=3.0)]
-    _, back = pipeline.import_work(pipeline.export_work({"name": "piece"}, chain))
-    rows = [(k, s.name, s.argumentation["id"], s.options.get("aspect")) for k, s in enumerate(back)]
-    return spark.createDataFrame(rows, "pos int, name string, argumentation string, aspect string")
-
-
 @query("SELECT DISTINCT 'work ' || perf_id AS work, argumentation, name, threshold FROM notes, (VALUES ('a1', 'InsertTemporalSpread', 35.0::DOUBLE), ('a2', 'TranslatePhyiscalTimeToTicks', NULL)) AS t(argumentation, name, threshold)")
 def project_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project for each performance, written to the shared folder and read back together."""
@@ -60,8 +45,8 @@ def project_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = derived.meta(spark, sf_dir).select(F.concat(F.lit(before + "work "), "perf_id", F.lit(after)))
     path = f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}"
     works.write.text(path)
-    calls = pipeline.work_calls(spark, path, multi_line=False)
-    return calls.select("work", "argumentation", "name", F.get_json_object("options", "$.durationThreshold").cast("double").alias("threshold"))
+    rows = pipeline.work_calls(spark, path, multi_line=False)
+    return rows.select("work", "argumentation", "name", F.get_json_object("options", "$.durationThreshold").cast("double").alias("threshold"))
 
 
 @query("""SELECT DISTINCT perf_id, pos, kind, body FROM notes, (VALUES (0, 'author', '{"number": 1, "text": "A"}'), (1, 'comment', '"c"'), (2, 'appInfo', '{"name": "app", "url": "u", "version": "1"}')) AS t(pos, kind, body)""")
@@ -70,6 +55,69 @@ def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage.run(derived.state(spark, sf_dir)).table("metadata").select("perf_id", "pos", "kind", "body")
 
 
+def _projects(spark: SparkSession, sf_dir: str, chains: tuple) -> DataFrame:
+    """Calls of a project file for each performance, by perf_id % 3 with one of three chains, written to the shared folder and read back together."""
+    text = [projects.export_work({"name": "work ?"}, chain).split("work ?") for chain in chains]
+    part = lambda k: F.element_at(F.array(*[F.lit(t[k]) for t in text]), (F.col("perf_id") % 3 + 1).cast("int"))
+    path = f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}"
+    derived.meta(spark, sf_dir).select(F.concat(part(0), F.lit("work "), F.col("perf_id"), part(1))).write.text(path)
+    return projects.work_calls(spark, path, multi_line=False).withColumn("perf_id", F.substring("work", 6, 20).cast("long"))
+
+
+def _edits() -> tuple:
+    """Three chains of edits with different options; the second has two edits of one stage, out of order."""
+    a1 = {"id": "a1"}
+    return (
+        [stages.Modify("m0", a1, aspect="velocity", change=-20.0, start=3600, end=21600, scope=1), stages.InsertAsynchrony("s0", start=3600, end=36000)],
+        [stages.Modify("m2", aspect="onset", change=0.5, start=7200, end=14400), stages.Modify("m1", a1, aspect="duration", change=0.25, start=720, end=36000, scope=0)],
+        [stages.InsertAsynchrony("s1", a1, part=0, start=7200, end=14400)],
+    )
+
+
+_MOVED = """onset + CASE WHEN perf_id % 3 = 1 AND date BETWEEN 7200 AND 14400 THEN 0.5::DOUBLE WHEN perf_id % 3 = 0 AND part = 2 AND date BETWEEN 3600 AND 36000 THEN -coalesce(s, 0)
+    WHEN perf_id % 3 = 2 AND part = 1 AND date BETWEEN 7200 AND 14400 THEN -coalesce(s, 0) ELSE 0 END"""
+
+
+@query(f""", hd AS (SELECT perf_id, date, part, arg_min(onset, seq) AS o FROM notes GROUP BY ALL),
+sh AS (SELECT h.perf_id, avg(h.o - g.o) AS s FROM hd h JOIN hd g ON h.perf_id = g.perf_id AND h.date = g.date
+  WHERE (h.perf_id % 3 = 0 AND h.part = 2 AND g.part = 1 AND h.date BETWEEN 3600 AND 36000) OR (h.perf_id % 3 = 2 AND h.part = 1 AND g.part = 2 AND h.date BETWEEN 7200 AND 14400) GROUP BY 1)
+SELECT note_id, CASE WHEN perf_id % 3 = 0 AND part = 2 AND date BETWEEN 3600 AND 21600 THEN greatest(0, velocity - 20) ELSE velocity END AS velocity, {fx(_MOVED)} AS onset_u,
+  {fx('midi_duration + CASE WHEN perf_id % 3 = 1 AND part = 1 AND date BETWEEN 720 AND 36000 THEN 0.25::DOUBLE ELSE 0 END')} AS midi_duration_u FROM notes LEFT JOIN sh USING (perf_id)""")
+def calls_of_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of three kinds with options of their own, from their project files, in one pass."""
+    out = calls.run_calls(derived.state(spark, sf_dir), _projects(spark, sf_dir, _edits()))
+    return out.notes.select(F.col("note_id").cast("long").alias("note_id"), "velocity", fixed(F.col("onset")).alias("onset_u"), fixed(F.col("midi_duration")).alias("midi_duration_u"))
+
+
+@query("""SELECT perf_id, count(*) AS n, t.id, t.corresp, t.kind FROM (SELECT perf_id, date, count(*) AS k, (max(onset) - min(onset)) * 1000 AS ms FROM notes GROUP BY ALL),
+  (VALUES (0, 'x0', 'a1', 'ornament', 35.0), (1, 'x1', 'x1', 'ornament', 200.0)) AS t(kind_of, id, corresp, kind, least) WHERE perf_id % 3 = kind_of AND k > 1 AND ms > least GROUP BY ALL
+UNION ALL SELECT DISTINCT perf_id, 2, 's2', 's2', 'asynchrony' FROM notes a JOIN notes b USING (perf_id, date) WHERE a.part = 1 AND b.part = 2 AND perf_id % 3 = 2""")
+def calls_created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the calls of all works created, written back into their project files and read from these: counted by call, with what the instructions refer to."""
+    chains = ([stages.InsertTemporalSpread("x0", {"id": "a1"})], [stages.InsertTemporalSpread("x1", threshold_ms=200.0)], [stages.InsertAsynchrony("s2", part=1, start=0, end=1 << 40)])
+    own = _projects(spark, sf_dir, chains)
+    out = calls.run_calls(derived.state(spark, sf_dir), own)
+    path = f"{shared_dir(spark)}/projects-{uuid.uuid4().hex}"
+    calls.export_works(own, calls.created(out)).select("json").write.text(path)
+    back = projects.work_calls(spark, path, multi_line=False).select(F.col("work").cast("long").alias("perf_id"), "id", F.explode("created").alias("instruction_id"))
+    refers = out.table("provenance").select("perf_id", F.col("transformer_id").alias("id"), "instruction_id", F.array_join("corresp", " ").alias("corresp"))
+    rows = back.join(refers, ["perf_id", "id", "instruction_id"]).withColumn("kind", F.substring_index("instruction_id", "_", 1))
+    return rows.groupBy("perf_id", "id", "corresp", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT perf_id, row_number() OVER (PARTITION BY perf_id ORDER BY stage, CASE WHEN stage = 1 THEN date END, pos) AS place, pos FROM (
+  SELECT perf_id, seq AS pos, date, CASE source WHEN 'view' THEN 1 WHEN 'click' THEN 7 ELSE 14 END AS stage FROM notes)""")
+def chain_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each note as a call: modifications are ordered by where they begin, rubatos and pedals, though they have dates, as they came."""
+    n = derived.notes(spark, sf_dir)
+    name = F.when(F.col("source") == "view", "Modify").when(F.col("source") == "click", "InsertRubato").otherwise("InsertPedal")
+    ranged, dated = F.to_json(F.struct(F.col("date").alias("from"))), F.to_json(F.struct("date", F.col("date").alias("start")))
+    options = F.when(F.col("source") == "view", ranged).otherwise(dated)
+    table = n.select("perf_id", F.col("seq").alias("pos"), F.col("note_id").cast("string").alias("id"), name.alias("name"), options.alias("options"))
+    place = F.row_number().over(Window.partitionBy("perf_id").orderBy("place", "k"))
+    return calls.steps(table).select("perf_id", place.alias("place"), "pos")
+
+
 @query(f"SELECT perf_id, part, CAST(note_id AS VARCHAR) AS id, date, duration, midi_pitch, {fx('onset')} AS onset_u, {fx('midi_duration')} AS midi_duration_u, velocity, max(date) OVER (PARTITION BY perf_id) AS section_end FROM notes")
 def score_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attributes of all notes as the written score has them, part by part."""
