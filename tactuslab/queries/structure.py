@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tactuslab.functions.kernels import fixed
 from tactuslab.plans import calls, pipeline, projects, stages
 from tactuslab.queries.base import fx, query
-from tactuslab.sources import derived, msm
+from tactuslab.sources import derived, msm, performances
 from tactuslab.tables import shared_dir
 
 
@@ -142,6 +143,43 @@ def score_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.col("note_id").alias("id"), "part", "date", "duration", "midi_pitch", fixed(F.col("onset")).alias("onset_u"), fixed(F.col("midi_duration")).alias("midi_duration_u"), "velocity")
 
 
+@query(f"SELECT CAST(pedal_id AS VARCHAR) AS id, type, source, {fx('onset')} AS onset_u, {fx('midi_duration')} AS midi_duration_u FROM pedals")
+def pedal_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pedals of a score file for each performance, written to the shared folder and read back together."""
+    path = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    x = msm.to_xml(derived.notes(spark, sf_dir), derived.meta(spark, sf_dir), pedals=derived.pedals(spark, sf_dir))
+    x.withColumnRenamed("perf_id", "work").write.partitionBy("work").text(path)
+    return msm.read_pedals(spark, path).select(F.col("pedal_id").alias("id"), "type", "source", fixed(F.col("onset")).alias("onset_u"), fixed(F.col("midi_duration")).alias("midi_duration_u"))
+
+
+@query(f""", hd AS (SELECT perf_id, date, part, arg_min(onset, seq) AS o FROM notes WHERE date BETWEEN 3600 AND 36000 GROUP BY ALL),
+sh AS (SELECT a.perf_id, avg(a.o - b.o) AS s FROM hd a JOIN hd b ON a.perf_id = b.perf_id AND a.date = b.date AND a.part = 2 AND b.part = 1 GROUP BY 1)
+SELECT perf_id, 'ornament' AS kind, NULL::INTEGER AS scope, 'ornament_' || date AS id, {fx('date', 3)} AS date_u, {fx('(first - mean) * 1000', 3)} AS a_u, {fx('(last - first) * 1000', 3)} AS b_u, 'a1' AS corresp
+  FROM (SELECT perf_id, date, min(onset) AS first, max(onset) AS last, avg(onset) AS mean FROM notes GROUP BY ALL HAVING count(*) > 1) WHERE (last - first) * 1000 > 35
+UNION ALL SELECT perf_id, 'movement', NULL, pedal_id || '_start', {fx('onset * 720 - 60', 3)}, 0, {fx('0.8::DOUBLE', 3)}, 'p' FROM pedals
+UNION ALL SELECT perf_id, 'movement', NULL, pedal_id || '_moveDown', {fx('onset * 720 + 60', 3)}, {fx('0.8::DOUBLE', 3)}, NULL, 'p' FROM pedals
+UNION ALL SELECT perf_id, 'asynchrony', 1, 'asynchrony_3600', 3600000, {fx('s * 1000', 3)}, NULL, 's' FROM sh
+UNION ALL SELECT perf_id, 'asynchrony', 1, 'asynchrony_36000', 36000000, 0, NULL, 's' FROM sh
+UNION ALL SELECT perf_id, 'tempo', NULL, 'tempo_0', 0, 60000, NULL, NULL FROM notes GROUP BY perf_id""")
+def performance_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions of several stages as a document for each performance, written to the shared folder and read back together."""
+    s = derived.state(spark, sf_dir)
+    s = replace(s, pedals=s.pedals.withColumn("tick_date", F.col("onset") * 720).withColumn("tick_duration", F.col("midi_duration") * 720))
+    s = stages.InsertPedal("p", start=-60.0, duration=120.0, depth=0.8).run(s)
+    s = stages.InsertTemporalSpread("x", {"id": "a1"}).run(stages.InsertAsynchrony("s", start=3600, end=36000).run(s).with_notes(s.notes))
+    path = f"{shared_dir(spark)}/performances-{uuid.uuid4().hex}"
+    performances.to_xml(s).select("xml").write.text(path)
+    back = performances.read(spark, path, multi_line=False)
+    said = back.table("provenance").select("perf_id", F.col("instruction_id").alias("id"), F.array_join("corresp", " ").alias("corresp"))
+    values = {"ornament": ("frame_start", "frame_length"), "movement": ("position", "transition_to"), "asynchrony": ("milliseconds_offset", None), "tempo": ("bpm", "transition_to")}
+    out = None
+    for kind, (a, b) in values.items():
+        u = lambda c: fixed(F.col(c) if c else F.lit(None).cast("double"), 3)
+        rows = back.table(kind).join(said, ["perf_id", "id"], "left").select("perf_id", F.lit(kind).alias("kind"), "scope", "id", u("date").alias("date_u"), u(a).alias("a_u"), u(b).alias("b_u"), "corresp")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query()
 def full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sixteen stages of the standard order over all performances and dates: what is left of each note."""

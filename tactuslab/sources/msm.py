@@ -34,6 +34,19 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("seq", F.row_number().over(w.orderBy("date", "part", "pos")).cast("long")).drop("_first", "pos")
 
 
+def read_pedals(spark: SparkSession, path: str) -> DataFrame:
+    """Pedals of all files under path, in the order of each file."""
+    field = "`_xml:id`:string,_type:string,_date:double,`_date.end`:double,`_midi.onset`:double,`_midi.duration`:double,_source:string"
+    kind = f"pedalMap struct<pedal:array<struct<{field}>>>"
+    rows = spark.read.format("xml").option("rowTag", "global").option("attributePrefix", "_").schema(kind).load(path)
+    rows = rows.select(F.xxhash64(F.input_file_name()).alias("perf_id"), F.posexplode("pedalMap.pedal").alias("seq", "p"))
+    p = lambda c: F.col("p").getField(f"_{c}")
+    return rows.select(
+        "perf_id", F.col("seq").cast("long").alias("seq"), p("xml:id").alias("pedal_id"), p("type").alias("type"), p("date").cast("long").alias("date"), p("date.end").cast("long").alias("date_end"),
+        F.coalesce(p("midi.onset"), F.lit(0.0)).alias("onset"), p("midi.duration").alias("midi_duration"), p("source").alias("source"),
+    )
+
+
 def read_time_signatures(spark: SparkSession, path: str) -> DataFrame:
     kind = "dated struct<timeSignatureMap:struct<timeSignature:struct<_numerator:int,_denominator:int>>>"
     rows = spark.read.format("xml").option("rowTag", "global").option("attributePrefix", "_").schema(kind).load(path)
@@ -53,11 +66,11 @@ def _attribute(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f' {name}="'), _quoted(text), F.lit('"')), F.lit(""))
 
 
-def to_xml(notes: DataFrame, meta: DataFrame, intermediate: bool = False) -> DataFrame:
-    """perf_id and xml: the score of each performance, its parts with their notes by date.
+def to_xml(notes: DataFrame, meta: DataFrame, intermediate: bool = False, pedals: DataFrame | None = None) -> DataFrame:
+    """perf_id and xml: the score of each performance, its parts with their notes by date, and its pedals by onset.
 
-    Without intermediate the physical values are left out. The section ends with the last date. A
-    performance is one document, so its notes come together in one row.
+    Without intermediate the physical values of notes are left out. The section ends with the last date, and each
+    part begins with program 0. A performance is one document, so its notes come together in one row.
     """
     score = [("xml:id", "note_id"), ("date", "date"), ("pitchname", "pitchname"), ("octave", "octave"), ("accidentals", "accidentals"), ("midi.pitch", "midi_pitch"), ("duration", "duration")]
     physical = [("midi.onset", "onset"), ("midi.duration", "midi_duration"), ("midi.velocity", "velocity")]
@@ -66,9 +79,17 @@ def to_xml(notes: DataFrame, meta: DataFrame, intermediate: bool = False) -> Dat
     rows = notes.select("perf_id", "part", "date", "seq", one.alias("x"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("date", "seq", "x"))), lambda n: n.x), "")
     parts = rows.groupBy("perf_id", "part").agg(body.alias("body"), F.max("date").alias("end"))
-    xml = F.concat(F.lit('<part name="part'), F.col("part"), F.lit('" number="'), F.col("part"), F.lit('" midi.channel="'), F.col("part") - 1, F.lit('" midi.port="0"><dated><score>'), F.col("body"), F.lit("</score></dated></part>"))
+    xml = F.concat(F.lit('<part name="part'), F.col("part"), F.lit('" number="'), F.col("part"), F.lit('" midi.channel="'), F.col("part") - 1, F.lit('" midi.port="0"><header/><dated><programChangeMap><programChange date="0" value="0"/></programChangeMap><score>'), F.col("body"), F.lit("</score></dated></part>"))
     pieces = parts.groupBy("perf_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", xml.alias("x")))), lambda p: p.x), "").alias("parts"), F.max("end").alias("end"))
     pieces = pieces.join(meta, "perf_id", "left")
     signature = F.concat(F.lit('<timeSignatureMap><timeSignature date="0" numerator="'), F.coalesce("ts_numerator", F.lit(4)), F.lit('" denominator="'), F.coalesce("ts_denominator", F.lit(4)), F.lit('"/></timeSignatureMap>'))
     section = F.concat(F.lit('<sectionMap><section date="0" date.end="'), F.col("end"), F.lit('"/></sectionMap>'))
-    return pieces.select("perf_id", F.concat(F.lit(f'<msm pulsesPerQuarter="{PPQ}"><global><dated>'), signature, section, F.lit("</dated></global>"), F.col("parts"), F.lit("</msm>")).alias("xml"))
+    treads = F.lit("<pedalMap/>")
+    if pedals is not None:
+        own = [("xml:id", "pedal_id"), ("type", "type"), ("date", "date"), ("date.end", "date_end"), ("midi.onset", "onset"), ("midi.duration", "midi_duration"), ("source", "source")]
+        one = F.concat(F.lit("<pedal"), *[_attribute(a, F.col(c)) for a, c in own if c in pedals.columns], F.lit("/>"))
+        body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("onset", "pedal_id", one.alias("x")))), lambda p: p.x), "")
+        pieces = pieces.join(pedals.groupBy("perf_id").agg(body.alias("treads")), "perf_id", "left")
+        treads = F.coalesce(F.concat(F.lit("<pedalMap>"), "treads", F.lit("</pedalMap>")), treads)
+    head = F.lit(f'<msm title="aligned performance" pulsesPerQuarter="{PPQ}"><global><header/><dated>')
+    return pieces.select("perf_id", F.concat(head, signature, section, F.lit("</dated>"), treads, F.lit("</global>"), F.col("parts"), F.lit("</msm>")).alias("xml"))
