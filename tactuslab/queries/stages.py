@@ -191,12 +191,12 @@ def ms_at_simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("note_id", fixed(kernels.ms_at(*[F.col(x) for x in ("d", "zero", "end", "bpm", "beat", "t2", "im")]), 3).alias("ms_u"))
 
 
-@query("SELECT note_id, true AS ok FROM notes")
+@query("SELECT note_id, CASE WHEN d <= 0 THEN 0 ELSE d END::BIGINT AS back FROM (SELECT note_id, note_id % 2880 AS d FROM notes)")
 def date_at_inverts_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates found again from the time at which a tempo reaches them."""
     c = _curves(spark, sf_dir)
     args = [F.col(x) for x in ("zero", "end", "bpm", "beat", "t2", "im")]
-    c = c.withColumn("back", kernels.date_at(kernels.ms_at(F.col("d"), *args), *args))
-    return c.select("note_id", (F.abs(F.col("back") - F.col("d")) <= 6).alias("ok"))
+    return c.select("note_id", kernels.date_at(kernels.ms_at(F.col("d"), *args), *args).cast("long").alias("back"))
 
 
 _EL = "CASE WHEN abs(a - b) < 0.01 THEN {n} * 60000.0::DOUBLE / a ELSE list_sum(list_transform(range(0, 200), lambda i: 0.5 * (60000.0::DOUBLE / (a + (b - a) * pow(i / 200.0::DOUBLE, ln(0.5) / ln({im}))) + 60000.0::DOUBLE / (a + (b - a) * pow((i + 1) / 200.0::DOUBLE, ln(0.5) / ln({im})))))) * {n} / 200 END"
@@ -265,7 +265,7 @@ def tempo_constant_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tempo_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tempo.onset_pairs(derived.notes(spark, sf_dir))
-    return tempo.fit_tempo(p, [0, 10800, 21600, 36000])
+    return tempo.fit_tempo(p, [0, 10800, 21600, 36000, 43200])
 
 
 # ---------------------------------------------------------------- rubato
@@ -376,10 +376,16 @@ def dynamics_grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("perf_id", F.col("date").cast("long").alias("date"), *[fixed(F.col(c), k).alias(out) for c, out, k in values])
 
 
-@query(", b AS (SELECT note_id, 1 + note_id % 2879 AS d, (note_id % 11) / 10.0::DOUBLE AS c, velocity AS v0, 60.0::DOUBLE + midi_pitch AS v1 FROM notes), "
-    "t AS (SELECT note_id, d, 3 * c - 3 * (1 - c) + 1 AS u, -6 * c + 3 * (1 - c) AS v, 3 * c AS w, v0, v1, 0.5::DOUBLE AS t, 0.25::DOUBLE AS h, 0 AS k FROM b UNION ALL "
-    "SELECT note_id, d, u, v, w, v0, v1, CASE WHEN abs(x) < 1 THEN t WHEN x > 0 THEN t - h ELSE t + h END, h * 0.5, k + 1 FROM (SELECT *, ((u * t + v) * t + w) * t * 2880 - d AS x FROM t WHERE k < 32)) "
-    f"SELECT note_id, {fx('CASE WHEN v0 = v1 THEN v0 ELSE (3 - 2 * t) * t * t * (v1 - v0) + v0 END', 3)} AS volume_u FROM t WHERE k = 32")
+#: Written as the kernel adds it up, since places a tick off are told from those that are less.
+_ALONG = "(2880 * ({t} * (3 * c + {t} * (3 * (1 - c) - 6 * c + {t} * (3 * c - 3 * (1 - c) + 1)))))"
+_HALVES = ", ".join(f"{0.5**k!r}::DOUBLE" for k in range(1, 49))
+
+
+@query(f""", b AS (SELECT note_id, 1 + note_id % 2879 AS d, (note_id % 11) / 10.0::DOUBLE AS c, velocity AS v0, 60.0::DOUBLE + midi_pitch AS v1 FROM notes),
+root AS (SELECT *, list_reduce([{_HALVES}], lambda low, h: CASE WHEN {_ALONG.format(t='(low + h)')} <= d THEN low + h ELSE low END, 0.0::DOUBLE) AS root FROM b),
+cell AS (SELECT *, list_transform(range(0, 32), lambda k: (floor(root * 2 ** k) + 0.5) / 2 ** k) AS centres FROM root),
+met AS (SELECT *, coalesce(list_filter(centres, lambda m: abs({_ALONG.format(t='m')} - d) < 1)[1], root) AS t FROM cell)
+SELECT note_id, {fx('CASE WHEN v0 = v1 THEN v0 ELSE v0 + (v1 - v0) * t * t * (3 - 2 * t) END', 3)} AS volume_u FROM met""")
 def volume_at_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = derived.notes(spark, sf_dir)
     v = kernels.eased((1 + F.col("note_id") % 2879).cast("double"), F.lit(0.0), F.lit(2880.0), F.col("velocity"), 60.0 + F.col("midi_pitch"), (F.col("note_id") % 11) / 10.0, F.lit(0.0))
