@@ -103,17 +103,42 @@ def ms_at(date: Column, start: Column, end: Column, bpm: Column, beat_length: Co
     return F.when(to.isNull() | (to == 0), constant_ms(date - start, bpm, beat_length)).otherwise(moving)
 
 
-def date_at(ms: Column, start: Column, end: Column, bpm: Column, beat_length: Column, to: Column, mean_at: Column, steps: int = 10) -> Column:
+#: Parts of a transition in a table of elapsed time, and steps on from what it says.
+MARKS = 16
+TABLE_STEPS = 2
+
+
+def elapsed_table(start: Column, end: Column, bpm: Column, beat_length: Column, to: Column, mean_at: Column) -> Column:
+    """ms_at at MARKS equal parts of a transition, its begin and its end included; null for a constant tempo."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(MARKS)), lambda k: ms_at(start + (end - start) * k / float(MARKS), start, end, bpm, beat_length, to, mean_at))
+    return F.when(to.isNotNull() & (to != 0) & (end > start), at)
+
+
+def _in_table(ms: Column, table: Column, start: Column, end: Column, step) -> Column:
+    """The date at ms: the table's part that holds it, a line across it, and from there a few steps that don't leave it."""
+    width = (end - start) / float(MARKS)
+
+    def within(k: Column) -> Column:
+        low, high = F.get(table, k), F.get(table, k + 1)
+        a = start + width * k
+        share = F.coalesce((ms - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TABLE_STEPS)), a + width * share, lambda d, _: F.greatest(a, F.least(a + width, step(d, _))))
+
+    return let(F.greatest(F.lit(0), F.least(F.lit(MARKS - 1), F.size(F.filter(table, lambda e: e <= ms)) - 1)), within)
+
+
+def date_at(ms: Column, start: Column, end: Column, bpm: Column, beat_length: Column, to: Column, mean_at: Column, steps: int = 10, table: Column | None = None) -> Column:
     """The date that a tempo reaches after ms: closed for a constant one, else by Newton's steps on ms_at, to whole ticks.
 
-    Past the end of a transition time goes on at its last tempo, before its start at its first.
+    Past the end of a transition time goes on at its last tempo, before its start at its first. With a table of
+    elapsed_table the steps begin where it says, and few are needed.
     """
     linear = start + ms / 1000.0 * (bpm * beat_length * 4 / 60) * 720
     rest = [start, end, bpm, beat_length, to, mean_at]
     ticks_per_ms = lambda d: tempo_at(d, start, end, bpm, to, mean_at) * beat_length * 720 / 15000.0
     step = lambda d, _: F.greatest(start.cast("double"), F.least(end.cast("double"), d + (ms - ms_at(d, *rest)) * ticks_per_ms(d)))
-    inside = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ((start + end) / 2).cast("double"), step)
-    moving = let(ms_at(end, *rest), lambda whole: F.when(ms >= whole, end + (ms - whole) / 1000.0 * (to * beat_length * 4 / 60) * 720).otherwise(inside))
+    inside = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ((start + end) / 2).cast("double"), step) if table is None else _in_table(ms, table, start, end, step)
+    moving = let(ms_at(end, *rest) if table is None else F.get(table, F.lit(MARKS)), lambda whole: F.when(ms >= whole, end + (ms - whole) / 1000.0 * (to * beat_length * 4 / 60) * 720).otherwise(inside))
     moving = F.when(ms <= 0, linear).otherwise(js_round(moving).cast("double"))
     return F.when(to.isNull() | (to == 0), linear).otherwise(moving)
 

@@ -8,16 +8,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactuslab.functions.kernels import date_at, ms_at
+from tactuslab.functions.kernels import date_at, elapsed_table, ms_at
 from tactuslab.operators import relops
 
 TEMPO = ["date", "end_date", "bpm", "beat_length", "transition_to", "mean_tempo_at"]
+#: What a frame hands to the rows that fall into it: its tempo, and its elapsed time at some of its dates.
+FRAME = [*TEMPO, "elapsed"]
 
 
 def frames(tempos: DataFrame, notes: DataFrame) -> DataFrame:
     """Tempos with end_date and begin_ms: the model's running time, set anew to the first note's onset wherever one stands on a frame's start."""
     rows = relops.with_end(tempos, relops.ends(notes))
     rows = rows.withColumn("length_ms", ms_at(*[F.col(c) for c in ("end_date", "date", "end_date", "bpm", "beat_length", "transition_to", "mean_tempo_at")]))
+    rows = rows.withColumn("elapsed", elapsed_table(*[F.col(c) for c in TEMPO]))
     heads = notes.groupBy("perf_id", F.col("date").cast("double").alias("date")).agg((F.min_by("onset", "seq") * 1000).alias("anchor"))
     rows = rows.join(heads, ["perf_id", "date"], "left").withColumn("anchor", F.when(F.col("frame") > 1, F.col("anchor")))
     rows = relops.running_with_resets(rows, "length_ms", "anchor", "frame", "begin_ms")
@@ -29,20 +32,20 @@ def frames(tempos: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def _date(ms, prefix: str = ""):
-    return date_at(ms, *[F.col(prefix + c) for c in TEMPO])
+    return date_at(ms, *[F.col(prefix + c) for c in TEMPO], table=F.col(prefix + "elapsed"))
 
 
 def tick_onsets(notes: DataFrame, tempos: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """notes with tick_date: where the tempo in force at their score date puts their onset. Before the first tempo there is none."""
     f = frames(tempos, notes) if made is None else made
-    rows = relops.asof(notes, f, [*TEMPO, "begin_ms"], prefix="_t_")
+    rows = relops.asof(notes, f, [*FRAME, "begin_ms"], prefix="_t_")
     at = F.when(F.col("_t_bpm").isNotNull(), _date(F.col("onset") * 1000 - F.col("_t_begin_ms"), "_t_"))
     return rows.withColumn("tick_date", at).select(*notes.columns, *([] if "tick_date" in notes.columns else ["tick_date"]))
 
 
 def tick_durations(notes: DataFrame, tempos: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """notes (with tick_date) with tick_duration: the last frame in which a note's end is heard, both ends counted, gives it; past the last there is none."""
-    f = (frames(tempos, notes) if made is None else made).select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in TEMPO], "begin_ms", "heard_ms")
+    f = (frames(tempos, notes) if made is None else made).select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in FRAME], "begin_ms", "heard_ms")
     ended = notes.where(F.col("midi_duration").isNotNull() & (F.col("midi_duration") != 0)).withColumn("_end", (F.col("onset") + F.col("midi_duration")) * 1000)
     # Frames follow each other, so the last that begins at or before the end, or one that ends just there, is the one.
     cand = _asof_ms(ended, f)
@@ -57,13 +60,13 @@ def _asof_ms(rows: DataFrame, f: DataFrame) -> DataFrame:
     right = f.withColumn("_begin", F.col("begin_ms")).withColumnRenamed("begin_ms", "_b")
     left = rows.withColumnRenamed("date", "_date").withColumn("date", F.col("_end"))
     right = right.withColumn("date", F.col("_begin"))
-    out = relops.asof(left, right, ["frame", "_b", "heard_ms", *[f"_t_{c}" for c in TEMPO]], at="date")
+    out = relops.asof(left, right, ["frame", "_b", "heard_ms", *[f"_t_{c}" for c in FRAME]], at="date")
     return out.drop("date").withColumnsRenamed({"_date": "date", "_b": "begin_ms"})
 
 
 def pedal_ticks(pedals: DataFrame, notes: DataFrame, tempos: DataFrame, made: DataFrame | None = None) -> DataFrame:
     """pedals with tick_date and tick_duration, from the frames in which their beginning and their end are heard (half open)."""
-    f = (frames(tempos, notes) if made is None else made).select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in TEMPO], "begin_ms", "length_ms", "heard_ms")
+    f = (frames(tempos, notes) if made is None else made).select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in FRAME], "begin_ms", "length_ms", "heard_ms")
     out = pedals.drop("tick_date", "tick_duration")
     for name, at, span in (("tick_date", F.col("onset"), "length_ms"), ("_tick_end", F.col("onset") + F.col("midi_duration"), "heard_ms")):
         right = f.withColumn("_b", F.col("begin_ms")).withColumn("date", F.col("begin_ms"))
@@ -75,7 +78,7 @@ def pedal_ticks(pedals: DataFrame, notes: DataFrame, tempos: DataFrame, made: Da
 
 def _asof_at(rows: DataFrame, right: DataFrame, span: str) -> DataFrame:
     left = rows.withColumnRenamed("date", "_date") if "date" in rows.columns else rows
-    out = relops.asof(left.withColumn("date", F.col("_end")), right, ["_b", span, *[f"_t_{c}" for c in TEMPO]], at="date").drop("date")
+    out = relops.asof(left.withColumn("date", F.col("_end")), right, ["_b", span, *[f"_t_{c}" for c in FRAME]], at="date").drop("date")
     return out.withColumnRenamed("_date", "date") if "_date" in out.columns else out
 
 
@@ -84,10 +87,10 @@ def ornament_ticks(ornaments: DataFrame, notes: DataFrame, tempos: DataFrame, ma
     f = frames(tempos, notes) if made is None else made
     done = ornaments.where(F.col("time_unit").eqNullSafe("ticks"))
     rows = ornaments.where(~F.col("time_unit").eqNullSafe("ticks"))
-    rows = relops.asof(rows, f, [*TEMPO, "begin_ms"], prefix="_t_")
+    rows = relops.asof(rows, f, [*FRAME, "begin_ms"], prefix="_t_")
     own = F.col("_t_begin_ms") + ms_at(F.col("date").cast("double"), *[F.col(f"_t_{c}") for c in TEMPO])
-    rows = rows.withColumn("_s", own + F.col("frame_start")).withColumn("_e", F.col("_s") + F.col("frame_length")).drop(*[f"_t_{c}" for c in [*TEMPO, "begin_ms"]])
-    right = f.select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in TEMPO], F.col("begin_ms").alias("_b"), F.col("begin_ms").alias("date"), "length_ms")
+    rows = rows.withColumn("_s", own + F.col("frame_start")).withColumn("_e", F.col("_s") + F.col("frame_length")).drop(*[f"_t_{c}" for c in [*FRAME, "begin_ms"]])
+    right = f.select("perf_id", "frame", *[F.col(c).alias(f"_t_{c}") for c in FRAME], F.col("begin_ms").alias("_b"), F.col("begin_ms").alias("date"), "length_ms")
     for name in ("_s", "_e"):
         base = rows.columns
         found = _asof_at(rows.withColumn("_end", F.col(name)), right, "length_ms")
