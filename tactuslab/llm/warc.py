@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import shared_dir
+from tactuslab.llm.common import discard, saved, shared_dir
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 16 << 10
@@ -118,15 +118,20 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
     Of rows with equal payloads of min_bytes or more, those with the smallest page_id are responses
     and the others revisit it. A null html is an empty payload, a null page_id is never the smallest
     (where all are null, all are responses), a null url leaves its header out. Rows repeated with the
-    smallest id are responses each. Equal payloads are counted before anything is dealt out, so a
-    payload that a third of the rows share costs one row for each task. Other columns aren't written.
+    smallest id are responses each. page_id is a whole number; other types are refused before anything is
+    written. Equal payloads are counted and the counts written first, so that both sides of the join are plain
+    exchanges and a payload that a third of the rows share can be split. Other columns aren't written.
     An empty table gives no archive and an empty manifest.
     """
     spark = pages.sparkSession
+    kind = dict(pages.dtypes)["page_id"]
+    if kind not in ("bigint", "int", "smallint", "tinyint", "void"):
+        raise TypeError(f"page_id is {kind}, not a whole number")
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", body.alias("payload"), F.sha1(body).alias("digest"))
     keys = rows.where(F.length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(keys.where("n > 1").select("digest", "first"), "digest", "left")
+    shared = saved(keys.where("n > 1").select("digest", "first"), "payloads")
+    rows = rows.join(shared, "digest", "left")
     refers = F.when((F.length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     rows = rows.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), F.length("payload").alias("size"), "digest", refers.alias("refers_to"))
 
@@ -149,6 +154,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, archive_byte
             yield pa.RecordBatch.from_pydict({"archive": [name], "bytes": [size]})
 
     rows.mapInArrow(write, MANIFEST).write.parquet(f"{path}/{MANIFEST_NAME}")
+    discard(shared)
     return spark.read.schema(MANIFEST).parquet(f"{path}/{MANIFEST_NAME}")
 
 
