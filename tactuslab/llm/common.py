@@ -115,6 +115,17 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """names, lengthened where df has a column of that name already, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 KINDS = {"double": DoubleType(), "int": IntegerType(), "long": LongType(), "string": StringType(), "longs": ArrayType(LongType()), "strings": ArrayType(StringType())}
 
 
@@ -125,5 +136,5 @@ def with_fields(df: DataFrame, **kinds: str) -> StructType:
 
 
 __all__ = [
-    "LOWER", "SPACES", "discard", "fitted", "hash_reach", "mixed", "saved", "shared_dir", "shingle_hashes", "span_hashes", "text_chunks", "with_fields", "word_class", "words",
+    "LOWER", "SPACES", "discard", "fitted", "free", "hash_reach", "mixed", "saved", "shared_dir", "shingle_hashes", "span_hashes", "text_chunks", "with_fields", "word_class", "words",
 ]

@@ -2,9 +2,9 @@
 
 A rule is a regular expression with literal tokens that every URL it fits must hold. Each rule
 is filed under the rarest of them, as counted over all URLs; a URL looks up its own tokens, and
-only the rules filed there run their expression. All of it is row by row: no shuffle but for the
-token counts. The index is a literal of the plan, which every task gets: that holds for MAX_RULES,
-and more are refused.
+only the rules filed there run their expression. Up to MAX_RULES the index is a literal of the plan,
+which every task gets, and all of it is row by row: no shuffle but for the token counts. More rules are a
+table filed by token, and different URLs are joined with it by theirs: the same decisions for any number.
 """
 
 from __future__ import annotations
@@ -12,15 +12,19 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactuslab.llm.common import free, saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = "[^a-z0-9]+"
-#: Rules that an index may hold.
+#: Rules that an index may hold as a literal; more are joined.
 MAX_RULES = 5000
+RULE_TABLE = "rule string, verdict string, expression string, tokens array<string>, tier int"
 
 
 @dataclass(frozen=True)
@@ -80,6 +84,14 @@ RULES = (
 )
 
 
+ADDED = ("host", "path", "rule", "pattern", "verdict")
+
+
+def _rule_rank() -> Column:
+    """What orders rules of a table as sorted() orders those of a tuple."""
+    return F.struct("tier", F.length("rule").alias("length"), "rule")
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
@@ -108,8 +120,6 @@ def token_counts(urls: DataFrame, rules: tuple[UrlRule, ...], url: str = "url")
 
 def _index(rules: tuple[UrlRule, ...], counts: dict[str, int]) -> Column:
     """Rules in buckets by the hash of the token they are filed under; in bucket 0 those without one."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules are more than a plan may hold ({MAX_RULES})")
     n = max(1, len(rules))
     buckets: list[list[dict]] = [[] for _ in range(n + 1)]
     order = sorted(rules, key=lambda r: (r.tier, len(r.name), r.name))
@@ -121,31 +131,52 @@ def _index(rules: tuple[UrlRule, ...], counts: dict[str, int]) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), kind)
 
 
-def filter_urls(urls: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", otherwise: str = "allow") -> DataFrame:
-    """Add host, path, rule, pattern and verdict to each row.
+def rule_table(spark: SparkSession, rules: Iterable[UrlRule]) -> DataFrame:
+    return spark.createDataFrame([(r.name, r.verdict, r.expression, list(r.tokens), r.tier) for r in rules], RULE_TABLE)
+
+
+def _judged(sites: DataFrame, rules: DataFrame) -> DataFrame:
+    """_site and _best of the different sites that a rule fits: rules filed in a table under their rarest token meet the sites that hold it."""
+    own = rules.select(_rule_rank().alias("_rank"), "rule", "verdict", "expression", "tokens", (F.col("tier") > 0).alias("stated")).distinct()
+    held = saved(sites.select("_site").distinct().withColumn("_token", F.explode(F.array_append(url_tokens(F.col("_site")), F.lit("")))), "url-tokens")
+    listed = own.withColumn("_token", F.explode_outer("tokens"))
+    counts = held.join(listed.select("_token").distinct(), "_token", "left_semi").groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = F.min_by("_token", F.struct(F.coalesce("_n", F.lit(0)), "_token"))
+    filed = listed.join(counts, "_token", "left").groupBy("_rank", "rule", "verdict", "expression", "stated").agg(F.coalesce(rarest, F.lit("")).alias("_token"))
+    filed = saved(filed, "filed-rules")  # both sides are written, so that a token that many sites hold can be split
+    fits = held.join(filed, "_token").where(F.regexp_like("_site", F.col("expression")))
+    return saved(fits.groupBy("_site").agg(F.max(F.struct(F.col("_rank").alias("rank"), "rule", "verdict", "stated")).alias("_best")), "judged")
+
+
+def filter_urls(urls: DataFrame, rules: tuple[UrlRule, ...] | DataFrame = RULES, url: str = "url", otherwise: str = "allow") -> DataFrame:
+    """Add host, path, rule, pattern and verdict to each row. rules is a tuple, or a table with the columns of RULE_TABLE.
 
     rule is the host rule that decides, else null; pattern the pattern that decides where no rule
     fits. Where neither fits, verdict is otherwise. Null URLs and those without :// have no tokens,
     so only rules without tokens could fit them. Repeated rows each keep their own; columns of
     these names in the input are replaced. An empty table gives an empty one.
     """
-    counts = token_counts(urls, rules, url)
-    n = max(1, len(rules))
     host, path = host_and_path(F.col(url))
     site = F.concat(host, path)
+    if isinstance(rules, DataFrame) or len(rules) > MAX_RULES:
+        table = rules if isinstance(rules, DataFrame) else rule_table(urls.sparkSession, rules)
+        judged = _judged(urls.select(site.alias("_site")), table)
+        rows = urls.select(F.struct("*").alias("_row"), host.alias("_host"), path.alias("_path"), site.alias("_site")).join(judged, "_site", "left")
+        kept = [c for c in urls.columns if c not in ADDED]
+        return rows.select(*[F.col("_row").getField(c).alias(c) for c in kept], F.col("_host").alias("host"), F.col("_path").alias("path"), *_decision(F.col("_best"), otherwise))
+    counts = token_counts(urls, rules, url)
+    n = max(1, len(rules))
     index = _index(rules, counts)
     bucket = lambda t: (F.crc32(t.cast("binary")) % n + 2).cast("int")
     filed = F.flatten(F.transform(url_tokens(site), lambda t: F.filter(F.element_at(index, bucket(t)), lambda r: r.token == t)))
     fits = F.filter(F.concat(filed, F.element_at(index, F.lit(1))), lambda r: F.regexp_like(site, r.expression))
-    best = F.array_max(fits)
-    out = urls.drop("host", "path", "rule", "pattern", "verdict").select("*", host.alias("host"), path.alias("path"), best.alias("_best"))
-    b = F.col("_best")
-    return out.select(
-        *[c for c in out.columns if c != "_best"],
-        F.when(b.stated, b.rule).alias("rule"),
-        F.when(~b.stated, b.rule).alias("pattern"),
-        F.coalesce(b.verdict, F.lit(otherwise)).alias("verdict"),
-    )
+    (best,) = free(urls, "_best")
+    out = urls.drop(*ADDED).select("*", host.alias("host"), path.alias("path"), F.array_max(fits).alias(best))
+    return out.select(*[c for c in out.columns if c != best], *_decision(F.col(best), otherwise))
+
+
+def _decision(b: Column, otherwise: str) -> list[Column]:
+    return [F.when(b.stated, b.rule).alias("rule"), F.when(~b.stated, b.rule).alias("pattern"), F.coalesce(b.verdict, F.lit(otherwise)).alias("verdict")]
 
 
 def oracle_sql(table: str, key: str, rules: tuple[UrlRule, ...] = RULES, otherwise: str = "allow") -> str:
