@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import LOWER, saved, shingle_hashes, span_hashes, text_chunks, with_fields, word_class, words
+from tactuslab.llm.common import LOWER, free, saved, shingle_hashes, span_hashes, text_chunks, with_fields, word_class, words
 
 WINDOW = 10
 #: Words of a shingle; items with fewer words are indexed by single words.
@@ -274,6 +274,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     of these names in documents are replaced. With an empty benchmark nothing is hit.
     """
     documents = documents.drop("n_words", "spans", "items")
+    key, more_spans, more_items = free(documents, "_text", "_spans", "_items")
     first, hit = None, None
     for block in _blocks(benchmark, block_chars):
         part = _scan(documents, prefixes(documents, Windows.of(block, window)))
@@ -281,22 +282,22 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
             first = part
             continue
         # What another block finds depends on the text alone: it is kept by the text's digest.
-        own = part.where(F.size("spans") > 0).groupBy(F.sha2("text", 256).alias("_text")).agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+        own = part.where(F.size("spans") > 0).groupBy(F.sha2("text", 256).alias(key)).agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
         own = saved(own, "contamination")
         hit = own if hit is None else hit.unionByName(own)
     if hit is None:
         return first
-    more = hit.groupBy("_text").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))  # one for each block
-    out = first.withColumn("_text", F.sha2("text", 256)).join(saved(more, "contamination"), "_text", "left").drop("_text")
-    items = F.when(F.col("_items").isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", "_items")))
-    spans = F.concat("spans", F.coalesce("_spans", F.array().cast("array<bigint>")))
+    more = hit.groupBy(key).agg(F.flatten(F.collect_list("spans")).alias(more_spans), F.flatten(F.collect_list("items")).alias(more_items))  # one for each block
+    out = first.withColumn(key, F.sha2("text", 256)).join(saved(more, "contamination"), key, "left").drop(key)
+    items = F.when(F.col(more_items).isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", more_items)))
+    spans = F.concat("spans", F.coalesce(more_spans, F.array().cast("array<bigint>")))
     pairs = F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda k: F.struct(F.get(spans, k).alias("b"), F.get(spans, k + 1).alias("e")))
     joined = F.aggregate(
         F.array_sort(pairs),
         F.array().cast("array<bigint>"),
         lambda s, p: F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1)) >= p.b), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.greatest(F.try_element_at(s, F.lit(-1)), p.e)))).otherwise(F.concat(s, F.array(p.b, p.e))),
     )
-    return out.select(*documents.columns, "n_words", F.when(F.col("_spans").isNull(), F.col("spans")).otherwise(joined).alias("spans"), items.alias("items"))
+    return out.select(*documents.columns, "n_words", F.when(F.col(more_spans).isNull(), F.col("spans")).otherwise(joined).alias("spans"), items.alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tactuslab.llm.common import free
+
 SHINGLE = 5
 #: One of so many hashes is retained.
 FRACTION = 8
@@ -103,24 +105,25 @@ def with_next(documents: DataFrame, columns: list[str], buckets: int | None = No
     repeated without end; null ids come first. prepared is applied to the rows before all else.
     """
     spark = documents.sparkSession
+    at, following_row, first_row, of, least_id, before_it = free(prepared(documents), "_bucket", "_next", "_first", "_b", "_least", "_before")
     n = buckets or BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     fractions = [k / n for k in range(1, n)]
     quantiles = documents.agg(F.percentile_approx("doc_id", fractions, 10 * n)).collect()[0][0] if n > 1 else []
     bucket = _place(sorted(set(quantiles or [])), F.col("doc_id"))
-    own = documents.withColumn("_bucket", bucket)
-    rows = prepared(documents).withColumn("_bucket", bucket)
-    order = Window.partitionBy("_bucket").orderBy(F.col("doc_id").asc_nulls_first(), *columns)
+    own = documents.select(bucket.alias("_bucket"), "doc_id")
+    rows = prepared(documents).withColumn(at, bucket)
+    order = Window.partitionBy(at).orderBy(F.col("doc_id").asc_nulls_first(), *columns)
     following = F.lead(F.struct(*columns)).over(order)
     # Which rows come first is found from ids alone; only these, one or few for each bucket, are then looked up whole.
     least = F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id"))
     ids = own.groupBy("_bucket").agg(least.alias("least")).orderBy("_bucket").collect()
     before = [(r["_bucket"], r["least"], ids[k - 1]["_bucket"]) for k, r in enumerate(ids)]  # around in a ring
-    known = F.broadcast(spark.createDataFrame(before, f"_b int, _least {dict(documents.dtypes)['doc_id']}, _before int"))
-    first = documents.join(known, F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi")
-    heads = prepared(first).join(known, F.col("doc_id").eqNullSafe(F.col("_least")))
-    heads = heads.groupBy(F.col("_before").alias("_bucket")).agg(F.min(F.struct(*columns)).alias("_first"))
-    out = rows.withColumn("_next", following).join(heads, "_bucket").withColumn("_next", F.coalesce("_next", "_first"))
-    return out.select(*documents.columns, *[c for c in rows.columns if c not in (*documents.columns, "_bucket")], *[F.col("_next")[c].alias(f"next_{c}") for c in columns])
+    known = F.broadcast(spark.createDataFrame(before, f"{of} int, {least_id} {dict(documents.dtypes)['doc_id']}, {before_it} int"))
+    first = documents.join(known, F.col("doc_id").eqNullSafe(F.col(least_id)), "left_semi")
+    heads = prepared(first).join(known, F.col("doc_id").eqNullSafe(F.col(least_id)))
+    heads = heads.groupBy(F.col(before_it).alias(at)).agg(F.min(F.struct(*columns)).alias(first_row))
+    out = rows.withColumn(following_row, following).join(heads, at).withColumn(following_row, F.coalesce(following_row, first_row))
+    return out.select(*documents.columns, *[c for c in rows.columns if c not in (*documents.columns, at)], *[F.col(following_row)[c].alias(f"next_{c}") for c in columns])
 
 
 def edited_fingerprints(documents: DataFrame) -> DataFrame:

@@ -134,15 +134,18 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Rows equal in doc_id and text are one document: all lose the same lines. Columns named n_lines,
     deleted and th in the input are replaced. An empty table gives an empty one.
     """
-    documents = documents.drop("n_lines", "deleted", "th").withColumn("th", F.xxhash64("text"))
-    gone = repeated_lines(documents, min_words).withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
+    documents = documents.drop("n_lines", "deleted", "th")
+    names = documents.columns
+    # All columns of a row go along in one, so that no name among them meets one of those used here.
+    documents = documents.select("doc_id", "text", F.xxhash64("text").alias("th"), F.struct("*").alias("row"))
+    gone = repeated_lines(documents.drop("row"), min_words).withColumnsRenamed({"doc_id": "_doc_id", "th": "_th"})
     # What is deleted grows with the corpus, so it isn't broadcast, however little it is.
-    out = documents.join(gone.hint("merge"), _on(documents, KEY), "left").drop("_doc_id", "_th", "th")
+    out = documents.join(gone.hint("merge"), _on(documents, KEY), "left")
     lines = _line_array(F.col("text"))
     kept = F.transform(F.array(lines), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("deleted")), lambda k: F.get(x, k)), "\n"))[0]
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     text = F.when(F.col("deleted").isNull(), F.col("text")).otherwise(kept)
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in documents.columns if c != "th"]
+    columns = [text.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names]
     return out.select(*columns, n.alias("n_lines"), F.coalesce("deleted", F.array().cast("array<int>")).alias("deleted"))
 
 
