@@ -166,7 +166,9 @@ class ApproximateLogarithmicTempo(Stage):
         have = scoped(state.table("tempo"), o["scope"])
         start = fitted.groupBy("perf_id").agg(F.min("date").alias("start"))
         kept = tempo.replaced_from(have, start, o["end"])
-        kept, end = by_performance(kept, o["end"])
+        # A chain that is fitted anew has no use for what its former last tempo would go on with.
+        kept, end, begin = by_performance(kept.join(start.withColumnRenamed("start", "_first"), "perf_id", "left"), o["end"], o["start"])
+        kept = kept.where(~(F.col("restored") & F.coalesce(F.col("_first") < F.lit(begin), F.lit(False))))
         kept = kept.withColumn("id", F.when(F.col("restored"), F.concat(F.lit("tempo_"), F.lit(end).cast("string"))).otherwise(F.col("id")))
         others = scoped(state.table("tempo"), o["scope"], others=True)
         rest = others.unionByName(kept.select(*have.columns))
@@ -187,7 +189,10 @@ class ApproximateLogarithmicTempo(Stage):
         silent = silent.select("perf_id", F.explode(given).alias("x")).select("perf_id", "x.date", "x.onset")
         chain = have.limit(0)
         if o["go_on"] is not False:
-            chain, go_on = by_performance(tempo.chain_before(have, o["start"], o["beat_length"]), o["go_on"])
+            # What leads up to the start ends there at the latest, however long it would go on.
+            cut, at = by_performance(have, o["start"])
+            cut = cut.withColumn("end_date", F.least("end_date", F.lit(at).cast("double")))
+            chain, go_on = by_performance(tempo.chain_before(cut.select(*have.columns), o["start"], o["beat_length"]), o["go_on"])
             chain = chain.where(F.lit(go_on))
         marks = chain.groupBy("perf_id").agg(F.collect_set("date").alias("marks"))
         reach, start, end = by_performance(played.select("perf_id").distinct().join(marks, "perf_id", "left"), o["start"], o["end"])
