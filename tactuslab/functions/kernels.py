@@ -261,7 +261,51 @@ _X1 = "if(protraction > 0, curvature + (1 - curvature) * protraction, curvature
 _X2 = "if(protraction > 0, 1 - curvature + curvature * protraction, 1 - curvature + (1 - curvature) * protraction)"
 _T = "((b.low + b.high) / 2)"
 _AHEAD = f"(({_T} * (3 * {_X1} + {_T} * (3 * {_X2} - 6 * {_X1} + {_T} * (3 * {_X1} - 3 * {_X2} + 1)))) * (`end` - start) - (date - start))"
+_LATE, _EARLY = "greatest(0D, least(0.9D, coalesce(late, 0D)))", "greatest(0.1D, least(1D, coalesce(early, 1D)))"
+
+
+def _sql_rubato(d: str) -> str:
+    at = f"(({d} - start) % length)"
+    return f"({d} + (power({at} / length, coalesce(intensity, 1D)) * ({_EARLY} - {_LATE}) + {_LATE}) * length - {at})"
+
+
+def _sql_tempo(d: str) -> str:
+    return f"CASE WHEN bpm IS NULL OR bpm = 0 THEN 100D WHEN `to` IS NULL OR `to` = 0 THEN bpm WHEN {d} >= `end` THEN `to` ELSE bpm + (`to` - bpm) * " + _POWER.format(x=f"({d} - start) / (`end` - start)", m="mean_at") + " END"
+
+
+def _sql_ms(d: str) -> str:
+    """Simpson's rule as in ms_at, for a transition."""
+    half = f"CAST(greatest(floor(({d} - start) / 180), 1) AS INT)"
+    inverse = lambda k: "(1 / (bpm + (`to` - bpm) * " + _POWER.format(x=f"least(1D, {k} * ({d} - start) / (2 * {half} * (`end` - start)))", m="mean_at") + "))"
+    inner = f"aggregate(sequence(1, 2 * {half} - 1), 0D, (t, k) -> t + (2 + 2 * (k % 2)) * {inverse('k')})"
+    return f"if({d} = start, 0D, ({d} - start) * 2500 / ({half} * beat_length * 720) * (1 / bpm + {inverse(f'(2 * {half})')} + {inner}))"
+
+
+_STEP = f"greatest(start, least(`end`, d + (ms - {_sql_ms('d')}) * ({_sql_tempo('d')}) * beat_length * 720 / 15000D))"
+_ACCENTS = "ARRAY<STRUCT<beat: DOUBLE, value: DOUBLE, transition_from: DOUBLE, transition_to: DOUBLE>>"
+_BEHIND = "filter(children, a -> a.beat > beat)"
+_ACCENT = (
+    f"CASE WHEN size(children) = 0 OR beat < get(children, 0).beat THEN 0D WHEN beat >= length + 1 THEN coalesce(nullif(element_at(children, -1).transition_to, 0D), element_at(children, -1).value) "
+    "WHEN exists(children, a -> a.beat = beat) THEN get(filter(children, a -> a.beat = beat), 0).value "
+    "ELSE get(transform(array(try_element_at(filter(children, a -> a.beat < beat), -1)), p -> (beat - p.beat) * (p.transition_to - p.transition_from) / "
+    f"(coalesce(get({_BEHIND}, 0).beat, length + 1) - p.beat) + p.transition_from), 0) END"
+)
+#: A frame of ticks.frames as an element of an array.
+_FRAMES = "ARRAY<STRUCT<begin_ms: DOUBLE, date: DOUBLE, end_date: DOUBLE, bpm: DOUBLE, beat_length: DOUBLE, transition_to: DOUBLE, mean_tempo_at: DOUBLE>>"
+#: Table functions, for lateral joins: what holds at a time or a beat, one row at most.
+SQL_TABLES = (
+    ("frame_at", f"ms DOUBLE, frames {_FRAMES}", "begin_ms DOUBLE, date DOUBLE, end_date DOUBLE, bpm DOUBLE, beat_length DOUBLE, transition_to DOUBLE, mean_tempo_at DOUBLE",
+     "SELECT f.begin_ms, f.date, f.end_date, f.bpm, f.beat_length, f.transition_to, f.mean_tempo_at FROM (SELECT explode(filter(slice(filter(frames, x -> x.begin_ms <= ms), -1, 1), x -> true)) AS f)"),
+    ("accent_at", f"beat DOUBLE, children {_ACCENTS}", "accent_beat DOUBLE, value DOUBLE, transition_from DOUBLE, transition_to DOUBLE",
+     "SELECT a.beat, a.value, a.transition_from, a.transition_to FROM (SELECT explode(slice(filter(children, x -> x.beat <= accent_at.beat), -1, 1)) AS a)"),
+)
 SQL_FUNCTIONS = (
+    ("rubato_removed", "date DOUBLE, start DOUBLE, length DOUBLE, intensity DOUBLE, late DOUBLE, early DOUBLE",
+     f"aggregate(sequence(1, 40), struct(start AS lo, start + length AS hi), (b, k) -> if({_sql_rubato('((b.lo + b.hi) / 2)')} < date, struct((b.lo + b.hi) / 2 AS lo, b.hi AS hi), struct(b.lo AS lo, (b.lo + b.hi) / 2 AS hi)), b -> (b.lo + b.hi) / 2)"),
+    ("tempo_date_at", "ms DOUBLE, start DOUBLE, `end` DOUBLE, bpm DOUBLE, beat_length DOUBLE, `to` DOUBLE, mean_at DOUBLE",
+     f"CASE WHEN `to` IS NULL OR `to` = 0 OR ms <= 0 THEN start + ms / 1000D * (bpm * beat_length * 4 / 60) * 720 WHEN ms >= {_sql_ms('`end`')} THEN floor(`end` + (ms - {_sql_ms('`end`')}) / 1000D * (`to` * beat_length * 4 / 60) * 720 + 0.5D) "
+     f"ELSE floor(aggregate(sequence(1, 10), (start + `end`) / 2, (d, i) -> {_STEP}) + 0.5D) END"),
+    ("accentuation_at", f"beat DOUBLE, children {_ACCENTS}, length DOUBLE", _ACCENT),
     ("js_round", "x DOUBLE", "floor(x + 0.5D)"),
     ("clamp", "low DOUBLE, x DOUBLE, high DOUBLE", "greatest(low, least(high, x))"),
     ("rubato_on_date", "date DOUBLE, start DOUBLE, length DOUBLE, intensity DOUBLE, late DOUBLE, early DOUBLE",
@@ -282,10 +326,14 @@ SQL_FUNCTIONS = (
 
 
 def register(spark) -> None:
-    """The kernels of plain numbers as SQL functions, under their names here; tempo_ms_at is ms_at, volume_at eased."""
+    """The kernels as SQL functions, under their names here; tempo_ms_at is ms_at, tempo_date_at date_at, volume_at eased.
+
+    Those of SQL_TABLES give rows, for LATERAL joins.
+    """
     for name, parameters, body in SQL_FUNCTIONS:
-        kind = "DOUBLE"
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS DOUBLE RETURN {body}")
+    for name, parameters, columns, body in SQL_TABLES:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE ({columns}) RETURN {body}")
 
 
 def all_of(conditions: list[Column]) -> Column:
