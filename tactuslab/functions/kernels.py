@@ -290,12 +290,38 @@ _ACCENT = (
     "ELSE get(transform(array(try_element_at(filter(children, a -> a.beat < beat), -1)), p -> (beat - p.beat) * (p.transition_to - p.transition_from) / "
     f"(coalesce(get({_BEHIND}, 0).beat, length + 1) - p.beat) + p.transition_from), 0) END"
 )
+
+
+def _sql_elapsed(m: str) -> str:
+    """elapsed_ms of a segment of start_bpm, end_bpm and beats with the shape m."""
+    moving = f"start_bpm + (end_bpm - start_bpm) * power(i / 200D, ln(0.5D) / ln(greatest(0.001D, least(0.999D, {m}))))"
+    total = f"(aggregate(sequence(1, 199), 0D, (s, i) -> s + 60000D / ({moving})) + 30000D / start_bpm + 30000D / end_bpm) * beats / 200D"
+    return f"(CASE WHEN beats <= 0 THEN 0D WHEN abs(start_bpm - end_bpm) < 0.01 THEN beats * 60000D / start_bpm ELSE {total} END)"
+
+
+_MET, _RISES = "abs(e.ms - target_ms) < 0.1", f"{_sql_elapsed('0.98D')} > {_sql_elapsed('0.02D')}"
+_BELOW = f"(e.ms < target_ms) = ({_RISES})"
+_HALVED = (
+    "aggregate(sequence(1, 50), struct(0.02D AS lo, 0.98D AS hi, false AS met), (b, k) -> if(b.met, b, get(transform(array(struct((b.lo + b.hi) / 2 AS mid, "
+    + _sql_elapsed("((b.lo + b.hi) / 2)")
+    + f" AS ms)), e -> struct(if(NOT {_MET} AND {_BELOW}, e.mid, b.lo) AS lo, if({_MET} OR {_BELOW}, b.hi, e.mid) AS hi, {_MET} AS met)), 0)), b -> (b.lo + b.hi) / 2)"
+)
+_SCALE = f"({_sql_elapsed('mean_at')} / target_ms)"
+_NEEDED = "(beats * 60000D / target_ms)"
+_OPTIMIZED = (
+    "CASE WHEN beats <= 0 OR target_ms <= 0 THEN struct(start_bpm AS a, end_bpm AS b, mean_at AS m, false AS s) "
+    f"WHEN abs(start_bpm - end_bpm) < 0.5 THEN struct({_NEEDED} AS a, {_NEEDED} AS b, 0.5D AS m, abs({_NEEDED} - (start_bpm + end_bpm) / 2) > 0.5 AS s) "
+    f"WHEN target_ms BETWEEN least({_sql_elapsed('0.02D')}, {_sql_elapsed('0.98D')}) AND greatest({_sql_elapsed('0.02D')}, {_sql_elapsed('0.98D')}) THEN struct(start_bpm AS a, end_bpm AS b, {_HALVED} AS m, false AS s) "
+    f"ELSE struct(start_bpm * {_SCALE} AS a, end_bpm * {_SCALE} AS b, mean_at AS m, true AS s) END"
+)
 #: A frame of ticks.frames as an element of an array.
 _FRAMES = "ARRAY<STRUCT<begin_ms: DOUBLE, date: DOUBLE, end_date: DOUBLE, bpm: DOUBLE, beat_length: DOUBLE, transition_to: DOUBLE, mean_tempo_at: DOUBLE>>"
 #: Table functions, for lateral joins: what holds at a time or a beat, one row at most.
 SQL_TABLES = (
     ("frame_at", f"ms DOUBLE, frames {_FRAMES}", "begin_ms DOUBLE, date DOUBLE, end_date DOUBLE, bpm DOUBLE, beat_length DOUBLE, transition_to DOUBLE, mean_tempo_at DOUBLE",
      "SELECT f.begin_ms, f.date, f.end_date, f.bpm, f.beat_length, f.transition_to, f.mean_tempo_at FROM (SELECT explode(filter(slice(filter(frames, x -> x.begin_ms <= ms), -1, 1), x -> true)) AS f)"),
+    ("optimized_elapsed", "start_bpm DOUBLE, end_bpm DOUBLE, mean_at DOUBLE, beats DOUBLE, target_ms DOUBLE", "bpm_from DOUBLE, bpm_to DOUBLE, mean_tempo_at DOUBLE, bpm_scaled BOOLEAN",
+     f"SELECT x.a, x.b, x.m, x.s FROM (SELECT {_OPTIMIZED} AS x)"),
     ("accent_at", f"beat DOUBLE, children {_ACCENTS}", "accent_beat DOUBLE, value DOUBLE, transition_from DOUBLE, transition_to DOUBLE",
      "SELECT a.beat, a.value, a.transition_from, a.transition_to FROM (SELECT explode(slice(filter(children, x -> x.beat <= accent_at.beat), -1, 1)) AS a)"),
 )

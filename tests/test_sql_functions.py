@@ -61,3 +61,16 @@ def test_frames_are_joined_laterally(spark):
     args = [F.col("x").getField(c) for c in ("date", "end_date", "bpm", "beat_length", "transition_to", "mean_tempo_at")]
     want = t.where("ms >= 0").withColumn("x", x).select("ms", "x.begin_ms", kernels.date_at(F.col("ms") - F.col("x.begin_ms"), *args).alias("d")).collect()
     assert got == {r["ms"]: (r["begin_ms"], pytest.approx(r["d"])) for r in want}
+
+
+def test_optimized_elapsed(spark):
+    kernels.register(spark)
+    rows = [(80.0, b, 0.4, n, ms) for b in (80.2, 120.0, 50.0) for n in (0.0, 4.0) for ms in (0.0, 1500.0, 2400.0, 2600.0, 3900.0)]
+    t = spark.createDataFrame(rows, "a double, b double, m double, n double, ms double")
+    t.createOrReplaceTempView("segments")
+    got = spark.sql("SELECT a, b, n, ms, x.* FROM segments, LATERAL optimized_elapsed(a, b, m, n, ms) AS x").collect()
+    o = kernels.optimized_elapsed(*[F.col(c) for c in ("a", "b", "m", "n", "ms")])
+    want = {tuple(r)[:4]: tuple(r)[4:] for r in t.select("a", "b", "n", "ms", o.alias("o")).select("a", "b", "n", "ms", "o.*").collect()}
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r)[4:] == pytest.approx(want[tuple(r)[:4]])
