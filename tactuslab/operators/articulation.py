@@ -53,9 +53,11 @@ def conflicts(notes: DataFrame, lengths: DataFrame) -> DataFrame:
 
     lengths may have further columns, which come along. Only the next onset of the pitch can be the first to be met, so each note looks at one other.
     """
-    pitch = Window.partitionBy("perf_id", "midi_pitch")
-    rows = notes.where(F.col("tick_date").isNotNull()).withColumn("_place", F.dense_rank().over(pitch.orderBy("tick_date")))
-    rows = rows.withColumn("_next", F.min("tick_date").over(pitch.orderBy(F.desc("_place")).rangeBetween(Window.unboundedPreceding, -1)))
+    # From the last onset on, each note keeps the last one that was another: one sort for both windows.
+    later = Window.partitionBy("perf_id", "midi_pitch").orderBy(F.desc("tick_date"))
+    rows = notes.where(F.col("tick_date").isNotNull()).withColumn("_later", F.lag("tick_date").over(later))
+    other = F.when(F.col("_later") != F.col("tick_date"), F.col("_later"))
+    rows = rows.withColumn("_next", F.last(other, ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     hit = rows.join(lengths, ["perf_id", "note_id", "seq"]).where(F.col("tick_date") + F.col("duration") * F.col("mean") > F.col("_next"))
     return hit.select(*[c for c in lengths.columns if c != "mean"])
 
