@@ -155,23 +155,23 @@ def control_points(curvature: Column, protraction: Column) -> tuple[Column, Colu
 
 
 def curve_place(date: Column, start: Column, end: Column, x1: Column, x2: Column) -> Column:
-    """The curve parameter at a date: of a bracket of 0 to 1 that is halved on, the first middle that meets the date to a tick."""
+    """The curve parameter at a date: of a bracket of 0 to 1 that is halved on, the first middle that meets the date to a tick.
+
+    The bracket is carried as its lower end, its width being that of the step; a middle that has met is carried as its negative.
+    """
     powers = ((3 * x1).alias("once"), (3 * x2 - 6 * x1).alias("twice"), (3 * x1 - 3 * x2 + 1).alias("thrice"))
     set_up = F.struct((end - start).cast("double").alias("ticks"), (date - start).cast("double").alias("at"), *powers)
 
     def solve(c: Column) -> Column:
-        def halve(b: Column, _: Column) -> Column:
-            def choose(m: Column) -> Column:
-                ahead = c.ticks * (m * (c.once + m * (c.twice + m * c.thrice))) - c["at"]
-                met = F.abs(ahead) < 1
-                return F.struct(F.when(met | (ahead <= 0), m).otherwise(b.low).alias("low"), F.when(met | (ahead > 0), m).otherwise(b.high).alias("high"))
-
-            return let((b.low + b.high) / 2, choose)
+        def halve(low: Column, half: Column) -> Column:
+            m = low + half
+            ahead = c.ticks * (m * (c.once + m * (c.twice + m * c.thrice))) - c["at"]
+            return F.when(low < 0, low).when(F.abs(ahead) < 1, -m).when(ahead <= 0, m).otherwise(low)
 
         # A curve passes no tick faster than a few in each part of its parameter.
         steps = F.greatest(F.lit(4), F.ceil(F.log2(F.greatest(c.ticks, F.lit(2.0)))).cast("int") + 4)
-        bracket = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-        return F.aggregate(F.sequence(F.lit(1), steps), bracket, halve, lambda b: (b.low + b.high) / 2)
+        halves = F.slice(F.lit([0.5**k for k in range(1, 65)]), F.lit(1), steps)
+        return F.aggregate(halves, F.lit(0.0), halve, lambda low: F.when(low < 0, -low).otherwise(low + F.pow(F.lit(0.5), steps + 1)))
 
     return F.when(date == start, 0.0).when(date == end, 1.0).otherwise(let(set_up, solve))
 
