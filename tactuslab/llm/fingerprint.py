@@ -130,7 +130,7 @@ def edited_fingerprints(documents: DataFrame) -> DataFrame:
     """Fingerprints of each document (doc_id, text) and of its edited text, and how alike they are.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the
-    next document, by ascending doc_id. Null texts count as empty; repeated rows are followed by each
+    next document, by ascending doc_id, a number. Null texts count as empty; repeated rows are followed by each
     other. Other columns aren't read; an empty table gives an empty one.
     """
     own = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

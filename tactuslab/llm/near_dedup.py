@@ -201,7 +201,7 @@ def near_duplicates(documents: DataFrame, with_hash: bool = False) -> DataFrame:
     A row's set is its distinct five-word shingles, its whole sequence where it has fewer words, and
     empty without words; an empty set is linked with nothing. Documents are linked from a similarity
     of 0.75; component_id is the smallest doc_id that can be reached, and kept tells whether it is the
-    row's own. Repeated rows get equal answers. A doc_id is meant to name one text: groups of equal sets
+    row's own. doc_id is a whole number. Repeated rows get equal answers. A doc_id is meant to name one text: groups of equal sets
     whose smallest doc_id is the same are one node, so texts that share it are in one component, with
     all that any of them is linked with. Rows with a null doc_id have the component of the documents with their set, or
     null. Other columns aren't read. An empty table gives an empty one. with_hash
