@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactuslab.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from tactuslab.llm.common import saved
+from tactuslab.llm.common import discard, saved
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again for the next, which then removes it."""
+    docs, made = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        before, made = made, saved(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        docs = made
+        if before is not None:
+            discard(before)
     return docs
