@@ -4,9 +4,9 @@ A window is 10 consecutive words of a benchmark item, or the whole item where it
 stand in a document only if each of its shingles does, so one shingle is a sufficient prefix: the
 rarest, as counted over all documents. Documents look up their shingles among these; a hit fixes
 where the window would lie, its length has to fit between the document's ends, and then all of its
-words are compared, by hash and then by their bytes. Windows are taken in blocks of bounded size,
-which are indexed in arrays and which tasks get by broadcast; a benchmark of any size takes as many
-passes over the documents as it has blocks.
+words are compared, by hash and then by their bytes. A benchmark of bounded size is indexed in arrays,
+which tasks get by broadcast. A larger one is joined as tables, by the same prefixes and bounds, and takes
+as many passes over the documents whatever its size.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tactuslab.llm.common import LOWER, free, saved, shingle_hashes, span_hashes, text_chunks, with_fields, word_class, words
+from tactuslab.llm.common import LOWER, discard, free, saved, shingle_hashes, span_hashes, text_chunks, with_fields, word_class, words
 
 WINDOW = 10
 #: Words of a shingle; items with fewer words are indexed by single words.
 SHINGLE = 5
-#: Benchmark characters in a block: what the driver holds and tasks get at once.
+#: Benchmark characters that the driver holds and tasks get at once; a larger benchmark is joined as tables.
 BLOCK_CHARS = 2_000_000
 WORD = word_class(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -253,14 +253,102 @@ def _joined(begin: np.ndarray, end: np.ndarray) -> list[int]:
     return np.stack([begin[new], end[last]], 1).ravel().tolist()
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str | None, str]]]:
-    """The items with texts, in blocks of about block_chars characters."""
-    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    chars = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    blocks = max(1, -(-int(chars) // block_chars))
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        yield [(r["item"], r["text"]) for r in part.collect()]
+def _window_rows(items: DataFrame, window: int) -> DataFrame:
+    """words, n, shingles and items of the windows of (item, text): distinct in each slice of the items."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                own = Windows.of(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)), window)
+                hashes, of, _ = own.shingles(SHINGLE)
+                at = np.searchsorted(of, np.arange(len(own.first) + 1)).astype(np.int32)
+                shingles = pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64)))
+                text = [own._bytes(v) for v in range(len(own.first))]
+                names = [[own.ids[i] for i in own.item[a:b]] for a, b in zip(own.owner, own.owner[1:])]  # noqa: B905
+                yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), pa.array(own.length, pa.int32()), shingles, pa.array(names, pa.list_(pa.string()))], names=["words", "n", "shingles", "items"])
+
+    return items.mapInArrow(cut, "words binary, n int, shingles array<long>, items array<string>")
+
+
+def _text_shingles(documents: DataFrame, widths: tuple[int, ...], counted: bool) -> DataFrame:
+    """The shingles of each text: key (a hash of the text), n_words, the word at which each begins; or counted, how many there are in a chunk of texts."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, buf, starts in text_chunks(batch.column(1)):
+                buf, first, end, at = _lowered_words(buf, starts)
+                hashes = span_hashes(buf, first, end)
+                for w in widths:
+                    own = shingle_hashes(hashes, w).view(np.int64)
+                    text = np.searchsorted(at, np.arange(len(own)), "right") - 1
+                    within = np.arange(len(own)) + w <= at[text + 1]
+                    own, text, place = own[within], text[within], np.flatnonzero(within)
+                    if counted:
+                        own, n = np.unique(own, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n, pa.int64())], names=["shingle", "n"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[row + text], pa.int64()), pa.array(at[text + 1] - at[text], pa.int64()), pa.array(place - at[text], pa.int64()), pa.array(own)], names=["key", "n_words", "at", "shingle"])
+
+    return documents.select(F.xxhash64("text").alias("key"), "text").mapInArrow(cut, "shingle long, n long" if counted else "key long, n_words long, at long, shingle long")
+
+
+def _verified(found: DataFrame) -> DataFrame:
+    """name, spans and the windows that do occur, for texts (name, text, found: where which window's words may stand)."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, spans, windows = [], [], []
+            for row, buf, starts in text_chunks(batch.column(1)):
+                buf, first, end, at = _lowered_words(buf, starts)
+                for k in range(len(starts) - 1):
+                    begin, stop, own = [], [], set()
+                    for f in batch.column(2)[row + k].as_py():
+                        a, n = int(at[k]) + f["start"], f["n"]
+                        if a + n <= at[k + 1] and b"".join(buf[first[x] : end[x]].tobytes() + b" " for x in range(a, a + n)) == f["words"]:
+                            begin.append(f["start"]), stop.append(f["start"] + n), own.add(f["words"])
+                    if own:
+                        names.append(batch.column(0)[row + k].as_py())
+                        spans.append(_joined(np.array(begin), np.array(stop)))
+                        windows.append(sorted(own))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(spans, pa.list_(pa.int64())), pa.array(windows, pa.list_(pa.binary()))], names=["name", "spans", "windows"])
+
+    return found.mapInArrow(check, "name string, spans array<long>, windows array<binary>")
+
+
+def _joined_tables(documents: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """name (SHA-256), spans and items of each text with a hit: the same join, with nothing but tables.
+
+    Shingles of the windows are counted over all documents; a window with one that occurs nowhere goes, and
+    each other is filed under its rarest. Texts meet these prefixes in a join, and of what lies between a
+    text's ends every word is compared. Equal texts are one from there on.
+    """
+    rows = saved(_window_rows(items, window), "windows")
+    windows = rows.groupBy("words").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    parts = windows.select("words", F.col("n").alias("length"), F.posexplode("shingles").alias("place", "shingle"))
+    sizes = rows.agg(F.min("n"), F.max("n")).collect()[0]
+    widths = (SHINGLE,) * (sizes[1] is not None and sizes[1] >= SHINGLE) + (1,) * (sizes[0] is not None and sizes[0] < SHINGLE)
+    counts = _text_shingles(documents, widths, True).groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = saved(counts.join(parts.select("shingle").distinct(), "shingle", "left_semi"), "counts")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "shingle")).alias("p")
+    prefix = parts.join(counts, "shingle", "left").groupBy("words", "length").agg(rarest).where("p.n > 0")
+    prefix = saved(prefix.select("words", "length", "p.place", "p.shingle"), "prefixes")
+
+    start = F.col("at") - F.col("place")
+    meet = _text_shingles(documents, widths, False).join(prefix, "shingle").where((start >= 0) & (start + F.col("length") <= F.col("n_words")))
+    meet = meet.select("key", start.alias("start"), F.col("length").alias("n"), "words").distinct()
+    found = saved(meet.groupBy("key").agg(F.collect_list(F.struct("start", "n", "words")).alias("found")), "candidates")  # within one text
+    texts = documents.select(F.xxhash64("text").alias("key"), F.sha2("text", 256).alias("name"), "text").join(found, "key")
+    hits = _verified(texts.select("name", "text", "found")).groupBy("name").agg(F.first("spans").alias("spans"), F.first("windows").alias("windows"))
+    hits = saved(hits, "hits")
+
+    owners = saved(rows.select("words", F.explode("items").alias("item")).distinct(), "owners")
+    named = hits.select("name", F.explode("windows").alias("words")).join(owners, "words").select("name", "item").distinct()
+    named = named.groupBy("name").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = saved(hits.select("name", "spans").join(named, "name", "left"), "contamination")
+    discard(rows, counts, prefix, found, hits, owners)
+    return out
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -271,33 +359,21 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int =
     many as occur in it. Null and empty texts have no words; the windows of an item with a null id hit
     words like others, but there is no id to name; items without words have no window; items that share
     an id count once. Each row is judged by its text alone, so repeated rows get equal answers. Columns
-    of these names in documents are replaced. With an empty benchmark nothing is hit.
+    of these names in documents are replaced. With an empty benchmark nothing is hit. A benchmark of up
+    to block_chars characters is an index that tasks get; a larger one is joined as tables. Either way
+    the number of passes over the documents is fixed: two, or four.
     """
     documents = documents.drop("n_words", "spans", "items")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
+    chars = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
+    if chars <= block_chars:
+        block = [(r["item"], r["text"]) for r in items.collect()]
+        return _scan(documents, prefixes(documents, Windows.of(block, window)))
     key, more_spans, more_items = free(documents, "_text", "_spans", "_items")
-    first, hit = None, None
-    for block in _blocks(benchmark, block_chars):
-        part = _scan(documents, prefixes(documents, Windows.of(block, window)))
-        if first is None:
-            first = part
-            continue
-        # What another block finds depends on the text alone: it is kept by the text's digest.
-        own = part.where(F.size("spans") > 0).groupBy(F.sha2("text", 256).alias(key)).agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
-        own = saved(own, "contamination")
-        hit = own if hit is None else hit.unionByName(own)
-    if hit is None:
-        return first
-    more = hit.groupBy(key).agg(F.flatten(F.collect_list("spans")).alias(more_spans), F.flatten(F.collect_list("items")).alias(more_items))  # one for each block
-    out = first.withColumn(key, F.sha2("text", 256)).join(saved(more, "contamination"), key, "left").drop(key)
-    items = F.when(F.col(more_items).isNull(), F.col("items")).otherwise(F.array_sort(F.array_union("items", more_items)))
-    spans = F.concat("spans", F.coalesce(more_spans, F.array().cast("array<bigint>")))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(spans) - 2, F.lit(2)), lambda k: F.struct(F.get(spans, k).alias("b"), F.get(spans, k + 1).alias("e")))
-    joined = F.aggregate(
-        F.array_sort(pairs),
-        F.array().cast("array<bigint>"),
-        lambda s, p: F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1)) >= p.b), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.greatest(F.try_element_at(s, F.lit(-1)), p.e)))).otherwise(F.concat(s, F.array(p.b, p.e))),
-    )
-    return out.select(*documents.columns, "n_words", F.when(F.col(more_spans).isNull(), F.col("spans")).otherwise(joined).alias("spans"), items.alias("items"))
+    more = _joined_tables(documents, items, window).select(F.col("name").alias(key), F.col("spans").alias(more_spans), F.col("items").alias(more_items))
+    out = _scan(documents, prefixes(documents, Windows.of([], window))).withColumn(key, F.sha2("text", 256)).join(more, key, "left")
+    spans, ids = F.coalesce(more_spans, F.col("spans")), F.coalesce(more_items, F.col("items"))
+    return out.select(*documents.columns, "n_words", spans.alias("spans"), ids.alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
