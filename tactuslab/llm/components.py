@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     the steps grow as the logarithm of the longest path. Each step is written to the shared folder.
     Edges may repeat, loop, or be none; those with a null end are left out. A hub's edges meet its label
     in a join of two written tables, which adaptive execution splits; minima are taken in part before
-    they are dealt out.
+    they are dealt out. The result is a written table, which its user may discard.
     """
     edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
     both = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -28,4 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         before, labels = labels, saved(out.select("node", F.col("to").alias("label"), (F.col("to") != F.col("label")).alias("moved")), "labels")
         discard(before)
     discard(both)
-    return labels.select("node", "label")
+    out = labels.select("node", "label")
+    out._saved_at = labels._saved_at
+    return out

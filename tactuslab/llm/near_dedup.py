@@ -15,8 +15,10 @@ be met from there: those are part of the key. An edited copy whose own shingles
 with anything finds no partner. What does link is first gathered around the most typical member of
 each list, and pairs within one component are never compared, as they can't change it.
 
-So documents that stand only in lists of more than SHORT members get their candidates from their full
-sets rather than from retained values: the results are the same, but this part isn't bottom-k.
+So members of lists of more than SHORT documents retain all their hashes, not K of them, and get their
+candidates from these: the results are the same, but this part's lists aren't those of a bottom-k sketch.
+K values can't tell a similarity of 0.75 from one of 0.5, so in a crowd of texts that share a passage their
+lists alone would compare nearly all with all.
 A shingle that a third of all documents hold is a hot key where postings meet its count. The counts
 are written first, so that both sides of this join are plain exchanges, and what follows deals out by
 document: adaptive execution then splits such a key over many tasks. The prefix cut drops it after.
@@ -102,8 +104,8 @@ def _near_size(a: Column, b: Column) -> Column:
     return 100 * F.least(a, b) >= 75 * F.greatest(a, b)
 
 
-def _prefix_lists(classes: DataFrame) -> DataFrame:
-    """value, rep and n: the inverted lists of each class's rarest retained values, those of two or more."""
+def _prefix_lists(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """value, rep and n: the inverted lists of each class's rarest retained values, those of two or more; and the table of counts they come from."""
     kept = F.size("sketch")
     room = kept - F.least(F.lit(NEED), F.ceil(F.col("n_shingles") * 0.75)) + 1
     postings = classes.select("rep", F.col("n_shingles").alias("n"), kept.alias("kept"), room.alias("room"), F.explode("sketch").alias("value"))
@@ -111,7 +113,7 @@ def _prefix_lists(classes: DataFrame) -> DataFrame:
     some = postings.join(shared, "value")
     own = some.groupBy("rep", "n", "kept", "room").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))  # K at most
     first = F.slice("v", 1, F.greatest(F.lit(0), F.col("room") - (F.col("kept") - F.size("v"))).cast("int"))
-    return own.select("rep", "n", F.explode(first).alias("v")).select("v.value", "rep", "n")
+    return own.select("rep", "n", F.explode(first).alias("v")).select("v.value", "rep", "n"), shared
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -136,8 +138,8 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / float(np.log(SIZE_STEP))).cast("int")
 
 
-def _exact_lists(sets: DataFrame) -> DataFrame:
-    """value, size_class, rep, n, place, typical, and whether the row is one for the smaller or the larger of a pair.
+def _exact_lists(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """value, size_class, rep, n, place, typical, and whether the row is one for the smaller or the larger of a pair; and the table of counts.
 
     place counts a set's shingles from the rarest; those that no other set has come first. typical is
     the share of shingles that another set has too.
@@ -153,7 +155,7 @@ def _exact_lists(sets: DataFrame) -> DataFrame:
     low, high = F.ceil(F.col("n") * 0.75), F.least(F.col("n"), F.floor(rest * 7 / 3.0).cast("long") - F.col("n"))
     large = rows.where(low <= high).withColumn("size_class", F.explode(F.sequence(_size_class(low), _size_class(high)))).withColumn("large", F.lit(True))
     small = rows.where(7 * rest >= 6 * F.col("n")).withColumn("size_class", _size_class(F.col("n"))).withColumn("large", F.lit(False))
-    return large.unionByName(small)
+    return large.unionByName(small), shared
 
 
 def _apart(lists: DataFrame, label: DataFrame, *key: str) -> DataFrame:
@@ -165,13 +167,16 @@ def _apart(lists: DataFrame, label: DataFrame, *key: str) -> DataFrame:
 
 def class_components(classes: DataFrame, documents: DataFrame) -> DataFrame:
     """node and label of the classes that are linked with others."""
-    lists = _prefix_lists(classes.where("rep IS NOT NULL"))
+    lists, counts = _prefix_lists(classes.where("rep IS NOT NULL"))
     sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     lists = saved(lists.join(sizes, "value"), "lists")
+    discard(counts)
     sets = saved(_full_sets(documents, lists.select("rep").distinct()), "sets")
 
     crowd = lists.where(F.col("m") > SHORT).select("rep").distinct()
-    exact = saved(_exact_lists(sets.join(crowd, "rep", "left_semi")), "exact-lists")
+    exact, counts = _exact_lists(sets.join(crowd, "rep", "left_semi"))
+    exact = saved(exact, "exact-lists")
+    discard(counts)
     head = F.max(F.struct("typical", (-F.col("rep")).alias("first"))).alias("head")
     heads = exact.groupBy("value", "size_class").agg(head, F.count(F.lit(1)).alias("m")).where("m > 1")
     star = exact.select("value", "size_class", "rep").join(heads, ["value", "size_class"]).groupBy("rep").agg(F.max("head").alias("head"))
@@ -191,7 +196,7 @@ def class_components(classes: DataFrame, documents: DataFrame) -> DataFrame:
     pairs = pairs.unionByName(own.join(other, "value").where(near).select(*_ordered("rep", "rep2"))).distinct()
     more = saved(_linked(pairs, sets), "links")
     out = components(links.unionByName(more))
-    discard(lists, sets, exact, links, more)
+    discard(lists, sets, exact, links, label, more)
     return out
 
 
@@ -215,4 +220,7 @@ def near_duplicates(documents: DataFrame, with_hash: bool = False) -> DataFrame:
     named = named.select("n_shingles", "s1", "s2", F.coalesce("label", "rep").alias("component"))
     rows = own.select("doc_id", "text_hash", "n_shingles", "s1", "s2").join(named, ["n_shingles", "s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", *["text_hash"] * with_hash, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = rows.select("doc_id", *["text_hash"] * with_hash, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = saved(rows, "near-duplicates")
+    discard(own, classes, label)
+    return out
