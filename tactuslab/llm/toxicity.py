@@ -23,8 +23,9 @@ from tactuslab.llm.common import LOWER, fitted, hash_reach, span_hashes, text_ch
 GRAMS = (3, 4, 5, 6)
 BITS = 17
 DIM = 8
-WINDOW = 12  # words
-STEP = 6
+#: Words of a window. Two: of a longer one, the words around an insult are learned too, and those of unseen texts hide it.
+WINDOW = 2
+STEP = 1
 #: Passes over the training rows: as many as make up so many characters, within these limits.
 PASS_CHARS = 80_000_000
 PASSES = (12, 40)
