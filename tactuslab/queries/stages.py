@@ -196,7 +196,7 @@ def date_at_inverts_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates found again from the time at which a tempo reaches them."""
     c = _curves(spark, sf_dir)
     args = [F.col(x) for x in ("zero", "end", "bpm", "beat", "t2", "im")]
-    return c.select("note_id", kernels.date_at(kernels.ms_at(F.col("d"), *args), *args).cast("long").alias("back"))
+    return kernels.with_dates(c, "back", kernels.ms_at(F.col("d"), *args), *args).select("note_id", F.col("back").cast("long").alias("back"))
 
 
 _EL = "CASE WHEN abs(a - b) < 0.01 THEN {n} * 60000.0::DOUBLE / a ELSE list_sum(list_transform(range(0, 200), lambda i: 0.5 * (60000.0::DOUBLE / (a + (b - a) * pow(i / 200.0::DOUBLE, ln(0.5) / ln({im}))) + 60000.0::DOUBLE / (a + (b - a) * pow((i + 1) / 200.0::DOUBLE, ln(0.5) / ln({im})))))) * {n} / 200 END"
