@@ -13,6 +13,8 @@ _NOTE = (
 )
 _SCORE = f"struct<score:struct<note:array<struct<{_NOTE.replace(' string', ': string').replace(' double', ': double').replace(' int,', ': int,')}>>>>"
 
+_PEDALS = "struct<pedal:array<struct<`_xml:id`:string,_type:string,_date:double,`_date.end`:double,`_midi.onset`:double,`_midi.duration`:double,_source:string>>>"
+
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """Notes of all files under path; perf_id is a hash of the file's name.
@@ -21,7 +23,17 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     """
     kind = f"`_number` int, `_name` string, dated {_SCORE}"
     rows = spark.read.format("xml").option("rowTag", "part").option("attributePrefix", "_").schema(kind).load(path)
-    rows = rows.select(F.xxhash64(F.input_file_name()).alias("perf_id"), F.col("_number").alias("part"), F.posexplode("dated.score.note").alias("pos", "n"))
+    return _notes(rows.select(F.xxhash64(F.input_file_name()).alias("perf_id"), F.col("_number").alias("part"), F.posexplode("dated.score.note").alias("pos", "n")))
+
+
+def notes_of(documents: DataFrame) -> DataFrame:
+    """read_notes of documents (perf_id, xml) in a table, each with its own perf_id: a corpus needn't be a file for each."""
+    kind = f"part array<struct<_number:int,_name:string,dated:{_SCORE}>>"
+    rows = documents.select("perf_id", F.explode(F.from_xml("xml", F.lit(kind), {"attributePrefix": "_"})["part"]).alias("p"))
+    return _notes(rows.select("perf_id", F.col("p._number").alias("part"), F.posexplode("p.dated.score.note").alias("pos", "n")))
+
+
+def _notes(rows: DataFrame) -> DataFrame:
     n = lambda c: F.col(f"n.`{c}`")
     rows = rows.select(
         "perf_id", n("_xml:id").alias("note_id"), "part", "pos", n("_date").cast("long").alias("date"), n("_duration").cast("long").alias("duration"), n("_pitchname").alias("pitchname"),
@@ -36,10 +48,17 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pedals(spark: SparkSession, path: str) -> DataFrame:
     """Pedals of all files under path, in the order of each file."""
-    field = "`_xml:id`:string,_type:string,_date:double,`_date.end`:double,`_midi.onset`:double,`_midi.duration`:double,_source:string"
-    kind = f"pedalMap struct<pedal:array<struct<{field}>>>"
-    rows = spark.read.format("xml").option("rowTag", "global").option("attributePrefix", "_").schema(kind).load(path)
-    rows = rows.select(F.xxhash64(F.input_file_name()).alias("perf_id"), F.posexplode("pedalMap.pedal").alias("seq", "p"))
+    rows = spark.read.format("xml").option("rowTag", "global").option("attributePrefix", "_").schema(f"pedalMap {_PEDALS}").load(path)
+    return _pedals(rows.select(F.xxhash64(F.input_file_name()).alias("perf_id"), F.posexplode("pedalMap.pedal").alias("seq", "p")))
+
+
+def pedals_of(documents: DataFrame) -> DataFrame:
+    """read_pedals of documents (perf_id, xml) in a table, each with its own perf_id."""
+    said = F.from_xml("xml", F.lit(f"global struct<pedalMap:{_PEDALS}>"), {"attributePrefix": "_"})
+    return _pedals(documents.select("perf_id", F.posexplode(said["global"]["pedalMap"]["pedal"]).alias("seq", "p")))
+
+
+def _pedals(rows: DataFrame) -> DataFrame:
     p = lambda c: F.col("p").getField(f"_{c}")
     return rows.select(
         "perf_id", F.col("seq").cast("long").alias("seq"), p("xml:id").alias("pedal_id"), p("type").alias("type"), p("date").cast("long").alias("date"), p("date.end").cast("long").alias("date_end"),
