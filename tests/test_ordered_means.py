@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tactuslab.operators import articulation
+from tactuslab.operators import articulation, rubato
 from tactuslab.operators import notes as ops
 
 
@@ -46,3 +46,11 @@ def test_default_articulation(spark, played):
     none = spark.createDataFrame([], "perf_id long, date long, noteid array<string>")
     mean, _ = ops.make_default_articulation(df, none)
     assert {x.perf_id: x.rel_dur for x in mean.collect()} == folded(rows, lambda x: x["tick_duration"] / x["duration"])
+
+
+def test_late_start(played):
+    """A rubato's late start is the mean place of the notes on its first date: one date here, of 40 notes."""
+    rows, df = played
+    df = df.withColumn("date", F.lit(0)).withColumn("part", F.lit(1)).withColumn("tick_date", F.col("tick_duration") / F.col("duration") * 10)
+    got = rubato.insert_rubato(df, 0, 720).collect()
+    assert {x.perf_id: x.late_start for x in got} == {p: m / 720 for p, m in folded(rows, lambda x: x["tick_duration"] / x["duration"] * 10).items()}
