@@ -53,6 +53,35 @@ def test_against_all_pairs(spark, d, eps):
     assert {(x["perf_id"], x["index"]): x["label"] for x in got} == want
 
 
+@pytest.mark.parametrize("few", [0, 20, 2000])
+def test_groups_of_all_sizes(spark, monkeypatch, few):
+    """Small groups go many to a task, large ones by cells; rows come back as they were, with keys that are null or parted over batches."""
+    monkeypatch.setattr(relops, "FEW_POINTS", few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        r = random.Random(9)
+        rows, want = [], {}
+        for perf, outer in itertools.product(range(3), range(3)):
+            points = {2 * i: (r.uniform(-6, 6), r.uniform(-6, 6)) for i in range(r.choice([1, 5, 30, 40]))}
+            rows += [(perf, outer, i, *x, [f"n{i}"]) for i, x in points.items()]
+            want |= {(perf, outer, i): (v, [f"n{i}"]) for i, v in _brute(points, (1.0, 0.7)).items()}
+        table = spark.createDataFrame(rows, "perf_id long, outer int, index int, x double, y double, ids array<string>")
+        got = relops.cluster(table, {"x": 1.0, "y": 0.7}, ("perf_id", "outer")).collect()
+        assert {(x["perf_id"], x["outer"], x["index"]): (x["label"], x["ids"]) for x in got} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_small_groups_take_one_table(spark, monkeypatch):
+    """Clusters of many small performances are found without tables of cells and pairs."""
+    names = []
+    plain = relops.saved
+    monkeypatch.setattr(relops, "saved", lambda df, name: names.append(name) or plain(df, name))
+    points = spark.range(2000).select((F.col("id") % 40).alias("perf_id"), F.col("id").alias("index"), (F.rand(3) * 9).alias("x"), (F.rand(4) * 9).alias("y"))
+    relops.cluster(points, {"x": 1.0, "y": 1.0}).count()
+    assert names == ["clusters"]
+
+
 def test_a_dense_cell_is_linear(spark):
     points = spark.range(60000).select(F.lit(1).alias("perf_id"), F.col("id").alias("index"), (F.rand(3) * 1.9).alias("x"), (F.rand(4) * 1.9).alias("y"))
     began = time.time()
