@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tactuslab.operators import articulation, rubato
+from tactuslab.operators import articulation, ornaments, relops, rubato
 from tactuslab.operators import notes as ops
 
 
@@ -54,3 +54,20 @@ def test_late_start(played):
     df = df.withColumn("date", F.lit(0)).withColumn("part", F.lit(1)).withColumn("tick_date", F.col("tick_duration") / F.col("duration") * 10)
     got = rubato.insert_rubato(df, 0, 720).collect()
     assert {x.perf_id: x.late_start for x in got} == {p: m / 720 for p, m in folded(rows, lambda x: x["tick_duration"] / x["duration"] * 10).items()}
+
+
+def test_chords(played):
+    """The mean onset of a chord of many notes, as chords have it and as an arpeggio is placed."""
+    rows, df = played
+    df = df.withColumn("date", F.lit(0)).withColumn("onset", F.col("tick_duration") / F.col("duration")).withColumn("midi_duration", F.lit(1.0))
+    want = folded(rows, lambda x: x["tick_duration"] / x["duration"])
+    assert {x.perf_id: x.mean_onset for x in relops.chords(df).collect()} == want
+    assert {x.perf_id: x["mean"] for x in ornaments.spread_chords(df, with_intensity=False).collect()} == want
+
+
+def test_asynchrony(played):
+    rows, df = played
+    onset = F.when(F.col("part") == 2, F.col("tick_duration") / F.col("duration")).otherwise(F.lit(0.0))
+    df = df.withColumn("date", F.col("seq")).withColumn("part", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("onset", onset)
+    shift, _ = ops.asynchrony(df, 1, 0, 100)
+    assert {x.perf_id: x.shift for x in shift.collect()} == folded(rows, lambda x: x["tick_duration"] / x["duration"])
